@@ -45,6 +45,7 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
     weights: tuple[int, ...] = (1, 2, 3),
     max_epochs: int = 3,
     seed: int = 42,
@@ -58,9 +59,10 @@ def mix_sources(
     Nulls: a null text has size 0, a null source is a source of its own that sorts last, a null id is ordered by its
     text. Texts without words take 0. Repeated rows keep their own rows. Ties in the order (equal ids) resolve by
     size, then row. An empty table gives an empty table. Other columns are ignored, whatever their names.
+    row_col names a unique row number of the caller's.
     """
     base = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("key"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, secrets, sharding, simhash, topk
+from loomspan.llm import mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
 from loomspan.llm import exact_dedup as exact
 
 
@@ -21,10 +24,34 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+#: The public byte-pair model that op4 and the pipeline encode with, unless LOOMSPAN_PIECES names another.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentencepiece.load_model(spark, os.environ.get("LOOMSPAN_PIECES", PIECES))
+    return sentencepiece.encode_documents(_table(spark, sf_dir, "documents"), model, with_ids=False, with_text=False)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    spans = secrets.span_list
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(spans(F.col("base")), 256).alias("base_sha256"), spans(F.concat("base", "added")).alias("spans"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(_table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -40,7 +67,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
