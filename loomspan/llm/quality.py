@@ -45,7 +45,7 @@ def votes(text: str) -> str:
     prose = 0.04 < ends < 0.5 and symbols < 0.01 and capitals < 0.12 and stutter < 0.05
     return "".join(
         (
-            _vote(symbols > 0.04, symbols < 0.01),
+            _vote(symbols > 0.04, False),
             _vote(capitals > 0.3, False),
             _vote(stutter > 0.1, False),
             _vote(cells > 0.08, False),
