@@ -1,0 +1,138 @@
+"""Repository snapshots: directories, line and marker counts, import edges, symbol containment, calls, layout clamps."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+# Work markers, the longest average line of hand-written code, symbols per file, kept source size.
+MARKERS = r"\b(TODO|FIXME|HACK|XXX)\b"
+DENSE, MAX_SYMBOLS, MAX_SOURCE, CUT_MARK = 250, 300, 512 * 1024, "\n… truncated"
+MINIFIED = r"(\.min\.|[.-]bundle\.)"
+
+
+def loc(text: Column) -> Column:
+    """Lines that hold more than blanks."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike("[^ \t\r]"))).cast("long")
+
+
+def markers(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(MARKERS)), F.lit(0)).cast("long")
+
+
+def is_minified(path: Column, text: Column) -> Column:
+    return path.rlike(MINIFIED) | (F.length(text) / F.greatest(loc(text), F.lit(1)) > DENSE)
+
+
+def clean_import(text: Column) -> Column:
+    return F.regexp_replace(text, r"""^[\s"'<]+|[\s"'>;]+$""", "")
+
+
+def clipped_source(text: Column) -> Column:
+    return F.when(F.length(text) > MAX_SOURCE, F.concat(F.substring(text, 1, MAX_SOURCE), F.lit(CUT_MARK))).otherwise(text)
+
+
+def script_json(text: Column) -> Column:
+    """JSON that may stand inside a script element."""
+    return F.regexp_replace(text, "</", "<\\\\\\\\/")
+
+
+def html_escape(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def directories(files: DataFrame) -> DataFrame:
+    """(path, name, parent, depth, files): every directory above a file, the root included as ''."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    own = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
+    rows = files.select(F.explode(above).alias("dir"), own.alias("own"))
+    dirs = rows.groupBy("dir").agg(F.count_if(F.col("dir") == F.col("own")).alias("files"))
+    steps = F.split("dir", "/")
+    depth = F.when(F.col("dir") == "", 0).otherwise(F.size(steps))
+    parent = F.when(F.col("dir") == "", F.lit(None)).otherwise(F.array_join(F.slice(steps, 1, F.size(steps) - 1), "/"))
+    return dirs.select(F.col("dir").alias("path"), F.element_at(steps, -1).alias("name"), parent.alias("parent"), depth.alias("depth"), "files")
+
+
+def import_edges(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst, weak): file specs (src, spec, weak) resolved to files (path); distinct, none to itself, strong wins."""
+    met = specs.join(files.select(F.col("path").alias("spec"), F.col("path").alias("dst")), "spec").filter("src <> dst")
+    return met.groupBy("src", "dst").agg(F.min("weak").alias("weak"))
+
+
+def resolve_packages(imports: DataFrame, files: DataFrame, roots: tuple[str, ...], suffix: str = ".java", max_wildcard: int = 40) -> DataFrame:
+    """(src, dst, weak) of dotted imports: under each root in turn, a class file, or all files of a package (weak)."""
+    path = F.replace("name", F.lit("."), F.lit("/"))
+    tries = F.transform(F.array(*map(F.lit, roots)), lambda r, i: F.struct(i.alias("rank"), F.concat(r, path).alias("at")))
+    asked = imports.select("src", "name", F.explode(tries).alias("t")).select("src", "name", "t.rank", "t.at")
+    exact = asked.join(files.select(F.col("path").alias("dst"), F.regexp_replace("path", f"\\{suffix}$", "").alias("at")), "at")
+    exact = exact.groupBy("src", "name").agg(F.min_by("dst", "rank").alias("dst")).withColumn("weak", F.lit(False))
+    package = F.regexp_replace("path", "/[^/]*$", "")
+    listed = files.withColumn("at", package).withColumn("n", F.row_number().over(W.partitionBy("at").orderBy("path"))).filter(F.col("n") <= max_wildcard)
+    star = asked.withColumn("at", F.regexp_replace("at", "/\\*$", "")).join(listed.select("at", F.col("path").alias("dst")), "at").join(exact.select("src", "name"), ["src", "name"], "left_anti")
+    star = star.withColumn("best", F.min("rank").over(W.partitionBy("src", "name"))).filter("rank = best").select("src", "name", "dst", F.lit(True).alias("weak"))
+    both = exact.unionByName(star).filter("src <> dst")
+    return both.groupBy("src", "dst").agg(F.min("weak").alias("weak"))
+
+
+def language_stats(files: DataFrame) -> DataFrame:
+    return files.groupBy(F.coalesce("language", F.lit("other")).alias("language")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+
+
+def kept_symbols(defs: DataFrame) -> DataFrame:
+    """The MAX_SYMBOLS longest definitions of each file."""
+    order = W.partitionBy("file").orderBy(F.desc(F.col("end") - F.col("start")), "idx")
+    return defs.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= MAX_SYMBOLS).drop("__n")
+
+
+def containment(defs: DataFrame) -> DataFrame:
+    """(file, idx, parent): the smallest definition that strictly encloses another, the lower index among equals.
+
+    A file has at most MAX_SYMBOLS definitions here, so the range join within a file is bounded.
+    """
+    own = kept_symbols(defs).select("file", "idx", "start", "end")
+    outer = own.select("file", F.col("idx").alias("o_idx"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    span, outer_span = F.col("end") - F.col("start"), F.col("o_end") - F.col("o_start")
+    over = (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end")) & (outer_span > span)
+    best = own.join(outer, "file").filter(over).groupBy("file", "idx").agg(F.min(F.struct(outer_span.alias("span"), "o_idx")).alias("b"))
+    return own.select("file", "idx").join(best, ["file", "idx"], "left").select("file", "idx", F.col("b.o_idx").alias("parent"))
+
+
+def call_edges(defs: DataFrame, refs: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(src_file, src_idx, dst_file, dst_idx): a reference's innermost definition to the definition it names.
+
+    The name is looked up in the own file first, then in the files that it imports, in order; distinct, no self-calls.
+    """
+    kept = kept_symbols(defs)
+    span = (F.col("end") - F.col("start")).alias("span")
+    inside = refs.join(kept.select("file", "idx", "start", "end", span), "file").filter("line between start and end")
+    callers = inside.groupBy("file", "line", "name").agg(F.min(F.struct("span", "idx")).alias("c")).select("file", "line", "name", F.col("c.idx").alias("src_idx"))
+    named = kept.groupBy(F.col("file").alias("dst_file"), "name").agg(F.min("idx").alias("dst_idx"))
+    places = callers.select("file").distinct().select("file", F.col("file").alias("dst_file"), F.lit(0).cast("long").alias("rank"))
+    places = places.unionByName(neighbours.select("file", F.col("neighbour").alias("dst_file"), (F.col("rank") + 1).cast("long").alias("rank")))
+    found = callers.join(places, "file").join(named, ["dst_file", "name"])
+    best = found.groupBy("file", "line", "name", "src_idx").agg(F.min(F.struct("rank", "dst_file", "dst_idx")).alias("b"))
+    out = best.select(F.col("file").alias("src_file"), "src_idx", F.col("b.dst_file").alias("dst_file"), F.col("b.dst_idx").alias("dst_idx"))
+    return out.filter((F.col("src_file") != F.col("dst_file")) | (F.col("src_idx") != F.col("dst_idx"))).distinct()
+
+
+def radius_clamp(points: DataFrame, group: str, radius: str, least: float = 25.0) -> DataFrame:
+    """Adds soft (the group's 75th percentile by floor index, least at least) and scale (1 within, soft/r beyond)."""
+    ordered = W.partitionBy(group).orderBy(radius)
+    ranked = points.withColumn("__n", F.row_number().over(ordered) - 1).withColumn("__size", F.count("*").over(W.partitionBy(group)))
+    at = F.floor((F.col("__size") - 1) * 0.75)
+    soft = F.greatest(F.lit(least), F.max(F.when(F.col("__n") == at, F.col(radius))).over(W.partitionBy(group)))
+    return ranked.withColumn("soft", soft).withColumn("scale", F.when(F.col(radius) > 0, F.least(F.lit(1.0), F.col("soft") / F.col(radius))).otherwise(1.0)).drop("__n", "__size")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(path, component): files on import cycles; files that reach each other are one component."""
+    from loomspan.operators.graph import closure
+
+    paths = closure(edges.select(F.lit("g").alias("graph"), F.col("src").alias("prereq"), F.col("dst").alias("item")))
+    back = paths.select("graph", F.col("item").alias("prereq"), F.col("prereq").alias("item"))
+    mutual = paths.join(back, ["graph", "prereq", "item"], "left_semi")
+    return mutual.groupBy(F.col("prereq").alias("path")).agg(F.min("item").alias("component"))
