@@ -39,3 +39,15 @@ def materialize(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only after counting the (materialised) side; beyond the limit the join shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+#: Rows of an Arrow batch that holds whole texts: a worker's memory follows this, not the partition.
+TEXT_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python workers a few at a time, unless the session asks for even fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
