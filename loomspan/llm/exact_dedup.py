@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import broadcast_if_small, materialize
+from loomspan.plans.storage import broadcast_if_small, materialize, small_batches
 
 #: Documents that one message's sender holds in memory at a time.
 CHUNK = 50_000
@@ -130,6 +130,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     empty table. Other columns are ignored, whatever their names. row_col names a unique row number of the caller's.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -150,6 +151,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.col("best.row_id").alias("keep_row"),
         F.when(sound, F.col("expected")).otherwise(F.raise_error(F.lit("texts of one digest differ")).cast("long")).alias("group_size"),
     )
+    # written first, so that both sides of the join are plain exchanges and AQE can split a large group of copies
+    groups = materialize(groups)
     grouped = suspects.join(groups, "digest").withColumn("kept", F.col("row_id") == F.col("keep_row"))
     alone = marked.filter("not suspect").select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "row_id"]
