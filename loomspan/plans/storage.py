@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -51,3 +52,14 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if not 0 < now <= TEXT_ROWS:
         spark.conf.set(key, str(TEXT_ROWS))
+
+
+def release_memory() -> None:
+    """At the end of a task: give a Python worker's free memory back, since idle workers are kept."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
