@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
         return s
 
     add("break", "input", max_items=int, token_budget=int, cassette=str)
-    add("author", "graph")
+    add("author", "graph", token_budget=int, cassette=str)
     add("learn", "beats", "script")
     add("merge", "inputs")
     add("play", "beats", script=str, save=str, resume=str, max_retries=int)
@@ -70,7 +70,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> str:
         counts = P.break_file(spark, args.input, args.out, max_items=args.max_items or P.MAX_ITEMS, model=model, budget=args.token_budget)
         return f"ITEMS={counts['items']} EDGES={counts['edges']} STATES={counts['states']} FRINGE0={counts['fringe']} TOKENS={model.total_tokens if model else 0}"
     if args.command == "author":
-        story = P.author_story(spark, _json(args.graph))
+        story = P.author_story(spark, _json(args.graph), model, args.token_budget)
         if issues := P.story_issues(spark, story):
             raise ValueError(f"invalid story: {issues[0]}")
         writers.write_document(story, out("beats.json"))

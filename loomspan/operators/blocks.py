@@ -106,9 +106,16 @@ def resolve_provenance(items: DataFrame, blocks_: DataFrame) -> DataFrame:
     return joined.withColumn("p", F.coalesce("own", "fallback", none)).drop("own", "fallback", "chunk_id").select("*", "p.chunk_id", "p.page", "p.start", "p.end").drop("p")
 
 
+FLAGS = ("atomic", "assessable", "meaningful")
+
+
 def gate_items(items: DataFrame) -> DataFrame:
-    """(…, decision, reason, children): accepted, split into the children that pass, or dropped."""
-    gated = items.withColumn("g", T.gate(F.col("label"), F.col("description")))
+    """(…, decision, reason, children): accepted, split into the children that pass, or dropped.
+
+    Flags of a text model (FLAGS), where the items have them, are the last rules; children don't inherit them.
+    """
+    flags = {k: F.col(k) for k in FLAGS if k in items.columns}
+    gated = items.withColumn("g", T.gate(F.col("label"), F.col("description"), flags))
     kept = F.filter(T.split_item(F.col("id").cast("string"), F.col("description")), lambda c: T.gate(F.col("label"), c["description"])["ok"])
     children = F.when(F.col("g.ok"), F.array().cast("array<struct<id: string, description: string>>")).otherwise(kept)
     decided = gated.withColumn("children", children).withColumn("reason", F.col("g.reason")).withColumn("ok", F.col("g.ok")).drop("g")

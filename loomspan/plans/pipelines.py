@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.functions.replay import Learner, grade
 from loomspan.operators import blocks as B
+from loomspan.operators import drafts as D
 from loomspan.operators import graph as G
 from loomspan.operators import story as S
 from loomspan.operators.cassette import BudgetExhausted, CassetteExhausted, TextModel
@@ -21,7 +22,7 @@ from loomspan.sources import readers, writers
 
 # Limits of a run.
 MAX_ITEMS, HARD_LIMIT, DEGRADED_ITEMS = 300, 2000, 10
-EXTRACT, ANALYZE = "EXTRACT", "ANALYZE"
+EXTRACT, ANALYZE, STORY = "EXTRACT", "ANALYZE", "STORY"
 
 
 @dataclass
@@ -32,64 +33,86 @@ class Broken:
     entities: DataFrame
     relations: DataFrame
     items: DataFrame
+    competences: DataFrame | None
     log: DataFrame
     edges: DataFrame
     degraded: list[str]
 
 
-def _reply(model: TextModel | None, role: str, prompt: str, budget: int | None, degraded: list[str], stage: str) -> dict | None:
-    """The model's reply as an object; None where there is no model, no budget, no reply or no JSON object."""
+def _replies(spark: SparkSession, model: TextModel | None, role: str, prompts: DataFrame, budget: int | None, degraded: list[str], stage: str) -> DataFrame | None:
+    """The model's replies (doc_id, text) to prompts (doc_id, prompt); None without a model, a reply or the budget.
+
+    A model is asked on the driver, once per document: with a model, documents are few and prompts bounded.
+    """
     if model is None:
         return None
-    try:
-        text = model.complete(role, prompt, budget)["text"]
-    except BudgetExhausted:
-        degraded.append(stage)
-        return None
-    except CassetteExhausted:
-        return None
-    try:
-        data = json.loads(text)
-    except ValueError:
-        return None
-    return data if isinstance(data, dict) else None
+    out = []
+    for r in prompts.orderBy("doc_id").collect():
+        try:
+            out.append((r.doc_id, model.complete(role, r.prompt, budget)["text"]))
+        except BudgetExhausted:
+            degraded.append(stage)
+            return None
+        except CassetteExhausted:
+            return None
+    return spark.createDataFrame(out, f"doc_id {prompts.schema['doc_id'].dataType.simpleString()}, text string") if out else None
+
+
+def _or_rules(drafted: DataFrame | None, answered: DataFrame | None, rules: DataFrame) -> DataFrame:
+    """Drafted rows of the documents whose reply was an object, the rules' rows of all others."""
+    if drafted is None:
+        return rules
+    return drafted.unionByName(rules.join(answered.select("doc_id").distinct(), "doc_id", "left_anti"), allowMissingColumns=True)
 
 
 def break_texts(spark: SparkSession, texts: DataFrame, *, max_items: int = MAX_ITEMS, model: TextModel | None = None, budget: int | None = None) -> Broken:
     """Documents (doc_id, text) to blocks, entities, relations, gated items and edges, all documents at once.
 
-    A model, if given, proposes edges (by id or label) for the items; its replies are documents of bounded size. Without
-    one, or past its budget, the rules stand alone; after a refused call each graph keeps DEGRADED_ITEMS items.
+    A model, if given, is asked for entities and relations, then for items, then for edges; where it gives no JSON
+    object the rules stand in. Past its budget it is not asked again, and each graph keeps DEGRADED_ITEMS items.
     """
     if isinstance(max_items, bool) or not isinstance(max_items, int) or not 1 <= max_items <= HARD_LIMIT:
         raise ValueError(f"max_items must be an integer from 1 to {HARD_LIMIT}")
     degraded: list[str] = []
     blocks = materialize(B.blocks(texts))
+    if model is not None and blocks.isEmpty():
+        model = None  # nothing to ask about
     terms = B.term_rows(blocks)
-    entities = materialize(B.entities(terms))
-    relations = B.cooccurrence(terms, entities)
-    gated = B.gate_items(B.rule_items(entities, blocks))
+    ask = lambda role, prompts, stage: _replies(spark, model, role, prompts, budget, degraded, stage)
+
+    extracted = ask(EXTRACT, _extract_prompts(blocks), "extract")
+    ruled = B.entities(terms)
+    answered = D.parsed(extracted, D.ENTITIES) if extracted is not None else None
+    entities = materialize(_or_rules(D.entities(extracted, blocks) if extracted is not None else None, answered, ruled))
+    relations = _or_rules(D.relations(extracted, blocks) if extracted is not None else None, answered, B.cooccurrence(terms, ruled))
+
+    listed = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "label", "type"))).alias("e"))
+    itemized = ask(ANALYZE, listed.select("doc_id", T.prompt("Turn these entities into atomic items as JSON.", F.col("e")).alias("prompt")), "itemize")
+    answered = D.parsed(itemized, D.ITEMS) if itemized is not None else None
+    candidates = _or_rules(D.items(itemized, blocks) if itemized is not None else None, answered, B.rule_items(entities, blocks))
+    competences = D.competences(itemized) if itemized is not None else None
+
+    gated = B.gate_items(candidates)
     children = F.when(F.col("decision") == "accepted", F.array(F.struct("id", "description"))).otherwise(F.col("children"))
-    kept = gated.select(F.col("doc_id").cast("string").alias("graph"), F.explode(children).alias("c"), "label", "dok", "assessment_criteria", "tags", "chunk_id", "page", "start", "end")
-    kept = kept.select("graph", "c.id", "c.description", "label", "dok", "assessment_criteria", "tags", F.struct("chunk_id", "page", "start", "end").alias("provenance"))
-    proposed: list[tuple] = []
-    if model is not None:  # one call per document: with a model, documents are few
-        listed: dict[str, list] = {}
-        for r in kept.select("graph", "id", "label").orderBy("graph", "id").collect():
-            listed.setdefault(r.graph, []).append([r.id, r.label])
-        for graph, rows in listed.items():
-            reply = _reply(model, ANALYZE, "Which items come before which?\n" + json.dumps(rows[:max_items]), budget, degraded, "edges")
-            ends = [(e.get("prereq"), e.get("item"), float(e.get("confidence", 1.0))) for e in (reply or {}).get("edges", []) if isinstance(e, dict)]
-            proposed += [(graph, p, i, c) for p, i, c in ends if p and i]
-    capped = B.cap_items(kept, "graph", DEGRADED_ITEMS if degraded else max_items)
+    own = ("label", "bloom", "knowledge_type", "dok", "assessment_criteria", "tags", "chunk_id", "page", "start", "end")
+    kept = gated.select(F.col("doc_id").cast("string").alias("graph"), F.explode(children).alias("c"), *own)
+    kept = kept.select("graph", "c.id", "c.description", *own[:6], F.struct("chunk_id", "page", "start", "end").alias("provenance"))
+    capped = B.cap_items(kept, "graph", min(max_items, DEGRADED_ITEMS) if degraded else max_items)
     items = materialize(capped.filter("kept").drop("kept"))
     over = capped.filter("not kept").select(F.col("graph").alias("doc_id"), "id", F.lit("dropped").alias("decision"), F.lit("over the item cap").alias("reason"))
     log = gated.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("id").cast("string").alias("id"), "decision", "reason").unionByName(over)
+
+    pairs = items.groupBy(F.col("graph").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("id", "label"))).alias("i"))
+    proposed = ask(ANALYZE, pairs.select("doc_id", T.prompt("Which items come before which? Answer as JSON.", F.col("i")).alias("prompt")), "edges")
     edges = spark.createDataFrame([], "graph string, prereq string, item string")
-    if proposed:
-        proposals = spark.createDataFrame(proposed, "graph string, prereq string, item string, confidence double")
-        edges = G.enforce_dag(G.resolve_edges(items.withColumn("pos", F.col("id")), proposals)).filter("kept").select("graph", "prereq", "item")
-    return Broken(blocks, entities, relations, items, log, edges, degraded)
+    if proposed is not None:
+        edges = G.enforce_dag(G.resolve_edges(items.withColumn("pos", F.col("id")), D.edges(proposed))).filter("kept").select("graph", "prereq", "item")
+    return Broken(blocks, entities, relations, items, competences, log, edges, degraded)
+
+
+def _extract_prompts(blocks: DataFrame) -> DataFrame:
+    rows = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("b"))
+    return rows.select("doc_id", T.prompt("List the entities and relations of these blocks as JSON.", F.col("b")).alias("prompt"))
 
 
 def break_file(spark: SparkSession, path: str, outdir: str, **options) -> dict:
@@ -116,9 +139,10 @@ def graph_document(b: Broken, chapter: str) -> tuple[dict, dict]:
     fringe = sorted(r.id for r in first.collect())
     overflow = not space.filter("part is not null").isEmpty()
     decisions = {r.decision: r["count"] for r in b.log.groupBy("decision").count().collect()}
+    skills = sorted(([r.id, r.label, r.type] for r in b.competences.collect()) if b.competences is not None else [])
     metadata = {"chapter": chapter, "version": "1", "degraded_stages": b.degraded, "overflow": overflow}
-    counts = {"blocks": b.blocks.count(), "entities": b.entities.count(), "relations": b.relations.count(), "items": len(items), "edges": len(edges), "states": len(states), "fringe": len(fringe), "overflow": overflow}
-    return {"metadata": metadata, "items": items, "surmise": edges, "states": states, "fringe_cache": {"": fringe}}, counts | {f"items_{k}": v for k, v in decisions.items()}
+    counts = {"blocks": b.blocks.count(), "entities": b.entities.count(), "relations": b.relations.count(), "items": len(items), "competences": len(skills), "edges": len(edges), "states": len(states), "fringe": len(fringe), "overflow": overflow}
+    return {"metadata": metadata, "items": items, "competences": [dict(zip(("id", "label", "type"), c, strict=True)) for c in skills], "surmise": edges, "states": states, "fringe_cache": {"": fringe}}, counts | {f"items_{k}": v for k, v in decisions.items()}
 
 
 def graph_tables(spark: SparkSession, documents: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
@@ -149,13 +173,32 @@ def merge_documents(spark: SparkSession, documents: dict[str, dict], name: str =
     return document, {"chapters": len(documents), "items": len(out), "edges": len(pairs), "states": len(states), "fringe": len(fringe), "overflow": overflow}
 
 
-def author_story(spark: SparkSession, document: dict) -> dict:
-    """A graph document to a story document: one chain of beats per cluster, a choice check each."""
+def author_story(spark: SparkSession, document: dict, model: TextModel | None = None, budget: int | None = None) -> dict:
+    """A graph document to a story document.
+
+    For each cluster a model, if given, drafts beats and checks, which are grounded in the items and pruned; clusters
+    without a draft get one chain of beats with a choice check each. Past the budget no further cluster is written.
+    """
     lacking = [i["id"] for i in document["items"] if any(not i.get(k) for k in ("label", "description", "assessment_criteria"))]
     if lacking:
         raise ValueError(f"items lack required fields: {', '.join(sorted(lacking)[:5])}")
     items, edges = graph_tables(spark, {"g": document})
-    c = S.chains(items, edges).join(items.select("graph", F.col("id").alias("item"), "description", "assessment_criteria", "chunk_id"), ["graph", "item"])
+    names = [r.cluster for r in S.clusters(items).select("cluster").distinct().orderBy("cluster").collect()]
+    drafted, stopped = [], None
+    for name in names if model is not None else []:
+        own = S.clusters(items).filter(F.col("cluster") == name)
+        ask = json.dumps({"cluster": name, "items": [[r.id, r.label, r.description] for r in own.orderBy("id").collect()]})
+        try:
+            drafted.append((name, model.complete(STORY, ask, budget)["text"]))
+        except BudgetExhausted:
+            stopped = name
+            break
+        except CassetteExhausted:
+            break
+    replies = spark.createDataFrame(drafted, "doc_id string, text string")
+    good = {r.doc_id for r in D.parsed(replies, D.STORY).select("doc_id").collect()}
+    ruled = [n for n in names if n not in good and (stopped is None or n < stopped)]
+    c = S.chains(items, edges).filter(F.col("cluster").isin(ruled)).join(items.select("graph", F.col("id").alias("item"), "description", "assessment_criteria", "chunk_id"), ["graph", "item"])
     rows = c.orderBy("cluster", "rank").collect()
     beats = [
         {"id": r.beat, "title": f"{r.cluster.title()} Quest: {r.label}", "text": r.description, "choices": [{"label": "Continue", "to": r.next}] if r.next else [], "requires": r.requires,
@@ -163,7 +206,17 @@ def author_story(spark: SparkSession, document: dict) -> dict:
         for r in rows
     ]
     checks = [{"id": r.check, "kind": "choice", "prompt": r.assessment_criteria, "payload": {"options": r.options, "answer": r.label}, "item_id": r.item, "max_score": 1} for r in rows]
-    return {"beats": beats, "checks": checks, "metadata": {"source": document["metadata"].get("chapter", "v1"), "clusters": str(len({r.cluster for r in rows}))}}
+    pruned: dict[str, int] = {}
+    if good:
+        own, made, lost = D.story(replies, items)
+        known = {i["id"] for i in document["items"]}
+        for r in own.orderBy("cluster", "pos").collect():
+            choices = [{"label": x.label or "Continue", "to": x.to} for x in r.choices]
+            beats.append({"id": r.id, "title": r.title, "text": r.text, "choices": choices, "requires": [i for i in r.requires if i in known], "teaches": r.teaches, "checks": r.checks, "difficulty": r.difficulty, "provenance": {"item_id": r.anchor, "chunk_id": r.chunk_id}})
+        checks += [{"id": r.id, "kind": r.kind, "prompt": r.prompt or "", "payload": json.loads(r.payload or "{}"), "item_id": r.item_id, "max_score": r.max_score} for r in made.orderBy("cluster", "id").collect()]
+        pruned = {r.what: r.n for r in lost.collect()}
+    metadata = {"source": document["metadata"].get("chapter", "v1"), "clusters": len(names), "drafted": len(good), "ruled": len(ruled), "stopped_on_budget": stopped is not None, "pruned": sum(pruned.values())}
+    return {"beats": beats, "checks": checks, "metadata": {k: str(v) for k, v in metadata.items()}}
 
 
 def story_issues(spark: SparkSession, story: dict) -> list[tuple[str, str]]:
@@ -250,9 +303,3 @@ def coverage(broken: Broken) -> DataFrame:
         n = table.groupBy(F.col(key).cast("string").alias("doc")).agg(F.count("*").alias(name))
         out = n if out is None else out.join(n, "doc", "left")
     return out.rollup("doc").agg(*(F.sum(name).alias(name) for _, _, name in parts))
-
-
-def prompts(broken: Broken) -> DataFrame:
-    """(doc_id, role, prompt): what a text model would be asked for each document."""
-    blocks = broken.blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))).alias("b"))
-    return blocks.select("doc_id", F.lit(EXTRACT).alias("role"), T.prompt("List the entities and relations of these blocks as JSON.", F.col("b")).alias("prompt"))

@@ -13,7 +13,8 @@ from loomspan.sources import readers, writers
 from loomspan.streaming.replay import replay_available
 
 CHAPTER = "# Averages\n\nThe Mean is the sum over the count. The Median is the middle.\n\nStandard Deviation describes the Spread.\n"
-TAPE = {"ANALYZE": [{"text": '{"edges": [{"prereq": "mean", "item": "Median"}, {"prereq": "median", "item": "spread", "confidence": 0.5}]}', "tokens": 30}]}
+NO_JSON = {"text": "no JSON", "tokens": 1}
+TAPE = {"EXTRACT": [NO_JSON], "ANALYZE": [NO_JSON, {"text": '{"edges": [{"prereq": "mean", "item": "Median"}, {"prereq": "median", "item": "spread", "confidence": 0.5}]}', "tokens": 30}]}
 
 
 def test_text_to_graph(spark, tmp_path):
@@ -149,3 +150,48 @@ def test_snapshot_operators(spark):
     assert {(r.path, r.component) for r in A.cycles(ring).collect()} == {("a", "a"), ("b", "a")}
     r = spark.createDataFrame([("g", float(x)) for x in (10, 40, 50, 100, 200)], "g string, r double")
     assert {(x.r, round(x.scale, 3)) for x in A.radius_clamp(r, "g", "r").collect()} == {(10, 1), (40, 1), (50, 1), (100, 1), (200, 0.5)}
+
+
+def test_model_replies_become_tables(spark):
+    from loomspan.operators import drafts as D
+
+    blocks = spark.createDataFrame([("d", "c001", 0, 0, 5), ("d", "c002", 0, 7, 9)], "doc_id string, chunk_id string, page int, start long, end long")
+    reply = {"entities": [{"label": " Mean ", "type": "Term", "chunk_ids": ["c002", "zz", "c002"]}, {"label": ""}, {"label": "mean"}, {"label": "Mode"}], "relations": [{"src": "MEAN", "rel": "r", "dst": "mode", "chunk_ids": ["zz"]}, {"src": "mean", "rel": "r", "dst": "Mode"}, {"src": "mean", "dst": "mean"}]}
+    replies = spark.createDataFrame([("d", json.dumps(reply)), ("e", "[1]"), ("f", "no")], "doc_id string, text string")
+    assert sorted((r.id, r.label, r.type, r.chunk_ids) for r in D.entities(replies, blocks).collect()) == [("mean", "Mean", "term", ["c002"]), ("mean-2", "mean", "concept", ["c001"]), ("mode", "Mode", "concept", ["c001"])]
+    assert [(r.src, r.rel, r.dst, r.chunk_ids) for r in D.relations(replies, blocks).collect()] == [("mean", "r", "mode", ["c001"])]
+    made = {"items": [{"label": "Mean", "bloom": "APPLY", "dok": 7, "provenance": {"chunk_id": "c002"}, "atomicity": {"atomic": False}}, {"id": "x y", "label": "Mean"}], "competences": [{"label": "Sum up"}, {"label": "sum-up", "type": "b"}]}
+    replies = spark.createDataFrame([("d", "```json\n" + json.dumps(made) + "\n```")], "doc_id string, text string")
+    assert sorted((r.id, r.bloom, r.dok, r.chunk_id, r.atomic) for r in D.items(replies, blocks).collect()) == [("mean", "apply", 1, "c002", False), ("x-y", "understand", 1, "c001", True)]
+    assert [tuple(r) for r in D.competences(replies).collect()] == [("d", "sum-up", "Sum up", "cognitive")]
+
+
+def test_drafted_story(spark):
+    document, _ = P.merge_documents(spark, chapters())
+    draft = {
+        "beats": [
+            {"id": "b1", "title": "One", "teaches": ["a:alpha", "zz"], "choices": [{"label": "on", "to": "b2"}, {"label": "off", "to": "nowhere"}], "checks": ["k1", "k9"]},
+            {"id": "b1", "teaches": ["a:alpha"]}, {"id": "b0", "teaches": ["zz"]}, {"id": "b2", "provenance": {"item_id": "b:gamma"}},
+        ],
+        "checks": [{"id": "k1", "item_id": "a:alpha", "payload": {"answer": "Alpha"}}, {"id": "k2", "item_id": "zz"}, {"id": "k3", "kind": "essay", "item_id": "a:alpha"}],
+    }
+    tape = C.Cassette({"STORY": [{"text": json.dumps(draft), "tokens": 5}, {"text": "no JSON", "tokens": 5}]})
+    made = P.author_story(spark, document, tape)
+    by_id = {b["id"]: b for b in made["beats"]}
+    assert set(by_id) == {"b1", "b2", "a:s1-beat", "b:s2-beat"}
+    assert by_id["b1"]["choices"] == [{"label": "on", "to": "b2"}] and by_id["b1"]["checks"] == ["k1"] and by_id["b1"]["teaches"] == ["a:alpha"]
+    assert made["metadata"]["pruned"] == "6" and made["metadata"]["drafted"] == "1" and P.story_issues(spark, made) == []
+    stopped = P.author_story(spark, document, C.Cassette({"STORY": [{"text": json.dumps(draft), "tokens": 5}]}), budget=5)
+    assert stopped["metadata"]["stopped_on_budget"] == "True" and {b["id"] for b in stopped["beats"]} == {"b1", "b2"}
+
+
+def test_model_items_and_edges(spark, tmp_path):
+    path = tmp_path / "one.md"
+    path.write_text(CHAPTER)
+    items = [{"label": "Mean", "description": "Define the Mean of a sample.", "tags": ["t"]}, {"label": "Median", "description": "Explain the Median of a sample."}, {"label": "Mode", "description": "Nothing at all."}]
+    tape = {"EXTRACT": [{"text": json.dumps({"entities": [{"label": "Mean"}, {"label": "Median"}], "relations": []}), "tokens": 3}], "ANALYZE": [{"text": json.dumps({"items": items, "competences": [{"label": "Sum up"}]}), "tokens": 4}, {"text": '{"edges": [{"prereq": "Mean", "item": "median"}, {"prereq": "median", "item": "mean", "confidence": 0.1}]}', "tokens": 2}]}
+    model = C.Cassette(tape)
+    counts = P.break_file(spark, str(path), str(tmp_path / "out"), model=model)
+    assert (counts["entities"], counts["items"], counts["items_dropped"], counts["competences"], counts["edges"], counts["states"], model.total_tokens) == (2, 2, 1, 1, 1, 3, 9)
+    low = P.break_file(spark, str(path), str(tmp_path / "low"), model=C.Cassette(tape), budget=5)
+    assert low["entities"] == 2 and low["edges"] == 0 and low["items"] == 2  # items and edges were refused, rules stand in
