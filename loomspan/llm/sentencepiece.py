@@ -14,17 +14,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.plans.storage import release_memory, small_batches
+
 # Fixed values of the format: the space mark, and the kinds of pieces.
 SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 #: Characters of text that are taken together, of new words that are indexed together, and words that a worker remembers.
-TEXT_CHARS, BATCH_CHARS, CACHED_WORDS = 6_000_000, 500_000, 500_000
-#: Key words of a suffix: each holds three 21-bit code points.
-PER_KEY = 3
+TEXT_CHARS, BATCH_CHARS, CACHED_WORDS = 2_000_000, 250_000, 250_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -61,8 +60,8 @@ class Model:
     scores: list[float]
     dummy_prefix: bool = True
     # derived
-    merge: np.ndarray = field(init=False)  # ids of pieces that a merge may form, in the order of their text
-    keys: np.ndarray = field(init=False)
+    merge: np.ndarray = field(init=False)  # ids of pieces that a merge may form
+    codes: np.ndarray = field(init=False)  # their code points, padded with zeros
     lengths: np.ndarray = field(init=False)
     rank: np.ndarray = field(init=False)  # of each id: its place by falling score
     byte_ids: list[int] = field(init=False)
@@ -74,8 +73,9 @@ class Model:
             raise ValueError("a piece spans words")  # words could then not be encoded apart
         self.merge = np.array(usable, np.int32)
         self.lengths = np.array([len(self.pieces[i]) for i in usable])
-        width = -(-max(map(len, self.pieces)) // PER_KEY)
-        self.keys = np.stack([_keys(np.array([*map(ord, self.pieces[i])], np.uint64), width)[0] for i in usable])
+        self.codes = np.zeros((len(usable), int(self.lengths.max())), np.uint32)
+        for row, i in enumerate(usable):
+            self.codes[row, : self.lengths[row]] = [*map(ord, self.pieces[i])]
         _, self.rank = np.unique(-np.array(self.scores), return_inverse=True)
         unknown = self.kinds.index(UNKNOWN)
         at = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
@@ -104,15 +104,28 @@ class Model:
         return cls(pieces, kinds, scores, prefix)
 
 
-def _keys(codes: np.ndarray, width: int) -> np.ndarray:
-    """Of each position the next characters as width sortable words; past the end counts as zero."""
-    padded = np.concatenate([codes + np.uint64(1), np.zeros(PER_KEY * width, np.uint64)])
-    packed = (padded[:-2] << np.uint64(42)) | (padded[1:-1] << np.uint64(21)) | padded[2:]
-    return np.stack([packed[PER_KEY * w : PER_KEY * w + len(codes)] for w in range(width)], axis=1)
+def _pack(symbols: np.ndarray, bits: int, beyond: int = 0) -> np.ndarray:
+    """Rows of symbols (rows, characters) as sortable 64-bit words, the first character highest, beyond past the end."""
+    per = 64 // bits
+    symbols = np.pad(symbols, ((0, 0), (0, -symbols.shape[1] % per)), constant_values=beyond).astype(np.uint64)
+    shifts = (np.arange(per - 1, -1, -1) * bits).astype(np.uint64)
+    return np.bitwise_or.reduce(symbols.reshape(len(symbols), -1, per) << shifts, axis=2)
+
+
+def _suffix_keys(symbols: np.ndarray, longest: int, bits: int) -> np.ndarray:
+    """Of each position the next longest characters, packed; past the end counts as zero."""
+    per = 64 // bits
+    width = -(-longest // per)
+    padded = np.concatenate([symbols.astype(np.uint64), np.zeros(per * width, np.uint64)])
+    n = len(symbols)
+    word = padded[: n + per * (width - 1)].copy()
+    for c in range(1, per):
+        word = (word << np.uint64(bits)) | padded[c : c + len(word)]
+    return np.stack([word[per * w : per * w + n] for w in range(width)], axis=1)
 
 
-def _search(suffixes: np.ndarray, keys: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For each key the number of sorted suffixes below it, by one binary search over all keys at once."""
+def _search(suffixes: np.ndarray, keys: np.ndarray, low: np.ndarray, through: bool = False) -> np.ndarray:
+    """For each key the number of sorted suffixes below it (through: up to it), by one binary search over all keys."""
     lo, hi = low.copy(), np.full(len(keys), len(suffixes))
     while (open_ := lo < hi).any():
         mid = (lo + hi) >> 1
@@ -121,80 +134,83 @@ def _search(suffixes: np.ndarray, keys: np.ndarray, low: np.ndarray) -> np.ndarr
         for w in range(keys.shape[1]):
             less |= tied & (probe[:, w] < keys[:, w])
             tied &= probe[:, w] == keys[:, w]
+        if through:
+            less |= tied
         lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
     return lo
 
 
-def match_pieces(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def match_pieces(model: Model, codes: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All occurrences of pieces in the indexed text as edges (start, length, piece), sorted by position.
 
+    Characters become ranks in the text's own alphabet (separators zero), so a word of the key holds many of them.
     The suffix array sorts positions by as many characters as the longest piece has; each piece's occurrences are
-    the range between two binary searches.
+    the range between two binary searches. Pieces with characters that the text lacks occur nowhere.
     """
-    width = model.keys.shape[1]
-    keys = _keys(codes, width)
-    order = np.lexsort(tuple(keys[:, w] for w in range(width - 1, -1, -1)))
+    alphabet = np.unique(np.delete(codes, separators))
+    bits = 8 if len(alphabet) < 255 else 16 if len(alphabet) < 65535 else 21
+    symbols = np.searchsorted(alphabet, codes).astype(np.uint32) + np.uint32(1)
+    symbols[separators] = 0
+    at = np.minimum(np.searchsorted(alphabet, model.codes), max(0, len(alphabet) - 1))
+    spelled = np.arange(model.codes.shape[1])[None, :] < model.lengths[:, None]
+    present = ((alphabet[at] == model.codes) | ~spelled).all(axis=1) if len(alphabet) else np.zeros(len(at), bool)
+    ids, lengths, spelled = model.merge[present], model.lengths[present], spelled[present]
+    low = np.where(spelled, at[present] + 1, 0)
+    top = (1 << bits) - 1
+    high = np.where(spelled, low, top)  # no suffix that begins with the piece is above
+
+    keys = _suffix_keys(symbols, model.codes.shape[1], bits)
+    order = np.lexsort(tuple(keys[:, w] for w in range(keys.shape[1] - 1, -1, -1)))
     suffixes = keys[order]
-    first = _search(suffixes, model.keys, np.zeros(len(model.keys), np.int64))
-    # the range ends before the first suffix above the piece followed by the highest character
-    ends = model.keys.copy()
-    for w in range(width):
-        for c in range(PER_KEY):
-            past = model.lengths <= w * PER_KEY + c
-            ends[past, w] |= np.uint64(0x1FFFFF) << np.uint64(21 * (PER_KEY - 1 - c))
-    count = np.maximum(0, _search(suffixes, ends, first) - first)
+    first = _search(suffixes, _pack(low, bits), np.zeros(len(low), np.int64))
+    count = _search(suffixes, _pack(high, bits, top), first, through=True) - first
     piece = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-    start = order[place]
-    by_position = np.lexsort((model.lengths[piece], start))
-    piece = piece[by_position]
-    return start[by_position], model.lengths[piece], model.merge[piece]
+    start = order[np.arange(len(piece)) + np.repeat(first - (np.cumsum(count) - count), count)]
+    edges = np.sort((start << 32) | (lengths[piece] << 24) | piece)  # by position, then length
+    piece = edges & 0xFFFFFF
+    return edges >> 32, lengths[piece], ids[piece]
 
 
-def encode_words(model: Model, words: list[str]) -> list[np.ndarray]:
-    """Piece ids of each word (a run of space marks and what follows).
+def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all words (runs of space marks and what follows), and where each word's ids end.
 
     The words are one indexed text, a separator after each. Edges are relaxed in rounds: in every word at once, the
     edge of the best score that covers two adjoining symbols, leftmost among equals, replaces them, until none is
     left; this is the order in which byte-pair merges apply. Symbols without a piece fall back to bytes.
     """
-    text = "\x00".join(words) + "\x00" if words else ""
-    if not text:
-        return []
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    size = np.array([len(w) for w in words])
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    codes = np.frombuffer("\x00".join([*words, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([*map(len, words)])
     begin = np.cumsum(size + 1) - (size + 1)
     separators = begin + size
-    marked = codes.copy()
-    marked[separators] = 0x1FFFFE - 1  # beyond Unicode: no piece holds it
-    start, length, piece = match_pieces(model, marked)
     longest = int(model.lengths.max())
-    table = np.full((len(codes), longest + 1), -1, np.int32)
+    start, length, piece = match_pieces(model, codes, separators)
+    table = np.full((len(codes), longest + 2), -1, np.int32)
     table[start, length] = piece
 
-    symbol = np.delete(np.arange(len(codes)), separators)  # where each symbol starts
-    span = np.ones(len(symbol), np.int64)
-    word = np.repeat(np.arange(len(words)), size)
+    symbol = np.delete(np.arange(len(codes), dtype=np.int32), separators)  # where each symbol starts
+    span = np.ones(len(symbol), np.int32)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), size)
     done_start, done_span = [], []
-    rank = model.rank
-    none = np.iinfo(np.int64).max
+    none = np.int32(np.iinfo(np.int32).max)
+    rank = np.append(model.rank, none).astype(np.int32)  # what is no piece ranks last
     while len(symbol):
         joined = np.minimum(span[:-1] + span[1:], longest + 1)
-        formed = np.where((word[:-1] == word[1:]) & (joined <= longest), table[symbol[:-1], np.minimum(joined, longest)], -1)
-        cost = np.append(np.where(formed >= 0, rank[formed], none), none)
+        joined[word[:-1] != word[1:]] = longest + 1
+        cost = np.append(rank[table[symbol[:-1], joined]], none)
         heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        counts = np.diff(np.append(heads, len(word)))
         best = np.minimum.reduceat(cost, heads)
         active = best < none
         if not active.all():  # finished words leave the rounds
-            counts = np.diff(np.append(heads, len(word)))
             stays = np.repeat(active, counts)
             done_start.append(symbol[~stays])
             done_span.append(span[~stays])
-            symbol, span, word, cost = symbol[stays], span[stays], word[stays], cost[stays]
+            symbol, span, word, cost, best, counts = symbol[stays], span[stays], word[stays], cost[stays], best[active], counts[active]
             if not len(symbol):
                 break
-            heads, best = np.flatnonzero(np.append(True, word[1:] != word[:-1])), best[active]
-        hit = np.flatnonzero(cost == np.repeat(best, np.diff(np.append(heads, len(word)))))
+        hit = np.flatnonzero(cost == np.repeat(best, counts))
         hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]  # the leftmost of each word
         span[hit] += span[hit + 1]
         keep = np.ones(len(symbol), bool)
@@ -204,16 +220,14 @@ def encode_words(model: Model, words: list[str]) -> list[np.ndarray]:
     order = np.argsort(starts)
     starts, spans = starts[order], spans[order]
     ids = table[starts, spans]
-    cuts = np.searchsorted(starts, begin)[1:]
-    out = []
-    for a, (part, at) in enumerate(zip(np.split(ids, cuts), np.split(starts, cuts), strict=True)):
-        if (part < 0).any():
-            full: list[int] = []
-            for i, p in zip(part.tolist(), at.tolist(), strict=True):
-                full += [i] if i >= 0 else [model.byte_ids[b] for b in words[a][p - int(begin[a])].encode("utf-8", "replace")]
-            part = np.array(full, np.int32)
-        out.append(part)
-    return out
+    missing = np.flatnonzero(ids < 0)
+    if len(missing):  # symbols without a piece become bytes
+        raw = [chr(c).encode("utf-8", "replace") for c in codes[starts[missing]].tolist()]
+        width = np.ones(len(ids), np.int64)
+        width[missing] = [*map(len, raw)]
+        starts, ids = np.repeat(starts, width), np.repeat(ids, width)
+        ids[ids < 0] = [model.byte_ids[b] for r in raw for b in r]
+    return ids, np.searchsorted(starts, separators)
 
 
 class Codec:
@@ -229,8 +243,9 @@ class Codec:
             while b < len(words) and (chars < BATCH_CHARS or b == a):
                 chars += len(words[b]) + 1
                 b += 1
-            for w, ids in zip(words[a:b], encode_words(self.model, words[a:b]), strict=True):
-                self.known[w] = ids.astype(np.int32).tobytes()
+            ids, ends = encode_words(self.model, words[a:b])
+            raw, cuts = ids.astype(np.int32).tobytes(), (ends * 4).tolist()
+            self.known.update(zip(words[a:b], map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
             a = b
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -248,18 +263,6 @@ class Codec:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about TEXT_CHARS bytes of text each; a longer text is a range of its own."""
-    begin, held = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-        if held and held + n > TEXT_CHARS:
-            yield begin, i
-            begin, held = i, 0
-        held += n
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def load_model(spark: SparkSession, path: str) -> Model:
     """Read the model file through Spark, so it may lie in any store that Spark reads."""
     if "://" not in path:
@@ -278,6 +281,7 @@ def encode_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", t
     keep their own rows. Long texts are encoded whole. An empty table gives an empty table. Other columns are ignored,
     whatever their names.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("ids_sha256", pa.string()), ("round_trip", pa.bool_())]
     names += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
@@ -290,15 +294,27 @@ def encode_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", t
         codec = held[0]
         is_byte = np.zeros(len(codec.model.pieces), bool)
         is_byte[codec.model.byte_ids] = True
+        def flush(names: list, texts: list[str]) -> pa.RecordBatch:
+            ids = codec.encode(texts)
+            decoded = [codec.decode(i) for i in ids]
+            same = [d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]
+            columns = [names, [len(i) for i in ids], [int(is_byte[i].sum()) for i in ids], [hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], same]
+            columns += [ids] * with_ids + [decoded] * with_text
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        names, texts, chars = [], [], 0
         for batch in batches:
-            for a, b in _chunks(batch.column(1)):
-                part = batch.slice(a, b - a)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = codec.encode(texts)
-                decoded = [codec.decode(i) for i in ids]
-                columns = [part.column(0), [len(i) for i in ids], [int(is_byte[i].sum()) for i in ids], [hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], [d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]]
-                columns += [ids] * with_ids + [decoded] * with_text
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                names.append(name)
+                texts.append(text or "")
+                chars += len(texts[-1])
+                if chars >= TEXT_CHARS:
+                    yield flush(names, texts)
+                    names, texts, chars = [], [], 0
+        if names:
+            yield flush(names, texts)
+        held.clear()
+        release_memory()
 
     kinds = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>"}
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{f.name} {kinds[f.type]}" for f in schema))
