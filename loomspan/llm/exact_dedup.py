@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import broadcast_if_small, materialize, small_batches
+from loomspan.plans.storage import broadcast_if_small, materialize, release_memory, small_batches
 
 #: Documents that one message's sender holds in memory at a time.
 CHUNK = 50_000
@@ -80,6 +80,7 @@ def _send(owners: int):
                 held, sender, n = {}, sender + 1, 0
         if held:
             yield flush(sender, held)
+        release_memory()
 
     return send
 

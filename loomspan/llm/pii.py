@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.plans.storage import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -376,6 +378,7 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows keep their own rows. Texts of any length are read whole, texts_at_once at a time. An empty table gives an
     empty table. Other columns are ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
 
     @F.pandas_udf(f"base {SPANS}, added {SPANS}")

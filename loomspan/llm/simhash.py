@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.components import connected_components
-from loomspan.plans.storage import materialize
+from loomspan.plans.storage import materialize, release_memory, small_batches
 
 SEED = 42
 BITS, SEGMENTS = 64, 2
@@ -47,6 +47,7 @@ def _fingerprints(words_per_shingle: int):
             prints = [fingerprint(t or b"", words_per_shingle) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
             signed = np.array(prints, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(signed, pa.int64())], names=["row_id", "doc_id", "fp"])
+        release_memory()
 
     return run
 
@@ -107,6 +108,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that of component_id, the first such row where rows repeat. An empty table gives an empty table. Other columns are
     ignored, whatever their names. row_col names a unique row number of the caller's.
     """
+    small_batches(docs.sparkSession)
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = materialize(rows.mapInArrow(_fingerprints(words_per_shingle), "row_id long, doc_id long, fp long"))
