@@ -10,10 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.plans.storage import small_batches
+
 DIMS = 2048
 #: Documents that the scorer is fitted on, in the order of a hash of their ids; every document is voted on and scored.
 MAX_SAMPLE = 4000
-KEEP_FROM = 0.5
+KEEP_FROM = 0.2
+#: The share of good documents that the label model assumes; left free, it and the accuracies of labellers that only
+#: ever vote against a text are not determined by the votes.
+GOOD_SHARE = 0.7
 CACHED_WORDS = 300_000
 GOOD, BAD, ABSTAIN = "g", "b", "-"
 LABELLERS = ("symbols", "capitals", "stutter", "cells", "sentences", "lines", "variety")
@@ -59,20 +64,20 @@ def votes(text: str) -> str:
 def estimate(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     """Expectation-maximisation: P(good | votes) for each pattern of votes.
 
-    Each labeller is right with a chance of its own when it votes, and silence tells nothing; these accuracies and the
-    share of good documents are estimated from all documents' votes, starting from the majority. The patterns are
+    Each labeller is right with a chance of its own when it votes, and silence tells nothing; these accuracies are
+    estimated from all documents' votes, starting from the majority, at an assumed share of good documents. The patterns are
     at most 3^7, however many documents there are.
     """
     names, counts = list(patterns), np.array(list(patterns.values()), float)
     if not names:
         return {}
     said = np.array([[(c == GOOD) - (c == BAD) for c in p] for p in names], float)  # patterns, labellers: 1, -1 or 0
-    good = 1 / (1 + np.exp(-said.sum(axis=1)))
+    base = np.log(GOOD_SHARE / (1 - GOOD_SHARE))
+    good = 1 / (1 + np.exp(-base - said.sum(axis=1)))
     for _ in range(rounds):
-        prior = ((good * counts).sum() + 1) / (counts.sum() + 2)
         right = (counts[:, None] * (good[:, None] * (said > 0) + (1 - good)[:, None] * (said < 0))).sum(axis=0)
         accuracy = np.clip((right + 8) / ((counts[:, None] * (said != 0)).sum(axis=0) + 10), 0.55, 0.995)
-        odds = np.log(prior / (1 - prior)) + said @ np.log(accuracy / (1 - accuracy))
+        odds = base + said @ np.log(accuracy / (1 - accuracy))
         new = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
         if np.abs(new - good).max() < 1e-9:
             break
@@ -143,6 +148,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     ignored, whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     @F.pandas_udf("string")
@@ -152,9 +158,11 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     patterns = {r.votes: r["count"] for r in texts.select(vote("text").alias("votes")).groupBy("votes").count().collect()}  # at most 3^7 rows
     posterior = estimate(patterns)
 
-    place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
-    keys = [r.place for r in texts.select(place.alias("place")).orderBy("place").limit(MAX_SAMPLE).collect()]
-    sample = texts.withColumn("place", place).join(F.broadcast(spark.createDataFrame([(k,) for k in sorted(set(keys))], "place string")), "place")
+    # the share of hashed ids that fills the sample: what reaches the driver does not grow with the corpus
+    share = min(1.0, 1.2 * MAX_SAMPLE / max(1, sum(patterns.values())))
+    name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
+    place = F.conv(F.substring(name, 1, 12), 16, 10).cast("long")
+    sample = texts.withColumn("place", place).filter(F.col("place") < int(share * (1 << 48))).limit(3 * MAX_SAMPLE)
 
     def vectors(frames):
         for frame in frames:
@@ -162,8 +170,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             at = [np.flatnonzero(r) for r in rows]
             yield pd.DataFrame({"place": frame["place"], "votes": [votes(t) for t in frame["text"]], "at": at, "value": [r[a] for r, a in zip(rows, at, strict=True)]})
 
-    rows = sample.mapInPandas(vectors, "place string, votes string, at array<int>, value array<float>").collect()
-    rows = sorted(rows, key=lambda r: r.place)[:MAX_SAMPLE]
+    rows = sample.mapInPandas(vectors, "place long, votes string, at array<int>, value array<float>").collect()
+    rows = sorted(rows, key=lambda r: (r.place, r.votes))[:MAX_SAMPLE]
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, r in enumerate(rows):
         x[i, r.at] = r.value
