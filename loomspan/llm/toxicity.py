@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -15,16 +16,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.plans.storage import small_batches
+
 #: Subsequences of three characters within a window of SPAN, each skipped character costing a factor of DECAY.
 LENGTH, SPAN, DECAY = 3, 6, 0.5
 DIMS = 1 << 16
 LONGEST = 24
-LANDMARKS = 96
+LANDMARKS = 144
 #: The labelled sample that training may see: so many documents of each class, in the order of a hash of their ids.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
-HARD_NEGATIVES = 4000
+MAX_TOXIC, MAX_CLEAN = 1000, 2000
+COMMON_NEGATIVES, OTHER_NEGATIVES, HARD_NEGATIVES = 2000, 6000, 4000
 THRESHOLD = 0.7
-CACHED_TOKENS = 200_000
+CACHED_TOKENS = 100_000
+#: Tokens whose subsequences are laid out at a time.
+BLOCK = 4_000
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\n")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -66,16 +71,18 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subsequences(tokens: list[str]):
-    """Per length of token: (indices into tokens, hashed subsequences (tokens, places), weights of unit norm)."""
+    """Blocks of tokens of one length: (indices into tokens, hashed subsequences (tokens, places), weights of unit norm)."""
     by_length: dict[int, list[int]] = {}
     for i, t in enumerate(tokens):
         by_length.setdefault(min(len(t), LONGEST), []).append(i)
     for n, at in by_length.items():
         # longer words are cut into overlapping pieces by the caller, never truncated
-        codes = np.array([[94, *map(ord, tokens[i][:n])] for i in at], np.int64)
         (i, j, k), weight = _places(n + 1)
-        hashed = ((codes[:, i] * 31 + codes[:, j]) * 1009 + codes[:, k]) * 2654435761 % (1 << 32) >> 16
-        yield np.array(at), hashed % DIMS, weight / np.sqrt((weight**2).sum())
+        for a in range(0, len(at), BLOCK):
+            part = at[a : a + BLOCK]
+            codes = np.array([[94, *map(ord, tokens[x][:n])] for x in part], np.int64)
+            hashed = ((codes[:, i] * 31 + codes[:, j]) * 1009 + codes[:, k]) * 2654435761 % (1 << 32) >> 16
+            yield np.array(part), hashed % DIMS, weight / np.sqrt((weight**2).sum())
 
 
 def pieces(token: str) -> list[str]:
@@ -105,8 +112,7 @@ class Model:
         cut = [p for t in tokens for p in pieces(t)]
         scores = np.empty(len(cut))
         for at, hashed, weight in subsequences(cut):
-            for a in range(0, len(at), 20_000):
-                scores[at[a : a + 20_000]] = self.direction[hashed[a : a + 20_000]] @ weight
+            scores[at] = self.direction[hashed] @ weight
         if len(cut) > len(tokens):
             starts = np.cumsum([0, *(len(pieces(t)) for t in tokens)])[:-1]
             scores = np.maximum.reduceat(scores, starts)
@@ -126,20 +132,29 @@ def document_features(margins: np.ndarray) -> np.ndarray:
     return np.array([1.0, math.log1p(len(margins)), best, *(math.log1p(float((margins >= x).sum())) for x in LEVELS)])
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> np.ndarray:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the active set."""
+def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the active set with a line search."""
+
+    def loss(w: np.ndarray) -> float:
+        return float(ridge * w @ w + (cost * np.maximum(0, 1 - y * (z @ w)) ** 2).sum())
+
     w = np.zeros(z.shape[1])
+    now = loss(w)
     for _ in range(rounds):
         active = y * (z @ w) < 1
         za, ca = z[active], cost[active]
-        step = np.linalg.solve((za * ca[:, None]).T @ za + ridge * np.eye(len(w)), (za * ca[:, None]).T @ y[active])
-        if np.abs(step - w).max() < 1e-6:
+        step = np.linalg.solve((za * ca[:, None]).T @ za + ridge * np.eye(len(w)), (za * ca[:, None]).T @ y[active]) - w
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) >= now:
+            size /= 2
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-6 * before:
             break
-        w = step
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -148,53 +163,47 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 3
     return w
 
 
-def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 7) -> Model:
-    """Fit on the token sets of labelled documents.
-
-    Sentences inherit their document's label; the witnesses among a toxic document's tokens are those far more
-    common in toxic documents, then, after a first fit, those that the machine itself finds on the toxic side.
-    """
-    rng = np.random.default_rng(seed)
-
-    def spread(documents: list[set[str]]) -> list[set[str]]:
-        """One of each group of near copies, which would make a shared text look like a shared word."""
-        seen, kept = set(), []
-        for d in documents:
-            mark = min((zlib.crc32(t.encode()) for t in d if len(t) >= 8), default=len(kept))
-            if mark not in seen:
-                seen.add(mark)
-                kept.append(d)
-        return kept
-
-    a, b = spread(toxic), spread(clean)
+def _spread(documents: list[set[str]]) -> list[set[str]]:
+    """One of each group of near copies, which would make a shared text look like a shared word."""
+    seen, kept = set(), []
+    for d in documents:
+        mark = min((zlib.crc32(t.encode()) for t in d if len(t) >= 8), default=len(kept))
+        if mark not in seen:
+            seen.add(mark)
+            kept.append(d)
+    return kept
+
+
+def _fit_machine(positives: list[str], negatives: list[str], merit: dict[str, float], rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """The support vector machine over landmarks, two thirds of them the positives of most merit."""
+    best = sorted(positives, key=lambda t: (-merit.get(t, 0.0), t))[: LANDMARKS * 2 // 3]
+    landmarks = best + [negatives[i] for i in rng.choice(len(negatives), min(len(negatives), LANDMARKS - len(best)), replace=False)]
+    basis = kernel_features([pieces(t)[0] for t in landmarks])
+    values, vectors = np.linalg.eigh(basis @ basis.T + 1e-6 * np.eye(len(landmarks)))
+    root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    examples = [pieces(t)[0] for t in positives + negatives]
+    z = np.empty((len(examples), len(landmarks)))
+    for at, hashed, weight in subsequences(examples):
+        z[at] = np.stack([(landmark[hashed] @ weight) for landmark in basis], axis=1)
+    z = np.hstack([z @ root, np.ones((len(examples), 1))])
+    y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
+    w = _machine(z, y, np.where(y > 0, len(negatives) / max(1, len(positives)) / 4, 1.0))
+    return (basis.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
+
+
+def _train_words(a: list[set[str]], b: list[set[str]], rng: np.random.Generator) -> Model | None:
+    """The word machine on toxic and clean documents' token sets; None if no word tells them apart."""
     in_toxic, in_clean = Counter(t for d in a for t in d), Counter(t for d in b for t in d)
-    if not a or not b:
-        return Model(np.zeros(DIMS, np.float32), -1.0, np.array([-4.0, *[0.0] * (2 + len(LEVELS))]))
     odds = {t: math.log((n + 0.5) / (len(a) + 1)) - math.log((in_clean[t] + 0.5) / (len(b) + 1)) for t, n in in_toxic.items()}
+    merit = {t: odds[t] * math.log1p(n) for t, n in in_toxic.items()}
     least = 3 if len(a) >= 30 else 2
     witnesses = sorted(t for t, n in in_toxic.items() if n >= least and odds[t] > 2.0 + 3.0 / n)
-    ordinary = sorted(in_clean, key=lambda t: zlib.crc32(t.encode()))[:6000]
-    common = [t for t, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
-    negatives = sorted((set(ordinary) | set(common)) - set(witnesses))
-    if not witnesses:
-        return Model(np.zeros(DIMS, np.float32), -1.0, np.array([-4.0, *[0.0] * (2 + len(LEVELS))]))
-
-    def fit(positives: list[str], negatives: list[str]) -> tuple[np.ndarray, float]:
-        best = sorted(positives, key=lambda t: (-odds.get(t, 0) * math.log1p(in_toxic[t]), t))[: LANDMARKS * 2 // 3]
-        landmarks = best + [negatives[i] for i in rng.choice(len(negatives), min(len(negatives), LANDMARKS - len(best)), replace=False)]
-        basis = kernel_features([pieces(t)[0] for t in landmarks])
-        values, vectors = np.linalg.eigh(basis @ basis.T + 1e-6 * np.eye(len(landmarks)))
-        root = (vectors / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-        examples = [pieces(t)[0] for t in positives + negatives]
-        z = np.empty((len(examples), len(landmarks)))
-        for at, hashed, weight in subsequences(examples):
-            z[at] = np.stack([(landmark[hashed] @ weight) for landmark in basis], axis=1)
-        z = np.hstack([z @ root, np.ones((len(examples), 1))])
-        y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        w = _machine(z, y, np.where(y > 0, len(negatives) / max(1, len(positives)) / 4, 1.0))
-        return (basis.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
-
-    model = Model(*fit(witnesses, negatives), np.zeros(3 + len(LEVELS)))
+    by_hash = sorted(in_clean, key=lambda t: zlib.crc32(t.encode()))
+    common = [t for t, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:COMMON_NEGATIVES]]
+    negatives = sorted({*by_hash[:OTHER_NEGATIVES], *common} - set(witnesses))
+    if not witnesses or not negatives:
+        return None
+    model = Model(*_fit_machine(witnesses, negatives, merit, rng), np.zeros(3 + len(LEVELS)))
     rarer = sorted(t for t, n in in_toxic.items() if in_clean[t] == 0 and odds[t] > 1.5)
     found = [t for t, m in zip(rarer, model.token_scores(rarer), strict=True) if m > 0.5] if rarer else []
     kept = [t for t, m in zip(witnesses, model.token_scores(witnesses), strict=True) if m > -0.5 or in_toxic[t] > 8]
@@ -202,11 +211,30 @@ def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 7) -> Model:
     clean_words = sorted(t for t in in_clean if odds.get(t, -9.0) < 1.0)
     hardest = np.argsort(-model.token_scores(clean_words), kind="stable")[:HARD_NEGATIVES]
     positives = sorted({*kept, *found}) or witnesses
-    model.direction, model.offset = fit(positives, sorted({*negatives, *(clean_words[i] for i in hardest)} - set(positives)))
+    model.direction, model.offset = _fit_machine(positives, sorted({*negatives, *(clean_words[i] for i in hardest)} - set(positives)), merit, rng)
+    return model
+
+
+def _features(model: Model, documents: list[set[str]]) -> np.ndarray:
+    words = sorted(set().union(*documents))
+    margin = dict(zip(words, model.token_scores(words).tolist(), strict=True))
+    return np.stack([document_features(np.fromiter(map(margin.__getitem__, d), float, len(d))) for d in documents])
 
-    documents = [(d, 1.0) for d in a] + [(d, 0.0) for d in b]
-    x = np.stack([document_features(model.token_scores(sorted(d))) if d else document_features(np.empty(0)) for d, _ in documents])
-    model.document = _logistic(x, np.array([label for _, label in documents]))
+
+def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 7) -> Model:
+    """Fit on the token sets of labelled documents.
+
+    Sentences inherit their document's label; the witnesses among a toxic document's tokens are those far more
+    common in toxic documents, then, after a first fit, those that the machine itself finds on the toxic side.
+    """
+    rng = np.random.default_rng(seed)
+    silent = Model(np.zeros(DIMS, np.float32), -1.0, np.array([-4.0, *[0.0] * (2 + len(LEVELS))]))
+    a, b = _spread(toxic), _spread(clean)
+    model = _train_words(a, b, rng) if a and b else None
+    if model is None:
+        return silent
+    x = np.concatenate([_features(model, a), _features(model, b)])
+    model.document = _logistic(x, np.repeat([1.0, 0.0], [len(a), len(b)]))
     return model
 
 
@@ -218,11 +246,18 @@ def held_out(id_col: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[set[str]], list[set[str]]]:
     """Token sets of at most MAX_TOXIC and MAX_CLEAN labelled documents that are not held out.
 
-    The sample is bounded before any text is touched, so what reaches the driver does not grow with the corpus.
+    The sample is bounded before any text is touched: counts give each class the share of its hashed ids that fills
+    it, so what reaches the driver does not grow with the corpus or its partitions.
     """
     usable = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out(F.col("id")))
-    usable = usable.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("place", F.md5(F.col("id").cast("string")))
-    chosen = [r for label, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)) for r in usable.filter(F.col("toxic") == label).orderBy("place", "id").limit(most).select("id", "toxic").collect()]
+    place = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long")
+    usable = usable.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("place", place)
+    most = {1: MAX_TOXIC, 0: MAX_CLEAN}
+    sizes = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    share = {k: (1 << 32) * min(1.0, 1.2 * most[k] / n) for k, n in sizes.items()}
+    below = F.when(F.col("toxic") == 1, F.col("place") < int(share.get(1, 0))).otherwise(F.col("place") < int(share.get(0, 0)))
+    found = sorted(usable.filter(below).collect(), key=lambda r: (r.place, r.id))
+    chosen = [r for label, n in most.items() for r in [x for x in found if x.toxic == label][:n]]
     ids = docs.sparkSession.createDataFrame([(int(r.id), int(r.toxic)) for r in chosen], "id long, toxic int")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id")  # MAX_TOXIC + MAX_CLEAN rows
 
@@ -230,9 +265,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"], "tokens": [sorted(tokens_of(t)) for t in frame["text"]]})
 
-    rows = texts.mapInPandas(extract, "id long, toxic int, tokens array<string>").collect()
-    rows.sort(key=lambda r: (r.id, r.tokens))
-    return [set(r.tokens) for r in rows if r.toxic], [set(r.tokens) for r in rows if not r.toxic]
+    small_batches(docs.sparkSession)
+    rows = sorted((r.id, r.toxic, tuple(map(sys.intern, r.tokens))) for r in texts.mapInPandas(extract, "id long, toxic int, tokens array<string>").collect())
+    return [set(t) for _, label, t in rows if label], [set(t) for _, label, t in rows if not label]
 
 
 class _Scorer:
@@ -260,6 +295,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def score_udf(docs: DataFrame, model: Model):
     """A column function from text to score; the model travels to each executor once."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.direction, model.offset, model.document))
     held: list[_Scorer] = []
 
