@@ -22,7 +22,7 @@ def _pack(rows: np.ndarray) -> np.ndarray:
     """0/1 values (..., n) as words (..., n/64)."""
     pad = -rows.shape[-1] % 64
     rows = np.concatenate([rows, np.zeros((*rows.shape[:-1], pad), np.uint8)], axis=-1)
-    return np.packbits(rows, axis=-1, bitorder="little").view(np.uint64)
+    return np.packbits(np.ascontiguousarray(rows), axis=-1, bitorder="little").view(np.uint64)
 
 
 def slice_block(values: np.ndarray) -> tuple[int, np.ndarray]:
