@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.operators import atlas as A
+from loomspan.operators import snapshots as A
 from loomspan.operators import cassette as C
 from loomspan.operators import quest as Q
 from loomspan.queries.learning import _SESSION_SQL, attempts

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from samples import chapters, graph, script, story
 
 from loomspan.functions.replay import Learner
-from loomspan.operators import atlas as A
+from loomspan.operators import snapshots as A
 from loomspan.operators import cassette as C
 from loomspan.operators import learning as O
 from loomspan.plans import pipelines as P
