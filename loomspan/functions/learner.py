@@ -81,18 +81,25 @@ def ordering_fraction(answer: Column, response: Column) -> Column:
     """
     a, r = answer.cast("array<string>"), response.cast("array<string>")
 
+    def bound(value: Column, body) -> Column:
+        """body of a value that is worked out once, however often body's lambdas use it."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
     def keyed(xs: Column) -> Column:
+        """Values with their occurrence number; plain values where none repeats."""
         nth = lambda x, i: F.size(F.filter(F.slice(xs, 1, i + 1), lambda y: y == x))
-        return F.transform(xs, lambda x, i: F.concat(x, F.lit("\u0001"), nth(x, i).cast("string")))
+        numbered = F.transform(xs, lambda x, i: F.concat(x, F.lit("\u0001"), nth(x, i).cast("string")))
+        return F.when(F.size(F.array_distinct(xs)) == F.size(xs), xs).otherwise(numbered)
+
+    def swaps(ranks: Column) -> Column:
+        later = lambda x, i: F.size(F.filter(F.slice(ranks, i + 2, F.size(ranks)), lambda y: y < x))
+        return F.aggregate(F.transform(ranks, later), F.lit(0), lambda s, x: s + x)
 
-    ranks = F.transform(keyed(a), lambda x: F.array_position(keyed(r), x))
+    ranks = bound(keyed(r), lambda kr: F.transform(keyed(a), lambda x: F.array_position(kr, x)))
     n = F.size(a)
-    swapped = F.aggregate(
-        F.transform(ranks, lambda x, i: F.size(F.filter(F.slice(ranks, i + 2, n), lambda y: y < x))), F.lit(0), lambda s, x: s + x
-    )
     same = F.array_sort(a) == F.array_sort(r)
-    pairs = n * (n - 1) / 2
-    return F.when(~F.coalesce(same, F.lit(False)), F.lit(0.0)).when(n < 2, F.lit(1.0)).otherwise(1.0 - swapped / pairs)
+    agreement = 1.0 - bound(ranks, swaps) / (n * (n - 1) / 2)
+    return F.when(~F.coalesce(same, F.lit(False)), F.lit(0.0)).when(n < 2, F.lit(1.0)).otherwise(agreement)
 
 
 def grade(kind: Column, answer: Column, response: Column, tolerance: Column, max_score: Column) -> Column:
