@@ -8,6 +8,7 @@ choices, run as grouped maps over one graph at a time (graphs are documents of a
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -260,24 +261,22 @@ def topo_order(items: DataFrame, edges: DataFrame) -> DataFrame:
 def depth(items: DataFrame, edges: DataFrame, max_depth: int = 2000) -> DataFrame:
     """(graph, id, depth): longest path from an item without prerequisites; a cycle raises.
 
-    Items whose prerequisites all have a depth get theirs, level by level; a level joins only the last one's edges.
+    Items whose prerequisites all have a depth get theirs, level by level. Each round writes the edges that still wait,
+    marked where the last level meets them; levels are read off these tables.
     """
-    own = known_edges(items, edges).select("graph", "prereq", "item").distinct()
-    waiting = materialize(own)
-    done = materialize(items.select("graph", "id").join(own.withColumnRenamed("item", "id"), ["graph", "id"], "left_anti").withColumn("depth", F.lit(0)))
-    levels, level = [done], done
+    waiting = known_edges(items, edges).select("graph", "prereq", "item").distinct()
+    level = items.select("graph", "id").join(waiting.withColumnRenamed("item", "id"), ["graph", "id"], "left_anti").withColumn("depth", F.lit(0))
+    levels = [level]
     for n in range(1, max_depth):
-        if waiting.isEmpty():
-            out = levels[0]
-            for x in levels[1:]:
-                out = out.unionByName(x)
-            return out
-        met = waiting.join(level.select("graph", F.col("id").alias("prereq")), ["graph", "prereq"], "left_semi")
-        waiting_next = materialize(waiting.join(met, ["graph", "prereq", "item"], "left_anti"))
-        level = materialize(met.select("graph", F.col("item").alias("id")).distinct().join(waiting_next.withColumnRenamed("item", "id"), ["graph", "id"], "left_anti").withColumn("depth", F.lit(n)))
-        if level.isEmpty():
-            raise ValueError("the graph has a cycle")
-        waiting, levels = waiting_next, [*levels, level]
+        reached = level.select("graph", F.col("id").alias("prereq"), F.lit(True).alias("__met"))
+        marked = materialize(waiting.join(reached, ["graph", "prereq"], "left"))
+        met, waiting = marked.filter("__met").drop("__met"), marked.filter("__met is null").drop("__met")
+        if met.isEmpty():
+            if not waiting.isEmpty():
+                raise ValueError("the graph has a cycle")
+            return reduce(DataFrame.unionByName, levels)
+        level = met.select("graph", F.col("item").alias("id")).distinct().join(waiting.select("graph", F.col("item").alias("id")), ["graph", "id"], "left_anti").withColumn("depth", F.lit(n))
+        levels.append(level)
     raise ValueError("deeper than max_depth")
 
 

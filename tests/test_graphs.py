@@ -51,6 +51,12 @@ def test_fringe_hasse_and_validation(spark):
     assert {(r.id, r.depth) for r in G.depth(items, edges).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_depth_needs_an_acyclic_graph(spark):
+    with pytest.raises(ValueError, match="cycle"):
+        G.depth(*_tables(spark, "abcd", [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")]))
+    assert {r.depth for r in G.depth(*_tables(spark, "ab", [])).collect()} == {0}
+
+
 def test_closure_of_a_long_chain(spark):
     ids = [f"n{i:02d}" for i in range(40)]
     _, edges = _tables(spark, ids, list(zip(ids, ids[1:])))
