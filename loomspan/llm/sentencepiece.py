@@ -62,6 +62,8 @@ class Model:
     # derived
     merge: np.ndarray = field(init=False)  # ids of pieces that a merge may form
     codes: np.ndarray = field(init=False)  # their code points, padded with zeros
+    chars: np.ndarray = field(init=False)  # the characters of all pieces, and where each piece's are among them
+    spelling: np.ndarray = field(init=False)
     lengths: np.ndarray = field(init=False)
     rank: np.ndarray = field(init=False)  # of each id: its place by falling score
     byte_ids: list[int] = field(init=False)
@@ -76,6 +78,8 @@ class Model:
         self.codes = np.zeros((len(usable), int(self.lengths.max())), np.uint32)
         for row, i in enumerate(usable):
             self.codes[row, : self.lengths[row]] = [*map(ord, self.pieces[i])]
+        self.chars, self.spelling = np.unique(self.codes, return_inverse=True)  # the first is the padding
+        self.spelling = self.spelling.reshape(self.codes.shape)
         _, self.rank = np.unique(-np.array(self.scores), return_inverse=True)
         unknown = self.kinds.index(UNKNOWN)
         at = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
@@ -124,20 +128,30 @@ def _suffix_keys(symbols: np.ndarray, longest: int, bits: int) -> np.ndarray:
     return np.stack([word[per * w : per * w + n] for w in range(width)], axis=1)
 
 
-def _search(suffixes: np.ndarray, keys: np.ndarray, low: np.ndarray, through: bool = False) -> np.ndarray:
-    """For each key the number of sorted suffixes below it (through: up to it), by one binary search over all keys."""
-    lo, hi = low.copy(), np.full(len(keys), len(suffixes))
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) >> 1
-        probe = suffixes[np.minimum(mid, len(suffixes) - 1)]
-        less, tied = np.zeros(len(keys), bool), np.ones(len(keys), bool)
-        for w in range(keys.shape[1]):
-            less |= tied & (probe[:, w] < keys[:, w])
-            tied &= probe[:, w] == keys[:, w]
-        if through:
-            less |= tied
-        lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-    return lo
+def _search(suffixes: np.ndarray, keys: np.ndarray, through: bool = False) -> np.ndarray:
+    """For each key the number of sorted suffixes below it (through: up to it).
+
+    The first words are searched at once; keys whose further words matter go on within the suffixes of equal first word.
+    """
+    first = np.ascontiguousarray(suffixes[:, 0])
+    side = ("left", "right")[through]
+    found = np.searchsorted(first, keys[:, 0], side)
+    rest = np.flatnonzero((keys[:, 1:] != (keys.max() if through else 0)).any(axis=1)) if keys.shape[1] > 1 else []
+    if len(rest):
+        keys = keys[rest]
+        lo, hi = np.searchsorted(first, keys[:, 0], "left"), np.searchsorted(first, keys[:, 0], "right")
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            probe = suffixes[np.minimum(mid, len(suffixes) - 1)]
+            less, tied = np.zeros(len(keys), bool), np.ones(len(keys), bool)
+            for w in range(1, keys.shape[1]):
+                less |= tied & (probe[:, w] < keys[:, w])
+                tied &= probe[:, w] == keys[:, w]
+            if through:
+                less |= tied
+            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        found[rest] = lo
+    return found
 
 
 def match_pieces(model: Model, codes: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,19 +165,22 @@ def match_pieces(model: Model, codes: np.ndarray, separators: np.ndarray) -> tup
     bits = 8 if len(alphabet) < 255 else 16 if len(alphabet) < 65535 else 21
     symbols = np.searchsorted(alphabet, codes).astype(np.uint32) + np.uint32(1)
     symbols[separators] = 0
-    at = np.minimum(np.searchsorted(alphabet, model.codes), max(0, len(alphabet) - 1))
-    spelled = np.arange(model.codes.shape[1])[None, :] < model.lengths[:, None]
-    present = ((alphabet[at] == model.codes) | ~spelled).all(axis=1) if len(alphabet) else np.zeros(len(at), bool)
-    ids, lengths, spelled = model.merge[present], model.lengths[present], spelled[present]
-    low = np.where(spelled, at[present] + 1, 0)
+    rank = np.searchsorted(alphabet, model.chars)
+    known = np.append(alphabet, np.uint32(0))[rank] == model.chars
+    known[0] = True  # padding
+    rank = np.where(known, rank + 1, 0).astype(np.uint32)
+    rank[0] = 0
+    present = known[model.spelling].all(axis=1)
+    ids, lengths, spelling = model.merge[present], model.lengths[present], model.spelling[present]
+    low = rank[spelling]
     top = (1 << bits) - 1
-    high = np.where(spelled, low, top)  # no suffix that begins with the piece is above
+    high = np.where(spelling > 0, low, np.uint32(top))  # no suffix that begins with the piece is above
 
     keys = _suffix_keys(symbols, model.codes.shape[1], bits)
     order = np.lexsort(tuple(keys[:, w] for w in range(keys.shape[1] - 1, -1, -1)))
     suffixes = keys[order]
-    first = _search(suffixes, _pack(low, bits), np.zeros(len(low), np.int64))
-    count = _search(suffixes, _pack(high, bits, top), first, through=True) - first
+    first = _search(suffixes, _pack(low, bits))
+    count = _search(suffixes, _pack(high, bits, top), through=True) - first
     piece = np.repeat(np.arange(len(count)), count)
     start = order[np.arange(len(piece)) + np.repeat(first - (np.cumsum(count) - count), count)]
     edges = np.sort((start << 32) | (lengths[piece] << 24) | piece)  # by position, then length
@@ -231,10 +248,11 @@ def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray
 
 
 class Codec:
-    """Encodes and decodes whole texts, remembering a bounded number of words."""
+    """Encodes and decodes whole texts. Words are remembered in two generations, so those in use outlive the rare ones
+    and memory stays bounded."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.older = model, {}, {}
 
     def _learn(self, words: list[str]) -> None:
         a = 0
@@ -251,11 +269,16 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         prefix = " " if self.model.dummy_prefix else ""
         split = [_WORD.findall((prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known.clear()
-            fresh = {w for words in split for w in words}
-        self._learn(sorted(fresh))
+        wanted = set().union(*split)
+        if len(self.known) > CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        fresh = []
+        for w in wanted.difference(self.known):
+            if w in self.older:
+                self.known[w] = self.older[w]
+            else:
+                fresh.append(w)
+        self._learn(fresh)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
