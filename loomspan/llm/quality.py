@@ -161,8 +161,8 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     # the share of hashed ids that fills the sample: what reaches the driver does not grow with the corpus
     share = min(1.0, 1.2 * MAX_SAMPLE / max(1, sum(patterns.values())))
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
-    place = F.conv(F.substring(name, 1, 12), 16, 10).cast("long")
-    sample = texts.withColumn("place", place).filter(F.col("place") < int(share * (1 << 48))).limit(3 * MAX_SAMPLE)
+    place = F.xxhash64(name, F.monotonically_increasing_id()).bitwiseAND((1 << 48) - 1)  # rows that repeat an id are spread too
+    sample = texts.withColumn("place", place).filter(F.col("place") < int(share * (1 << 48)))
 
     def vectors(frames):
         for frame in frames:
