@@ -63,3 +63,9 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a scan of few splits (small files) over all cores; larger inputs have more splits and stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 from loomspan.operators import blocks as B
+from loomspan.plans.storage import spread
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -37,7 +38,7 @@ _OUT = 'SELECT doc_id, chunk_id, s AS "start", e AS "end", md5(text) AS text_md5
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", "text"))
 
 
 def _turns(spark, sf_dir) -> DataFrame:
