@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
 from loomspan.llm import exact_dedup as exact
+from loomspan.plans.storage import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for operators that work in Python, dealt over all cores where the files are few."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -25,7 +31,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents"))
+    return quality.quality(_texts(spark, sf_dir))
 
 
 #: The public byte-pair model that op4 and the pipeline encode with, unless LOOMSPAN_PIECES names another.
@@ -34,22 +40,22 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.load_model(spark, os.environ.get("LOOMSPAN_PIECES", PIECES))
-    return sentencepiece.encode_documents(_table(spark, sf_dir, "documents"), model, with_ids=False, with_text=False)
+    return sentencepiece.encode_documents(_texts(spark, sf_dir), model, with_ids=False, with_text=False)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    found = pii.find_pii(_texts(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     spans = secrets.span_list
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(spans(F.col("base")), 256).alias("base_sha256"), spans(F.concat("base", "added")).alias("spans"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(_texts(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
