@@ -1,7 +1,6 @@
 """Mixing, secret scans and sharding: DataFrame operators without Python on the executors."""
 
 import hashlib
-import math
 import random
 import re
 
@@ -153,4 +152,3 @@ def test_shards_of_repeated_and_awkward_rows(spark):
 def test_word_pattern_counts_as_contracted(spark):
     df = frame(spark).select(F.regexp_count("text", F.lit(mixing.WORD)).alias("n"), "text").collect()
     assert all(r.n == (None if r.text is None else len(re.findall(mixing.WORD, r.text))) for r in df)
-    assert math.isclose(1.0, 1.0)
