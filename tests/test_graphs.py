@@ -2,7 +2,7 @@ import itertools
 import random
 
 import pytest
-from samples import EDGES, ITEMS, chapters, story
+from samples import chapters, story
 
 from loomspan.operators import graph as G
 from loomspan.operators import story as S
@@ -167,7 +167,3 @@ def test_components_against_union_find(spark):
         root[b] = a
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {v: find(v) for p in pairs if p[0] != p[1] for v in p}
-
-
-def test_chain_constants():
-    assert len(ITEMS) == 8 and len(EDGES) == 7
