@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import materialize
+from loomspan.plans.storage import discard, materialize
 
 
 def _star(directed: DataFrame, keep_larger: bool) -> DataFrame:
-    """Link every neighbour v of u to the smallest id around u.
+    """Link every neighbour v of u to the smallest id around u; directed holds (u, v) and is a written table.
 
-    directed holds (u, v). The minimum is pre-aggregated map-side; the join back to a hub's neighbours is a plain
-    equi-join whose large partitions AQE can split, so no neighbourhood is ever collected.
+    The minimum is pre-aggregated map-side and written, so that both sides of the join back to a hub's neighbours are
+    plain exchanges, which AQE can split: no neighbourhood is ever collected.
     """
-    least = directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = materialize(directed.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
     linked = directed.join(least, "u")
     if keep_larger:
         linked = linked.filter("v > u")
     else:
         linked = linked.unionByName(least.select("u", F.col("u").alias("v"), "m"))
-    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    out = materialize(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+    discard(least)
+    return out
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
 
-    Each round is written to the shared folder, so lineage stays short and lost executors cost one round at most.
-    Ends when a round changes nothing (edge count and checksum), in O(log^2 n) rounds; beyond max_rounds it raises.
+    Each step is written to the shared folder and replaces the one before, so lineage stays short, lost executors
+    cost one step at most and disk holds a few copies of the links. Ends when a round changes nothing (edge count
+    and checksum), in O(log^2 n) rounds; beyond max_rounds it raises.
     """
     edges = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     current, before = materialize(edges), None
@@ -38,8 +41,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = mark
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = materialize(current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = _star(both, keep_larger=True)
-        oriented = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        current = materialize(_star(oriented, keep_larger=False))
+        oriented = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        discard(current, both, large)
+        current = _star(oriented, keep_larger=False)
+        discard(oriented)
     raise RuntimeError("connected components did not settle")

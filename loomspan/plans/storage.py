@@ -1,12 +1,16 @@
-"""Cutting lineage through the cluster's shared folder, and size-checked broadcasts."""
+"""Cutting lineage through the cluster's shared folder, size-checked broadcasts, and rows picked where they lie."""
 
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its counted rows times their width stay below this.
@@ -14,27 +18,46 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and all runs on one machine (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomspan.shared.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("loomspan.shared.dir", root)
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM knows them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     Unlike localCheckpoint the files survive the loss of any executor; unlike checkpoint() the rows are computed
-    once and are pruned by column when read again. The table goes when the driver's file system closes.
+    once and are pruned by column when read again. The table goes by discard(), or when the driver's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomspan/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    hadoop, files = _folder(spark, path)
+    files.deleteOnExit(hadoop)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more; only what materialize() returned is touched."""
+    for table in tables:
+        path = getattr(table, "_written_at", None)
+        if path:
+            hadoop, files = _folder(table.sparkSession, path)
+            files.delete(hadoop, True)
+            files.cancelDeleteOnExit(hadoop)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -69,3 +92,85 @@ def spread(scan: DataFrame) -> DataFrame:
     """Deal a scan of few splits (small files) over all cores; larger inputs have more splits and stay as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+#: Rows that one bitmap stands for (fixed by Spark's bitmap functions), and its bytes with its key in a broadcast.
+BITMAP_ROWS, BITMAP_BYTES = 1 << 15, (1 << 12) + 64
+#: Files are numbered by a hash of so many bits, in steps of a bitmap's rows.
+FILE_BITS = 62
+_MOST_ROWS = 1 << 40
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with marks added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@dataclass
+class Numbered:
+    """A table whose rows bear numbers that every scan draws alike, whatever the splits of the moment."""
+
+    df: DataFrame
+    row: str  # the number's column
+    first: Column  # the number of the first row of the row's file
+
+    def _listed(self, bits: DataFrame, keep: bool) -> DataFrame:
+        row = F.col(self.row)
+        out = self.df.withColumn(block := free_name(self.df, "__block"), F.shiftright(row, 15))
+        marks = bits.select(F.col("block").alias(block), F.col("bits").alias(mark := free_name(out, "__bits")))
+        joined = out.join(F.broadcast(marks), block, "inner" if keep else "left")
+        byte = F.conv(F.hex(F.substring(mark, F.shiftright(row.bitwiseAND(BITMAP_ROWS - 1), 3).cast("int") + 1, 1)), 16, 10).cast("long")
+        power = F.element_at(F.array(*(F.lit(1 << b).cast("long") for b in range(8))), (row.bitwiseAND(7) + 1).cast("int"))
+        marked = byte.bitwiseAND(power) != 0
+        return joined.filter(marked if keep else ~F.coalesce(marked, F.lit(False))).select(*self.df.columns)
+
+    def pick(self, numbers: DataFrame, *, keep: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """The rows whose numbers are listed (keep), or all others; no row of the table itself is shuffled.
+
+        The one column of numbers becomes bitmaps, one bit a row, that are broadcast to where the rows are read. Files
+        are taken in groups whose bitmaps stay below limit bytes, so a broadcast has the same bound at every size
+        and each file is read once; of several groups each is written in turn, so one broadcast is held at a time.
+        """
+        number = F.col(numbers.columns[0])
+        bits = materialize(
+            numbers.select(F.shiftright(number, 15).alias("block"), number.bitwiseAND(BITMAP_ROWS - 1).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
+        )
+        groups = max(1, -(-bits.count() * BITMAP_BYTES // limit))
+        if groups == 1:
+            return self._listed(bits, keep)
+        edges = [(1 << FILE_BITS) // groups * g >> 15 << 15 for g in range(groups)] + [(1 << FILE_BITS) + _MOST_ROWS]
+        done = []
+        for low, high in zip(edges, edges[1:], strict=False):
+            # the first condition prunes files; a file that reaches over an edge is read for both groups
+            part = self.df.filter((self.first < high) & (self.first > low - _MOST_ROWS)).filter(F.col(self.row).between(low, high - 1))
+            own = bits.filter(F.col("block").between(low >> 15, (high - 1) >> 15))
+            done.append(materialize(Numbered(part, self.row, self.first)._listed(own, keep)))
+        out = done[0]
+        for table in done[1:]:
+            out = out.unionByName(table)
+        return out
+
+
+def number_rows(docs: DataFrame) -> Numbered:
+    """docs with a long number for each row: a hash of its file's name plus its place in the file.
+
+    Tables that are no plain Parquet scan are written first. Numbers of different files never meet: the ranges are
+    compared (one row per file), and another hash is taken if two overlap.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_path"], meta["row_index"])
+    except AnalysisException:
+        docs = materialize(docs)
+        meta = docs.metadataColumn("_metadata")
+    row = free_name(docs, "__row")
+    for seed in range(8):
+        first = F.shiftleft(F.shiftright(F.xxhash64(F.lit(seed), meta["file_path"]).bitwiseAND((1 << FILE_BITS) - 1), 15), 15)
+        files = docs.select(first.alias("first"), meta["file_path"].alias("path"), meta["row_index"].alias("at")).groupBy("first", "path").agg(F.max("at").alias("last"))
+        following = files.withColumn("next", F.lead("first").over(W.orderBy("first")))  # one row per file
+        if following.filter(F.col("next") <= F.col("first") + F.col("last")).isEmpty():
+            return Numbered(docs.withColumn(row, first + meta["row_index"]), row, first)
+    raise RuntimeError("file names hash to overlapping numbers")
