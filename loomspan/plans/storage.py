@@ -6,6 +6,8 @@ import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -34,6 +36,22 @@ def _folder(spark: SparkSession, path: str):
     return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside go at the end, but for those handed to the function that this yields."""
+    tables: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCRATCH.append(tables)
+    try:
+        yield lambda table: kept.append(table) or table
+    finally:
+        _SCRATCH.remove(tables)
+        discard(*(t for t in tables if not any(t is k for k in kept)))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -47,17 +65,23 @@ def materialize(df: DataFrame) -> DataFrame:
     files.deleteOnExit(hadoop)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
+    for tables in _SCRATCH[-1:]:
+        tables.append(table)
     return table
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    hadoop, files = _folder(spark, path)
+    files.delete(hadoop, True)
+    files.cancelDeleteOnExit(hadoop)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more; only what materialize() returned is touched."""
     for table in tables:
         path = getattr(table, "_written_at", None)
         if path:
-            hadoop, files = _folder(table.sparkSession, path)
-            files.delete(hadoop, True)
-            files.cancelDeleteOnExit(hadoop)
+            delete_folder(table.sparkSession, path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -117,42 +141,55 @@ class Numbered:
     row: str  # the number's column
     first: Column  # the number of the first row of the row's file
 
-    def _listed(self, bits: DataFrame, keep: bool) -> DataFrame:
-        row = F.col(self.row)
-        out = self.df.withColumn(block := free_name(self.df, "__block"), F.shiftright(row, 15))
-        marks = bits.select(F.col("block").alias(block), F.col("bits").alias(mark := free_name(out, "__bits")))
-        joined = out.join(F.broadcast(marks), block, "inner" if keep else "left")
-        byte = F.conv(F.hex(F.substring(mark, F.shiftright(row.bitwiseAND(BITMAP_ROWS - 1), 3).cast("int") + 1, 1)), 16, 10).cast("long")
-        power = F.element_at(F.array(*(F.lit(1 << b).cast("long") for b in range(8))), (row.bitwiseAND(7) + 1).cast("int"))
-        marked = byte.bitwiseAND(power) != 0
-        return joined.filter(marked if keep else ~F.coalesce(marked, F.lit(False))).select(*self.df.columns)
-
-    def pick(self, numbers: DataFrame, *, keep: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """The rows whose numbers are listed (keep), or all others; no row of the table itself is shuffled.
-
-        The one column of numbers becomes bitmaps, one bit a row, that are broadcast to where the rows are read. Files
-        are taken in groups whose bitmaps stay below limit bytes, so a broadcast has the same bound at every size
-        and each file is read once; of several groups each is written in turn, so one broadcast is held at a time.
+    def marks(self, counts: DataFrame, most: int = 1) -> DataFrame:
+        """The counts (0 to most) of listed row numbers, columns in this order, as a written table of bitmaps."""
+        number, count = (F.col(c) for c in counts.columns)
+        at = F.when(count > 0, number.bitwiseAND(BITMAP_ROWS - 1))
+        planes = [F.bitmap_construct_agg(F.when(F.shiftright(count, p).bitwiseAND(1) == 1, at)).alias(f"bits{p}") for p in range(most.bit_length())]
+        return materialize(counts.select(F.shiftright(number, 15).alias("block"), *counts.columns).groupBy("block").agg(*planes))
+
+    def _marked(self, marks: DataFrame, name: str) -> DataFrame:
+        row, out = F.col(self.row), self.df
+        block = free_name(out, "__block")
+        renamed, planes = [F.col("block").alias(block)], marks.columns[1:]
+        for p in planes:
+            renamed.append(F.col(p).alias(free_name(out, f"__{p}")))
+        joined = out.withColumn(block, F.shiftright(row, 15)).join(F.broadcast(marks.select(*renamed)), block, "left")
+        at, power = F.shiftright(row.bitwiseAND(BITMAP_ROWS - 1), 3).cast("int") + 1, F.element_at(F.array(*(F.lit(1 << b) for b in range(8))), row.bitwiseAND(7).cast("int") + 1)
+        count = F.lit(0)
+        for p in range(len(planes)):
+            byte = F.conv(F.hex(F.substring(free_name(out, f"__bits{p}"), at, 1)), 16, 10).cast("int")
+            count = count + F.when(byte.bitwiseAND(power) != 0, 1 << p).otherwise(0)
+        return joined.withColumn(name, count).select(*out.columns, name)
+
+    def counted(self, marks: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """The table with each row's count in column name, 0 where none is listed; no row of it is shuffled.
+
+        The bitmaps, one bit a row and power of two, are broadcast to where the rows are read. Files are taken in
+        groups whose bitmaps stay below limit bytes, so a broadcast has the same bound at every size and each file
+        is read once; of several groups each is written in turn, so one broadcast is held at a time.
         """
-        number = F.col(numbers.columns[0])
-        bits = materialize(
-            numbers.select(F.shiftright(number, 15).alias("block"), number.bitwiseAND(BITMAP_ROWS - 1).alias("at")).groupBy("block").agg(F.bitmap_construct_agg("at").alias("bits"))
-        )
-        groups = max(1, -(-bits.count() * BITMAP_BYTES // limit))
+        groups = max(1, -(-marks.count() * BITMAP_BYTES * (len(marks.columns) - 1) // limit))
         if groups == 1:
-            return self._listed(bits, keep)
+            return self._marked(marks, name)
         edges = [(1 << FILE_BITS) // groups * g >> 15 << 15 for g in range(groups)] + [(1 << FILE_BITS) + _MOST_ROWS]
         done = []
         for low, high in zip(edges, edges[1:], strict=False):
             # the first condition prunes files; a file that reaches over an edge is read for both groups
             part = self.df.filter((self.first < high) & (self.first > low - _MOST_ROWS)).filter(F.col(self.row).between(low, high - 1))
-            own = bits.filter(F.col("block").between(low >> 15, (high - 1) >> 15))
-            done.append(materialize(Numbered(part, self.row, self.first)._listed(own, keep)))
+            own = marks.filter(F.col("block").between(low >> 15, (high - 1) >> 15))
+            done.append(materialize(Numbered(part, self.row, self.first)._marked(own, name)))
         out = done[0]
         for table in done[1:]:
             out = out.unionByName(table)
         return out
 
+    def pick(self, numbers: DataFrame, *, keep: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """The rows whose numbers (the one column) are listed, or all others; the table's own columns."""
+        name = free_name(self.df, "__listed")
+        marks = self.marks(numbers.select(numbers.columns[0], F.lit(1).alias("n")))
+        return self.counted(marks, name, limit).filter(F.col(name) == int(keep)).select(*self.df.columns)
+
 
 def number_rows(docs: DataFrame) -> Numbered:
     """docs with a long number for each row: a hash of its file's name plus its place in the file.
