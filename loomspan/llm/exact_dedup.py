@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import broadcast_if_small, materialize, release_memory, small_batches
+from loomspan.plans.storage import Numbered, delete_folder, materialize, number_rows, release_memory, shared_root, small_batches
 
-#: Documents that one message's sender holds in memory at a time.
-CHUNK = 50_000
+#: Spark's own limit.
+MOST_BUCKETS = 100_000
+#: Documents whose fingerprints a sender holds and codes at a time, and fingerprints that an owner should get.
+CHUNK, OWNED = 50_000, 1 << 21
 
 
 def golomb_encode(values: np.ndarray, low: int, span: int) -> tuple[int, bytes]:
@@ -47,39 +50,52 @@ def _normalised(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [(t or b"").lower() for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-MESSAGES = "sender long, owner int, n int, k int, blob binary, digests array<binary>, row_ids array<array<long>>, doc_ids array<array<long>>"
+SENT = pa.schema(
+    [
+        ("sender", pa.int32()),
+        ("chunk", pa.int32()),
+        ("messages", pa.list_(pa.struct([("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("blob", pa.binary())]))),
+        ("digests", pa.binary()),  # what stays: the distinct digests in order, and the rows of each
+        ("times", pa.list_(pa.int32())),
+        ("row_ids", pa.list_(pa.int64())),
+        ("doc_ids", pa.list_(pa.int64())),
+    ]
+)
+SENT_DDL = "sender int, chunk int, messages array<struct<owner:int,n:int,k:int,blob:binary>>, digests binary, times array<int>, row_ids array<long>, doc_ids array<long>"
 
 
 def _send(owners: int):
-    """Per chunk of a partition and owner: the sorted distinct fingerprints, Golomb-coded, and what they stand for."""
-    schema = pa.schema([("sender", pa.int64()), ("owner", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("blob", pa.binary()), ("digests", pa.list_(pa.binary())), ("row_ids", pa.list_(pa.list_(pa.int64()))), ("doc_ids", pa.list_(pa.list_(pa.int64())))])
+    """Per chunk of a partition: to each owner its sorted distinct fingerprints, Golomb-coded; and what they stand for.
 
-    def flush(sender: int, held: dict[bytes, list[tuple[int, int | None]]]) -> pa.RecordBatch:
+    Owners hold ranges of fingerprints, so the owners' messages in order spell the chunk's sorted digests.
+    """
+
+    def flush(sender: int, chunk: int, held: dict[bytes, list[tuple[int, int | None]]]) -> pa.RecordBatch:
         digests = sorted(held)
         prints = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64)
         width = _owner_range(0, owners)[1]
         at = (prints // np.uint64(width)).astype(np.int64) if width < 1 << 64 else np.zeros(len(prints), np.int64)
-        out: list[tuple] = []
+        messages = []
         for owner in np.unique(at).tolist():
-            a, b = np.searchsorted(at, owner), np.searchsorted(at, owner, "right")
-            low, span = _owner_range(owner, owners)
-            k, blob = golomb_encode(prints[a:b], low, span)
-            rows = [held[d] for d in digests[a:b]]
-            out.append((sender, owner, int(b - a), k, blob, digests[a:b], [[r for r, _ in x] for x in rows], [[i for _, i in x] for x in rows]))
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            own = prints[np.searchsorted(at, owner) : np.searchsorted(at, owner, "right")]
+            k, blob = golomb_encode(own, *_owner_range(owner, owners))
+            messages.append({"owner": owner, "n": len(own), "k": k, "blob": blob})
+        rows = [r for d in digests for r in held[d]]
+        columns = [sender], [chunk], [messages], [b"".join(digests)], [[len(held[d]) for d in digests]], [[r for r, _ in rows]], [[i for _, i in rows]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT, strict=True)], schema=SENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
-        sender, n = TaskContext.get().partitionId() << 32, 0
+        sender, chunk, n = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _normalised(batch.column(2)), strict=True):
                 held.setdefault(hashlib.sha256(text).digest(), []).append((row, doc))
                 n += 1
             if n >= CHUNK:
-                yield flush(sender, held)
-                held, sender, n = {}, sender + 1, 0
+                yield flush(sender, chunk, held)
+                held, chunk, n = {}, chunk + 1, 0
         if held:
-            yield flush(sender, held)
+            yield flush(sender, chunk, held)
         release_memory()
 
     return send
@@ -89,27 +105,30 @@ def _reply(owners: int):
     """An owner's answer: for each message, a bitmap of the fingerprints that other messages hold too."""
 
     def reply(key: tuple, table: pa.Table) -> pa.Table:
-        low = _owner_range(key[0].as_py(), owners)[0]
-        senders, counts, ks, blobs = (table.column(c).to_pylist() for c in ("sender", "n", "k", "blob"))
+        owner = key[0].as_py()
+        low = _owner_range(owner, owners)[0]
+        counts, ks, blobs = (table.column(c).to_pylist() for c in ("n", "k", "blob"))
         lists = [golomb_decode(b, n, k, low) for b, n, k in zip(blobs, counts, ks, strict=True)]
-        values, times = np.unique(np.concatenate(lists), return_counts=True)
-        twice = values[times > 1]
+        everything = np.sort(np.concatenate(lists))
+        twice = everything[1:][everything[1:] == everything[:-1]]
         bitmaps = [np.packbits(np.isin(x, twice)).tobytes() for x in lists]
-        return pa.table({"sender": pa.array(senders, pa.int64()), "owner": pa.array([key[0].as_py()] * len(senders), pa.int32()), "bitmap": pa.array(bitmaps, pa.binary())})
+        return pa.table({"sender": table.column("sender"), "chunk": table.column("chunk"), "owner": table.column("owner"), "bitmap": pa.array(bitmaps, pa.binary())})
 
     return reply
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bitmaps back on the sender's rows: one row per document, suspect if its fingerprint occurs again anywhere."""
+    """The answers on a chunk's own rows: one row per document, suspect if its fingerprint occurs again anywhere."""
     for batch in batches:
-        out: list[tuple] = []
-        for digests, row_ids, doc_ids, bitmap in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            bits = np.unpackbits(np.frombuffer(bitmap, np.uint8))[: len(digests)].tolist()
-            for digest, rows, docs, bit in zip(digests, row_ids, doc_ids, bits, strict=True):
-                out += [(r, d, digest, bool(bit or len(rows) > 1)) for r, d in zip(rows, docs, strict=True)]
-        columns = list(zip(*out, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["row_id", "doc_id", "digest", "suspect"])
+        for chunk, messages, digests, times, row_ids, doc_ids, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            bitmap = {a["owner"]: a["bitmap"] for a in answers if a["chunk"] == chunk}
+            bits = np.concatenate([np.unpackbits(np.frombuffer(bitmap[m["owner"]], np.uint8))[: m["n"]] for m in messages])
+            times = np.array(times)
+            suspect = np.repeat((bits > 0) | (times > 1), times)
+            at = np.repeat(np.arange(len(times)), times)
+            spelled = pa.Array.from_buffers(pa.binary(32), len(times), [None, pa.py_buffer(digests)]).take(pa.array(at))
+            columns = [pa.array(row_ids, pa.int64()), pa.array(doc_ids, pa.int64()), spelled.cast(pa.binary()), pa.array(suspect)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "digest", "suspect"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,32 +137,53 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(texts, pa.binary())], names=["digest", "bytes"])
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, owners: int | None = None) -> DataFrame:
+def _answered(rows: DataFrame, owners: int) -> DataFrame:
+    """(row_id, doc_id, digest, suspect), written: coded fingerprints travel to owners and bitmaps come back.
+
+    What the senders keep lies in a table that is bucketed by sender, so joining the bitmaps moves the bitmaps alone.
+    """
+    spark = rows.sparkSession
+    buckets = min(owners, MOST_BUCKETS)
+    name = f"loomspan_sent_{uuid4().hex}"
+    path = f"{shared_root(spark)}/loomspan/{name}"
+    rows.mapInArrow(_send(owners), SENT_DDL).write.bucketBy(buckets, "sender").option("path", path).format("parquet").saveAsTable(name)
+    try:
+        sent = spark.table(name)
+        messages = sent.select("sender", "chunk", F.inline("messages"))
+        replies = messages.groupBy("owner").applyInArrow(_reply(owners), "sender int, chunk int, owner int, bitmap binary")
+        answers = replies.groupBy("sender").agg(F.collect_list(F.struct("chunk", "owner", "bitmap")).alias("answers"))  # one bit a row
+        known = sent.select("sender", "chunk", F.transform("messages", lambda m: F.struct(m["owner"].alias("owner"), m["n"].alias("n"))).alias("messages"), "digests", "times", "row_ids", "doc_ids")
+        joined = known.hint("merge").join(answers, "sender").select("chunk", "messages", "digests", "times", "row_ids", "doc_ids", "answers")
+        return materialize(joined.mapInArrow(_apply, "row_id long, doc_id long, digest binary, suspect boolean"))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        delete_folder(spark, path)
+
+
+def exact_dedup(docs: DataFrame | Numbered, *, id_col: str = "doc_id", text_col: str = "text", owners: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_id.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the largest doc_id stays. Partitions send
     each owner of a fingerprint range its sorted distinct 64-bit fingerprints, Golomb-coded; owners answer with a
-    bitmap of those that several senders hold. Only suspects' texts are shuffled, for byte verification: they are
-    grouped by their bytes, pre-aggregated map-side, so a group of copies of any size sends one text per task.
+    bitmap of those that several senders hold, which meets the digests and ids where they lie. Suspects' numbers go
+    back to the scan as bitmaps, so only suspects' texts are shuffled, for byte verification: they are grouped by
+    their bytes, pre-aggregated map-side, so a group of copies of any size sends one text per task. The plan is the
+    same at every size; owners grow in number with the rows.
 
     Nulls: a null text is empty; a null id is smaller than any other and stays only where a group has no id. Rows
     that tie for the largest id are told apart by row, so exactly one row of a group is kept. An empty table gives an
-    empty table. Other columns are ignored, whatever their names. row_col names a unique row number of the caller's.
+    empty table. Other columns are ignored, whatever their names. Ids must be numbers. docs may come with row numbers.
     """
-    spark = docs.sparkSession
+    numbered = docs if isinstance(docs, Numbered) else number_rows(docs)
+    spark = numbered.df.sparkSession
     small_batches(spark)
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(row.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = materialize(rows.mapInArrow(_send(owners), MESSAGES))
-    bitmaps = sent.select("sender", "owner", "n", "k", "blob").groupBy("owner").applyInArrow(_reply(owners), "sender long, owner int, bitmap binary")
-    answered = sent.select("sender", "owner", "digests", "row_ids", "doc_ids").join(bitmaps, ["sender", "owner"])
-    marked = materialize(answered.select("digests", "row_ids", "doc_ids", "bitmap").mapInArrow(_apply, "row_id long, doc_id long, digest binary, suspect boolean"))
+    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbered.df.count() // OWNED))
+    rows = numbered.df.select(F.col(numbered.row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked = _answered(rows, owners)
 
     suspects = marked.filter("suspect")
-    wanted = materialize(suspects.groupBy("digest").agg(F.count("*").alias("expected"), F.max(F.struct("doc_id", "row_id")).alias("best")))
-    listed = broadcast_if_small(wanted.select("digest"), 64)
-    copies = docs.select(F.col(text_col).alias("text")).mapInArrow(_texts, "digest binary, bytes binary").join(listed, "digest", "left_semi")
+    wanted = suspects.groupBy("digest").agg(F.count("*").alias("expected"), F.max(F.struct("doc_id", "row_id")).alias("best"))
+    copies = numbered.pick(suspects.select("row_id")).select(F.col(text_col).alias("text")).mapInArrow(_texts, "digest binary, bytes binary")
     verified = copies.groupBy("digest", "bytes").agg(F.count("*").alias("copies")).groupBy("digest").agg(F.count("*").alias("texts"), F.sum("copies").alias("copies"))
     sound = (F.col("texts") == 1) & (F.col("copies") == F.col("expected"))
     groups = wanted.join(verified, "digest").select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import materialize
+from loomspan.plans.storage import Numbered, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Cells of the seeded order of a source's documents: a hot source is dealt over all of them.
@@ -40,12 +40,11 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> D
 
 
 def mix_sources(
-    docs: DataFrame,
+    docs: DataFrame | Numbered,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    row_col: str | None = None,
     weights: tuple[int, ...] = (1, 2, 3),
     max_epochs: int = 3,
     seed: int = 42,
@@ -59,10 +58,11 @@ def mix_sources(
     Nulls: a null text has size 0, a null source is a source of its own that sorts last, a null id is ordered by its
     text. Texts without words take 0. Repeated rows keep their own rows. Ties in the order (equal ids) resolve by
     size, then row. An empty table gives an empty table. Other columns are ignored, whatever their names.
-    row_col names a unique row number of the caller's.
+    docs may come with row numbers, which the result then bears; else rows are numbered here.
     """
-    base = docs.select(
-        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row_id"),
+    row = F.col(docs.row) if isinstance(docs, Numbered) else F.monotonically_increasing_id()
+    base = (docs.df if isinstance(docs, Numbered) else docs).select(
+        row.alias("row_id"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("key"),

@@ -115,10 +115,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # nulls last: (is null, id, row)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first")
     classes = materialize(prints.groupBy("fp").agg(first))
-    links = hamming_links(classes.select("fp"), distance)
+    links = materialize(hamming_links(classes.select("fp"), distance))
     component = connected_components(links).select(F.col("node").alias("fp"), F.col("component"))
     labelled = classes.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    best = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    labelled = materialize(labelled)
+    best = materialize(labelled.groupBy("component").agg(F.min("first").alias("first")))  # written, so AQE can split a large component
     named = labelled.select("fp", "component").join(best, "component").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("first_row"))
     return prints.join(named, "fp").select(
         "doc_id",

@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 import xxhash
 from llm_cases import awkward, clashing, frame, plain_rows, prose
+from pyspark.sql import functions as F
 
 from loomspan.llm import exact_dedup as E
 from loomspan.llm import simhash as S
+from loomspan.plans.storage import number_rows
 
 
 def normal(text):
@@ -49,13 +51,37 @@ def test_exact_groups_at_random(spark):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want
 
 
-def test_exact_small_chunks_and_broadcast_limit(spark, monkeypatch):
-    monkeypatch.setattr(E, "broadcast_if_small", lambda df, width: df)
+def test_exact_small_chunks(spark, monkeypatch):
+    monkeypatch.setattr(E, "CHUNK", 7)
+    monkeypatch.setattr(E, "OWNED", 9)
     rows = [(i, f"text {i // 2}", "en", "s", 1) for i in range(50)]
     got = E.exact_dedup(frame(spark, rows)).collect()
     assert all(r.group_size == 2 and r.keep_id == r.doc_id | 1 for r in got)
 
 
+def test_exact_moves_codes_and_suspects_only(spark, tmp_path, monkeypatch):
+    """What is shuffled: coded messages, bitmaps, and suspects with their texts; never digests of the rest or whole scans."""
+    rows = [(i, f"text {i // 2 if i < 20 else i}", "en", "s", 1) for i in range(200)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/d")
+    plans = []
+
+    def write(df, inner=E.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return inner(df)
+
+    monkeypatch.setattr(E, "materialize", write)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        E.exact_dedup(spark.read.parquet(f"{tmp_path}/d")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    answered, groups = plans
+    assert "Bucketed: true" in answered and answered.count("Exchange hashpartitioning(") == 2  # messages by owner, bitmaps by sender
+    assert all("digests" not in line for line in answered.split("Exchange")[1:] if "FileScan" not in line)
+    scan = groups[groups.index("MapInArrow _texts") : groups.index("FileScan parquet [text")]
+    assert "BroadcastHashJoin" in scan and "Exchange hashpartitioning" not in scan
+
+
 @pytest.mark.parametrize("operator", [E.exact_dedup, S.near_duplicates])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, [])).collect() == []
@@ -134,5 +160,6 @@ def test_near_groups_of_awkward_rows(spark):
 
 def test_rows_keep_the_callers_numbers(spark):
     rows = frame(spark).selectExpr("*", "monotonically_increasing_id() as n")
-    for operator in (E.exact_dedup, S.near_duplicates):
-        assert plain_rows(operator(rows, row_col="n"), "row_id") == plain_rows(rows.withColumnRenamed("n", "row_id"), "row_id")
+    assert plain_rows(S.near_duplicates(rows, row_col="n"), "row_id") == plain_rows(rows.withColumnRenamed("n", "row_id"), "row_id")
+    numbered = number_rows(rows)
+    assert plain_rows(E.exact_dedup(numbered), "row_id") == plain_rows(numbered.df.select(F.col(numbered.row).alias("row_id")), "row_id")

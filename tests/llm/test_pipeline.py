@@ -5,8 +5,9 @@ import random
 import duckdb
 import pytest
 from llm_cases import CLASHES, SCHEMA, prose
-from test_exact_and_near import normal, plain_components, plain_fingerprint
+from test_exact_and_near import normal
 from test_native import water_level
+from test_near_copies import plain_kept
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
@@ -83,10 +84,7 @@ def test_against_brute_force(spark, folder):
             best[key] = n
     exact = [clean[n] for n in sorted(best.values())]
 
-    number = {n: r[0] if r[0] is not None else 10**9 + n for n, r in enumerate(exact)}
-    prints = {number[n]: plain_fingerprint(r[1]) for n, r in enumerate(exact)}
-    heads = set(plain_components(prints).values())
-    near = [r for n, r in enumerate(exact) if number[n] in heads]
+    near = [exact[n] for n in sorted(plain_kept(exact))]
     assert len(near) < len(exact) < len(clean)
 
     copies = _copies(near)
