@@ -109,9 +109,9 @@ def _span_sql(pattern: str, kind: str, rank: int, keep: str, value: str) -> str:
     pattern = pattern.replace("'", "''")
     value = value.replace("PATTERN", pattern)
     return f"""
-  SELECT doc_id, source, {rank} AS rank, '{kind}' AS kind, s - length(hit) AS s, s AS e, {value} AS secret FROM (
-    SELECT doc_id, source, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS s FROM (
-      SELECT doc_id, source, unnest(regexp_extract_all(text, '{pattern}')) AS hit, unnest(regexp_split_to_array(text, '{pattern}')[:-2]) AS gap,
+  SELECT row, {rank} AS rank, '{kind}' AS kind, s - length(hit) AS s, s AS e, {value} AS secret FROM (
+    SELECT row, hit, (sum(length(gap) + length(hit)) OVER (PARTITION BY row ORDER BY i))::BIGINT AS s FROM (
+      SELECT row, unnest(regexp_extract_all(text, '{pattern}')) AS hit, unnest(regexp_split_to_array(text, '{pattern}')[:-2]) AS gap,
              unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS i FROM docs WHERE regexp_matches(text, '{pattern}'))) WHERE {keep.replace("SECRET", value)}"""
 
 
@@ -120,28 +120,28 @@ def _assign_sql(words: str, least: int) -> str:
 
 
 OP2_SQL = rf"""
-WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce('r' || doc_id, 'null') AS repo, coalesce('o' || source, 'null') AS owner, coalesce(text, '') AS text FROM documents),
 base AS ({_assign_sql(_CI, 12)} UNION ALL {_span_sql(secrets.ACCESS, "access", 1, "length(hit) >= 18", "hit")}
   UNION ALL {_span_sql(secrets.HEX, "hex", 2, "true", "hit")}),
 other AS ({_assign_sql(_OTHER, 8)}),
 opaque AS ({_span_sql(secrets.OPAQUE, "hex", 2, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')", "hit")}),
 further AS (
   SELECT * FROM (SELECT * FROM other UNION ALL
-    SELECT * FROM opaque p WHERE NOT EXISTS (SELECT 1 FROM other o WHERE o.doc_id = p.doc_id AND o.s < p.e AND p.s < o.e)) f
-  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.s < f.e AND f.s < b.e)),
-every AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM further),
-frequency AS (SELECT secret, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM every GROUP BY secret),
-judged AS (SELECT e.*, f.owners, f.repos, f.owners > 3 AS example FROM every e JOIN frequency f USING (secret)),
+    SELECT * FROM opaque p WHERE NOT EXISTS (SELECT 1 FROM other o WHERE o.row = p.row AND o.s < p.e AND p.s < o.e)) f
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = f.row AND b.s < f.e AND f.s < b.e)),
+every AS (SELECT e.*, d.repo, d.owner FROM (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM further) e JOIN docs d USING (row)),
+frequency AS (SELECT secret, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM every GROUP BY secret),
+judged AS (SELECT e.*, f.owners, f.repos, f.owners > 2 OR f.repos > 20 AS example FROM every e JOIN frequency f USING (secret)),
 per_doc AS (
-  SELECT doc_id, count_if(is_base AND kind = 'assign') AS n_assign, count_if(is_base AND kind = 'access') AS n_access, count_if(is_base AND kind = 'hex') AS n_hex,
+  SELECT row, count_if(is_base AND kind = 'assign') AS n_assign, count_if(is_base AND kind = 'access') AS n_access, count_if(is_base AND kind = 'hex') AS n_hex,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (is_base) AS base,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (is_base OR NOT example) AS spans,
          count_if(is_base AND example) AS n_example, count_if(is_base AND NOT example) AS n_live, max(owners) AS most_owners, max(repos) AS most_repos
-  FROM judged GROUP BY doc_id)
+  FROM judged GROUP BY row)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0)::BIGINT AS n_example,
        coalesce(n_live, 0)::BIGINT AS n_live, coalesce(most_owners, 0)::BIGINT AS most_owners, coalesce(most_repos, 0)::BIGINT AS most_repos
-FROM docs d LEFT JOIN per_doc USING (doc_id)
+FROM docs d LEFT JOIN per_doc USING (row)
 """
 
 OP8_SQL = """

@@ -108,6 +108,42 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert (got[10].n_example, got[10].n_live, len(got[10].added), got[10].most_owners, got[10].most_repos) == (0, 1, 1, 1, 2)
 
 
+def test_ownership_counts_repeated_rows_and_nulls_once(spark, tmp_path):
+    """Documents 1, 1, 2, 3 under owners a, b, null, c: four owners, three repositories, in the SQL too."""
+    import duckdb
+
+    from loomspan.llm.queries import ORACLE_SQL
+
+    held = "token = SharedShared1234 and pwd = SharedShared1234"
+    rows = [(1, held, "en", "a", 1), (1, held, "en", "b", 1), (2, held, "en", None, 1), (3, held, "en", "c", 1)]
+    rows += [(4 + i, "bearer = CopiedWithin12", "en", "d", 1) for i in range(21)] + [(30, "bearer = Ours1234 \u00e9 ABCDEFGHabcdefgh12345678", "en", "d", 1)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = secrets.digest_columns(secrets.scan_secrets(spark.read.parquet(f"{tmp_path}/documents.parquet")))
+    got = found.collect()
+    assert {(r.most_owners, r.most_repos, r.n_example, r.n_live, r.spans.count(",")) for r in got if r.doc_id < 4} == {(4, 3, 1, 0, 0)}
+    assert {(r.most_owners, r.most_repos, r.spans) for r in got if 4 <= r.doc_id < 30} == {(1, 21, "")}
+    assert [r.spans.count(",") for r in got if r.doc_id == 30] == [1]
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute(ORACLE_SQL["op2_secrets"])
+    names = [d[0] for d in want.description]
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got) == sorted(map(repr, want.fetchall()))
+
+
+def test_secrets_of_dense_texts(spark):
+    """Ten times the matches cost about ten times, not a hundred."""
+    import time
+
+    seconds = []
+    for n in (2000, 2000, 20_000):
+        dense = frame(spark, [(1, "token = Abcdefghijklm1 pwd = abcdefgh " * n, "en", "s", 1)])
+        began = time.time()
+        row = secrets.scan_secrets(dense).select(F.size("base").alias("b"), F.size("added").alias("a")).first()
+        seconds.append(time.time() - began)
+        assert (row.b, row.a) == (n, n)
+    assert seconds[2] < 10 * seconds[1] + 5
+
+
 def test_secrets_of_awkward_rows(spark):
     got = secrets.digest_columns(secrets.scan_secrets(clashing(spark))).collect()
     assert len(got) == len(awkward())
