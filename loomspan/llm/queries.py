@@ -67,7 +67,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
 
 QUERIES = {
@@ -159,11 +159,14 @@ SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (36 - depth)), dep
 """
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS c FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS c FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT vec_id, unnest(c) AS x, unnest(range(len(c))) AS i FROM v),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, sum(q.x * e.x)::BIGINT AS score FROM e q JOIN e ON q.i = e.i AND q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 GROUP BY ALL),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+e AS (SELECT row, vec_id, len(c) AS n, unnest(c) AS x, unnest(range(len(c))) AS i FROM v),
+s AS (
+  SELECT q.row AS query_row, q.vec_id AS query_id, e.row, e.vec_id, sum(q.x * e.x)::BIGINT AS score
+  FROM e q JOIN e ON q.i = e.i AND q.n = e.n AND q.row <> e.row WHERE q.vec_id % 100 = 0 GROUP BY ALL
+  UNION ALL SELECT q.row, q.vec_id, e.row, e.vec_id, 0 FROM v q JOIN v e ON len(q.c) = 0 AND len(e.c) = 0 AND q.row <> e.row WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 

@@ -65,19 +65,19 @@ VECTORS = "vec_id long, embedding array<float>, label int, score int, block int,
 
 
 def plain_search(rows, k):
-    usable = [(i, [int(np.floor(float(np.float32(x)) * 1024)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(n, i, [int(np.floor(float(np.float32(x)) * 1024)) for x in v]) for n, (i, v, *_) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, w in usable:
+    for own, q, w in usable:
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(w, c)), i) for i, c in usable if i != q and len(c) == len(w))[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+            best = sorted((-sum(a * b for a, b in zip(w, c)), i) for n, i, c in usable if n != own and len(c) == len(w))[:k]
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
 @pytest.mark.parametrize(("n", "dims", "scale"), [(700, 16, 0.2), (60, 3, 0.001), (5, 4, 5.0), (230, 8, 0.0)])
 def test_search(spark, monkeypatch, n, dims, scale):
     monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 600)
     rng = np.random.default_rng(n)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 1, dims) * scale], 0, 1, 2, 3) for i in range(n)]
     rows[min(7, n - 1)] = (min(7, n - 1), rows[0][1], 0, 1, 2, 3)  # a tie with the first query's own vector
@@ -93,6 +93,23 @@ def test_search_leaves_out_unusable_vectors(spark):
     assert topk.exact_top_k(spark.createDataFrame([], VECTORS)).collect() == []
 
 
+def test_search_of_empty_huge_and_repeated_vectors(spark):
+    rows = [(0, []), (1, []), (100, []), (2, [3.0]), (200, [1.0]), (200, [1.0]), (3, [40_000.0]), (300, [-50_000.0]), (4, [2.0e6]), (5, [-0.5])]
+    rows = [(i, v, 0, 1, 2, 3) for i, v in rows]
+    got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, VECTORS)).collect())
+    assert got == plain_search(rows, 10)
+    assert [r[2:] for r in got if r[0] == 0] == [(1, 0), (100, 0)]
+    far = [(0, [3.0e30], 0, 1, 2, 3), (1, [3.0e30], 0, 1, 2, 3), (2, [-3.0e30], 0, 1, 2, 3)]
+    got = sorted(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(far, VECTORS)).collect())
+    assert [(r[2], r[3] > 0) for r in got] == [(1, True), (2, False)]
+
+
+def test_search_shuffles_only_the_best(spark):
+    rows = [(i, [float(i % 7), 1.0], 0, 1, 2, 3) for i in range(300)]
+    plan = topk.exact_top_k(spark.createDataFrame(rows, VECTORS))._jdf.queryExecution().executedPlan().toString()
+    assert "slices" not in plan and "components" not in plan
+
+
 def test_bitmap_sums():
     rng = random.Random(3)
     total = [np.zeros((1, 1), np.uint64) for _ in range(12)]
