@@ -40,7 +40,7 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = sentencepiece.load_model(spark, os.environ.get("LOOMSPAN_PIECES", PIECES))
-    return sentencepiece.encode_documents(_texts(spark, sf_dir), model, with_ids=False, with_text=False)
+    return sentencepiece.encode_documents(_texts(spark, sf_dir), model)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ format below, so executors need nothing but numpy.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 #: Characters of text that are taken together, of new words that are indexed together, and words that a worker remembers.
 TEXT_CHARS, BATCH_CHARS, CACHED_WORDS = 2_000_000, 250_000, 250_000
+#: Words beyond this many characters are relaxed by a heap, and the longest piece that a model may have.
+LONG, LONGEST = 256, 62
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -73,6 +76,8 @@ class Model:
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER_DEFINED)]
         if any(SPACE in self.pieces[i].lstrip(SPACE) for i in usable):
             raise ValueError("a piece spans words")  # words could then not be encoded apart
+        if any(len(self.pieces[i]) > LONGEST for i in usable):
+            raise ValueError(f"a piece is longer than {LONGEST} characters")
         self.merge = np.array(usable, np.int32)
         self.lengths = np.array([len(self.pieces[i]) for i in usable])
         self.codes = np.zeros((len(usable), int(self.lengths.max())), np.uint32)
@@ -188,12 +193,74 @@ def match_pieces(model: Model, codes: np.ndarray, separators: np.ndarray) -> tup
     return edges >> 32, lengths[piece], ids[piece]
 
 
+@dataclass
+class Edges:
+    """Edges sorted by position as a graph: of each position the lengths that pieces have there, as bits, and where its
+    edges begin. One word and one number per character, whatever the longest piece."""
+
+    lengths: np.ndarray
+    first: np.ndarray
+    piece: np.ndarray
+    cost: np.ndarray
+
+    @classmethod
+    def of(cls, model: Model, codes: np.ndarray, separators: np.ndarray) -> Edges:
+        start, length, piece = match_pieces(model, codes, separators)
+        counts = np.bincount(start, minlength=len(codes))
+        first = np.cumsum(counts) - counts
+        bits = np.zeros(len(codes), np.uint64)
+        at = np.flatnonzero(counts)
+        if len(at):
+            bits[at] = np.bitwise_or.reduceat(np.uint64(1) << length.astype(np.uint64), first[at])
+        none = np.int32(np.iinfo(np.int32).max)
+        return cls(bits, first.astype(np.int32), np.append(piece, -1).astype(np.int32), np.append(model.rank[piece], none).astype(np.int32))
+
+    def at(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Places of the edges (start, length); the last place stands for none."""
+        bit = np.uint64(1) << np.minimum(length, LONGEST + 1).astype(np.uint64)
+        bits = self.lengths[start]
+        place = self.first[start] + np.bitwise_count(bits & (bit - np.uint64(1)))
+        return np.where(bits & bit != 0, place, len(self.piece) - 1)
+
+
+def _relax_long(edges: Edges, begin: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of one long word: the best edge over two adjoining symbols, leftmost among equals, from a heap."""
+    bits, first, cost = edges.lengths[begin : begin + size].tolist(), edges.first[begin : begin + size].tolist(), edges.cost
+    span, left = [1] * size, [*range(-1, size)]
+    pairs = np.arange(begin, begin + size - 1)
+    place = edges.at(pairs, np.full(len(pairs), 2))
+    there = np.flatnonzero(place < len(edges.piece) - 1)
+    # one number per candidate: rank, then position, then length
+    heap = ((cost[place[there]].astype(object) << 44) | (there.astype(object) << 8) | 2).tolist()
+    heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
+    while heap:
+        entry = pop(heap)
+        i, length = entry >> 8 & 0xFFFFFFFFF, entry & 0xFF
+        one = span[i]
+        j = i + one
+        if not one or j >= size or one + span[j] != length:
+            continue  # one of the two has been merged since
+        span[i], span[j] = length, 0
+        after = i + length
+        if after <= size:
+            left[after] = i
+        for at, n in ((i, length + span[after] if after < size else 0), (left[i], span[left[i]] + length if i else 0)):
+            if n and n <= LONGEST and bits[at] >> n & 1:
+                place = first[at] + (bits[at] & (1 << n) - 1).bit_count()
+                push(heap, int(cost[place]) << 44 | at << 8 | n)
+    spans = np.array(span, np.int32)
+    starts = np.flatnonzero(spans)
+    return (starts + begin).astype(np.int32), spans[starts]
+
+
 def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all words (runs of space marks and what follows), and where each word's ids end.
 
     The words are one indexed text, a separator after each. Edges are relaxed in rounds: in every word at once, the
     edge of the best score that covers two adjoining symbols, leftmost among equals, replaces them, until none is
-    left; this is the order in which byte-pair merges apply. Symbols without a piece fall back to bytes.
+    left; this is the order in which byte-pair merges apply. Words of more than LONG characters take their edges from
+    a heap in the same order, in time of about their length. Symbols without a piece fall back to bytes.
     """
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.int64)
@@ -201,29 +268,26 @@ def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray
     size = np.array([*map(len, words)])
     begin = np.cumsum(size + 1) - (size + 1)
     separators = begin + size
-    longest = int(model.lengths.max())
-    start, length, piece = match_pieces(model, codes, separators)
-    table = np.full((len(codes), longest + 2), -1, np.int32)
-    table[start, length] = piece
+    edges = Edges.of(model, codes, separators)
 
-    symbol = np.delete(np.arange(len(codes), dtype=np.int32), separators)  # where each symbol starts
-    span = np.ones(len(symbol), np.int32)
+    long = size > LONG
+    done = [_relax_long(edges, b, n) for b, n in zip(begin[long].tolist(), size[long].tolist(), strict=True)]
     word = np.repeat(np.arange(len(words), dtype=np.int32), size)
-    done_start, done_span = [], []
-    none = np.int32(np.iinfo(np.int32).max)
-    rank = np.append(model.rank, none).astype(np.int32)  # what is no piece ranks last
+    symbol = np.delete(np.arange(len(codes), dtype=np.int32), separators)[~long[word]]  # where each symbol starts
+    word = word[~long[word]]
+    span = np.ones(len(symbol), np.int32)
+    none = edges.cost[-1]
     while len(symbol):
-        joined = np.minimum(span[:-1] + span[1:], longest + 1)
-        joined[word[:-1] != word[1:]] = longest + 1
-        cost = np.append(rank[table[symbol[:-1], joined]], none)
+        joined = span[:-1] + span[1:]
+        joined[word[:-1] != word[1:]] = LONGEST + 1
+        cost = np.append(edges.cost[edges.at(symbol[:-1], joined)], none)
         heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         counts = np.diff(np.append(heads, len(word)))
         best = np.minimum.reduceat(cost, heads)
         active = best < none
         if not active.all():  # finished words leave the rounds
             stays = np.repeat(active, counts)
-            done_start.append(symbol[~stays])
-            done_span.append(span[~stays])
+            done.append((symbol[~stays], span[~stays]))
             symbol, span, word, cost, best, counts = symbol[stays], span[stays], word[stays], cost[stays], best[active], counts[active]
             if not len(symbol):
                 break
@@ -233,10 +297,10 @@ def encode_words(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray
         keep = np.ones(len(symbol), bool)
         keep[hit + 1] = False
         symbol, span, word = symbol[keep], span[keep], word[keep]
-    starts, spans = np.concatenate(done_start), np.concatenate(done_span)
+    starts, spans = (np.concatenate(x) for x in zip(*done, strict=True))
     order = np.argsort(starts)
     starts, spans = starts[order], spans[order]
-    ids = table[starts, spans]
+    ids = edges.piece[edges.at(starts, spans)]
     missing = np.flatnonzero(ids < 0)
     if len(missing):  # symbols without a piece become bytes
         raw = [chr(c).encode("utf-8", "replace") for c in codes[starts[missing]].tolist()]
@@ -301,8 +365,9 @@ def encode_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", t
     back, and round_trip tells whether it gives the whole text again (the space mark itself reads back as a space).
 
     Nulls: a null or empty text has no tokens and decodes to the empty text. A null id keeps its row. Repeated rows
-    keep their own rows. Long texts are encoded whole. An empty table gives an empty table. Other columns are ignored,
-    whatever their names.
+    keep their own rows. Long texts, and long words without a break, are encoded whole, in time and memory of about
+    their length. Ids must be numbers. An empty table gives an empty table. Other columns are ignored, whatever their
+    names.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -322,8 +387,12 @@ def encode_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id", t
             decoded = [codec.decode(i) for i in ids]
             same = [d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]
             columns = [names, [len(i) for i in ids], [int(is_byte[i].sum()) for i in ids], [hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for i in ids], same]
-            columns += [ids] * with_ids + [decoded] * with_text
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)]
+            if with_ids:
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+            arrays += [pa.array(decoded, pa.string())] * with_text
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
         names, texts, chars = [], [], 0
         for batch in batches:

@@ -41,6 +41,31 @@ def test_forgotten_words_and_wide_alphabets(model, monkeypatch):
         assert [list(x) for x in codec.encode(texts)] == [list(fresh.encode([t])[0]) for t in texts]
 
 
+@needs_model
+def test_long_words_without_a_break(model):
+    """Ids equal the library's on words of a million characters, in seconds, and with short words by the heap too."""
+    import base64
+    import time
+
+    import sentencepiece
+
+    reference = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(17)
+    long = [base64.b64encode(rng.randbytes(750_000)).decode(), "".join(map(chr, rng.choices(range(0x4E00, 0x5E00), k=200_000))), "the" * 100_000, "".join(rng.choices("aeinst", k=30_000))]
+    began = time.time()
+    ids = S.Codec(model).encode(long)
+    assert time.time() - began < 60
+    assert [list(i) for i in ids] == reference.encode(long)
+
+
+@needs_model
+def test_both_ways_of_relaxing_agree(model, monkeypatch):
+    texts = ODD + prose(8, 60)
+    rounds = [list(i) for i in S.Codec(model).encode(texts)]
+    monkeypatch.setattr(S, "LONG", 0)
+    assert [list(i) for i in S.Codec(model).encode(texts)] == rounds
+
+
 def test_edges_are_all_occurrences():
     pieces = ["<unk>", "a", "b", "ab", "ba", "aba", "▁a", "zz"]
     m = S.Model(pieces, [2] + [1] * 7, [0.0, -5, -6, -1, -2, -3, -4, -7])
