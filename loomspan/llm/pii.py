@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 from functools import lru_cache
 
@@ -70,7 +71,9 @@ def base_spans(text: str) -> list[Span]:
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN, EMBEDDING = 16, 12
 WINDOW, STRIDE = 96, 64
-#: Every kind holds a digit or an at-sign; windows without either cannot hold a span and decode to nothing.
+#: Windows that a segment keeps, that it reaches further on each side, and that are decoded at a time.
+SEGMENT, MARGIN, BLOCK = 64, 2, 512
+#: Every kind holds a digit or an at-sign: windows that have none, and none beside them, cannot hold a plausible span.
 CUES = re.compile("[0-9@]")
 _CLASSES = ("\0", "a", "A", "0", "@", ".", "-", "_", "+", "(", ")", " ", "\n", ":", "/", ",", "\"'", "=", "%#$&*!|", "?")
 
@@ -288,58 +291,107 @@ def _viterbi(emissions: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> n
     return tags
 
 
-def tag_runs(model: Tagger, texts: list[str], block: int = 512) -> list[list[Span]]:
-    """Tagged spans of each whole text.
+def _segments(text: str, everywhere: bool) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(first kept character, kept end, start, classes) of a text's segments: neighbouring windows with a cue near them.
 
-    Windows of WINDOW characters start every STRIDE characters of a text. Windows without a cue decode to nothing.
-    Where windows overlap, a character's emissions come from the window in which it lies deeper; neighbouring windows
-    form one run, decoded by one Viterbi pass, so a span across windows is one span.
+    Windows of WINDOW characters start every STRIDE characters. Those with a cue and those beside them are taken; a
+    run of windows is cut into segments of SEGMENT windows, which reach MARGIN windows over what they keep.
     """
-    found: list[list[Span]] = [[] for _ in texts]
-    windows, owners = [], []  # (classes), (text, window's number)
-    for i, text in enumerate(texts):
-        if not CUES.search(text):
-            continue
-        classes = classes_of(text)
+    if not (everywhere or CUES.search(text)):
+        return
+    classes = classes_of(text)
+    last = max(0, -(-(len(classes) - WINDOW) // STRIDE))
+    if everywhere:
+        numbers = np.arange(last + 1)
+    else:
         cues = np.flatnonzero((classes == 3) | (classes == 4))
-        last = max(0, -(-(len(classes) - WINDOW) // STRIDE))
-        numbers = np.unique(np.concatenate([np.minimum(cues // STRIDE, last), np.clip((cues - WINDOW + STRIDE) // STRIDE, 0, last)]))
-        for k in numbers.tolist():
+        near = np.unique(np.concatenate([np.minimum(cues // STRIDE, last), np.clip((cues - WINDOW + STRIDE) // STRIDE, 0, last)]))
+        numbers = np.unique(np.clip(near[:, None] + np.arange(-1, 2), 0, last))
+    for run in np.split(numbers, np.flatnonzero(np.diff(numbers) > 1) + 1):
+        for at in range(0, len(run), SEGMENT):
+            low, high = run[max(0, at - MARGIN)], run[min(len(run), at + SEGMENT + MARGIN) - 1]
+            ends = at + SEGMENT >= len(run)
+            keep = int(run[at]) * STRIDE, min(len(classes), int(run[-1]) * STRIDE + WINDOW if ends else int(run[at + SEGMENT]) * STRIDE)
+            yield *keep, int(low) * STRIDE, classes[int(low) * STRIDE : int(high) * STRIDE + WINDOW]
+
+
+def _decode(model: Tagger, segments: list[np.ndarray]) -> list[np.ndarray]:
+    """Tags of class sequences. Where windows overlap, a character's emissions come from the window in which it lies
+    deeper; each sequence is decoded by one Viterbi pass."""
+    windows = []
+    for classes in segments:
+        for k in range(0, max(1, -(-(len(classes) - WINDOW) // STRIDE) + 1)):
             part = classes[k * STRIDE : k * STRIDE + WINDOW]
             windows.append(part if len(part) == WINDOW else np.concatenate([part, np.zeros(WINDOW - len(part), np.uint8)]))
-            owners.append((i, k, len(part)))
+    emitted = _run(model, np.stack(windows))
     overlap = (WINDOW - STRIDE) // 2
-    pending: list[tuple[int, int, np.ndarray]] = []  # text, start, emissions
-    for a in range(0, len(windows), block):
-        emissions = _run(model, np.stack(windows[a : a + block]))
-        for (i, k, n), e in zip(owners[a : a + block], emissions, strict=True):
-            joins = bool(pending) and pending[-1][0] == i and pending[-1][3] == k - 1
-            if joins:
-                pending[-1][2][-1] = pending[-1][2][-1][: len(pending[-1][2][-1]) - overlap]
-                pending[-1][2].append(e[WINDOW - STRIDE - overlap : n])
-                pending[-1][3] = k
-            else:
-                pending.append([i, k * STRIDE, [e[:n]], k])
-    runs = sorted(((i, start, np.concatenate(parts)) for i, start, parts, _ in pending), key=lambda r: len(r[2]))
+    lengths = np.array([*map(len, segments)])
+    padded = np.zeros((len(segments), lengths.max(), TAGS), np.float32)
+    at = 0
+    for r, n in enumerate(lengths.tolist()):
+        count = max(1, -(-(n - WINDOW) // STRIDE) + 1)
+        for k in range(count):
+            begin = overlap if k else 0
+            end = min(n - k * STRIDE, WINDOW if k == count - 1 else STRIDE + overlap)
+            padded[r, k * STRIDE + begin : k * STRIDE + end] = emitted[at + k, begin:end]
+        at += count
+    return [tags[:n] for tags, n in zip(_viterbi(padded, lengths, model.trans), lengths.tolist(), strict=True)]
+
+
+def tag_runs(model: Tagger, texts: list[str], everywhere: bool = False) -> list[list[Span]]:
+    """Tagged spans of each whole text; everywhere: also far from any digit and at-sign, where no span is plausible.
+
+    Segments are decoded some BLOCK windows at a time, like lengths together where many are short, and joined again
+    over each text, so a span across windows or segments is one span and memory follows the text by a byte a character.
+    """
+    tags: list[list[tuple[int, np.ndarray]]] = [[] for _ in texts]
+    held: list[tuple[int, int, int, int, np.ndarray]] = []
+    windows = 0
+
+    def flush() -> None:
+        held.sort(key=lambda h: len(h[4]))
+        a = 0
+        while a < len(held):
+            b = a
+            while b < len(held) and len(held[b][4]) <= max(2 * len(held[a][4]), 256):
+                b += 1
+            for (i, first, end, start, _), own in zip(held[a:b], _decode(model, [h[4] for h in held[a:b]]), strict=True):
+                tags[i].append((first, own[first - start : end - start]))
+            a = b
+        held.clear()
+
+    for i, text in enumerate(texts):
+        for segment in _segments(text, everywhere):
+            held.append((i, *segment))
+            windows += -(-len(segment[3]) // STRIDE)
+            if windows >= BLOCK:
+                flush()
+                windows = 0
+    flush()
+    found: list[list[Span]] = [[] for _ in texts]
+    for i, parts in enumerate(tags):
+        parts.sort(key=lambda p: p[0])
+        for begin, row in _joined(parts):
+            inside = np.flatnonzero(row % 2 == 1)
+            ends = np.append(np.flatnonzero((row[1:] != row[:-1]) | (row[1:] % 2 == 1)) + 1, len(row))
+            for at in inside.tolist():  # a span goes on while the inside tag of its kind does
+                end = int(ends[np.searchsorted(ends, at, "right")])
+                if end == at + 1 and end < len(row) and row[end] == row[at] + 1:
+                    end = int(ends[np.searchsorted(ends, end, "right")])
+                found[i].append((begin + at, int(row[at]) // 2, begin + end))
+    return found
+
+
+def _joined(parts: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Adjoining parts as one."""
     a = 0
-    while a < len(runs):
-        b, longest = a, len(runs[a][2])
-        while b < len(runs) and (b - a) < block and len(runs[b][2]) <= max(2 * longest, 256):
+    while a < len(parts):
+        b, end = a + 1, parts[a][0] + len(parts[a][1])
+        while b < len(parts) and parts[b][0] == end:
+            end += len(parts[b][1])
             b += 1
-        group = runs[a:b]
-        lengths = np.array([len(e) for _, _, e in group])
-        padded = np.zeros((len(group), lengths.max(), TAGS), np.float32)
-        for r, (_, _, e) in enumerate(group):
-            padded[r, : len(e)] = e
-        for (i, start, _), tags, n in zip(group, _viterbi(padded, lengths, model.trans), lengths, strict=True):
-            row = tags[:n]
-            for at in np.flatnonzero(row % 2 == 1).tolist():
-                end = at + 1
-                while end < n and row[end] == row[at] + 1:
-                    end += 1
-                found[i].append((start + at, int(row[at]) // 2, start + end))
+        yield parts[a][0], np.concatenate([p for _, p in parts[a:b]])
         a = b
-    return found
 
 
 def plausible(kind: int, text: str) -> bool:

@@ -172,6 +172,41 @@ def test_windows_are_reconciled(tagger):
     assert hits >= 16
 
 
+def test_windows_without_cues_hold_nothing(tagger):
+    """What is added equals what a decoding of every window adds."""
+    examples = [t for t, _ in pii.labelled_examples(60, seed=5)]
+    texts = examples + [" ".join(prose(i, 40)) + t + " ".join(prose(50 + i, 40)) for i, t in enumerate(examples[:40])] + prose(9, 50) + [r[1] or "" for r in awkward()]
+    texts += ["a" * 90 + " @ " + "b1" * 10 + ".example.com", "x" * 200 + " (030) 555-1234 " + "y" * 200]
+    every = []
+    for text, tagged in zip(texts, pii.tag_runs(tagger, texts, everywhere=True), strict=True):
+        every.append(sorted((s, k, e) for s, k, e in tagged if pii.plausible(k, text[s:e].strip())))
+    near = [sorted((s, k, e) for s, k, e in tagged if pii.plausible(k, t[s:e].strip())) for t, tagged in zip(texts, pii.tag_runs(tagger, texts), strict=True)]
+    assert near == every and sum(map(len, every)) > 100
+
+
+def test_segments_do_not_matter(tagger, monkeypatch):
+    text = " ".join(t for t, _ in pii.labelled_examples(60, seed=6))
+    whole = [pii.tag_runs(tagger, [text])]
+    for segment, block in ((3, 8), (1, 1), (10_000, 10_000)):
+        monkeypatch.setattr(pii, "SEGMENT", segment)
+        monkeypatch.setattr(pii, "BLOCK", block)
+        whole.append(pii.tag_runs(tagger, [text]))
+    assert whole[0] == whole[1] == whole[2] == whole[3] and len(whole[0][0]) > 50
+
+
+def test_tagging_takes_memory_by_segments(tagger):
+    import tracemalloc
+
+    peaks = []
+    for n in (60, 240):
+        text = " 12 +49 (30) 1234 word" * (100 * n)
+        tracemalloc.start()
+        pii.tag_runs(tagger, [text])
+        peaks.append((tracemalloc.get_traced_memory()[1], len(text)))
+        tracemalloc.stop()
+    assert peaks[1][0] - peaks[0][0] < 60 * (peaks[1][1] - peaks[0][1])
+
+
 def test_pii_of_awkward_rows(spark, tagger):
     got = pii.find_pii(clashing(spark), tagger=tagger).collect()
     assert len(got) == len(awkward())
