@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomspan.plans.storage import small_batches
 
 DIMS = 2048
-#: Documents that the scorer is fitted on, in the order of a hash of their ids; every document is voted on and scored.
+#: Documents that the scorer is fitted on, in the order of a hash of id and text; every document is voted on and scored.
 MAX_SAMPLE = 4000
 KEEP_FROM = 0.2
 #: The share of good documents that the label model assumes; left free, it and the accuracies of labellers that only
@@ -160,9 +160,9 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     # the share of hashed ids that fills the sample: what reaches the driver does not grow with the corpus
     share = min(1.0, 1.2 * MAX_SAMPLE / max(1, sum(patterns.values())))
-    name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text")))
-    place = F.xxhash64(name, F.monotonically_increasing_id()).bitwiseAND((1 << 48) - 1)  # rows that repeat an id are spread too
-    sample = texts.withColumn("place", place).filter(F.col("place") < int(share * (1 << 48)))
+    # rows of one id and text are one of the sample, so no group of them fills it and reruns agree under any splits
+    place = F.xxhash64(F.lit("quality"), F.col("doc_id").cast("string"), "text").bitwiseAND((1 << 48) - 1)
+    sample = texts.withColumn("place", place).filter(F.col("place") < int(share * (1 << 48))).groupBy("place").agg(F.min("text").alias("text"))
 
     def vectors(frames):
         for frame in frames:

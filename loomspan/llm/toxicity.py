@@ -30,6 +30,8 @@ THRESHOLD = 0.7
 CACHED_TOKENS = 100_000
 #: Tokens whose subsequences are laid out at a time.
 BLOCK = 4_000
+#: Multipliers of the min-hashes that find near copies in the labelled sample.
+MIN_HASHES = (1, 2654435761, 40503, 2246822519, 3266489917, 668265263, 374761393, 1103515245)
 
 _SPLIT = re.compile(r"(?<=[.!?])\s+|\n")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -164,12 +166,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30
 
 
 def _spread(documents: list[set[str]]) -> list[set[str]]:
-    """One of each group of near copies, which would make a shared text look like a shared word."""
-    seen, kept = set(), []
+    """One of each group of near copies, which would make a shared text look like a shared word: a document goes if
+    half of its words and a kept one's are common; candidates share a pair of min-hashes."""
+    alike: dict[tuple, list[int]] = {}
+    kept: list[set[str]] = []
     for d in documents:
-        mark = min((zlib.crc32(t.encode()) for t in d if len(t) >= 8), default=len(kept))
-        if mark not in seen:
-            seen.add(mark)
+        hashed = [zlib.crc32(t.encode()) for t in d]
+        least = [min((h * m % 4294967311 for h in hashed), default=-1) for m in MIN_HASHES]
+        marks = [(i, *least[i : i + 2]) for i in range(0, len(least), 2)]
+        if not any(3 * len(d & kept[at]) >= len(d) + len(kept[at]) for at in {at for mark in marks for at in alike.get(mark, ())}):  # Jaccard of 0.5
+            for mark in marks:
+                alike.setdefault(mark, []).append(len(kept))
             kept.append(d)
     return kept
 
@@ -178,16 +185,17 @@ def _fit_machine(positives: list[str], negatives: list[str], merit: dict[str, fl
     """The support vector machine over landmarks, two thirds of them the positives of most merit."""
     best = sorted(positives, key=lambda t: (-merit.get(t, 0.0), t))[: LANDMARKS * 2 // 3]
     landmarks = best + [negatives[i] for i in rng.choice(len(negatives), min(len(negatives), LANDMARKS - len(best)), replace=False)]
-    basis = kernel_features([pieces(t)[0] for t in landmarks])
-    values, vectors = np.linalg.eigh(basis @ basis.T + 1e-6 * np.eye(len(landmarks)))
+    basis = kernel_features([p for t in landmarks for p in pieces(t)])
+    values, vectors = np.linalg.eigh(basis @ basis.T + 1e-6 * np.eye(len(basis)))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    examples = [pieces(t)[0] for t in positives + negatives]
-    z = np.empty((len(examples), len(landmarks)))
+    toxic, ordinary = ([p for t in tokens for p in pieces(t)] for tokens in (positives, negatives))
+    examples = toxic + ordinary
+    z = np.empty((len(examples), len(basis)))
     for at, hashed, weight in subsequences(examples):
         z[at] = np.stack([(landmark[hashed] @ weight) for landmark in basis], axis=1)
     z = np.hstack([z @ root, np.ones((len(examples), 1))])
-    y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-    w = _machine(z, y, np.where(y > 0, len(negatives) / max(1, len(positives)) / 4, 1.0))
+    y = np.array([1.0] * len(toxic) + [-1.0] * len(ordinary))
+    w = _machine(z, y, np.where(y > 0, len(ordinary) / max(1, len(toxic)) / 4, 1.0))
     return (basis.T @ (root @ w[:-1])).astype(np.float32), float(w[-1])
 
 
@@ -244,7 +252,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[list[set[str]], list[set[str]]]:
-    """Token sets of at most MAX_TOXIC and MAX_CLEAN labelled documents that are not held out.
+    """Token sets of at most MAX_TOXIC and MAX_CLEAN labelled documents that are not held out, one for each id.
 
     The sample is bounded before any text is touched: counts give each class the share of its hashed ids that fills
     it, so what reaches the driver does not grow with the corpus or its partitions.
@@ -266,7 +274,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield pd.DataFrame({"id": frame["id"], "toxic": frame["toxic"], "tokens": [sorted(tokens_of(t)) for t in frame["text"]]})
 
     small_batches(docs.sparkSession)
-    rows = sorted((r.id, r.toxic, tuple(map(sys.intern, r.tokens))) for r in texts.mapInPandas(extract, "id long, toxic int, tokens array<string>").collect())
+    extracted = texts.mapInPandas(extract, "id long, toxic int, tokens array<string>")
+    once = extracted.groupBy("id", "toxic").agg(F.min("tokens").alias("tokens"))  # an id may repeat in documents
+    rows = sorted((r.id, r.toxic, tuple(map(sys.intern, r.tokens))) for r in once.collect())
     return [set(t) for _, label, t in rows if label], [set(t) for _, label, t in rows if not label]
 
 
@@ -317,8 +327,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     Nulls: a null or empty text has no words and gets the score of such a text (low); a null id is not held out.
     Labels with a null id or a value other than 0 and 1 are not used; of repeated labels the larger counts. Without
-    labels of both classes every score is low. Repeated rows keep their own rows. An empty table gives an empty table.
-    Other columns are ignored, whatever their names.
+    labels of both classes every score is low. Repeated rows keep their own rows; of the documents of one labelled id
+    the first in the order of their words is learned from. An empty table gives an empty table. Other columns are
+    ignored, whatever their names.
     """
     score = score_udf(docs, fit_toxicity(docs, labels, id_col=id_col, text_col=text_col))
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))

@@ -37,6 +37,29 @@ def test_label_model_learns_who_is_right():
     assert posterior["bb-----"] < 0.1 and posterior["----g--"] > 0.9 and quality.estimate({}) == {}
 
 
+def test_quality_against_a_plain_version(spark):
+    """Expectation-maximisation document by document, and scores as plain dot products, under other splits too."""
+    rows, _ = _quality_rows(150)
+    said = [quality.votes(t) for _, t, *_ in rows]
+    base = np.log(quality.GOOD_SHARE / (1 - quality.GOOD_SHARE))
+    sign = np.array([[(c == "g") - (c == "b") for c in v] for v in said], float)
+    good = 1 / (1 + np.exp(-base - sign.sum(axis=1)))
+    for _ in range(60):
+        accuracy = []
+        for j in range(sign.shape[1]):
+            right = sum(g if x > 0 else 1 - g for g, x in zip(good, sign[:, j]) if x)
+            accuracy.append(min(0.995, max(0.55, (right + 8) / (np.count_nonzero(sign[:, j]) + 10))))
+        odds = np.array([base + sum(x * np.log(a / (1 - a)) for x, a in zip(row, accuracy)) for row in sign])
+        good = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows)).collect()}
+    assert [got[i].posterior for i in range(len(rows))] == pytest.approx(good.tolist(), abs=1e-6)
+    w, b = quality.fit_linear(np.stack([quality.document_vector(t) for _, t, *_ in rows]), good)
+    plain = [1 / (1 + np.exp(-(quality.document_vector(t).astype(float) @ w + b))) for _, t, *_ in rows]
+    assert [got[i].score for i in range(len(rows))] == pytest.approx(plain, abs=0.02)
+    again = {r.doc_id: r.score for r in quality.quality(frame(spark, rows).repartition(7)).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()}, abs=1e-9)
+
+
 def test_quality_of_awkward_rows(spark):
     got = quality.quality(clashing(spark)).collect()
     assert len(got) == len(awkward()) and {r.votes for r in got if r.doc_id in (3, 4)} == {"-" * 7}
@@ -79,6 +102,37 @@ def test_toxicity_on_held_out_rows(spark, toxic):
     assert np.mean(right) > 0.96 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
 
 
+def test_kernel_against_all_subsequences():
+    """Hashed features give the kernel of all gappy subsequences, enumerated one by one."""
+    from itertools import combinations
+
+    def plain(word):
+        out = {}
+        for at in combinations(range(len(word) + 1), toxicity.LENGTH):
+            if at[-1] - at[0] < toxicity.SPAN:
+                key = tuple(("^" + word)[i] for i in at)
+                out.setdefault(key, []).append(toxicity.DECAY ** (at[-1] - at[0] + 1 - toxicity.LENGTH))
+        norm = np.sqrt(sum(w * w for ws in out.values() for w in ws))
+        return {k: sum(ws) / norm for k, ws in out.items()}
+
+    words = ["worthless", "wortthless", "w0rthless"[:1] + "orthles", "idiot", "theringon", "the", "idioot", "character"]
+    features = toxicity.kernel_features(words)
+    want = [[sum(v * b.get(k, 0.0) for k, v in a.items()) for b in map(plain, words)] for a in map(plain, words)]
+    assert features @ features.T == pytest.approx(np.array(want), abs=0.03)
+
+
+def test_near_copies_leave_the_training_sample_and_others_stay():
+    rng = random.Random(2)
+    documents = [set(t.split()) for t in prose(71, 80)]
+    copies = [d | {f"new{rng.random()}"} for d in documents if len(d) > 8]
+    kept = toxicity._spread(documents + copies)
+    plain = []
+    for d in documents:
+        if not any(3 * len(d & e) >= len(d) + len(e) for e in plain):
+            plain.append(d)
+    assert len(plain) <= len(kept) <= len(plain) + 3
+
+
 def test_gapped_and_inserted_characters(toxic):
     model = toxic[2]
     plain, odd = model.token_scores(["worthless", "zorgbal"]), model.token_scores(["wortthless", "zorgpobal"])
