@@ -24,7 +24,7 @@ from loomspan.plans.storage import release_memory, small_batches
 SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 #: Characters of text that are taken together, of new words that are indexed together, and words that a worker remembers.
-TEXT_CHARS, BATCH_CHARS, CACHED_WORDS = 2_000_000, 250_000, 250_000
+TEXT_CHARS, BATCH_CHARS, CACHED_WORDS = 500_000, 250_000, 200_000
 #: Words beyond this many characters are relaxed by a heap, and the longest piece that a model may have.
 LONG, LONGEST = 256, 62
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
