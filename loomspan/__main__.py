@@ -1,4 +1,4 @@
-"""python -m loomspan: break, author, learn, merge, play, quest, book, chain.
+"""python -m loomspan: break, author, learn, merge, play, quest, book, chain, export.
 
 Exit status 0: done; 2: bad input; 1: an internal error.
 """
@@ -12,7 +12,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from loomspan.operators.cassette import Cassette
+from loomspan.operators.cassette import Cassette, RemoteModel, default_model
 from loomspan.plans import pipelines as P
 from loomspan.sources import writers
 
@@ -30,17 +30,31 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument(f"--{f.replace('_', '-')}", type=kind)
         return s
 
-    add("break", "input", max_items=int, token_budget=int, cassette=str)
-    add("author", "graph", token_budget=int, cassette=str)
+    model = {"token_budget": int, "cassette": str, "model": str}
+    add("break", "input", max_items=int, **model)
+    add("author", "graph", **model)
     add("learn", "beats", "script")
     add("merge", "inputs")
-    add("play", "beats", script=str, save=str, resume=str, max_retries=int)
-    add("quest", "beats", "graph", responses=str, save=str, resume=str, max_retries=int, max_steps=int)
+    add("play", "beats", script=str, actor=str, save=str, resume=str, max_retries=int)
+    add("quest", "beats", "graph", responses=str, actor=str, save=str, resume=str, max_retries=int, max_steps=int)
     add("book", "inputs", responses=str, max_retries=int, max_steps=int)
-    add("chain", "inputs", responses=str, max_retries=int, max_steps=int, max_items=int, token_budget=int, cassette=str)
+    add("chain", "inputs", responses=str, max_retries=int, max_steps=int, max_items=int, **model)
+    add("export", "store")
     return p
 
 
+def _model(args: argparse.Namespace):
+    """The remote model, recorded replies, the default ones, or none (--model remote, recorded, rules)."""
+    kind = getattr(args, "model", None)
+    if kind not in (None, "remote", "recorded", "rules"):
+        raise ValueError("--model is remote, recorded or rules")
+    if kind == "remote":
+        return RemoteModel.configured()
+    if getattr(args, "cassette", None):
+        return Cassette.from_file(args.cassette)
+    return default_model() if kind != "rules" and hasattr(args, "cassette") else None
+
+
 def _json(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
@@ -64,36 +78,30 @@ def _attempt(line: str) -> dict:
 def run(args: argparse.Namespace, spark: SparkSession) -> str:
     out = lambda name: os.path.join(args.out, name)
     given = {k: getattr(args, k) for k in ("max_retries", "max_steps") if getattr(args, k, None) is not None}
-    model = Cassette.from_file(args.cassette) if getattr(args, "cassette", None) else None
+    given |= {k: getattr(args, k) for k in ("actor", "resume", "save") if getattr(args, k, None)}
+    model = _model(args)
     name = lambda path: os.path.splitext(os.path.basename(path))[0]
     if args.command == "break":
         counts = P.break_file(spark, args.input, args.out, max_items=args.max_items or P.MAX_ITEMS, model=model, budget=args.token_budget)
         return f"ITEMS={counts['items']} EDGES={counts['edges']} STATES={counts['states']} FRINGE0={counts['fringe']} TOKENS={model.total_tokens if model else 0}"
     if args.command == "author":
-        story = P.author_story(spark, _json(args.graph), model, args.token_budget)
-        if issues := P.story_issues(spark, story):
-            raise ValueError(f"invalid story: {issues[0]}")
-        writers.write_document(story, out("beats.json"))
-        return f"BEATS={len(story['beats'])} CHECKS={len(story['checks'])}"
+        story = P.author(spark, _json(args.graph), args.out, model, args.token_budget)
+        return f"BEATS={len(story['beats'])} CHECKS={len(story['checks'])} PRUNED={story['metadata']['pruned']}"
+    if args.command == "export":
+        return f"STATEMENTS={writers.export_statements(spark, args.store, args.out)}"
     if args.command in ("learn", "play"):
-        attempts = _json(args.script)["attempts"] if args.script else [_attempt(x) for x in _lines(None) if x.strip()]
-        learner = writers.load_state(args.resume) if getattr(args, "resume", None) else None
-        learner = P.play_attempts(_json(args.beats), attempts, learner, given.get("max_retries", 1))
-        writers.write_document(learner.summary(), out("session.json"))
-        if getattr(args, "save", None):
-            writers.save_state(learner, args.save)
-        return f"ATTEMPTS={learner.attempts} PASSED={learner.passed} XP={learner.xp}"
+        script = _json(args.script) if args.script else {"attempts": [_attempt(x) for x in _lines(None) if x.strip()]}
+        if not isinstance(script.get("attempts"), list):
+            raise ValueError("a script needs attempts")
+        given.setdefault("actor", script.get("actor") or "learner")
+        session = P.play(spark, _json(args.beats), script["attempts"], args.out, **given)
+        return f"ATTEMPTS={session['attempts']} PASSED={session['passed']} XP={session['xp']}"
     if args.command == "merge":
-        document, counts = P.merge_documents(spark, {name(p): _json(p) for p in args.inputs})
-        writers.write_document(document, out("book.json"))
+        counts = P.merge_files(spark, {name(p): _json(p) for p in args.inputs}, args.out)
         return " ".join(f"{k.upper()}={v}" for k, v in counts.items())
     responses = P.parsed(_lines(args.responses))
     if args.command == "quest":
-        learner = writers.load_state(args.resume) if args.resume else None
-        session, learner = P.play_quest(_json(args.beats), _json(args.graph), responses, learner, **given)
-        writers.write_document(session, out("session.json"))
-        if args.save:
-            writers.save_state(learner, args.save)
+        session = P.quest(spark, _json(args.beats), _json(args.graph), responses, args.out, **given)
     elif args.command == "book":
         session = P.book_quest(spark, {name(p): _json(p) for p in args.inputs}, responses, args.out, **given)
     else:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import deque
 from dataclasses import asdict, dataclass, field
+from typing import ClassVar
 from decimal import ROUND_HALF_EVEN, Decimal
 from typing import Any
 
@@ -81,6 +82,13 @@ class Learner:
     run_length: int = 0
     run_failed: bool = False
     picks: int = 0
+    #: Statements of this run, kept only where a run sets a list; no part of the saved state.
+    told: ClassVar[list[dict] | None] = None
+
+    def _say(self, verb: str, thing: str, **result) -> None:
+        self.statements += 1
+        if self.told is not None:
+            self.told.append({"verb": verb, "object": thing, "result": result, "timestamp": self.step})
 
     @classmethod
     def loads(cls, text: str | None) -> Learner:
@@ -92,7 +100,7 @@ class Learner:
     def visit(self, beat: str) -> None:
         if beat not in self.visited:
             self.visited.append(beat)
-            self.statements += 1
+            self._say("experienced", beat)
 
     def attempt(self, beat: str, check: str, item: str, score: float, max_score: float, ok: bool, max_retries: int = 1) -> bool:
         """Take one graded attempt; False if the retry cap skips it."""
@@ -106,7 +114,8 @@ class Learner:
             self.run_failed = not ok
         self.retries_used += retry
         self.visit(beat)
-        self.statements += 2
+        for verb in ("attempted", "passed" if ok else "failed"):
+            self._say(verb, check, score=score, success=bool(ok))
         self._learn(item, ok, score / max_score if max_score else 0.0)
         self._flow(ok)
         self.passed += ok
@@ -122,7 +131,8 @@ class Learner:
         learned = before + (1.0 - before) * L.P_LEARN
         hit, miss = (1.0 - L.P_SLIP, L.P_GUESS) if ok else (L.P_SLIP, 1.0 - L.P_GUESS)
         after = self.mastery[item] = learned * hit / (learned * hit + (1.0 - learned) * miss)
-        self.statements += before < L.MASTERED <= after
+        if before < L.MASTERED <= after:
+            self._say("mastered", item, p=after)
         s = self.stability.get(item, 1.0)
         self.stability[item] = s * (1.0 + part) if part >= L.PASS_GRADE else max(1.0, s * part)
         self.last_review[item] = self.step

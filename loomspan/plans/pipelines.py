@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ MAX_ITEMS, HARD_LIMIT, DEGRADED_ITEMS = 300, 2000, 10
 EXTRACT, ANALYZE, STORY = "EXTRACT", "ANALYZE", "STORY"
 
 
+def now() -> str:
+    """The time of a run, for metadata only."""
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
 @dataclass
 class Broken:
     """A text broken into its graph: tables of one or many documents, keyed by doc_id or graph."""
@@ -74,7 +80,7 @@ def break_texts(spark: SparkSession, texts: DataFrame, *, max_items: int = MAX_I
     if isinstance(max_items, bool) or not isinstance(max_items, int) or not 1 <= max_items <= HARD_LIMIT:
         raise ValueError(f"max_items must be an integer from 1 to {HARD_LIMIT}")
     degraded: list[str] = []
-    blocks = materialize(B.blocks(texts))
+    blocks = materialize(B.blocks(texts, page_col="page" if "page" in texts.columns else None))
     if model is not None and blocks.isEmpty():
         model = None  # nothing to ask about
     terms = B.term_rows(blocks)
@@ -117,9 +123,9 @@ def _extract_prompts(blocks: DataFrame) -> DataFrame:
 
 def break_file(spark: SparkSession, path: str, outdir: str, **options) -> dict:
     """One text file to its graph document and report; returns the counts."""
-    texts = readers.read_texts(spark, path).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page", "text"))).getField("text"), "\n\n").alias("text"))
-    b = break_texts(spark, texts, **options)
+    b = break_texts(spark, readers.read_texts(spark, path), **options)
     document, counts = graph_document(b, os.path.splitext(os.path.basename(path))[0])
+    document["metadata"] |= {"sources": [path], "changes": [f"{now()} broken into {counts['items']} items"]}
     writers.write_document(document, os.path.join(outdir, "graph_v1.json"))
     writers.write_report([f"# {path}", *(f"- {k}: {v}" for k, v in counts.items())], os.path.join(outdir, "report.md"))
     return counts
@@ -169,7 +175,10 @@ def merge_documents(spark: SparkSession, documents: dict[str, dict], name: str =
     fringe = sorted(r.id for r in G.fringe(blank, merged, joined).collect())
     states = [r.state for r in space.orderBy("part", "ordinal").select("state").collect()]
     overflow = not space.filter("part is not null").isEmpty()
-    document = {"metadata": {"chapter": name, "version": "1", "overflow": overflow}, "items": out, "surmise": pairs, "states": states, "fringe_cache": {"": fringe}}
+    # lists of all chapters one after the other, and the merge as the last change
+    sources, changes = ([x for d in documents.values() for x in (d.get("metadata") or {}).get(k) or []] for k in ("sources", "changes"))
+    metadata = {"chapter": name, "chapters": list(documents), "version": "1", "overflow": overflow, "sources": sources, "changes": [*changes, f"{now()} merged {len(documents)} chapters"]}
+    document = {"metadata": metadata, "items": out, "surmise": pairs, "states": states, "fringe_cache": {"": fringe}}
     return document, {"chapters": len(documents), "items": len(out), "edges": len(pairs), "states": len(states), "fringe": len(fringe), "overflow": overflow}
 
 
@@ -254,33 +263,90 @@ def play_quest(story: dict, document: dict, responses: list, learner: Learner |
     return learner.summary() | {"transcript": transcript, "completion": {"reason": reason, "picks": learner.picks, "visited": len(learner.visited)}}, learner
 
 
+def _sound(spark: SparkSession, story: dict) -> None:
+    if issues := story_issues(spark, story):
+        raise ValueError(f"invalid story: {issues[0]}")
+
+
+def author(spark: SparkSession, document: dict, outdir: str, model: TextModel | None = None, budget: int | None = None) -> dict:
+    """A graph document to a checked story document and its report."""
+    story = author_story(spark, document, model, budget)
+    _sound(spark, story)
+    writers.write_document(story, os.path.join(outdir, "beats.json"))
+    counts = {"beats": len(story["beats"]), "checks": len(story["checks"]), "tokens": model.total_tokens if model else 0} | story["metadata"]
+    writers.write_report(["# Story", *(f"- {k}: {v}" for k, v in counts.items())], os.path.join(outdir, "report.md"))
+    return story
+
+
+def merge_files(spark: SparkSession, documents: dict[str, dict], outdir: str) -> dict:
+    """Chapters to one graph document and its report; returns the counts."""
+    document, counts = merge_documents(spark, documents)
+    writers.write_document(document, os.path.join(outdir, "book.json"))
+    writers.write_report([f"# Merge of {', '.join(documents)}", *(f"- {k}: {v}" for k, v in counts.items())], os.path.join(outdir, "report.md"))
+    return counts
+
+
+def _record(title: str, session: dict, learner: Learner, outdir: str, actor: str, resumed: bool, save: str | None) -> dict:
+    """Session, statements, report and state of a run; a resumed run goes on in the store and the report."""
+    session["stored"] = writers.write_told(learner.told or [], os.path.join(outdir, "xapi.jsonl"), actor, resumed)
+    writers.write_document(session, os.path.join(outdir, "session.json"))
+    shown = {"visited": len(session["beats_visited"])} | {k: v for k, v in session.items() if isinstance(v, (int, float))}
+    if done := session.get("completion"):
+        shown |= {"reason": done["reason"], "picks": done["picks"]}
+    writers.write_report([f"# {title}", *(f"- {k}: {v}" for k, v in shown.items())], os.path.join(outdir, "report.md"), resumed)
+    if save:
+        writers.save_state(learner, save)
+    return session
+
+
+def _learner(resume: str | None) -> Learner:
+    learner = writers.load_state(resume) if resume else Learner()
+    learner.told = []
+    return learner
+
+
+def play(spark: SparkSession, story: dict, attempts: list[dict], outdir: str, *, actor: str = "learner", resume: str | None = None, save: str | None = None, max_retries: int = 1) -> dict:
+    """Scripted attempts over a checked story, with statement store, session, report and, if wanted, state."""
+    _sound(spark, story)
+    learner = play_attempts(story, attempts, _learner(resume), max_retries)
+    return _record("Session", learner.summary(), learner, outdir, actor, bool(resume), save)
+
+
+def quest(spark: SparkSession, story: dict, document: dict, responses: list, outdir: str, *, actor: str = "learner", resume: str | None = None, save: str | None = None, **options) -> dict:
+    """The adaptive quest over a checked story, with the same artefacts."""
+    _sound(spark, story)
+    session, learner = play_quest(story, document, responses, _learner(resume), **options)
+    return _record("Quest", session, learner, outdir, actor, bool(resume), save)
+
+
 def book_quest(spark: SparkSession, documents: dict[str, dict], responses: list, outdir: str, **options) -> dict:
     """Chapters to merged graph, story and quest; writes all artefacts."""
     if empty := [n for n, d in documents.items() if not d["items"]]:
         raise ValueError(f"chapter without items: {empty[0]}")
     merged, counts = merge_documents(spark, documents)
     story = author_story(spark, merged)
-    if issues := story_issues(spark, story):
-        raise ValueError(f"invalid story: {issues[0]}")
-    session, learner = play_quest(story, merged, responses, **options)
-    for name, document in (("book.json", merged), ("beats.json", story), ("session.json", session)):
+    for name, document in (("book.json", merged), ("beats.json", story)):
         writers.write_document(document, os.path.join(outdir, name))
-    writers.save_state(learner, os.path.join(outdir, "state.json"))
-    writers.write_report([f"# Book of {counts['chapters']} chapters", *(f"- {k}: {v}" for k, v in counts.items()), f"- quest: {session['completion']['reason']}, {session['xp']} xp"], os.path.join(outdir, "report.md"))
+    session = quest(spark, story, merged, responses, outdir, save=os.path.join(outdir, "state.json"), **options)
+    writers.write_report([f"# Book of {counts['chapters']} chapters", *(f"- {k}: {v}" for k, v in counts.items()), f"- quest: {session['completion']['reason']}, {session['xp']} xp"], os.path.join(outdir, "report.md"), True)
     return session
 
 
 def full_chain(spark: SparkSession, paths: list[str], responses: list, outdir: str, max_items: int = MAX_ITEMS, model: TextModel | None = None, budget: int | None = None, **options) -> dict:
     """Raw texts to a played quest."""
-    documents = {}
+    documents, counts = {}, {}
     for path in paths:
         name = os.path.splitext(os.path.basename(path))[0]
         if name in documents:
             raise ValueError(f"two chapters are called {name}")
-        break_file(spark, path, os.path.join(outdir, name), max_items=max_items, model=model, budget=budget)
+        counts[name] = break_file(spark, path, os.path.join(outdir, name), max_items=max_items, model=model, budget=budget)
         with open(os.path.join(outdir, name, "graph_v1.json"), encoding="utf-8") as f:
             documents[name] = json.load(f)
-    return book_quest(spark, documents, responses, outdir, **options)
+    session = book_quest(spark, documents, responses, outdir, **options)
+    total = {k: sum(c[k] for c in counts.values()) for k in ("blocks", "entities", "items", "edges")}
+    lines = ["# Chain", *(f"- {n}: {c['blocks']} blocks, {c['entities']} entities, {c['items']} items" for n, c in counts.items()), f"- all: {total}"]
+    writers.write_report(lines, os.path.join(outdir, "report.md"), True)
+    return session
 
 
 def parsed(responses: list[str]) -> list:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from loomspan.functions.replay import Learner
 from loomspan.sources.readers import check_statements
 
-STATE_KEYS = tuple(Learner.__dataclass_fields__)
+STATE_KEYS = tuple(f.name for f in fields(Learner))
 
 
 def append_statements(statements: DataFrame, path: str, start: int = 0) -> None:
@@ -60,6 +61,17 @@ def load_state(path: str) -> Learner:
     return Learner(**data)
 
 
-def write_report(lines: list[str], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
+def write_report(lines: list[str], path: str, more: bool = False) -> None:
+    """A report of lines; more adds them to what is there."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "a" if more else "w", encoding="utf-8") as f:
         f.write("\n".join(lines) + "\n")
+
+
+def write_told(told: list[dict], path: str, actor: str, more: bool = False) -> int:
+    """One learner's statements as JSON lines, sorted keys; more appends. Returns the statements the store now holds."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with open(path, "a" if more else "w", encoding="utf-8") as f:
+        f.writelines(json.dumps({"actor": actor, **t}, sort_keys=True) + "\n" for t in told)
+    with open(path, encoding="utf-8") as f:
+        return sum(1 for line in f if line.strip())
