@@ -8,7 +8,6 @@ choices, run as grouped maps over one graph at a time (graphs are documents of a
 from __future__ import annotations
 
 import heapq
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -83,13 +82,18 @@ def hasse(edges: DataFrame) -> DataFrame:
 def fringe(states: DataFrame, items: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
     """(graph, *keys, id): items outside a state whose prerequisites all lie in it.
 
-    states: (graph, *keys, state array). Items without prerequisites and items next to a member are the only
-    candidates, so each state meets its graph's items by graph and no pairs of states arise.
+    states: (graph, *keys, state array), a row for each key. Candidates are what a state's members lead to, their met
+    prerequisites counted map-side, and the graph's items without any; states meet no other items.
     """
-    need = adjacency(items, edges)
-    met = states.join(need, "graph")
-    inside = F.array_contains("state", F.col("id"))
-    return met.filter(~inside & (F.size(F.array_except("prereqs", "state")) == 0)).select("graph", *keys, "id")
+    needs = known_edges(items, edges).select("graph", "prereq", F.col("item").alias("id")).distinct()
+    wanted = needs.groupBy("graph", "id").agg(F.count("*").alias("need"))
+    members = states.select("graph", *keys, F.explode(F.array_distinct("state")).alias("prereq"))
+    met = members.join(needs, ["graph", "prereq"]).groupBy("graph", *keys, "id").agg(F.count("*").alias("met"))
+    ready = met.join(wanted, ["graph", "id"]).filter("met = need").select("graph", *keys, "id")
+    ready = ready.join(members.withColumnRenamed("prereq", "id"), ["graph", *keys, "id"], "left_anti")
+    free = items.select("graph", "id").join(wanted, ["graph", "id"], "left_anti")
+    open_ = states.select("graph", *keys, "state").join(free, "graph").filter(~F.array_contains("state", F.col("id")))
+    return ready.unionByName(open_.select("graph", *keys, "id"))
 
 
 def validate_states(states: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
@@ -258,26 +262,22 @@ def topo_order(items: DataFrame, edges: DataFrame) -> DataFrame:
     return adjacency(items, edges).groupBy("graph").applyInPandas(run, "graph string, id string, rank long")
 
 
-def depth(items: DataFrame, edges: DataFrame, max_depth: int = 2000) -> DataFrame:
+def depth(items: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, id, depth): longest path from an item without prerequisites; a cycle raises.
 
-    Items whose prerequisites all have a depth get theirs, level by level. Each round writes the edges that still wait,
-    marked where the last level meets them; levels are read off these tables.
+    One pass in topological order over each graph, graphs spread over the cluster: one job whatever the depth.
     """
-    waiting = known_edges(items, edges).select("graph", "prereq", "item").distinct()
-    level = items.select("graph", "id").join(waiting.withColumnRenamed("item", "id"), ["graph", "id"], "left_anti").withColumn("depth", F.lit(0))
-    levels = [level]
-    for n in range(1, max_depth):
-        reached = level.select("graph", F.col("id").alias("prereq"), F.lit(True).alias("__met"))
-        marked = materialize(waiting.join(reached, ["graph", "prereq"], "left"))
-        met, waiting = marked.filter("__met").drop("__met"), marked.filter("__met is null").drop("__met")
-        if met.isEmpty():
-            if not waiting.isEmpty():
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, prereqs = _graph_of(frame)
+        levels: dict[str, int] = {}
+        for i in topological(ids, prereqs):
+            if not prereqs[i] <= levels.keys():
                 raise ValueError("the graph has a cycle")
-            return reduce(DataFrame.unionByName, levels)
-        level = met.select("graph", F.col("item").alias("id")).distinct().join(waiting.select("graph", F.col("item").alias("id")), ["graph", "id"], "left_anti").withColumn("depth", F.lit(n))
-        levels.append(level)
-    raise ValueError("deeper than max_depth")
+            levels[i] = 1 + max((levels[p] for p in prereqs[i]), default=-1)
+        return pd.DataFrame({"graph": frame["graph"].iloc[0], "id": list(levels), "depth": list(levels.values())})
+
+    return adjacency(items, edges).groupBy("graph").applyInPandas(run, "graph string, id string, depth int")
 
 
 def merge(items: DataFrame, edges: DataFrame, name: str = "book") -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import learner as L
+from loomspan.plans.storage import materialize
 
 
 def _by_actor():
@@ -39,8 +40,11 @@ def mark_runs(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
 
 def graded_attempts(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
     """Attempts that count, with their logical step after skips."""
-    kept = mark_runs(attempts, max_retries).filter(~F.col("skipped"))
-    return kept.withColumn("step", (F.row_number().over(_by_actor()) - 1).cast("long"))
+    return _counted(mark_runs(attempts, max_retries))
+
+
+def _counted(marked: DataFrame) -> DataFrame:
+    return marked.filter(~F.col("skipped")).withColumn("step", (F.row_number().over(_by_actor()) - 1).cast("long"))
 
 
 def _history(attempts: DataFrame, *columns: str) -> DataFrame:
@@ -109,9 +113,9 @@ def first_visits(graded: DataFrame) -> DataFrame:
 
 def sessions(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
     """One row per actor: the whole replay's aggregate."""
-    marked = mark_runs(attempts, max_retries)
+    marked = materialize(mark_runs(attempts, max_retries))  # written once, read by every part below
     skipped = marked.groupBy("actor").agg(F.count_if("skipped").alias("skipped"), F.count_if(F.col("is_retry") & ~F.col("skipped")).alias("retries_used"))
-    graded = graded_attempts(attempts, max_retries)
+    graded = _counted(marked)
     counts = graded.groupBy("actor").agg(
         F.count("*").alias("attempts"), F.count_if("ok").alias("passed"), F.sum(L.xp(F.col("score"))).alias("xp")
     )
@@ -142,9 +146,9 @@ def next_beats(beats: DataFrame, learners: DataFrame) -> DataFrame:
     needs = beats.select(F.col("id").alias("beat"), F.explode(F.array_distinct("requires")).alias("item"))
     met = known.join(needs, "item").groupBy("actor", "beat").agg(F.count("*").alias("met"))
     wanted = beats.withColumn("need", F.size(F.array_distinct("requires"))).withColumnRenamed("id", "beat")
-    # beats open to everyone are a property of the story graph, a bounded document; each learner gets the list
-    always = [r.beat for r in wanted.filter("need = 0").select("beat").orderBy("beat").collect()]
-    free = learners.select("actor", F.explode(F.array(*map(F.lit, always)).cast("array<string>")).alias("beat"))
+    # beats open to everyone are a property of the story graph, a bounded document: one row that each learner gets
+    always = wanted.filter("need = 0").agg(F.lit("story").alias("of"), F.array_sort(F.collect_list("beat")).alias("open"))
+    free = learners.select("actor", F.lit("story").alias("of")).join(F.broadcast(always), "of").select("actor", F.explode("open").alias("beat"))
     ready = met.join(wanted.select("beat", "need"), "beat").filter("met = need").select("actor", "beat").unionByName(free)
     rows = ready.join(learners, "actor").join(wanted.select("beat", "teaches", "difficulty"), "beat").filter(~F.array_contains("visited", F.col("beat")))
     teaches = F.size("teaches")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Work markers, the longest average line of hand-written code, symbols per file, kept source size.
 MARKERS = r"\b(TODO|FIXME|HACK|XXX)\b"
-DENSE, MAX_SYMBOLS, MAX_SOURCE, CUT_MARK = 250, 300, 512 * 1024, "\n… truncated"
-MINIFIED = r"(\.min\.|[.-]bundle\.)"
+DENSE, MAX_SYMBOLS, MAX_SOURCE, CUT_MARK = 250, 300, 512 * 1024, "\n… (truncated)"
+MINIFIED = r"\.(min|bundle)\."
 
 
 def loc(text: Column) -> Column:
@@ -26,22 +27,38 @@ def is_minified(path: Column, text: Column) -> Column:
 
 
 def clean_import(text: Column) -> Column:
-    return F.regexp_replace(text, r"""^[\s"'<]+|[\s"'>;]+$""", "")
+    """An import without the quote or bracket at either end, and without blanks around."""
+    return F.regexp_replace(F.regexp_replace(text, """^["'<]|["'>]$""", ""), r"^\s+|\s+$", "")
 
 
-def clipped_source(text: Column) -> Column:
-    return F.when(F.length(text) > MAX_SOURCE, F.concat(F.substring(text, 1, MAX_SOURCE), F.lit(CUT_MARK))).otherwise(text)
+def clipped_source(text: Column, most: int = MAX_SOURCE) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(CUT_MARK))).otherwise(text)
+
+
+# What may not stand inside a script element, and in HTML.
+SCRIPT_MARKS = (("<", "\\u003c"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029"))
+HTML_MARKS = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
+def _marked(text: Column, marks: tuple[tuple[str, str], ...]) -> Column:
+    for mark, instead in marks:
+        text = F.replace(text, F.lit(mark), F.lit(instead))
+    return text
 
 
 def script_json(text: Column) -> Column:
     """JSON that may stand inside a script element."""
-    return F.regexp_replace(text, "</", "<\\\\\\\\/")
+    return _marked(text, SCRIPT_MARKS)
 
 
 def html_escape(text: Column) -> Column:
-    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        text = F.replace(text, F.lit(mark), F.lit(entity))
-    return text
+    return _marked(F.coalesce(text, F.lit("")), HTML_MARKS)
+
+
+def short_date(iso: Column) -> Column:
+    """Minutes in UTC of an ISO time; a dash for none, and what is no time as it is."""
+    minutes = F.date_format(F.to_utc_timestamp(F.try_to_timestamp(iso), F.current_timezone()), "yyyy-MM-dd HH:mm")
+    return F.when(F.coalesce(iso, F.lit("")) == "", "—").otherwise(F.coalesce(minutes, iso))
 
 
 def directories(files: DataFrame) -> DataFrame:
@@ -128,11 +145,89 @@ def radius_clamp(points: DataFrame, group: str, radius: str, least: float = 25.0
     return ranked.withColumn("soft", soft).withColumn("scale", F.when(F.col(radius) > 0, F.least(F.lit(1.0), F.col("soft") / F.col(radius))).otherwise(1.0)).drop("__n", "__size")
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(path, component): files on import cycles; files that reach each other are one component."""
-    from loomspan.operators.graph import closure
+def components_of(arcs: dict[str, list[str]]) -> list[list[str]]:
+    """Strongly connected components by one depth-first walk with an explicit stack."""
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    inside: set[str] = set()
+    out: list[list[str]] = []
+    for root in arcs:
+        if root in number:
+            continue
+        path = [(root, iter(arcs[root]))]
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        inside.add(root)
+        while path:
+            node, rest = path[-1]
+            child = next(rest, None)
+            if child is not None:
+                if child not in number:
+                    number[child] = low[child] = len(number)
+                    open_.append(child)
+                    inside.add(child)
+                    path.append((child, iter(arcs.get(child, ()))))
+                elif child in inside:
+                    low[node] = min(low[node], number[child])
+                continue
+            path.pop()
+            if path:
+                low[path[-1][0]] = min(low[path[-1][0]], low[node])
+            if low[node] == number[node]:
+                found = []
+                while not found or found[-1] != node:
+                    found.append(open_.pop())
+                inside.difference_update(found)
+                out.append(found)
+    return out
+
+
+def cycles(edges: DataFrame, repo: str | None = None) -> DataFrame:
+    """(repo, path, component): files on import cycles; files that reach each other are one component, named by its
+    smallest path. edges: (src, dst), and the repository where there are several; each is walked on its own."""
+
+    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+        arcs: dict[str, list[str]] = {}
+        for src, dst in zip(frame["src"], frame["dst"], strict=True):
+            arcs.setdefault(src, []).append(dst)
+        rows = [(frame["repo"].iloc[0], path, min(c)) for c in components_of(arcs) if len(c) > 1 for path in c]
+        return pd.DataFrame(rows, columns=["repo", "path", "component"])
+
+    owner = F.col(repo).cast("string") if repo else F.lit("")
+    return edges.select(owner.alias("repo"), "src", "dst").groupBy("repo").applyInPandas(walk, "repo string, path string, component string")
+
+
+def scan(spark: SparkSession, folder: str, max_files: int = 30_000) -> DataFrame:
+    """(path, text) of a folder's files in the order of their paths, max_files at most; paths are below the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z]+:/*", "/")
+    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    rows = files.select(F.substr(path, F.length(root) + 2).alias("path"), F.col("content").cast("string").alias("text"))
+    return rows.orderBy("path").limit(max_files)
+
+
+# How the names of a parser's captures begin.
+SYMBOL, IMPORT, BRANCH = "def.", "import.", "cx"
+
+
+def capture_counts(captures: DataFrame) -> DataFrame:
+    """(path, symbols, imports, complexity) of a parser's captures (path, name)."""
+    name = F.col("name")
+    kinds = {"symbols": name.startswith(SYMBOL), "imports": name.startswith(IMPORT), "complexity": name == BRANCH}
+    return captures.groupBy("path").agg(*(F.count_if(kind).alias(k) for k, kind in kinds.items()))
+
+
+def churn(commits: DataFrame) -> DataFrame:
+    """(path, commits, authors, added, removed, first, last) of commit rows (path, commit, author, at, added, removed).
+
+    Without any commits, as in a folder that is no repository, the result is empty.
+    """
+    counts = (F.count_distinct("commit").alias("commits"), F.count_distinct("author").alias("authors"))
+    return commits.groupBy("path").agg(*counts, F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("at").alias("first"), F.max("at").alias("last"))
+
 
-    paths = closure(edges.select(F.lit("g").alias("graph"), F.col("src").alias("prereq"), F.col("dst").alias("item")))
-    back = paths.select("graph", F.col("item").alias("prereq"), F.col("prereq").alias("item"))
-    mutual = paths.join(back, ["graph", "prereq", "item"], "left_semi")
-    return mutual.groupBy(F.col("prereq").alias("path")).agg(F.min("item").alias("component"))
+def as_object(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(group, object): each group's map as one JSON object, keys in order."""
+    pairs = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.col(value).alias("value")))).alias("p"))
+    return pairs.select(group, F.to_json(F.map_from_entries("p")).alias("object"))

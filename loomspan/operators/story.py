@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators import graph as G
-from loomspan.plans.storage import materialize
 
 KINDS = ("choice", "ordering", "numeric")
 # What every beat and check must have.
@@ -79,17 +79,26 @@ def prune_dangling(choices: DataFrame, beats: DataFrame) -> tuple[DataFrame, Dat
     return choices.join(ids, "to", "left_semi"), choices.join(ids, "to", "left_anti")
 
 
-def reachable(starts: DataFrame, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(graph, id): nodes that links (graph, src, dst) reach from starts (graph, id), these included."""
-    seen = materialize(starts.select("graph", "id").distinct())
-    level = seen
-    for _ in range(max_rounds):
-        nxt = links.join(level.withColumnRenamed("id", "src"), ["graph", "src"]).select("graph", F.col("dst").alias("id")).distinct()
-        level = materialize(nxt.join(seen, ["graph", "id"], "left_anti"))
-        if level.isEmpty():
-            return seen
-        seen = materialize(seen.unionByName(level))
-    raise RuntimeError("a path is longer than max_rounds")
+def reachable(starts: DataFrame, links: DataFrame) -> DataFrame:
+    """(graph, id): nodes that links (graph, src, dst) reach from starts (graph, id), these included.
+
+    A walk over one story at a time, stories spread over the cluster: one job whatever the length of the paths.
+    """
+    kind = starts.schema["id"].dataType.simpleString()
+
+    def walk(own: pd.DataFrame, arcs: pd.DataFrame) -> pd.DataFrame:
+        after = arcs.groupby("src")["dst"].agg(list).to_dict() if len(arcs) else {}
+        seen, waiting = set(own["id"]), list(own["id"])
+        while waiting:
+            fresh = set(after.get(waiting.pop(), ())) - seen
+            seen |= fresh
+            waiting += fresh
+        graph = own["graph"].iloc[0] if len(own) else None
+        return pd.DataFrame({"graph": [graph] * len(seen), "id": list(seen)})
+
+    graph = starts.schema["graph"].dataType.simpleString()
+    own, arcs = starts.select("graph", "id"), links.select(F.col("graph").alias("story"), "src", "dst")
+    return own.groupBy("graph").cogroup(arcs.groupBy("story")).applyInPandas(walk, f"graph {graph}, id {kind}")
 
 
 def validate(beats: DataFrame, checks: DataFrame, choices: DataFrame, refs: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import learner as L
 from loomspan.operators import learning as O
+from loomspan.plans.storage import materialize, shared_root
+from loomspan.sources import readers, writers
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -236,3 +240,42 @@ def q34_grade_ordering(spark, sf_dir):
     lines = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("a"), F.array_sort(F.collect_list(F.struct("l_extendedprice", "l_linenumber", "l_partkey"))).alias("b"))
     name = lambda xs: F.transform(xs, lambda x: F.concat_ws("/", x["l_linenumber"], x["l_partkey"], x["l_extendedprice"]))
     return lines.select("l_orderkey", F.bround(L.ordering_fraction(name(F.col("a")), name(F.col("b"))), 6).alias("fraction"))
+
+
+@query(f"WITH {_STATEMENTS} SELECT actor, step AS timestamp, verb, object, round_even(score, 6) AS score FROM said")
+def q67_statement_store(spark, sf_dir):
+    """The log written to a store of JSON lines in two appends, checked line by line and read again."""
+    said = materialize(O.statements(O.graded_attempts(attempts(spark, sf_dir))))
+    store = f"{shared_root(spark)}/loomspan/{uuid.uuid4().hex}"
+    for part in (0, 1):
+        writers.append_statements(said.filter(F.pmod(F.col("actor"), F.lit(2)) == part), store)
+    if readers.count_statements(spark, store) != said.count():
+        raise RuntimeError("the store lost statements")
+    kind = "actor long, verb string, object string, result struct<score: double, success: boolean, p: double>, timestamp long"
+    rows = spark.read.schema(kind).json(store)
+    return rows.select("actor", "timestamp", "verb", "object", F.bround("result.score", 6).alias("score"))
+
+
+_LINES = """lines AS (SELECT o_orderkey AS pos, ' b' || (o_custkey % 9) || ' | c' || (o_orderkey % 7) || '|' || CASE o_orderkey % 3 WHEN 0 THEN (o_custkey % 100)::VARCHAR WHEN 1 THEN ' text|with bars ' ELSE '[1,2]' END AS value FROM orders)"""
+
+
+@query(f"""WITH {_LINES} SELECT pos, trim(split_part(value, '|', 1)) AS beat, trim(split_part(value, '|', 2)) AS check, trim(substring(value, length(split_part(value, '|', 1)) + length(split_part(value, '|', 2)) + 3)) AS response FROM lines""")
+def q68_attempt_lines(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    answer = F.when(key % 3 == 0, (customer % 100).cast("string")).when(key % 3 == 1, " text|with bars ").otherwise("[1,2]")
+    lines = o.select(key.alias("pos"), F.concat(F.lit(" b"), customer % 9, F.lit(" | c"), key % 7, F.lit("|"), answer).alias("value"))
+    parsed = readers.parse_attempts(lines)
+    return parsed.select("pos", "beat", "check", F.col("response").cast("string").alias("response"))
+
+
+@query("""WITH beats AS (SELECT 'b' || n AS id, ['c' || n, 'c' || (n + 1)] AS checks FROM range(8) t(n)), checks AS (SELECT 'c' || n AS id FROM range(6) t(n)),
+tried AS (SELECT o_orderkey AS pos, 'b' || (o_custkey % 9) AS beat, 'c' || (o_orderkey % 7) AS ref FROM orders)
+SELECT pos, beat, ref AS "check", CASE WHEN b.id IS NULL OR c.id IS NULL THEN 'unknown beat/check' ELSE 'check not on beat' END AS reason FROM tried LEFT JOIN beats b ON b.id = beat LEFT JOIN checks c ON c.id = ref
+WHERE b.id IS NULL OR c.id IS NULL OR NOT list_contains(b.checks, ref)""")
+def q69_check_attempts(spark, sf_dir):
+    beats = spark.createDataFrame([(f"b{n}", [f"c{n}", f"c{n + 1}"]) for n in range(8)], "id string, checks array<string>")
+    checks = spark.createDataFrame([(f"c{n}",) for n in range(6)], "id string")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    tried = o.select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("b"), F.col("o_custkey") % 9).alias("beat"), F.concat(F.lit("c"), F.col("o_orderkey") % 7).alias("check"))
+    return O.check_attempts(tried, beats, checks).select("pos", "beat", "check", "reason")

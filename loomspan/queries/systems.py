@@ -90,15 +90,13 @@ def q51_loc_todo(spark, sf_dir):
     return _files(spark, sf_dir).select("page_id", A.loc(F.col("html")).alias("loc"), A.markers(F.col("html")).alias("markers"))
 
 
-@query(f"""WITH {_PAGES}, specs AS (SELECT DISTINCT path AS src, length(path) % 7 + seg::INT AS n, false AS weak FROM (SELECT path, try_cast(string_split(path, '/')[-1] AS INT) % 40 AS seg FROM files) WHERE seg IS NOT NULL),
-numbered AS (SELECT path, dense_rank() OVER (ORDER BY path) AS n FROM (SELECT DISTINCT path FROM files))
-SELECT DISTINCT s.src, f.path AS dst FROM specs s JOIN numbered f ON f.n = s.n WHERE s.src <> f.path""")
+@query(f"""WITH {_PAGES}, named AS (SELECT path, min(page_id) AS n FROM files GROUP BY path), asked AS (SELECT page_id, path AS src, page_id // 2 + length(path) % 7 AS n, page_id % 3 = 0 AS weak FROM files)
+SELECT a.src, f.path AS dst, bool_and(a.weak) AS weak FROM asked a JOIN named f ON f.n = a.n WHERE a.src <> f.path GROUP BY 1, 2""")
 def q52_import_edges(spark, sf_dir):
-    files = _files(spark, sf_dir).select("path").distinct()
-    numbered = files.withColumn("n", F.dense_rank().over(W.orderBy("path")))
-    seg = F.element_at(F.split("path", "/"), -1).try_cast("int") % 40
-    specs = files.withColumn("n", F.length("path") % 7 + seg).filter("n is not null").select(F.col("path").alias("src"), "n").join(numbered.withColumnRenamed("path", "spec"), "n")
-    return A.import_edges(specs.select("src", "spec", F.lit(False).alias("weak")), files).select("src", "dst")
+    files = _files(spark, sf_dir).select("page_id", "path")
+    named = files.groupBy("path").agg(F.min("page_id").alias("n"))
+    asked = files.select(F.col("path").alias("src"), F.expr("page_id div 2 + length(path) % 7").alias("n"), (F.col("page_id") % 3 == 0).alias("weak"))
+    return A.import_edges(asked.join(named.withColumnRenamed("path", "spec"), "n").select("src", "spec", "weak"), named)
 
 
 @query(f"""WITH {_PAGES}, l AS (SELECT regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, len(list_filter(string_split(coalesce(html, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]'))) AS loc FROM files)
@@ -124,7 +122,7 @@ def q54_containment(spark, sf_dir):
     return A.containment(_defs(spark, sf_dir))
 
 
-@query(f"""WITH {_DEFS}, refs AS (SELECT file, idx AS line, 'k' || (idx * 3 % 11) AS name FROM defs WHERE idx % 2 = 1),
+@query(f"""WITH {_DEFS}, refs AS (SELECT file, idx AS line, 'k' || (idx * 3 % 11) AS name FROM defs),
 callers AS (SELECT r.file, r.line, r.name, arg_min(d.idx, (d.span, d.idx)) AS src_idx FROM refs r JOIN defs d ON d.file = r.file AND r.line BETWEEN d.s AND d.e GROUP BY 1, 2, 3),
 named AS (SELECT file, name, min(idx) AS idx FROM defs GROUP BY 1, 2),
 found AS (SELECT c.file, c.line, c.name, c.src_idx, p.rank, n.file AS dst_file, n.idx AS dst_idx FROM callers c JOIN (SELECT file, file AS other, 0 AS rank FROM (SELECT DISTINCT file FROM callers) UNION ALL SELECT DISTINCT file, file + 1, 1 FROM defs) p ON p.file = c.file JOIN named n ON n.file = p.other AND n.name = c.name),
@@ -132,7 +130,7 @@ best AS (SELECT file, line, name, src_idx, arg_min(dst_file, rank) AS dst_file,
 SELECT DISTINCT file AS src_file, src_idx, dst_file, dst_idx FROM best WHERE file <> dst_file OR src_idx <> dst_idx""")
 def q55_call_edges(spark, sf_dir):
     d = _defs(spark, sf_dir)
-    refs = A.kept_symbols(d).filter("idx % 2 = 1").select("file", F.col("idx").alias("line"), F.concat(F.lit("k"), (F.col("idx") * 3 % 11).cast("string")).alias("name"))
+    refs = A.kept_symbols(d).select("file", F.col("idx").alias("line"), F.concat(F.lit("k"), (F.col("idx") * 3 % 11).cast("string")).alias("name"))
     near = d.select("file").distinct().select("file", (F.col("file") + 1).alias("neighbour"), F.lit(0).alias("rank"))
     return A.call_edges(d, refs, near)
 
@@ -143,3 +141,74 @@ SELECT o_orderkey, round_even(soft, 6) AS soft, round_even(CASE WHEN r > 0 THEN
 def q56_pctl_clamp(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_custkey") % 25).alias("g"), (F.col("o_totalprice") / 1000).alias("r"))
     return A.radius_clamp(o, "g", "r").select("o_orderkey", F.bround("soft", 6).alias("soft"), F.bround("scale", 6).alias("scale"))
+
+
+@query(f"""WITH arcs AS (SELECT DISTINCT l_suppkey % 50 AS repo, 'f' || (l_partkey % 12) AS src, 'f' || (l_partkey * 5 % 12 + l_linenumber) % 14 AS dst FROM lineitem WHERE l_quantity > 47),
+paths AS (WITH RECURSIVE p(repo, src, dst) AS (SELECT * FROM arcs UNION SELECT p.repo, p.src, a.dst FROM p JOIN arcs a ON a.repo = p.repo AND a.src = p.dst) SELECT * FROM p)
+SELECT a.repo::VARCHAR AS repo, a.src AS path, min(a.dst) AS component FROM paths a JOIN paths b ON b.repo = a.repo AND b.src = a.dst AND b.dst = a.src GROUP BY 1, 2 HAVING count(DISTINCT a.dst) > 1""")
+def q61_cycles(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 47")
+    arcs = l.select((F.col("l_suppkey") % 50).alias("repo"), F.concat(F.lit("f"), F.col("l_partkey") % 12).alias("src"), F.concat(F.lit("f"), (F.col("l_partkey") * 5 % 12 + F.col("l_linenumber")) % 14).alias("dst"))
+    return A.cycles(arcs.distinct(), "repo")
+
+
+@query(r"""SELECT page_id, regexp_matches(path, '\.(min|bundle)\.') OR length(html) / greatest(len(list_filter(string_split(coalesce(html, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r]'))), 1) > 250 AS minified,
+ md5(trim(regexp_replace(regexp_replace(spec, '^["''<]', ''), '["''>]$', ''))) AS spec_md5, md5(CASE WHEN length(html) > 400 THEN substring(html, 1, 400) || chr(10) || '… (truncated)' ELSE html END) AS source_md5,
+ md5(replace(html, '<', '\u003c')) AS script_md5, md5(replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')) AS html_md5,
+ CASE page_id % 3 WHEN 0 THEN '—' WHEN 1 THEN 'no time' ELSE '2024-03-0' || (page_id % 9 + 1) || ' 0' || (page_id % 7 + 2) || ':30' END AS changed
+FROM (SELECT page_id, html, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || CASE WHEN page_id % 10 = 0 THEN '.min.js' ELSE '' END AS path, '" ' || url || ' >' AS spec FROM pages)""")
+def q62_page_texts(spark, sf_dir):
+    """Minified files, cleaned imports, clipped sources, escapes and short dates of every page."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.concat(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", ""), F.when(F.col("page_id") % 10 == 0, ".min.js").otherwise(""))
+    spec = F.concat(F.lit('" '), "url", F.lit(" >"))
+    html, n = F.col("html"), F.col("page_id")
+    iso = F.when(n % 3 == 1, "no time").when(n % 3 == 2, F.concat(F.lit("2024-03-0"), n % 9 + 1, F.lit("T0"), n % 7 + 3, F.lit(":30:15+01:00")))
+    return p.select(
+        "page_id", A.is_minified(path, html).alias("minified"), F.md5(A.clean_import(spec)).alias("spec_md5"), F.md5(A.clipped_source(html, 400)).alias("source_md5"),
+        F.md5(A.script_json(html)).alias("script_md5"), F.md5(A.html_escape(html)).alias("html_md5"), A.short_date(iso).alias("changed"),
+    )
+
+
+_PACKAGES = """files AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN 'main/' ELSE 'src/' END || p || '.java' AS path FROM (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '') AS p FROM pages) WHERE p <> ''),
+imports AS (SELECT DISTINCT 'src/' || p || '.java' AS src, replace(CASE WHEN page_id % 5 = 0 THEN regexp_replace(q, '/?[^/]*$', '') || '/*' ELSE q END, '/', '.') AS name FROM
+  (SELECT a.page_id, regexp_replace(regexp_replace(a.url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '') AS p, regexp_replace(regexp_replace(b.url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', '') AS q FROM pages a JOIN pages b ON b.page_id = a.page_id // 2) WHERE p <> '' AND q <> '')"""
+
+
+@query(f"""WITH {_PACKAGES}, roots AS (SELECT * FROM (VALUES (0, 'main/'), (1, 'src/')) t(rank, root)),
+asked AS (SELECT src, name, rank, root || replace(name, '.', '/') AS place FROM imports CROSS JOIN roots),
+exact AS (SELECT src, name, arg_min(path, rank) AS dst FROM asked JOIN files ON regexp_replace(path, '[.]java$', '') = place GROUP BY 1, 2),
+listed AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS place, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY path) AS n FROM files),
+star AS (SELECT a.src, a.name, a.rank, l.path AS dst, min(a.rank) OVER (PARTITION BY a.src, a.name) AS best FROM asked a JOIN listed l ON l.n <= 40 AND l.place = regexp_replace(a.place, '/[*]$', '') WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.src = a.src AND e.name = a.name))
+SELECT src, dst, bool_and(weak) AS weak FROM (SELECT src, dst, false AS weak FROM exact UNION ALL SELECT src, dst, true FROM star WHERE rank = best) WHERE src <> dst GROUP BY 1, 2""")
+def q63_package_imports(spark, sf_dir):
+    clean = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z]+://[^/]*/?", ""), "[?#].*$", "")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", clean("url").alias("p"))
+    root = F.when(F.col("page_id") % 3 == 0, "main/").otherwise("src/")
+    files = p.filter("p <> ''").select(F.concat(root, "p", F.lit(".java")).alias("path")).distinct()
+    pairs = p.withColumn("half", F.expr("page_id div 2")).join(p.select(F.col("page_id").alias("half"), F.col("p").alias("q")), "half").filter("p <> '' and q <> ''")
+    name = F.when(F.col("page_id") % 5 == 0, F.concat(F.regexp_replace("q", "/?[^/]*$", ""), F.lit("/*"))).otherwise(F.col("q"))
+    imports = pairs.select(F.concat(F.lit("src/"), "p", F.lit(".java")).alias("src"), F.replace(name, F.lit("/"), F.lit(".")).alias("name")).distinct()
+    return A.resolve_packages(imports, files, ("main/", "src/"))
+
+
+@query("""SELECT 'f' || (l_partkey % 500) AS path, count_if(l_returnflag = 'A') AS symbols, count_if(l_returnflag = 'N') AS imports, count_if(l_returnflag = 'R') AS complexity FROM lineitem GROUP BY 1""")
+def q64_capture_counts(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kind = F.when(F.col("l_returnflag") == "A", "def.function").when(F.col("l_returnflag") == "N", "import.module").otherwise("cx")
+    return A.capture_counts(l.select(F.concat(F.lit("f"), F.col("l_partkey") % 500).alias("path"), F.when(F.col("l_returnflag").isin("A", "N", "R"), kind).otherwise("other").alias("name")))
+
+
+@query("""SELECT l_partkey::VARCHAR AS path, count(DISTINCT l_orderkey) AS commits, count(DISTINCT o_custkey) AS authors, sum(l_linenumber)::BIGINT AS added, sum(7 - l_linenumber)::BIGINT AS removed, min(o_orderdate)::VARCHAR AS first, max(o_orderdate)::VARCHAR AS last
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def q65_churn(spark, sf_dir):
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    commits = rows.select(F.col("l_partkey").cast("string").alias("path"), F.col("l_orderkey").alias("commit"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("at"), F.col("l_linenumber").cast("long").alias("added"), (7 - F.col("l_linenumber")).cast("long").alias("removed"))
+    return A.churn(commits).withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
+
+
+@query("""SELECT n_regionkey AS region, '{' || string_agg('"' || n_nationkey || '":"' || n_name || '"', ',' ORDER BY n_nationkey::VARCHAR) || '}' AS object FROM nation GROUP BY 1""")
+def q66_as_object(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return A.as_object(n, "n_regionkey", "n_nationkey", "n_name").withColumnRenamed("n_regionkey", "region")

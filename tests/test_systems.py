@@ -247,10 +247,21 @@ def test_snapshot_operators(spark):
     assert {tuple(r) for r in A.call_edges(defs, refs, near).collect()} == {("f", 2, "f", 1), ("f", 2, "g", 0)}
     ring = spark.createDataFrame([("a", "b", False), ("b", "a", False), ("b", "c", False)], "src string, dst string, weak boolean")
     assert {(r.path, r.component) for r in A.cycles(ring).collect()} == {("a", "a"), ("b", "a")}
+    long = {f"n{i:05d}": [f"n{(i + 1) % 5000:05d}"] for i in range(5000)}
+    assert [len(c) for c in A.components_of(long)] == [5000]
     r = spark.createDataFrame([("g", float(x)) for x in (10, 40, 50, 100, 200)], "g string, r double")
     assert {(x.r, round(x.scale, 3)) for x in A.radius_clamp(r, "g", "r").collect()} == {(10, 1), (40, 1), (50, 1), (100, 1), (200, 0.5)}
 
 
+def test_folders_are_scanned(spark, tmp_path):
+    for name in ("a/x.py", "a/b/y.py", "z.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    assert [tuple(r) for r in A.scan(spark, str(tmp_path)).collect()] == [(n, f"# {n}\n") for n in ("a/b/y.py", "a/x.py", "z.py")]
+    assert A.scan(spark, f"file://{tmp_path}", 2).count() == 2
+    assert A.churn(spark.createDataFrame([], "path string, commit string, author string, at date, added long, removed long")).collect() == []
+
+
 def test_model_replies_become_tables(spark):
     from loomspan.operators import drafts as D
 
