@@ -14,8 +14,9 @@ CELL_DIGITS = 3
 
 
 def seeded_order(id_col: Column, text: Column, seed: int) -> Column:
-    """A document's place in the seeded order: an md5 of seed and id, and of the text where the id is null."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
+    """A document's place in the seeded order: an md5 of seed, id and the text's md5, so that an id (or null) that
+    very many rows bear is spread like any other."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def water_fill(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -56,8 +57,8 @@ def mix_sources(
     equal its target to the word. copies rounds that part to whole copies for consumers that emit documents.
 
     Nulls: a null text has size 0, a null source is a source of its own that sorts last, a null id is ordered by its
-    text. Texts without words take 0. Repeated rows keep their own rows. Ties in the order (equal ids) resolve by
-    size, then row. An empty table gives an empty table. Other columns are ignored, whatever their names.
+    text. Texts without words take 0. Repeated rows keep their own rows. Ties in the order (equal ids and texts) are
+    rows of one size and resolve by row. An empty table gives an empty table. Other columns are ignored, whatever their names.
     docs may come with row numbers, which the result then bears; else rows are numbered here.
     """
     row = F.col(docs.row) if isinstance(docs, Numbered) else F.monotonically_increasing_id()

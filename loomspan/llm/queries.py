@@ -86,7 +86,7 @@ QUERIES = {
 OP1_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS place FROM documents),
+         md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source COLLATE "binary" ASC NULLS LAST)) - 1) % 3 + 1]::BIGINT AS weight FROM sources),
 levels AS (SELECT *, ((sum(source_size) OVER ()) - coalesce(sum(3 * source_size) OVER clamped, 0))::DOUBLE

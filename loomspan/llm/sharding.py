@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import materialize
+from loomspan.plans.storage import materialize, number_rows
 
 #: 36 bits from the document's name, then 24 from its row: rows that repeat one name can still be told apart.
 NAME_DIGITS, ROW_BITS = 9, 24
@@ -46,8 +46,9 @@ def shard_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     columns are ignored, whatever their names.
     """
     name = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+    numbered = number_rows(docs)  # by file and place: shards of repeated ids stay the same under other splits
+    rows = numbered.df.select(
+        F.col(numbered.row).alias("row_id"),
         F.col(id_col).alias("doc_id"),
         F.conv(F.substring(F.md5(name), 1, NAME_DIGITS), 16, 10).cast("long").alias("name_bits"),
         F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("bytes"),

@@ -54,6 +54,27 @@ def test_mixing(spark, seed):
     assert again == {i: r.taken for i, r in got.items()}
 
 
+def test_mixing_spreads_an_id_that_most_rows_bear(spark):
+    rows = [(1, f"word {n} of this row", "en", "a", 1) for n in range(3000)] + [(2, "x " * 9000, "en", "b", 1)]
+    docs = frame(spark, rows)
+    cells = docs.select(F.substring(mixing.seeded_order(F.col("doc_id"), F.col("text"), 42), 1, mixing.CELL_DIGITS).alias("cell")).groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] < 20
+    got = mixing.mix_sources(docs).agg(F.sum("taken")).first()[0]
+    assert abs(got - mixing.mix_sources(docs).select("source_size", "target").distinct().agg(F.sum("target")).first()[0]) <= 1
+
+
+def test_shards_of_repeated_ids_under_other_splits(spark, tmp_path):
+    frame(spark, [(1, "same text" * 5, "en", "s", 1)] * 60 + [(2, "other", "en", "s", 1)] * 20).repartition(5).write.parquet(f"{tmp_path}/d")
+    cores, found = "spark.sql.leafNodeDefaultParallelism", []
+    try:
+        for n in ("2", "7"):
+            spark.conf.set(cores, n)
+            found.append(sorted((r.doc_id, r.shard, r.shard_bytes) for r in sharding.shard_documents(spark.read.parquet(f"{tmp_path}/d"), limit=200).collect()))
+    finally:
+        spark.conf.unset(cores)
+    assert found[0] == found[1]
+
+
 def test_mixing_awkward_rows(spark):
     got = mixing.mix_sources(clashing(spark)).collect()
     assert len(got) == len(awkward())

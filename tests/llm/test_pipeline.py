@@ -51,7 +51,7 @@ def _copies(kept):
     sizes, place = {}, {}
     for n, (i, t, _, s, _) in enumerate(kept):
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
-        name = str(i) if i is not None else hashlib.md5((t or "").encode()).hexdigest()
+        name = f"{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}"
         place[n] = hashlib.md5(f"42:{name}".encode()).hexdigest()
     order = sorted((s for s in sizes if s is not None), key=str.encode) + [s for s in sizes if s is None]
     targets = water_level(dict(sizes), {s: k % 3 + 1 for k, s in enumerate(order)}, 3)
