@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 
 BLANK_LINE = r"(?U)\n\s*\n"
+#: Blocks that a text's running lengths gather at a time.
+RUN = 512
 
 
 def chunk_id(n: Column) -> Column:
@@ -25,14 +27,23 @@ def blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     page = F.col(page_col) if page_col else F.lit(0)
     parts = texts.select(F.col(id_col).alias("doc_id"), page.cast("int").alias("page"), F.split(text, separator, -1).alias("parts"), F.regexp_extract_all(text, F.lit(separator), F.lit(0)).alias("gaps"))
     zipped = F.arrays_zip(F.col("parts").alias("part"), F.col("gaps").alias("gap"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, end: long, text: string>>").alias("out"))
+    block_type = "struct<start: long, end: long, text: string>"
 
     def step(state: Column, pair: Column) -> Column:
         end = state["at"] + F.length(pair["part"])
         block = F.struct(state["at"].alias("start"), end.alias("end"), pair["part"].alias("text"))
         return F.struct((end + F.coalesce(F.length(pair["gap"]), F.lit(0))).alias("at"), F.array_append(state["out"], block).alias("out"))
 
-    kept = F.filter(F.aggregate(zipped, start, step)["out"], lambda b: b["text"].rlike(r"(?U)\S"))
+    def run(state: Column, first: Column) -> Column:
+        at = F.coalesce(F.try_element_at(state, F.lit(-1))["at"], F.lit(0).cast("long"))
+        begin = F.struct(at.alias("at"), F.array().cast(f"array<{block_type}>").alias("out"))
+        return F.array_append(state, F.aggregate(F.slice(F.col("zipped"), first, RUN), begin, step))
+
+    # runs of blocks are gathered first, so the copies that appending makes stay few in long texts
+    parts = parts.select("doc_id", "page", zipped.alias("zipped"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.size("zipped"), F.lit(1)), F.lit(RUN))
+    runs = F.aggregate(firsts, F.array().cast(f"array<struct<at: long, out: array<{block_type}>>>"), run)
+    kept = F.filter(F.flatten(F.transform(runs, lambda r: r["out"])), lambda b: b["text"].rlike(r"(?U)\S"))
     rows = parts.select("doc_id", "page", F.posexplode(kept).alias("n", "b")).select("doc_id", "page", "n", "b.*")
     number = F.col("n") + 1 if page_col is None else F.row_number().over(W.partitionBy("doc_id").orderBy("page", "n"))
     return rows.select("doc_id", chunk_id(number).alias("chunk_id"), "page", "start", "end", "text")

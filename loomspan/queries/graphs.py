@@ -51,16 +51,14 @@ def q14_edge_maxconf(spark, sf_dir):
 
 
 _RINGS = """ring AS (SELECT p_partkey // 3 AS g, p_partkey AS k, p_size AS s FROM part),
-full_rings AS (SELECT g FROM ring GROUP BY g HAVING count(*) = 3),
-arcs AS (SELECT g::VARCHAR AS graph, 'p' || k AS prereq, 'p' || (g * 3 + (k % 3 + 1) % 3) AS item, (s / 100.0)::DOUBLE AS confidence FROM ring JOIN full_rings USING (g))"""
+arcs AS (SELECT g::VARCHAR AS graph, 'p' || k AS prereq, 'p' || (g * 3 + (k % 3 + 1) % 3) AS item, (s / 100.0)::DOUBLE AS confidence, count(*) OVER (PARTITION BY g) = 3 AS closed FROM ring)"""
 
 
-@query(f"WITH {_RINGS} SELECT graph, prereq, item, row_number() OVER (PARTITION BY graph ORDER BY confidence, prereq, item) > 1 AS kept FROM arcs")
+@query(f"WITH {_RINGS} SELECT graph, prereq, item, NOT closed OR row_number() OVER (PARTITION BY graph ORDER BY confidence, prereq, item) > 1 AS kept FROM arcs")
 def q15_dag_break(spark, sf_dir):
     p = _read(spark, sf_dir, "part").withColumn("g", F.expr("p_partkey div 3"))
-    full = p.groupBy("g").count().filter("count = 3")
     k = F.col("p_partkey")
-    arcs = p.join(full, "g", "left_semi").select(F.col("g").cast("string").alias("graph"), F.concat(F.lit("p"), k).alias("prereq"), F.concat(F.lit("p"), F.col("g") * 3 + (k % 3 + 1) % 3).alias("item"), (F.col("p_size") / 100.0).alias("confidence"))
+    arcs = p.select(F.col("g").cast("string").alias("graph"), F.concat(F.lit("p"), k).alias("prereq"), F.concat(F.lit("p"), F.col("g") * 3 + (k % 3 + 1) % 3).alias("item"), (F.col("p_size") / 100.0).alias("confidence"))
     return G.enforce_dag(arcs).select("graph", "prereq", "item", "kept")
 
 
@@ -210,23 +208,23 @@ def q27_chain_options(spark, sf_dir):
 
 
 _DRAFTS = """drafts AS (SELECT l_orderkey % 100 AS cluster, l_orderkey * 10 + l_linenumber AS pos, 'b' || (l_partkey % 40) AS id,
-  ['p' || (l_partkey * 3), 'p' || (l_suppkey * 37)] AS teaches, CASE WHEN l_quantity < 25 THEN 'p' || (l_partkey * 2) END AS item FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity))"""
+  ['p' || (l_partkey * 3), 'p' || (l_suppkey * 37)] AS teaches, CASE WHEN l_quantity < 25 THEN 'p' || (l_partkey * 2) END AS item, l_partkey, l_suppkey, l_quantity FROM lineitem)"""
 
 
 @query(f"""WITH {_DRAFTS}, known AS (SELECT 'p' || p_partkey AS id FROM part),
 g AS (SELECT cluster, pos, id, list_filter(teaches, lambda x: x IN (SELECT id FROM known)) AS t, item FROM drafts),
-t1 AS (SELECT d.cluster, d.pos, d.id, CASE WHEN k0.id IS NOT NULL THEN d.item END AS own, k1.id AS a, k2.id AS b FROM drafts d LEFT JOIN known k0 ON k0.id = d.item LEFT JOIN known k1 ON k1.id = d.teaches[1] LEFT JOIN known k2 ON k2.id = d.teaches[2]),
+t1 AS (SELECT d.cluster, d.pos, d.id, CASE WHEN k0.id IS NOT NULL THEN d.item END AS own, k1.id AS a, k2.id AS b, d.l_partkey, d.l_suppkey, d.l_quantity FROM drafts d LEFT JOIN known k0 ON k0.id = d.item LEFT JOIN known k1 ON k1.id = d.teaches[1] LEFT JOIN known k2 ON k2.id = d.teaches[2]),
 anchored AS (SELECT *, coalesce(own, a, b) AS anchor FROM t1),
-placed AS (SELECT *, row_number() OVER (PARTITION BY cluster, id, anchor IS NULL ORDER BY pos) AS nth FROM anchored)
+placed AS (SELECT *, row_number() OVER (PARTITION BY cluster, id, anchor IS NULL ORDER BY pos, l_partkey, l_suppkey, l_quantity) AS nth FROM anchored)
 SELECT cluster, CASE WHEN anchor IS NULL THEN 'unknown item' WHEN nth > 1 THEN 'duplicate id' ELSE 'kept' END AS status, count(*) AS n, min(anchor) AS first_anchor, count(a) + count(b) AS taught FROM placed GROUP BY 1, 2""".replace("g AS (SELECT cluster, pos, id, list_filter(teaches, lambda x: x IN (SELECT id FROM known)) AS t, item FROM drafts),\n", ""))
 def q28_ground(spark, sf_dir):
     from pyspark.sql import Window as W
 
     l = _read(spark, sf_dir, "lineitem")
     nth = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity"))
-    l = l.withColumn("nth", nth).filter("nth = 1")
+    l = l.withColumn("nth", nth)  # lines of one number follow each other
     p = lambda c, k: F.concat(F.lit("p"), F.col(c) * k)
-    drafts = l.select((F.col("l_orderkey") % 100).alias("cluster"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("b"), F.col("l_partkey") % 40).alias("id"), F.array(p("l_partkey", 3), p("l_suppkey", 37)).alias("teaches"), F.when(F.col("l_quantity") < 25, p("l_partkey", 2)).alias("item"))
+    drafts = l.select((F.col("l_orderkey") % 100).alias("cluster"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "nth").alias("pos"), F.concat(F.lit("b"), F.col("l_partkey") % 40).alias("id"), F.array(p("l_partkey", 3), p("l_suppkey", 37)).alias("teaches"), F.when(F.col("l_quantity") < 25, p("l_partkey", 2)).alias("item"))
     g = S.ground(drafts, _parts(spark, sf_dir))
     return g.groupBy("cluster", "status").agg(F.count("*").alias("n"), F.min("anchor").alias("first_anchor"), F.sum(F.size("teaches")).alias("taught"))
 

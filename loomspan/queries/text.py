@@ -32,13 +32,13 @@ blocks AS (SELECT doc_id, 'c' || CASE WHEN rn < 1000 THEN lpad(rn::VARCHAR, 3, '
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM ends WHERE regexp_matches(piece, '\\S')))"""
 
 
-DOCS = "SELECT doc_id, text FROM documents WHERE text IS NOT NULL"
+DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 TURNS = "SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn, role) AS text FROM conversations GROUP BY conv_id"
 _OUT = 'SELECT doc_id, chunk_id, s AS "start", e AS "end", md5(text) AS text_md5 FROM blocks'
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", "text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -87,7 +87,7 @@ terms AS (SELECT doc_id, chunk_id, pos, term, lower(term) AS key FROM (
   SELECT doc_id, chunk_id, pos, array_to_string(w[list_position(f, true):len(w) - list_position(list_reverse(f), true) + 1], ' ') AS term FROM flags WHERE list_contains(f, true)) WHERE length(term) >= 3)"""
 
 
-@query(f"""WITH one AS (SELECT doc_id, 'c001' AS chunk_id, text FROM documents WHERE text IS NOT NULL), {_terms_sql('one')},
+@query(f"""WITH src AS ({DOCS}), one AS (SELECT doc_id, 'c001' AS chunk_id, text FROM src), {_terms_sql('one')},
 per_doc AS (SELECT doc_id, count(*) AS n_terms, string_agg(term, '|' ORDER BY pos) AS terms FROM terms GROUP BY doc_id)
 SELECT doc_id, coalesce(n_terms, 0) AS n_terms, md5(coalesce(terms, '')) AS terms_md5 FROM one LEFT JOIN per_doc USING (doc_id)""")
 def q05_terms(spark, sf_dir):
@@ -159,7 +159,7 @@ def _items(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("id"), F.split("text", " ", 2)[0].alias("label"), F.col("text").alias("description"))
 
 
-_ITEMS = "items AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS label, text AS description FROM documents WHERE text IS NOT NULL)"
+_ITEMS = f"src AS ({DOCS}), items AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS label, text AS description FROM src)"
 
 
 @query(f"WITH {_ITEMS} SELECT id, {_gate_sql('label', 'description')} AS reason FROM items")

@@ -88,3 +88,17 @@ def test_provenance_falls_back_to_the_first_block(spark):
     items = spark.createDataFrame([("d", "i", "c002"), ("d", "j", "zz"), ("e", "k", "c001")], "doc_id string, id string, chunk_id string")
     got = {r.id: (r.chunk_id, r.start, r.end) for r in B.resolve_provenance(items, blocks).collect()}
     assert got == {"i": ("c002", 7, 9), "j": ("c001", 0, 5), "k": ("c001", 0, 0)}
+
+
+def test_blocks_of_long_texts_keep_their_offsets(spark):
+    n = 3 * B.RUN + 7
+    lines = [f"line {i}" if i % 5 else "  " for i in range(n)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
+    got = sorted((r.start, r.end, r.text) for r in B.blocks(docs, separator="\n").collect())
+    at, want = 0, []
+    for line in lines:
+        if line.strip():
+            want.append((at, at + len(line), line))
+        at += len(line) + 1
+    assert got == want
