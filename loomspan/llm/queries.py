@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
+from loomspan.llm import merkle, mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
 from loomspan.llm import exact_dedup as exact
 from loomspan.plans.storage import spread
 
@@ -70,6 +70,13 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, held against texts that half of the rows have without their line ends."""
+    changed = F.crc32(F.col("doc_id").cast("long").cast("string")) % 2 == 0
+    text = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), given={"text": text})
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -81,6 +88,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
+    "op11_merkle": op11_merkle,
 }
 
 OP1_SQL = r"""
@@ -170,4 +178,34 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_row ORDER BY score
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_sharding": OP9_SQL, "op10_topk": OP10_SQL}
+
+
+def _leaf_sql(text: str) -> str:
+    columns = [*(c for c in merkle.FIELDS if c != "text"), text]
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in columns) + ")"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce('+' || source, '') AS key, {_leaf_sql("text")} AS leaf, {_leaf_sql("altered")} AS given FROM (
+    SELECT *, CASE WHEN list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+        lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS altered FROM documents)),
+placed AS MATERIALIZED (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+tree AS (SELECT key, 0 AS lvl, pos, leaf AS node FROM placed
+  UNION ALL SELECT key, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM tree) WHERE n > 1 GROUP BY key, lvl, pos // 3),
+subroots AS MATERIALIZED (SELECT key, row_number() OVER (ORDER BY key COLLATE "binary") - 1 AS place, arg_max(node, lvl) AS subroot FROM tree GROUP BY key),
+crown AS (SELECT 'crown' AS key, 0 AS lvl, place AS pos, subroot AS node FROM subroots
+  UNION ALL SELECT key, lvl + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM crown) WHERE n > 1 GROUP BY key, lvl, pos // 3),
+nodes AS MATERIALIZED (SELECT *, max(lvl) OVER (PARTITION BY key) AS top FROM (SELECT * FROM tree UNION ALL SELECT * FROM crown)),
+steps AS MATERIALIZED (SELECT a.key, a.lvl, a.pos, (a.pos % 3) || coalesce(string_agg(b.node, '' ORDER BY b.pos), '') AS step
+  FROM nodes a LEFT JOIN nodes b ON b.key = a.key AND b.lvl = a.lvl AND b.pos // 3 = a.pos // 3 AND b.pos <> a.pos WHERE a.lvl < a.top GROUP BY a.key, a.lvl, a.pos),
+proofs AS (SELECT row, list(step ORDER BY crown, lvl) AS proof FROM (
+    SELECT row, false AS crown, lvl, step FROM placed p JOIN steps s ON s.key = p.key AND s.pos = p.pos // (3 ** s.lvl)::BIGINT
+    UNION ALL SELECT row, true, lvl, step FROM placed p JOIN subroots USING (key) JOIN steps s ON s.key = 'crown' AND s.pos = place // (3 ** s.lvl)::BIGINT) GROUP BY row),
+folded AS (SELECT p.doc_id, p.leaf, subroot, (SELECT node FROM nodes WHERE key = 'crown' AND lvl = top) AS root, sha256(array_to_string(list_transform(coalesce(proof, []), lambda s: substr(s, 2)), '')) AS proof_sha256,
+    list_reduce(list_prepend(p.given, coalesce(proof, [])), lambda n, s: sha256(substr(s, 2, 64 * s[1]::INT) || n || substr(s, 2 + 64 * s[1]::INT))) AS folded_root
+  FROM placed p JOIN subroots USING (key) LEFT JOIN proofs USING (row))
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_sharding": OP9_SQL, "op10_topk": OP10_SQL, "op11_merkle": OP11_SQL}
