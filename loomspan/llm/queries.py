@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.llm import collocations as phrases
 from loomspan.llm import merkle, mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
 from loomspan.llm import exact_dedup as exact
 from loomspan.plans.storage import spread
@@ -77,6 +78,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), given={"text": text})
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_secrets": op2_secrets,
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
     "op11_merkle": op11_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 OP1_SQL = r"""
@@ -208,4 +214,21 @@ folded AS (SELECT p.doc_id, p.leaf, subroot, (SELECT node FROM nodes WHERE key =
 SELECT *, folded_root = root AS verified FROM folded
 """
 
-ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_sharding": OP9_SQL, "op10_topk": OP10_SQL, "op11_merkle": OP11_SQL}
+OP13_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM words, range(1, {phrases.LONGEST + 1}) s(size)),
+f AS MATERIALIZED (SELECT lang, size, phrase, count(*)::BIGINT AS n FROM grams GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+candidates AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT c.lang, c.phrase, c.size, c.a, k, x.n AS l, y.n AS r, ((1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[:k], ' ') AND x.size = k JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ') AND y.size = c.size - k),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+holders AS (SELECT lang, part, max(a) AS held FROM (SELECT lang, a, unnest([array_to_string(w[:-2], ' '), array_to_string(w[2:], ' ')]) AS part FROM candidates WHERE size = 3) GROUP BY ALL),
+ranked AS (SELECT l.*, row_number() OVER (PARTITION BY l.lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank FROM lowest l LEFT JOIN holders h ON h.lang = l.lang AND h.part = l.phrase
+  WHERE held IS NULL OR 100 * held < {phrases.SUBSUMED} * a),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {phrases.BEST}
+"""
+
+ORACLE_SQL = {"op1_mixing": OP1_SQL, "op2_secrets": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op9_sharding": OP9_SQL, "op10_topk": OP10_SQL, "op11_merkle": OP11_SQL, "op13_collocations": OP13_SQL}
