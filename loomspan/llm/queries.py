@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import collocations as phrases
-from loomspan.llm import merkle, mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
+from loomspan.llm import main_text, merkle, mixing, pii, quality, secrets, sentencepiece, sharding, simhash, topk, toxicity
 from loomspan.llm import exact_dedup as exact
 from loomspan.plans.storage import spread
 
@@ -78,6 +78,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(_table(spark, sf_dir, "documents"), given={"text": text})
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_topk": op10_topk,
     "op11_merkle": op11_merkle,
+    "op12_main_text": op12_main_text,
     "op13_collocations": op13_collocations,
 }
 
