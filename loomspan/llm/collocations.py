@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,7 @@ def _sketch(bits: int):
             cells, few = keyed >> 8, (keyed & 255).astype(np.uint8)
             starts = np.flatnonzero(np.diff(cells >> BLOCK_BITS, prepend=-1))
             blocks, gaps, weights = [], [], []
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(cells)], strict=True):
+            for a, b in pairwise([*starts.tolist(), len(cells)]):
                 block = int(cells[a]) >> BLOCK_BITS
                 blocks.append(block)
                 gaps.append(encode_gaps(cells[a:b] - (block << BLOCK_BITS)))
