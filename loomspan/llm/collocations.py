@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.llm.exact_dedup import golomb_decode, golomb_encode
 from loomspan.plans.storage import materialize, release_memory, scratch, small_batches
 
 #: Phrases of 2 to LONGEST words are candidates from LEAST occurrences on.
@@ -126,17 +127,21 @@ def _cells(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (hashes * factor >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def encode_gaps(cells: np.ndarray) -> bytes:
-    """Sorted cells as bytes of gaps; 255 stands for as many cells without a value, and goes on."""
-    gaps = np.diff(cells, prepend=0)
-    out = np.full(int((gaps // 255).sum()) + len(gaps), 255, np.uint8)
-    out[np.cumsum(gaps // 255 + 1) - 1] = gaps % 255
-    return out.tobytes()
+def encode_counts(counts: np.ndarray) -> bytes:
+    """Small counts, most of them 1: a bit for each that is not, then these."""
+    more = counts != 1
+    return np.packbits(more).tobytes() + counts[more].astype(np.uint8).tobytes()
 
 
-def decode_gaps(blob: bytes) -> np.ndarray:
-    steps = np.frombuffer(blob, np.uint8)
-    return np.cumsum(steps, dtype=np.int64)[steps < 255]
+def decode_counts(blob: bytes, n: int) -> np.ndarray:
+    held = np.frombuffer(blob, np.uint8)
+    more = np.unpackbits(held[: -(-n // 8)], count=n).view(bool)
+    out = np.ones(n, np.int64)
+    out[more] = held[-(-n // 8) :]
+    return out
+
+
+SENT = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
 
 
 def _sketch(bits: int):
@@ -150,13 +155,12 @@ def _sketch(bits: int):
             keyed = np.sort(cells << 8 | counts)
             cells, few = keyed >> 8, (keyed & 255).astype(np.uint8)
             starts = np.flatnonzero(np.diff(cells >> BLOCK_BITS, prepend=-1))
-            blocks, gaps, weights = [], [], []
+            messages = []
             for a, b in pairwise([*starts.tolist(), len(cells)]):
                 block = int(cells[a]) >> BLOCK_BITS
-                blocks.append(block)
-                gaps.append(encode_gaps(cells[a:b] - (block << BLOCK_BITS)))
-                weights.append(few[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(blocks), pa.int32()), pa.array(blocks, pa.int32()), pa.array(gaps, pa.binary()), pa.array(weights, pa.binary())], names=["row", "block", "gaps", "weights"])
+                k, blob = golomb_encode((cells[a:b] - (block << BLOCK_BITS)).astype(np.uint64), 0, 1 << BLOCK_BITS)
+                messages.append((row, block, b - a, k, blob, encode_counts(few[a:b])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*messages, strict=True), SENT, strict=True)] if messages else [pa.array([], f.type) for f in SENT], schema=SENT)
 
     return lambda batches: _chunks(batches, of_chunk)
 
@@ -164,11 +168,9 @@ def _sketch(bits: int):
 def _merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sum of all tasks' sketches over one block, as a bitmap of the cells that reach LEAST."""
     total = np.zeros(1 << BLOCK_BITS, np.int64)
-    names = ["row", "block", "gaps", "weights"]
     for batch in batches:
-        gaps, weights = (batch.column(names.index(c)) for c in names[2:])
-        for g, w in zip(gaps, weights, strict=True):
-            np.add.at(total, decode_gaps(g.as_buffer()), np.frombuffer(w.as_buffer(), np.uint8))
+        for n, k, cells, counts in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True):
+            np.add.at(total, golomb_decode(cells, n, k, 0).astype(np.int64), decode_counts(counts, n))
     bits = np.packbits(total >= LEAST, bitorder="little").tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.binary())], names=["row", "block", "bitmap"])
 
@@ -197,11 +199,11 @@ def _rows(lang: str, words: int, phrases: list[bytes], counts: np.ndarray) -> pa
 
 def merged_sketch(texts: DataFrame, bits: int) -> list[np.ndarray]:
     """Each row's cells that reach LEAST over all texts (lang, text), as a bitmap: 2^WIDE bits a row at most."""
-    parts = texts.mapInArrow(_sketch(bits), "row int, block int, gaps binary, weights binary")
+    parts = texts.mapInArrow(_sketch(bits), "row int, block int, n int, k int, cells binary, counts binary")
     merged = parts.groupBy("row", "block").applyInArrow(_merge, "row int, block int, bitmap binary")
     rows = [np.zeros(max(1, 1 << bits >> 3), np.uint8) for _ in range(DEPTH)]
     size = 1 << BLOCK_BITS >> 3
-    for row, block, bitmap in merged.toLocalIterator():
+    for row, block, bitmap in merged.collect():  # as bounded as the broadcast
         rows[row][block * size : (block + 1) * size] = np.frombuffer(bitmap, np.uint8)[: len(rows[row])]
     return rows
 
@@ -250,7 +252,7 @@ def score_phrases(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", best: int = BEST, bits: int | None = None) -> DataFrame:
     """The best phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
-    Tasks count the phrases of a million words at a time and send what cells of a count-min sketch they fall in; each
+    Tasks count the phrases of a million words at a time and send, Golomb-coded, what cells of a count-min sketch they fall in; each
     block of cells is summed by one task, message by message. A cell never counts less than a phrase in it has, so
     the phrases that all rows let pass include every frequent one; a second pass counts those exactly, by their words,
     summed per chunk and task before the shuffle. The sketch's rows hold at most 2^WIDE cells, 16 MB each as
