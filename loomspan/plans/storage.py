@@ -52,24 +52,30 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         discard(*(t for t in tables if not any(t is k for k in kept)))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def materialize(*parts: DataFrame) -> DataFrame:
+    """Write a DataFrame, or several of one schema one after the other, as a Parquet table in the shared folder; read it back.
 
     Unlike localCheckpoint the files survive the loss of any executor; unlike checkpoint() the rows are computed
     once and are pruned by column when read again. The table goes by discard(), or when the driver's file system closes.
     """
-    spark = df.sparkSession
+    spark = parts[0].sparkSession
     path = f"{shared_root(spark)}/loomspan/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
     hadoop, files = _folder(spark, path)
     files.deleteOnExit(hadoop)
-    table = spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(parts[0].schema).parquet(path)
     table._written_at = path
     for tables in _SCRATCH[-1:]:
         tables.append(table)
     return table
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether df is a table that materialize() returned."""
+    return hasattr(df, "_written_at")
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     hadoop, files = _folder(spark, path)
     files.delete(hadoop, True)
@@ -162,33 +168,48 @@ class Numbered:
             count = count + F.when(byte.bitwiseAND(power) != 0, 1 << p).otherwise(0)
         return joined.withColumn(name, count).select(*out.columns, name)
 
-    def counted(self, marks: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """The table with each row's count in column name, 0 where none is listed; no row of it is shuffled.
-
-        The bitmaps, one bit a row and power of two, are broadcast to where the rows are read. Files are taken in
-        groups whose bitmaps stay below limit bytes, so a broadcast has the same bound at every size and each file
-        is read once; of several groups each is written in turn, so one broadcast is held at a time.
-        """
+    def _groups(self, marks: DataFrame, name: str, limit: int) -> list[DataFrame]:
+        """The table with each row's count in column name, by groups of files whose bitmaps stay below limit bytes."""
         groups = max(1, -(-marks.count() * BITMAP_BYTES * (len(marks.columns) - 1) // limit))
         if groups == 1:
-            return self._marked(marks, name)
+            return [self._marked(marks, name)]
         edges = [(1 << FILE_BITS) // groups * g >> 15 << 15 for g in range(groups)] + [(1 << FILE_BITS) + _MOST_ROWS]
-        done = []
+        parts = []
         for low, high in zip(edges, edges[1:], strict=False):
             # the first condition prunes files; a file that reaches over an edge is read for both groups
             part = self.df.filter((self.first < high) & (self.first > low - _MOST_ROWS)).filter(F.col(self.row).between(low, high - 1))
             own = marks.filter(F.col("block").between(low >> 15, (high - 1) >> 15))
-            done.append(materialize(Numbered(part, self.row, self.first)._marked(own, name)))
-        out = done[0]
-        for table in done[1:]:
-            out = out.unionByName(table)
-        return out
-
-    def pick(self, numbers: DataFrame, *, keep: bool = True, limit: int = BROADCAST_BYTES) -> DataFrame:
-        """The rows whose numbers (the one column) are listed, or all others; the table's own columns."""
+            parts.append(Numbered(part, self.row, self.first)._marked(own, name))
+        return parts
+
+    def counted(self, marks: DataFrame, name: str, then: Callable[[DataFrame], DataFrame], limit: int = BROADCAST_BYTES) -> DataFrame:
+        """What then makes of the table with each row's count in column name, 0 where none is listed; no row is shuffled.
+
+        The bitmaps, one bit a row and power of two, are broadcast to where the rows are read, for a group of files at
+        a time, so a broadcast has the same bound at every size and each file is read once. then works row by row,
+        and only what it returns is ever written: of several groups each is, one after the other, as one table that
+        run() takes as the stage's own; of one group the caller writes it.
+        """
+        parts = [then(p) for p in self._groups(marks, name, limit)]
+        return parts[0] if len(parts) == 1 else materialize(*parts)
+
+    def pick(self, numbers: DataFrame, *, keep: bool = True, then: Callable[[DataFrame], DataFrame] = lambda rows: rows, limit: int = BROADCAST_BYTES) -> DataFrame:
+        """What then makes of the rows whose numbers (the one column) are listed, or of all others, as a written table.
+
+        Rows are left out and then is applied before anything is written, so what is written depends on neither
+        the limit nor the number of groups.
+        """
         name = free_name(self.df, "__listed")
         marks = self.marks(numbers.select(numbers.columns[0], F.lit(1).alias("n")))
-        return self.counted(marks, name, limit).filter(F.col(name) == int(keep)).select(*self.df.columns)
+        table = materialize(*(then(p.filter(F.col(name) == int(keep)).select(*self.df.columns)) for p in self._groups(marks, name, limit)))
+        discard(marks)
+        return table
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of a row's columns, which tells rows apart by what they hold; maps are read as JSON."""
+    texts = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields]
+    return F.xxhash64(*texts) if texts else F.lit(0).cast("long")
 
 
 def number_rows(docs: DataFrame) -> Numbered:
