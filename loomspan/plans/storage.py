@@ -208,7 +208,8 @@ class Numbered:
 
 def row_digest(df: DataFrame) -> Column:
     """A digest of a row's columns, which tells rows apart by what they hold; maps are read as JSON."""
-    texts = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in df.schema.fields]
+    quoted = {f.name: "`" + f.name.replace("`", "``") + "`" for f in df.schema.fields}
+    texts = [F.to_json(F.struct(quoted[f.name])) if "map<" in f.dataType.simpleString() else F.col(quoted[f.name]) for f in df.schema.fields]
     return F.xxhash64(*texts) if texts else F.lit(0).cast("long")
 
 
