@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import Numbered, delete_folder, materialize, number_rows, release_memory, shared_root, small_batches
+from loomspan.plans.storage import Numbered, delete_folder, discard, materialize, number_rows, release_memory, row_digest, shared_root, small_batches
 
 #: Spark's own limit.
 MOST_BUCKETS = 100_000
@@ -59,9 +59,10 @@ SENT = pa.schema(
         ("times", pa.list_(pa.int32())),
         ("row_ids", pa.list_(pa.int64())),
         ("doc_ids", pa.list_(pa.int64())),
+        ("ties", pa.list_(pa.int64())),
     ]
 )
-SENT_DDL = "sender int, chunk int, messages array<struct<owner:int,n:int,k:int,blob:binary>>, digests binary, times array<int>, row_ids array<long>, doc_ids array<long>"
+SENT_DDL = "sender int, chunk int, messages array<struct<owner:int,n:int,k:int,blob:binary>>, digests binary, times array<int>, row_ids array<long>, doc_ids array<long>, ties array<long>"
 
 
 def _send(owners: int):
@@ -70,7 +71,7 @@ def _send(owners: int):
     Owners hold ranges of fingerprints, so the owners' messages in order spell the chunk's sorted digests.
     """
 
-    def flush(sender: int, chunk: int, held: dict[bytes, list[tuple[int, int | None]]]) -> pa.RecordBatch:
+    def flush(sender: int, chunk: int, held: dict[bytes, list[tuple[int, int | None, int]]]) -> pa.RecordBatch:
         digests = sorted(held)
         prints = np.frombuffer(b"".join(d[:8] for d in digests), ">u8").astype(np.uint64)
         width = _owner_range(0, owners)[1]
@@ -81,15 +82,15 @@ def _send(owners: int):
             k, blob = golomb_encode(own, *_owner_range(owner, owners))
             messages.append({"owner": owner, "n": len(own), "k": k, "blob": blob})
         rows = [r for d in digests for r in held[d]]
-        columns = [sender], [chunk], [messages], [b"".join(digests)], [[len(held[d]) for d in digests]], [[r for r, _ in rows]], [[i for _, i in rows]]
+        columns = [sender], [chunk], [messages], [b"".join(digests)], [[len(held[d]) for d in digests]], *([[r[k] for r in rows]] for k in range(3))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SENT, strict=True)], schema=SENT)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
         sender, chunk, n = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _normalised(batch.column(2)), strict=True):
-                held.setdefault(hashlib.sha256(text).digest(), []).append((row, doc))
+            for row, doc, tie, text in zip(*(batch.column(k).to_pylist() for k in range(3)), _normalised(batch.column(3)), strict=True):
+                held.setdefault(hashlib.sha256(text).digest(), []).append((row, doc, tie))
                 n += 1
             if n >= CHUNK:
                 yield flush(sender, chunk, held)
@@ -120,15 +121,15 @@ def _reply(owners: int):
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The answers on a chunk's own rows: one row per document, suspect if its fingerprint occurs again anywhere."""
     for batch in batches:
-        for chunk, messages, digests, times, row_ids, doc_ids, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for chunk, messages, digests, times, row_ids, doc_ids, ties, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             bitmap = {a["owner"]: a["bitmap"] for a in answers if a["chunk"] == chunk}
             bits = np.concatenate([np.unpackbits(np.frombuffer(bitmap[m["owner"]], np.uint8))[: m["n"]] for m in messages])
             times = np.array(times)
             suspect = np.repeat((bits > 0) | (times > 1), times)
             at = np.repeat(np.arange(len(times)), times)
             spelled = pa.Array.from_buffers(pa.binary(32), len(times), [None, pa.py_buffer(digests)]).take(pa.array(at))
-            columns = [pa.array(row_ids, pa.int64()), pa.array(doc_ids, pa.int64()), spelled.cast(pa.binary()), pa.array(suspect)]
-            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "digest", "suspect"])
+            columns = [*(pa.array(c, pa.int64()) for c in (row_ids, doc_ids, ties)), spelled.cast(pa.binary()), pa.array(suspect)]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "tie", "digest", "suspect"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _answered(rows: DataFrame, owners: int) -> DataFrame:
-    """(row_id, doc_id, digest, suspect), written: coded fingerprints travel to owners and bitmaps come back.
+    """(row_id, doc_id, tie, digest, suspect), written: coded fingerprints travel to owners and bitmaps come back.
 
     What the senders keep lies in a table that is bucketed by sender, so joining the bitmaps moves the bitmaps alone.
     """
@@ -152,9 +153,9 @@ def _answered(rows: DataFrame, owners: int) -> DataFrame:
         messages = sent.select("sender", "chunk", F.inline("messages"))
         replies = messages.groupBy("owner").applyInArrow(_reply(owners), "sender int, chunk int, owner int, bitmap binary")
         answers = replies.groupBy("sender").agg(F.collect_list(F.struct("chunk", "owner", "bitmap")).alias("answers"))  # one bit a row
-        known = sent.select("sender", "chunk", F.transform("messages", lambda m: F.struct(m["owner"].alias("owner"), m["n"].alias("n"))).alias("messages"), "digests", "times", "row_ids", "doc_ids")
-        joined = known.hint("merge").join(answers, "sender").select("chunk", "messages", "digests", "times", "row_ids", "doc_ids", "answers")
-        return materialize(joined.mapInArrow(_apply, "row_id long, doc_id long, digest binary, suspect boolean"))
+        known = sent.select("sender", "chunk", F.transform("messages", lambda m: F.struct(m["owner"].alias("owner"), m["n"].alias("n"))).alias("messages"), "digests", "times", "row_ids", "doc_ids", "ties")
+        joined = known.hint("merge").join(answers, "sender").select("chunk", "messages", "digests", "times", "row_ids", "doc_ids", "ties", "answers")
+        return materialize(joined.mapInArrow(_apply, "row_id long, doc_id long, tie long, digest binary, suspect boolean"))
     finally:
         spark.sql(f"DROP TABLE {name}")
         delete_folder(spark, path)
@@ -167,24 +168,27 @@ def exact_dedup(docs: DataFrame | Numbered, *, id_col: str = "doc_id", text_col:
     each owner of a fingerprint range its sorted distinct 64-bit fingerprints, Golomb-coded; owners answer with a
     bitmap of those that several senders hold, which meets the digests and ids where they lie. Suspects' numbers go
     back to the scan as bitmaps, so only suspects' texts are shuffled, for byte verification: they are grouped by
-    their bytes, pre-aggregated map-side, so a group of copies of any size sends one text per task. The plan is the
-    same at every size; owners grow in number with the rows.
+    their bytes, pre-aggregated map-side, so a group of copies of any size sends one text per task; the distinct texts
+    are written once. Owners grow in number with the rows.
 
     Nulls: a null text is empty; a null id is smaller than any other and stays only where a group has no id. Rows
-    that tie for the largest id are told apart by row, so exactly one row of a group is kept. An empty table gives an
+    that tie for the largest id are told apart by a digest of all their columns, so the same text stays wherever the
+    files lie, and by row only where they are equal throughout: exactly one row of a group is kept. An empty table gives an
     empty table. Other columns are ignored, whatever their names. Ids must be numbers. docs may come with row numbers.
     """
     numbered = docs if isinstance(docs, Numbered) else number_rows(docs)
     spark = numbered.df.sparkSession
     small_batches(spark)
     owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbered.df.count() // OWNED))
-    rows = numbered.df.select(F.col(numbered.row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    tie = row_digest(numbered.df.drop(numbered.row))
+    rows = numbered.df.select(F.col(numbered.row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), tie.alias("tie"), F.col(text_col).alias("text"))
     marked = _answered(rows, owners)
 
     suspects = marked.filter("suspect")
-    wanted = suspects.groupBy("digest").agg(F.count("*").alias("expected"), F.max(F.struct("doc_id", "row_id")).alias("best"))
-    copies = numbered.pick(suspects.select("row_id")).select(F.col(text_col).alias("text")).mapInArrow(_texts, "digest binary, bytes binary")
-    verified = copies.groupBy("digest", "bytes").agg(F.count("*").alias("copies")).groupBy("digest").agg(F.count("*").alias("texts"), F.sum("copies").alias("copies"))
+    wanted = suspects.groupBy("digest").agg(F.count("*").alias("expected"), F.max(F.struct("doc_id", "tie", "row_id")).alias("best"))
+    texts = lambda rows: rows.select(F.col(text_col).alias("text")).mapInArrow(_texts, "digest binary, bytes binary")
+    copies = numbered.pick(suspects.select("row_id"), then=lambda rows: texts(rows).groupBy("digest", "bytes").agg(F.count("*").alias("copies")))
+    verified = copies.groupBy("digest", "bytes").agg(F.sum("copies").alias("copies")).groupBy("digest").agg(F.count("*").alias("texts"), F.sum("copies").alias("copies"))
     sound = (F.col("texts") == 1) & (F.col("copies") == F.col("expected"))
     groups = wanted.join(verified, "digest").select(
         "digest",
@@ -194,6 +198,7 @@ def exact_dedup(docs: DataFrame | Numbered, *, id_col: str = "doc_id", text_col:
     )
     # written first, so that both sides of the join are plain exchanges and AQE can split a large group of copies
     groups = materialize(groups)
+    discard(copies)
     grouped = suspects.join(groups, "digest").withColumn("kept", F.col("row_id") == F.col("keep_row"))
     alone = marked.filter("not suspect").select("*", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     columns = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "row_id"]

@@ -413,10 +413,12 @@ def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[S
     out = []
     for text, tagged in zip(texts, tag_runs(model, texts), strict=True):
         base = base_spans(text)
-        taken = np.array([(s, e) for s, _, e in base], np.int64).reshape(-1, 2)
-        free = lambda s, e, taken=taken: not ((taken[:, 0] < e) & (s < taken[:, 1])).any()
+        starts = np.array([s for s, _, _ in base], np.int64)  # in order; spans of different kinds may overlap
+        reach = np.maximum.accumulate(np.array([e for _, _, e in base], np.int64)) if base else starts
         trimmed = [(s + len(body) - len(body.lstrip()), k, s + len(body.rstrip())) for s, k, e in tagged for body in (text[s:e],)]
-        out.append((base, sorted(x for x in trimmed if free(x[0], x[2]) and plausible(x[1], text[x[0] : x[2]]))))
+        before = np.searchsorted(starts, [e for _, _, e in trimmed])  # base spans that begin before a tagged one ends
+        free = [n == 0 or reach[n - 1] <= s for n, (s, _, _) in zip(before.tolist(), trimmed, strict=True)]
+        out.append((base, sorted(x for x, alone in zip(trimmed, free, strict=True) if alone and plausible(x[1], text[x[0] : x[2]]))))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -270,3 +271,19 @@ def test_pii_of_awkward_rows(spark, tagger):
         assert [(s.start, s.rank, s.end) for s in r.base] == plain_pii(t or "")
         assert all(a.end <= b.start or b.end <= a.start for a in r.added for b in r.base)
     assert pii.find_pii(frame(spark, []), tagger=tagger).collect() == []
+
+
+def test_pii_of_dense_texts_is_linear():
+    """Added spans keep clear of base spans of every kind, by one search each."""
+    model = pii.default_tagger()
+    line = "Call 555-010-1234 or (555) 010-4321, mail a.b@example.com, c@x.org from 10.0.0.1 "
+    seconds = []
+    for n in (200, 2000):
+        began = time.process_time()
+        base, added = pii.find_spans(model, [line * n])[0]
+        seconds.append(time.process_time() - began)
+        taken = np.zeros(len(line) * n, bool)
+        for s, _, e in base:
+            taken[s:e] = True
+        assert len(base) >= 3 * n and not any(taken[s:e].any() for s, _, e in added)
+    assert seconds[1] < 30 * max(seconds[0], 0.05)

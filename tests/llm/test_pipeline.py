@@ -116,14 +116,14 @@ def test_stages_keep_all_columns(spark, folder):
 def test_registered():
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "sentencepiece"]
     assert "pipeline" in entry.queries() and set(QUERIES) <= set(entry.queries())
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
