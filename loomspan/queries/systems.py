@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators import snapshots as A
 from loomspan.operators import cassette as C
 from loomspan.operators import quest as Q
+from loomspan.plans.storage import materialize, shared_root
+from loomspan.queries import learning
 from loomspan.queries.learning import _SESSION_SQL, attempts
 from loomspan.streaming import replay as R
 
@@ -42,21 +46,59 @@ def q47_quest(spark, sf_dir):
 _STREAM_SQL = _SESSION_SQL.replace("SELECT actor, beats_visited, attempts", "SELECT actor::VARCHAR AS actor, beats_visited, attempts").replace(" mastery, flow_in_band_ratio", " flow_in_band_ratio")
 
 
-@query(_STREAM_SQL)
-def q48_stream_session(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern: a stream reads folders or patterns
+def _streamed(e):
+    """events as a stream's or a batch's attempts, ordered by time and id."""
     k = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") % 8).cast("string"))
     rows = e.select(
         F.col("user_id").cast("string").alias("actor"), F.struct("ts", "event_id").alias("o"), F.col("event_type").alias("beat"), F.col("event_type").alias("check"), k.alias("item"),
         (F.least("value", F.lit(50.0)) / 50.0).alias("score"), F.lit(1.0).alias("max_score"), ((F.col("event_type") != "error") & (F.col("value") < 20)).alias("ok"),
-    ).withColumn("ordinal", F.concat(F.date_format("o.ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad(F.col("o.event_id").cast("string"), 20, "0"))).drop("o")
-    s = R.replay_available(spark, rows)
+    )
+    return rows.withColumn("ordinal", F.concat(F.date_format("o.ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lpad(F.col("o.event_id").cast("string"), 20, "0"))).drop("o")
+
+
+def _live_events(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # as a pattern: a stream reads folders or patterns
+
+
+def _session_rows(s):
     summary = "beats_visited array<string>, attempts long, passed long, xp long, level long, streak_max long, flow_in_band_ratio double, statements long, skipped long, retries_used long"
     out = s.select("actor", F.from_json("session", summary).alias("s")).select("actor", "s.*")
     return out.withColumn("beats_visited", F.array_join("beats_visited", ","))
 
 
+@query(_STREAM_SQL)
+def q48_stream_session(spark, sf_dir):
+    return _session_rows(R.replay_available(spark, _streamed(_live_events(spark, sf_dir))))
+
+
+def _halves(spark, sf_dir):
+    """events, and the time that parts them in halves."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e, F.lit(e.agg(F.percentile_approx("ts", 0.5)).first()[0])
+
+
+@query(_STREAM_SQL)
+def q70_resumed_session(spark, sf_dir):
+    """The first half of the events in batch; the learners saved after it go on with the rest as a stream."""
+    e, middle = _halves(spark, sf_dir)
+    states = materialize(R.learner_states(_streamed(e.filter(F.col("ts") < middle))))
+    rest = _live_events(spark, sf_dir).filter(F.col("ts") >= middle)
+    return _session_rows(R.replay_available(spark, _streamed(rest), states=states))
+
+
+@query(learning.ORACLE_SQL["q67_statement_store"])
+def q71_live_statements(spark, sf_dir):
+    """Statements as the stream says them, in two runs on one folder: the second goes on where the first was cut."""
+    e, middle = _halves(spark, sf_dir)
+    folder = f"{shared_root(spark)}/loomspan/{uuid.uuid4().hex}"
+    for part in (e.filter(F.col("ts") < middle), e.filter(F.col("ts") >= middle)):
+        part.write.mode("append").parquet(f"{folder}/events")
+        R.follow(spark, _streamed(spark.readStream.schema(e.schema).parquet(f"{folder}/events")), f"{folder}/live")
+    said = R.live_statements(spark, f"{folder}/live")
+    return said.select(F.col("actor").cast("long").alias("actor"), F.col("step").alias("timestamp"), "verb", "object", F.bround("score", 6).alias("score"))
+
+
 @query("""WITH cassette AS (SELECT * FROM (VALUES ('view', 0, 3), ('view', 1, 5), ('click', 0, 2), ('purchase', 0, 11), ('purchase', 1, 7), ('purchase', 2, 1)) t(role, ordinal, tokens)),
 calls AS (SELECT user_id AS session, event_id AS pos, event_type AS role, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS nth FROM events),
 met AS (SELECT c.session, c.pos, c.role, k.ordinal, k.tokens FROM calls c JOIN cassette k ON k.role = c.role AND k.ordinal = c.nth % (SELECT count(*) FROM cassette x WHERE x.role = c.role))

@@ -1,53 +1,169 @@
-"""Live replay: a stream of attempts to sessions, with one small state per learner."""
+"""Live replay: a stream of attempts to sessions and statements, from new or saved learners, with typed state."""
 
 from __future__ import annotations
 
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomspan.functions.replay import Learner
 from loomspan.plans.storage import shared_root
 
-SESSION = "actor string, session string, step long"
+#: One row per attempt's statement and, for each learner of a batch, one with its session and state after the batch.
+LIVE = "actor string, step long, seq int, verb string, object string, score double, success boolean, p double, session string, state string"
 
+COUNTS = ("xp", "streak", "streak_max", "step", "attempts", "passed", "skipped", "retries_used", "statements", "in_band", "run_length", "picks")
+LEARNER = ", ".join(f"{c} long" for c in COUNTS) + ", run_failed boolean, run_beat string, run_check string, recent array<boolean>"
+ITEM = "mastery double, stability double, last_review long"
 
-def _advance(max_retries: int):
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        learner = Learner.loads(state.get[0] if state.exists else None)
-        rows = pd.concat(list(frames)).sort_values("ordinal")  # one learner's share of one micro-batch
-        for r in rows.itertuples(index=False):
-            learner.attempt(r.beat, r.check, r.item, r.score, r.max_score, bool(r.ok), max_retries)
-        state.update((learner.dumps(),))
-        yield pd.DataFrame([{"actor": key[0], "session": json.dumps(learner.summary()), "step": learner.attempts + learner.skipped}])
 
-    return advance
+class Replay(StatefulProcessor):
+    """A learner's state: one row of counts, one entry per item, one per visited beat. A batch writes what it changed."""
 
+    def __init__(self, max_retries: int = 1):
+        self.max_retries = max_retries
 
-def live_sessions(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
-    """A streaming (actor, session JSON, step) that updates with each micro-batch.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.learner = handle.getValueState("learner", LEARNER)
+        self.items = handle.getMapState("items", "item string", ITEM)
+        self.visited = handle.getMapState("visited", "beat string", "place long")
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> Learner:
+        out = Learner()
+        if not self.learner.exists():
+            return out
+        values = self.learner.get()
+        for name, value in zip(COUNTS, values, strict=False):
+            setattr(out, name, value)
+        out.run_failed, beat, check, recent = values[len(COUNTS) :]
+        out.run_key, out.recent = ([beat, check] if beat is not None else None), list(recent)
+        for (item,), (mastery, stability, last_review) in self.items.iterator():
+            out.mastery[item], out.stability[item], out.last_review[item] = mastery, stability, last_review
+        out.visited = [beat for _, beat in sorted((place, beat) for (beat,), (place,) in self.visited.iterator())]
+        return out
+
+    def _save(self, now: Learner, before: Learner) -> None:
+        beat, check = now.run_key or (None, None)
+        self.learner.update((*(int(getattr(now, c)) for c in COUNTS), bool(now.run_failed), beat, check, [bool(x) for x in now.recent]))
+        for item, mastery in now.mastery.items():
+            entry = (float(mastery), float(now.stability.get(item, 1.0)), int(now.last_review.get(item, 0)))
+            if entry != (before.mastery.get(item), before.stability.get(item), before.last_review.get(item)):
+                self.items.updateValue((item,), entry)
+        for place in range(len(before.visited), len(now.visited)):
+            self.visited.updateValue((now.visited[place],), (place,))
+
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        self._save(Learner.loads(initialState["state"].iloc[0]), Learner())
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        learner, before = self._load(), self._load()
+        learner.told = []
+        for r in pd.concat(list(rows)).sort_values("ordinal").itertuples(index=False):  # a learner's share of a micro-batch
+            learner.attempt(r.beat, r.check, r.item, float(r.score), float(r.max_score), bool(r.ok), self.max_retries)
+        self._save(learner, before)
+        said = [
+            {"actor": key[0], "step": t["timestamp"], "seq": n, "verb": t["verb"], "object": t["object"], "score": t["result"].get("score"), "success": t["result"].get("success"), "p": t["result"].get("p")}
+            for n, t in enumerate(learner.told, before.statements)
+        ]
+        last = {"actor": key[0], "step": learner.attempts + learner.skipped, "session": json.dumps(learner.summary()), "state": learner.dumps()}
+        names = [c.split()[0] for c in LIVE.split(", ")]
+        yield pd.DataFrame([*said, last], columns=names).astype({"seq": "Int32", "success": "boolean", "step": "int64", "score": "float64", "p": "float64"})
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Typed state lives in this store; the session's own choice comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def live(attempts: DataFrame, max_retries: int = 1, states: DataFrame | None = None) -> DataFrame:
+    """A stream of statements, sessions and states (LIVE) that goes on with each micro-batch.
 
     attempts: (actor string, ordinal, beat, check, item, score, max_score, ok); the source must deliver a learner's
-    attempts in order from batch to batch, within a batch ordinal sorts them. Replaying in pieces equals replaying
-    at once, since the state holds all that later attempts depend on.
+    attempts in order from batch to batch, within a batch ordinal sorts them. states: (actor string, state), learners
+    saved before, each of whom goes on from there; who is in neither starts anew. Replaying in pieces equals
+    replaying at once, since the state holds all that later attempts depend on.
     """
-    return attempts.groupBy("actor").applyInPandasWithState(_advance(max_retries), SESSION, "learner string", "update", GroupStateTimeout.NoTimeout)
+    start = states.select("actor", "state").groupBy("actor") if states is not None else None
+    return attempts.groupBy("actor").transformWithStateInPandas(Replay(max_retries), LIVE, "Update", "None", start)
+
+
+def learner_states(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
+    """(actor string, state): every learner after a batch of attempts, as live() and saved states have it."""
+
+    def replay(frame: pd.DataFrame) -> pd.DataFrame:
+        learner = Learner()
+        for r in frame.sort_values("ordinal").itertuples(index=False):
+            learner.attempt(r.beat, r.check, r.item, float(r.score), float(r.max_score), bool(r.ok), max_retries)
+        return pd.DataFrame([{"actor": frame["actor"].iloc[0], "state": learner.dumps()}])
+
+    return attempts.groupBy("actor").applyInPandas(replay, "actor string, state string")
+
+
+def _sessions_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"actor": frame["actor"], "session": [json.dumps(Learner.loads(s).summary()) for s in frame["state"]]})
+
+
+def follow(spark: SparkSession, attempts: DataFrame, folder: str, max_retries: int = 1, states: DataFrame | None = None) -> None:
+    """Run the stream over what is available: folder/statements and folder/sessions grow by a part per micro-batch.
+
+    A part is named by its batch and replaced when that batch runs again, and a batch reads and leaves the same state
+    each time, so after any cut a run on the same folder goes on and every statement is there once. The logical clock
+    is part of the state. states count in the first run only.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.filter("verb is not null").drop("session", "state").write.mode("overwrite").parquet(f"{folder}/statements/batch={number}")
+        batch.filter("session is not null").select("actor", "step", "session", "state").write.mode("overwrite").parquet(f"{folder}/sessions/batch={number}")
+        batch.unpersist()
+
+    with _rocks(spark):
+        writer = live(attempts, max_retries, states).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+
+
+STATEMENTS = "actor string, step long, seq int, verb string, object string, score double, success boolean, p double, batch long"
+SESSIONS = "actor string, step long, session string, state string, batch long"
+
+
+def live_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """What the stream has said so far, once each: (actor, step, seq, verb, object, score, success, p, batch)."""
+    return spark.read.schema(STATEMENTS).parquet(f"{folder}/statements")
+
+
+def live_states(spark: SparkSession, folder: str) -> DataFrame:
+    """(actor, session, state): each learner's latest, ready to start another stream from."""
+    latest = spark.read.schema(SESSIONS).parquet(f"{folder}/sessions").groupBy("actor").agg(F.max_by(F.struct("session", "state"), F.struct("batch", "step")).alias("l"))
+    return latest.select("actor", "l.session", "l.state")
 
 
-def replay_available(spark: SparkSession, attempts: DataFrame, max_retries: int = 1, checkpoint: str | None = None) -> DataFrame:
-    """Run the stream over what is available and return each learner's latest session.
+def replay_available(spark: SparkSession, attempts: DataFrame, max_retries: int = 1, checkpoint: str | None = None, states: DataFrame | None = None) -> DataFrame:
+    """(actor, session): the stream is run over what is available; saved learners without an attempt keep theirs.
 
-    Batches are appended to a table in the shared folder; a checkpoint given again continues where it ended.
+    A checkpoint given again continues where it ended.
     """
     folder = checkpoint or f"{shared_root(spark)}/loomspan/{uuid.uuid4().hex}"
-    table = f"{folder}/sessions"
-    writer = live_sessions(attempts, max_retries).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint")
-    query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{table}/batch={n}")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    latest = spark.read.parquet(table).groupBy("actor")
-    return latest.agg(F.max_by("session", F.struct("batch", "step")).alias("session"))
+    follow(spark, attempts, folder, max_retries, states)
+    now = live_states(spark, folder).select("actor", "session")
+    if states is None:
+        return now
+    idle = states.select("actor", "state").join(now, "actor", "left_anti").mapInPandas(_sessions_of, "actor string, session string")
+    return now.unionByName(idle)
