@@ -36,11 +36,50 @@ def _story() -> Q.Story:
     return Q.Story.of(beats, checks, items, [(a, b) for a, b in zip(items, items[1:], strict=False)])
 
 
-@query()
+def _attempt_sql(ok: str, when: str) -> dict[str, str]:
+    """A learner's columns after one attempt at the beat's check, where one is made."""
+    after = lambda before: learning.TRACE.replace("acc", before).replace("WHEN v THEN", f"WHEN {ok} THEN")
+    recent = f"list_append(recent, ({ok})::INT)[-10:]"
+    new = {
+        "pos": "pos + 1", "attempts": "attempts + 1", "passed": f"passed + ({ok})::INT", "xp": f"xp + 10 * ({ok})::INT", "recent": recent,
+        "m": f"list_transform(range(12), lambda i: CASE WHEN i = beat THEN {after('m[i + 1]')} ELSE m[i + 1] END)",
+        "in_band": f"in_band + (list_avg({recent}) BETWEEN 0.7::DOUBLE AND 0.85::DOUBLE)::INT",
+        "streak": f"CASE WHEN {ok} THEN streak + 1 ELSE 0 END", "streak_max": f"greatest(streak_max, CASE WHEN {ok} THEN streak + 1 ELSE 0 END)",
+        "statements": f"statements + 2 + (m[beat + 1] < 0.95::DOUBLE AND {after('m[beat + 1]')} >= 0.95::DOUBLE)::INT",
+    }
+    return {c: f"CASE WHEN {when} THEN {e} ELSE {c} END AS {c}" for c, e in new.items()}
+
+
+_NUMBERS = ("pos", "picks", "attempts", "passed", "xp", "streak", "streak_max", "in_band", "statements", "retries_used")
+_KEPT = ", ".join((*_NUMBERS, "visited", "m", "recent"))
+_FIRST = _attempt_sql("r1", "tried") | {"statements": "statements + seen + CASE WHEN tried THEN 2 + (m[beat + 1] < 0.95::DOUBLE AND " + learning.TRACE.replace("acc", "m[beat + 1]").replace("WHEN v THEN", "WHEN r1 THEN") + " >= 0.95::DOUBLE)::INT ELSE 0 END AS statements"}
+_AGAIN = _attempt_sql("r2", "retried")
+#: A pick a step: the best ready beat, its first and, after a failure, its second answer; lists hold beats, mastery and the last ten outcomes.
+QUEST_SQL = f"""WITH RECURSIVE {learning.ATTEMPTS},
+answers AS (SELECT actor, list(ok ORDER BY step) AS a FROM attempts GROUP BY actor),
+quest AS (
+  SELECT actor, {", ".join(f"0::BIGINT AS {c}" for c in _NUMBERS)}, []::BIGINT[] AS visited, list_transform(range(12), lambda i: 0.0::DOUBLE) AS m, []::INT[] AS recent, NULL::VARCHAR AS reason FROM answers
+  UNION ALL
+  SELECT actor, {", ".join(_AGAIN.get(c, c) if c != "retries_used" else "retries_used + retried::INT AS retries_used" for c in _KEPT.split(", "))},
+         CASE WHEN reason IS NULL AND tried AND NOT r1 AND r2 IS NULL THEN 'responses_exhausted' ELSE reason END AS reason
+  FROM (SELECT *, coalesce(tried AND NOT r1 AND r2 IS NOT NULL, false) AS retried FROM (
+    SELECT actor, {", ".join(_FIRST.get(c, c) for c in _KEPT.split(", ") if c not in ("picks", "visited"))}, picks + seen AS picks, CASE WHEN seen = 1 THEN list_append(visited, beat) ELSE visited END AS visited,
+           beat, r1, a[pos + 2] AS r2, tried, CASE WHEN beat IS NULL AND len(visited) = 12 THEN 'quest_complete' WHEN beat IS NULL THEN 'gated' WHEN seen = 0 THEN 'responses_exhausted' END AS reason
+    FROM (SELECT *, a[pos + 1] AS r1, coalesce(beat % 4 <> 3 AND a[pos + 1] IS NOT NULL, false) AS tried, coalesce(beat % 4 = 3 OR a[pos + 1] IS NOT NULL, false)::INT * (beat IS NOT NULL)::INT AS seen FROM (
+      SELECT *, CASE WHEN list_max(scores) IS NOT NULL THEN list_position(scores, list_max(scores)) - 1 END AS beat FROM (
+        SELECT q.*, a, list_transform(range(12), lambda i: CASE WHEN NOT list_contains(visited, i) AND (i % 3 = 0 OR m[i] >= 0.95::DOUBLE OR list_contains(visited, i - 1)) THEN
+            round_even((CASE WHEN m[i + 1] < 0.95::DOUBLE AND (i = 0 OR m[i] >= 0.95::DOUBLE) THEN 2.0 ELSE 0.0 END)::DOUBLE + 1.0::DOUBLE - m[i + 1]
+              + (CASE WHEN coalesce(list_avg(recent), 1.0) > 0.85::DOUBLE THEN 0.25 WHEN coalesce(list_avg(recent), 1.0) < 0.7::DOUBLE THEN -0.25 ELSE 0.0 END)::DOUBLE * (i % 4 + 1), 9) END) AS scores
+        FROM quest q JOIN answers USING (actor) WHERE reason IS NULL))))))
+SELECT actor::VARCHAR AS actor, reason, picks, array_to_string(list_transform(visited, lambda i: 'b' || lpad(i::VARCHAR, 2, '0')), ',') AS visited, attempts, passed, xp, streak_max,
+       CASE WHEN attempts > 0 THEN round_even(in_band / attempts::DOUBLE, 4) ELSE 1.0 END AS flow_in_band_ratio, statements, retries_used FROM quest WHERE reason IS NOT NULL"""
+
+
+@query(QUEST_SQL)
 def q47_quest(spark, sf_dir):
     a = attempts(spark, sf_dir)
     answers = a.select(F.col("actor").cast("string").alias("actor"), F.col("step").alias("pos"), F.when(F.col("ok"), "right").otherwise("wrong").alias("response"), F.lit(None).cast("string").alias("state"))
-    return Q.quests(answers, _story()).drop("state", "transcript")
+    return Q.quests(answers, _story()).drop("state", "transcript").withColumn("visited", F.array_join("visited", ","))
 
 
 _STREAM_SQL = _SESSION_SQL.replace("SELECT actor, beats_visited, attempts", "SELECT actor::VARCHAR AS actor, beats_visited, attempts").replace(" mastery, flow_in_band_ratio", " flow_in_band_ratio")

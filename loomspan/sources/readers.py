@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions.replay import Learner
 from loomspan.functions.text import response_value
 
 TEXT_ENDINGS, PDF_ENDINGS = (".md", ".markdown", ".txt"), (".pdf",)
@@ -120,3 +122,12 @@ def check_statements(spark: SparkSession, path: str) -> DataFrame:
 
 def literal(value) -> Column:
     return F.lit(json.dumps(value))
+
+
+def read_states(spark: SparkSession, folder: str) -> DataFrame:
+    """(actor, state): saved learners, a JSON file each, named by its learner; another file's content is refused."""
+    names = sorted(f.name for f in fields(Learner))
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("actor"), F.col("value"))
+    sound = F.array_sort(F.json_object_keys("value")) == F.array(*map(F.lit, names))
+    problem = F.concat("actor", F.lit(".json: not a learner state"))
+    return rows.select("actor", F.when(F.coalesce(sound, F.lit(False)), F.col("value")).otherwise(F.raise_error(problem).cast("string")).alias("state"))

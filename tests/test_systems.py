@@ -10,6 +10,7 @@ from loomspan.operators import cassette as C
 from loomspan.operators import learning as O
 from loomspan.plans import pipelines as P
 from loomspan.sources import readers, writers
+from loomspan.streaming import replay
 from loomspan.streaming.replay import replay_available
 
 CHAPTER = "# Averages\n\nThe Mean is the sum over the count. The Median is the middle.\n\nStandard Deviation describes the Spread.\n"
@@ -178,6 +179,67 @@ def test_live_replay_in_pieces(spark, tmp_path):
         assert session == {k: v if not isinstance(v, float) else pytest.approx(v) for k, v in want[actor].items() if k != "actor"}
 
 
+def attempt_rows(n=90, learners=3):
+    return [(f"a{k % learners}", k, f"b{k * k % 7}", f"c{k * k % 7}", f"i{k % 4}", float(k % 5 > 1), 1.0, k % 5 > 1) for k in range(n)]
+
+
+ATTEMPT = "actor string, ordinal long, beat string, check string, item string, score double, max_score double, ok boolean"
+
+
+def told(rows, since=0):
+    """What plain learners say from their statement number since on."""
+    out, learners = [], {}
+    for actor, _, beat, check, item, score, best, ok in rows:
+        learner = learners.setdefault(actor, Learner())
+        learner.told = learner.told if learner.told is not None else []
+        learner.attempt(beat, check, item, score, best, ok)
+    for actor, learner in learners.items():
+        out += [(actor, n, t["timestamp"], t["verb"], t["object"]) for n, t in enumerate(learner.told)]
+    return sorted(out)
+
+
+def test_live_statements_are_there_once_after_any_cut(spark, tmp_path):
+    """Two runs on one folder, and the last batch once more as if its commit had been lost with the driver."""
+    rows, folder, live = attempt_rows(), str(tmp_path / "in"), f"file://{tmp_path}/live"
+    for cut in (rows[:40], rows[40:]):
+        spark.createDataFrame(cut, ATTEMPT).coalesce(1).write.mode("append").parquet(folder)
+        replay.follow(spark, spark.readStream.schema(ATTEMPT).parquet(folder), live)
+    said = lambda: sorted((r.actor, r.seq, r.step, r.verb, r.object) for r in replay.live_statements(spark, live).collect())
+    assert said() == told(rows)
+    commits = tmp_path / "live" / "checkpoint" / "commits"
+    last = max((f for f in commits.iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    for f in commits.glob(f"*{last.name}*"):
+        f.unlink()
+    replay.follow(spark, spark.readStream.schema(ATTEMPT).parquet(folder), live)
+    assert said() == told(rows)
+
+
+def test_live_replay_from_saved_learners(spark, tmp_path):
+    """Learners saved as files go on in a stream as if they had never stopped; idle and new ones are there too."""
+    rows = attempt_rows()
+    first, rest = rows[:50], [r for r in rows[50:] if r[0] != "a2"] + [(f"new{r[0]}", *r[1:]) for r in rows[50:60]]
+    learners = {}
+    for actor, _, *attempt in first:
+        learners.setdefault(actor, Learner()).attempt(*attempt)
+    for actor, learner in learners.items():
+        writers.save_state(learner, str(tmp_path / "states" / f"{actor}.json"))
+    states = readers.read_states(spark, str(tmp_path / "states"))
+    assert {r.actor: Learner.loads(r.state) for r in states.collect()} == learners
+    batch = spark.createDataFrame(first, ATTEMPT)
+    assert {r.actor: r.state for r in replay.learner_states(batch).collect()} == {a: x.dumps() for a, x in learners.items()}
+    spark.createDataFrame(rest, ATTEMPT).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ATTEMPT).parquet(str(tmp_path / "in"))
+    got = {r.actor: json.loads(r.session) for r in replay_available(spark, stream, checkpoint=f"file://{tmp_path}/live", states=states).collect()}
+    for actor, _, *attempt in rest:
+        learners.setdefault(actor, Learner()).attempt(*attempt)
+    assert got == {a: x.summary() for a, x in learners.items()}
+    latest = {r.actor: r.state for r in replay.live_states(spark, f"file://{tmp_path}/live").collect()}
+    assert latest == {a: x.dumps() for a, x in learners.items() if a != "a2"}
+    (tmp_path / "states" / "bad.json").write_text('{"xp": 1}')
+    with pytest.raises(Exception, match="not a learner state"):
+        readers.read_states(spark, str(tmp_path / "states")).collect()
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "beats.json").write_text(json.dumps({"beats": story()["beats"]}))
     row = readers.read_story(spark, str(tmp_path / "beats.json")).first()
