@@ -74,31 +74,45 @@ def grade_numeric(answer: Column, response: Column, tolerance: Column | None = N
     return F.abs(response - answer) <= (given if tolerance is None else F.coalesce(tolerance, given))
 
 
-def ordering_fraction(answer: Column, response: Column) -> Column:
-    """Normalised Kendall agreement of two orderings, compared as strings; 0 unless one permutes the other.
+def inversions(ranks: Column) -> Column:
+    """Pairs of an array of distinct whole numbers that stand in descending order, by merging sorted runs.
 
-    The n-th occurrence of a value in the response stands for its n-th occurrence in the answer.
+    Runs double in length. Of two neighbouring runs, a number of the left one stands in the merged run as far behind its
+    old place as the right one has smaller numbers, so the places tell the pairs without comparing them.
     """
-    a, r = answer.cast("array<string>"), response.cast("array<string>")
+    even, odd = lambda xs: F.transform(xs, lambda x: x * 2), lambda xs: F.transform(xs, lambda x: x * 2 + 1)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    def bound(value: Column, body) -> Column:
-        """body of a value that is worked out once, however often body's lambdas use it."""
-        return F.element_at(F.transform(F.array(value), body), 1)
+    def merged(run: Column, first: Column, length: Column) -> Column:
+        return F.array_sort(F.concat(even(F.slice(run, first, length)), odd(F.slice(run, first + length, length))))
 
-    def keyed(xs: Column) -> Column:
-        """Values with their occurrence number; plain values where none repeats."""
-        nth = lambda x, i: F.size(F.filter(F.slice(xs, 1, i + 1), lambda y: y == x))
-        numbered = F.transform(xs, lambda x, i: F.concat(x, F.lit("\u0001"), nth(x, i).cast("string")))
-        return F.when(F.size(F.array_distinct(xs)) == F.size(xs), xs).otherwise(numbered)
+    def step(state: Column, level: Column) -> Column:
+        length = F.pow(F.lit(2), level).cast("int")
+        firsts = F.sequence(F.lit(1), F.size(state["run"]), length * 2)
+        runs = F.transform(firsts, lambda first: merged(state["run"], first, length))
+        # of each merged run the places of the left numbers, less the places that they had
+        moved = lambda xs: total(F.transform(xs, lambda x, i: F.when(x % 2 == 0, i).otherwise(0).cast("long")))
+        left = lambda xs: F.least(F.size(xs), length).cast("long")
+        crossed = total(F.transform(runs, lambda xs: moved(xs) - F.floor(left(xs) * (left(xs) - 1) / 2)))
+        return F.struct(F.transform(F.flatten(runs), lambda x: F.shiftright(x, 1)).alias("run"), (state["pairs"] + crossed).alias("pairs"))
 
-    def swaps(ranks: Column) -> Column:
-        later = lambda x, i: F.size(F.filter(F.slice(ranks, i + 2, F.size(ranks)), lambda y: y < x))
-        return F.aggregate(F.transform(ranks, later), F.lit(0), lambda s, x: s + x)
+    levels = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.log2(F.size(ranks).cast("double"))).cast("int") - 1))
+    start = F.struct(F.transform(ranks, lambda x: x.cast("long")).alias("run"), F.lit(0).cast("long").alias("pairs"))
+    return F.aggregate(levels, start, step, lambda state: state["pairs"])
 
-    ranks = bound(keyed(r), lambda kr: F.transform(keyed(a), lambda x: F.array_position(kr, x)))
-    n = F.size(a)
+
+def ordering_fraction(answer: Column, response: Column) -> Column:
+    """Normalised Kendall agreement of two orderings, compared as strings; 0 unless one permutes the other.
+
+    The n-th occurrence of a value in the response stands for its n-th occurrence in the answer: sorted by value and
+    place, both orderings have it at the same spot. Time grows as sorting does.
+    """
+    a, r = answer.cast("array<string>"), response.cast("array<string>")
+    placed = lambda xs: F.array_sort(F.transform(xs, lambda x, i: F.struct(x.alias("value"), i.alias("place"))))
+    met = F.array_sort(F.zip_with(placed(a), placed(r), lambda x, y: F.struct(x["place"].alias("a"), y["place"].alias("r"))))
+    n = F.size(a).cast("long")
     same = F.array_sort(a) == F.array_sort(r)
-    agreement = 1.0 - bound(ranks, swaps) / (n * (n - 1) / 2)
+    agreement = 1.0 - inversions(F.transform(met, lambda p: p["r"])) / (n * (n - 1) / 2)
     return F.when(~F.coalesce(same, F.lit(False)), F.lit(0.0)).when(n < 2, F.lit(1.0)).otherwise(agreement)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect
 from collections import deque
 from dataclasses import asdict, dataclass, field
 from typing import ClassVar
@@ -38,7 +39,11 @@ def ordering_fraction(answer: list, response: Any) -> float:
         return 1.0
     place = {v: i for i, v in enumerate(r)}
     ranks = [place[v] for v in a]
-    swaps = sum(x > y for i, x in enumerate(ranks) for y in ranks[i + 1 :])
+    swaps, before = 0, []
+    for k, x in enumerate(ranks):
+        at = bisect(before, x)
+        swaps += k - at
+        before.insert(at, x)
     return 1.0 - swaps / (n * (n - 1) / 2)
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +157,21 @@ def test_next_beat(spark):
 
 def test_half_even():
     assert [half_even(x) for x in (0.5, 1.5, 2.5)] == [0, 2, 2] and half_even(2.675, 2) == 2.68
+
+
+def test_long_orderings(spark):
+    """Ten thousand values, distinct or repeated, take the time of a few sorts; short ones equal a count of all pairs."""
+    rng = random.Random(4)
+    rows = []
+    for n, kinds in ((10_000, 10**9), (10_000, 300), (1, 5), (2, 9), (3, 2), (7, 3), (33, 40), (64, 5)):
+        answer = [f"v{rng.randrange(kinds)}" for _ in range(n)]
+        rows.append((answer, rng.sample(answer, n)))
+    rows += [(rows[0][0], rows[0][0]), (rows[0][0], rows[0][0][::-1]), ([], []), (["a", None], [None, "a"]), (["a"], ["b"]), (["a", "b"], ["a"])]
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<string>, r array<string>").coalesce(1).select(L.ordering_fraction(F.col("a"), F.col("r"))).collect()]
+    assert time.time() - began < 60
+    assert got == pytest.approx([ordering_fraction(*r) if None not in r[0] else 0.0 for r in rows])
+    for (a, r), fraction in zip(rows, got, strict=True):
+        if 2 <= len(a) < 100 and sorted(a, key=str) == sorted(r, key=str) and len(set(a)) == len(a):
+            assert fraction == pytest.approx(1 - sum(r.index(x) > r.index(y) for i, x in enumerate(a) for y in a[i + 1 :]) / (len(a) * (len(a) - 1) / 2))
+    assert got[8:10] == [1.0, 0.0]
