@@ -8,9 +8,14 @@ choices, run as grouped maps over one graph at a time (graphs are documents of a
 from __future__ import annotations
 
 import heapq
+from collections import deque
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.plans.storage import materialize
@@ -103,33 +108,58 @@ def validate_states(states: DataFrame, edges: DataFrame, *keys: str) -> DataFram
     return states.select("graph", *keys).join(gaps, ["graph", *keys], "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long")).withColumn("valid", F.col("missing") == 0)
 
 
-def list_states(items: list[str], prereqs: dict[str, set[str]], cap: int = STATE_CAP) -> tuple[list[list[str]], bool]:
-    """All downward-closed sets, each once, in the order of a depth-first walk; and whether the cap was reached.
+#: A node of the walk: the choices taken so far by number, the state, and what it may still add.
+Node = tuple[tuple[int, ...], frozenset, list[str]]
+
+
+class Walk:
+    """The tree of a graph's states: a state's children add one available item, in ascending order.
 
-    A branch may add its available items in ascending order; what it passes over it never adds again.
+    What a branch passes over it never adds again, so every downward-closed set is one node. Paths of choice numbers
+    sort as a depth-first walk visits the nodes.
     """
-    if cap <= 0:
-        return [], True
-    states: list[list[str]] = [[]]
-    followers: dict[str, list[str]] = {i: [] for i in items}
-    for i, needs in prereqs.items():
-        for p in needs:
-            followers[p].append(i)
-    start = sorted(i for i in items if not prereqs[i])
-    stack = [(frozenset(), start, 0)]
-    while stack:
-        if len(states) >= cap:
-            return states, True
-        state, choices, at = stack.pop()
-        if at == len(choices):
-            continue
-        stack.append((state, choices, at + 1))
-        chosen = choices[at]
-        grown = state | {chosen}
-        opened = [i for i in followers[chosen] if i not in grown and prereqs[i] <= grown]
-        states.append(sorted(grown))
-        stack.append((grown, sorted(choices[at + 1 :] + opened), 0))
-    return states, False
+
+    def __init__(self, prereqs: dict[str, set[str]]):
+        self.prereqs, self.followers = prereqs, {i: [] for i in prereqs}
+        for i, needs in prereqs.items():
+            for p in needs:
+                self.followers[p].append(i)
+        self.root: Node = ((), frozenset(), sorted(i for i, needs in prereqs.items() if not needs))
+
+    def child(self, state: frozenset, choices: list[str], at: int) -> tuple[frozenset, list[str]]:
+        grown = state | {choices[at]}
+        opened = [i for i in self.followers[choices[at]] if i not in grown and self.prereqs[i] <= grown]
+        return grown, sorted(choices[at + 1 :] + opened)
+
+    def below(self, state: frozenset, choices: list[str]) -> Iterator[frozenset]:
+        """The states of a node's subtree in the order of the walk, without its own."""
+        stack = [(state, choices, 0)]
+        while stack:
+            state, choices, at = stack.pop()
+            if at < len(choices):
+                stack.append((state, choices, at + 1))
+                grown, further = self.child(state, choices, at)
+                yield grown
+                stack.append((grown, further, 0))
+
+    def top(self, most: int) -> Iterator[tuple[Node, bool]]:
+        """The nodes next to the root, and whether a node's subtree is left to others; most nodes are opened."""
+        waiting = deque([self.root])
+        for _ in range(most):
+            if not waiting:
+                return
+            path, state, choices = waiting.popleft()
+            yield (path, state, choices), False
+            waiting.extend(((*path, at), *self.child(state, choices, at)) for at in range(len(choices)))
+        for node in waiting:
+            yield node, bool(node[2])
+
+
+def list_states(items: list[str], prereqs: dict[str, set[str]], cap: int = STATE_CAP) -> tuple[list[list[str]], bool]:
+    """All downward-closed sets, each once, in the order of a depth-first walk; and whether the cap was reached."""
+    walk = Walk({i: prereqs[i] for i in items})
+    states = [sorted(s) for s in islice(chain([frozenset()], walk.below(*walk.root[1:])), max(0, cap))]
+    return states, len(states) >= cap
 
 
 def _graph_of(items: pd.DataFrame) -> tuple[list[str], dict[str, set[str]]]:
@@ -137,14 +167,74 @@ def _graph_of(items: pd.DataFrame) -> tuple[list[str], dict[str, set[str]]]:
     return ids, {i: set(p) for i, p in zip(items["id"], items["prereqs"], strict=True)}
 
 
-def ideals(items: DataFrame, edges: DataFrame, cap: int = STATE_CAP) -> DataFrame:
-    """(graph, ordinal, state, overflow): knowledge states of each graph, at most cap of them, in walk order."""
+#: Nodes of one graph's walk that are opened before its subtrees are dealt out, and the parcels they are dealt in.
+OPENED, PARCELS = 512, 64
+_NODE = "path array<int>, state array<string>, choices array<string>"
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        states, overflow = list_states(*_graph_of(frame), cap)
-        return pd.DataFrame({"graph": frame["graph"].iloc[0], "ordinal": range(len(states)), "state": states, "overflow": overflow})
 
-    return adjacency(items, edges).groupBy("graph").applyInPandas(run, "graph string, ordinal long, state array<string>, overflow boolean")
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for graph, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            walk = Walk({d["id"]: set(d["prereqs"]) for d in doc})
+            paths, states, choices, stubs = zip(*((p, sorted(s), c, stub) for (p, s, c), stub in walk.top(OPENED)), strict=True)
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([graph] * len(paths), pa.string()), pa.array(paths, pa.list_(pa.int32())), pa.array(states, strings), pa.array(choices, strings), pa.array(stubs)], names=["graph", "path", "state", "choices", "stub"])
+
+
+def _count_below(cap: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for graph, stubs, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                walk = Walk({d["id"]: set(d["prereqs"]) for d in doc})
+                sizes = [1 + sum(1 for _ in islice(walk.below(frozenset(s["state"]), s["choices"]), cap)) for s in stubs]
+                yield pa.RecordBatch.from_arrays([pa.array([graph] * len(stubs), pa.string()), pa.array([s["path"] for s in stubs], pa.list_(pa.int32())), pa.array(sizes, pa.int64())], names=["graph", "path", "n"])
+
+    return count
+
+
+def _list_below(cap: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for graph, stubs, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                walk = Walk({d["id"]: set(d["prereqs"]) for d in doc})
+                for s in stubs:
+                    states = [sorted(x) for x in islice(walk.below(frozenset(s["state"]), s["choices"]), min(s["n"], cap - s["first"]) - 1)]
+                    ordinals = range(s["first"] + 1, s["first"] + 1 + len(states))
+                    yield pa.RecordBatch.from_arrays([pa.array([graph] * len(states), pa.string()), pa.array(ordinals, pa.int64()), pa.array(states, pa.list_(pa.string())), pa.array([s["overflow"]] * len(states), pa.bool_())], names=["graph", "ordinal", "state", "overflow"])
+
+    return rows
+
+
+def ideals(items: DataFrame, edges: DataFrame, cap: int = STATE_CAP) -> DataFrame:
+    """(graph, ordinal, state, overflow): knowledge states of each graph, at most cap of them, in walk order.
+
+    A small graph is walked where its document is. Of a larger one the top of the walk is opened there, and the subtrees
+    below it are dealt out: tasks count them, sums along the walk give each its place, and tasks list those before
+    the cap, so one graph's states come from many tasks in the order of one walk.
+    """
+    each = adjacency(items, edges).groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("id", "prereqs"))).alias("doc"))
+    docs = materialize(each.select(F.col("graph").cast("string").alias("graph"), F.transform("doc", lambda d: F.struct(d["id"].cast("string").alias("id"), d["prereqs"].cast("array<string>").alias("prereqs"))).alias("doc")))
+    top = materialize(docs.mapInArrow(_tops, f"graph string, {_NODE}, stub boolean"))
+
+    def dealt(nodes: DataFrame, *more: str) -> DataFrame:
+        parcel = F.pmod(F.xxhash64("path"), F.lit(PARCELS))
+        grouped = nodes.withColumn("parcel", parcel).groupBy("graph", "parcel").agg(F.collect_list(F.struct("path", "state", "choices", *more)).alias("stubs"))
+        return grouped.join(docs, "graph").repartition("graph", "parcel").select("graph", "stubs", "doc")
+
+    sizes = top.withColumn("n", F.lit(1).cast("long"))
+    deep = not top.filter("stub").isEmpty()
+    if deep:
+        counted = materialize(dealt(top.filter("stub")).mapInArrow(_count_below(max(0, cap)), "graph string, path array<int>, n long"))
+        sizes = sizes.drop("n").join(counted, ["graph", "path"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+    walk = W.partitionBy("graph").orderBy("path")
+    before = F.coalesce(F.sum("n").over(walk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = sizes.withColumn("first", before).withColumn("overflow", F.sum("n").over(W.partitionBy("graph")) >= cap).filter(F.col("first") < cap)
+    own = placed.select("graph", F.col("first").alias("ordinal"), "state", "overflow")
+    if not deep:
+        return own
+    placed = materialize(placed)
+    inside = dealt(placed.filter("stub and n > 1"), "n", "first", "overflow").mapInArrow(_list_below(cap), "graph string, ordinal long, state array<string>, overflow boolean")
+    return placed.select(*own.columns[:1], F.col("first").alias("ordinal"), "state", "overflow").unionByName(inside)
 
 
 def partition_by_tag(items: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

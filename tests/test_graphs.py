@@ -167,3 +167,27 @@ def test_components_against_union_find(spark):
         root[b] = a
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {v: find(v) for p in pairs if p[0] != p[1] for v in p}
+
+
+@pytest.mark.parametrize(("cap", "opened"), [(50_000, 20), (150, 5), (1, 1)])
+def test_states_of_one_graph_from_many_tasks(spark, monkeypatch, cap, opened):
+    """Whatever is dealt out, the states are those of one walk in its order, the cap included."""
+    tops = G._tops  # tasks read the module from disk, so the number of nodes travels with the function
+
+    def few(batches, inner=tops, n=opened):
+        G.OPENED = n
+        return inner(batches)
+
+    monkeypatch.setattr(G, "_tops", few)
+    ids = [f"i{k:02d}" for k in range(14)]
+    pairs = [(ids[a], ids[b]) for a, b in ((0, 3), (1, 3), (2, 4), (3, 5), (4, 6), (5, 9), (7, 8), (8, 10), (6, 11), (1, 12), (12, 13))]
+    items = spark.createDataFrame([("g", i) for i in ids] + [("h", "only")], "graph string, id string")
+    edges = spark.createDataFrame([("g", p, i) for p, i in pairs], "graph string, prereq string, item string")
+    needs = {i: {p for p, x in pairs if x == i} for i in ids}
+    want, over = G.list_states(ids, needs, cap)
+    got = G.ideals(items, edges, cap)
+    rows = sorted((r.ordinal, r.state, r.overflow) for r in got.filter("graph = 'g'").collect())
+    assert rows == [(k, s, over) for k, s in enumerate(want)]
+    assert len(want) == min(cap, 340) and over == (cap <= 340)
+    if cap == 50_000:
+        assert got.filter("graph = 'h'").count() == 2
