@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.cores import cyclic_parts
 from loomspan.plans.storage import materialize
 
 #: Most states that are listed for one graph.
@@ -77,11 +78,99 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("paths longer than 2^max_rounds")
 
 
+#: Above every rank: nodes that reach a cycle may reach anything.
+_ANY = 1 << 62
+_SPANS = [f"{c}{i}" for i in (1, 2) for c in ("enter", "low", "rank")]
+
+
+def _reach_spans(pairs: list[tuple[str, str]]) -> dict[str, tuple[int, ...]]:
+    """For each node (enter, low, rank) of a depth-first walk along ascending and one along descending successors.
+
+    A node's rank is its place in the order of leaving, low the least rank it reaches, enter the rank given next when
+    the walk came to it. What a node reaches has a rank from low to its own in both walks; what has one from
+    enter to its own in either is reached for sure. Nodes that reach a cycle exclude nothing and are sure of nothing.
+    """
+    settled = Rings(pairs).dead
+    ahead: dict[str, list[str]] = {v: [] for p in pairs for v in p}
+    later = set()
+    for p, i in sorted(pairs):
+        ahead[p].append(i)
+        later.add(i)
+    out = {v: () if v in settled else (_ANY + 1, -1, _ANY) * 2 for v in ahead}
+    for _ in range(2):
+        spans: dict[str, list[int]] = {}
+        rank = 0
+        for root in sorted((v for v in ahead if v in settled), key=lambda v: v in later):
+            path = [] if root in spans else [(root, iter(ahead[root]))]
+            if path:
+                spans[root] = [rank, _ANY, -1]
+            while path:
+                node, rest = path[-1]
+                own = spans[node]
+                for child in rest:
+                    if child not in spans:
+                        spans[child] = [rank, _ANY, -1]
+                        path.append((child, iter(ahead[child])))
+                        break
+                    own[1] = min(own[1], spans[child][1])
+                else:
+                    path.pop()
+                    own[1], own[2] = min(own[1], rank), rank
+                    rank += 1
+                    if path:
+                        over = spans[path[-1][0]]
+                        over[1] = min(over[1], own[1])
+        for v, span in spans.items():
+            out[v] += tuple(span)
+        for following in ahead.values():
+            following.reverse()
+    return out
+
+
 def hasse(edges: DataFrame) -> DataFrame:
-    """Edges without those that another path replaces."""
-    own = edges.select("graph", "prereq", "item").distinct()
-    detour = own.select("graph", "prereq", F.col("item").alias("mid")).join(closure(own).select("graph", F.col("prereq").alias("mid"), "item"), ["graph", "mid"])
-    return own.join(detour.filter("mid <> item"), ["graph", "prereq", "item"], "left_anti")
+    """Edges without those that another path replaces.
+
+    Only an edge from a node of several successors to one of several prerequisites can be replaced. From such edges a
+    search goes on, all at once, a join a round, into nodes whose spans do not exclude the edge's item, until they are
+    sure of it; spans take one walk of each graph. No other pairs are made, so a chain or a tree costs rows linear in its edges.
+    """
+    own = materialize(edges.select("graph", "prereq", "item").distinct())
+    forks = own.groupBy("graph", "prereq").count().filter("count > 1")
+    meets = own.groupBy("graph", "item").count().filter("count > 1")
+    asked = materialize(own.filter("prereq <> item").join(forks, ["graph", "prereq"], "left_semi").join(meets, ["graph", "item"], "left_semi").select("graph", "prereq", "item"))
+    if asked.isEmpty():
+        return own
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        spans = _reach_spans(list(zip(frame["prereq"], frame["item"], strict=True)))
+        out = pd.DataFrame(list(spans.values()), columns=_SPANS)
+        out.insert(0, "id", list(spans))
+        out.insert(0, "graph", frame["graph"].iloc[0])
+        return out
+
+    schema = f"graph {kinds['graph']}, id {kinds['item']}, " + ", ".join(f"{c} long" for c in _SPANS)
+    labels = materialize(own.join(asked.select("graph").distinct(), "graph", "left_semi").groupBy("graph").applyInPandas(label, schema))
+    arcs = materialize(own.select("graph", F.col("prereq").alias("mid"), F.col("item").alias("nxt")).join(labels.withColumnRenamed("id", "nxt"), ["graph", "nxt"]))
+    goal = labels.select("graph", F.col("id").alias("item"), F.col("rank1").alias("goal1"), F.col("rank2").alias("goal2"))
+    front = materialize(asked.join(goal, ["graph", "item"]).select("graph", "prereq", "item", F.col("prereq").alias("mid"), "goal1", "goal2"))
+    edge = ["graph", "prereq", "item"]
+    sure = (F.col("nxt") == F.col("item")) | F.col("goal1").between(F.col("enter1"), F.col("rank1")) | F.col("goal2").between(F.col("enter2"), F.col("rank2"))
+    may = F.col("goal1").between(F.col("low1"), F.col("rank1")) & F.col("goal2").between(F.col("low2"), F.col("rank2"))
+    seen, replaced = front, []
+    while True:
+        step = front.join(arcs, ["graph", "mid"]).filter("nxt <> prereq and not (mid = prereq and nxt = item)").withColumn("hit", sure).filter(F.col("hit") | may)
+        step = materialize(step.select(*edge, F.col("nxt").alias("mid"), "goal1", "goal2", "hit").distinct())
+        hits = step.filter("hit").select(*edge).distinct()
+        replaced.append(hits)
+        further = step.filter("not hit").drop("hit").join(hits, edge, "left_anti")
+        front = materialize(further.join(seen, [*edge, "mid"], "left_anti").select(*front.columns))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    for hits in replaced:
+        own = own.join(hits, edge, "left_anti")
+    return own.select(*edge)
 
 
 def fringe(states: DataFrame, items: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
@@ -257,58 +346,109 @@ def spaces(items: DataFrame, edges: DataFrame, cap: int = STATE_CAP) -> DataFram
     return fine.unionByName(parts.withColumn("part", split[1]).withColumn("graph", split[0]))
 
 
+class Rings:
+    """The cycles that a depth-first walk from sorted roots along sorted neighbours meets, as edges are taken away.
+
+    Nodes that reach no cycle are dead, and the walk only ever turns back from those. So of the rest it starts at the
+    smallest and goes to the smallest successor until it comes to a node of its path. When an edge of that ring goes,
+    the path up to the edge stays as it is, unless nodes of it die.
+    """
+
+    def __init__(self, pairs: list[tuple[str, str]]):
+        self.gone: set[tuple[str, str]] = set()
+        self.dead: set[str] = set()
+        self.ahead: dict[str, list[str]] = {v: [] for p in pairs for v in p}
+        self.behind: dict[str, list[str]] = {v: [] for v in self.ahead}
+        for p, i in sorted(set(pairs), reverse=True):
+            self.ahead[p].append(i)
+            self.behind[i].append(p)
+        self.ways = {v: len(following) for v, following in self.ahead.items()}
+        self.roots = sorted(self.ahead, reverse=True)
+        self.path: list[str] = []
+        self.place: dict[str, int] = {}
+        self._bury([v for v, n in self.ways.items() if not n])
+
+    def _bury(self, ended: list[str]) -> None:
+        self.dead.update(ended)
+        while ended:
+            now = ended.pop()
+            for before in self.behind[now]:
+                if before not in self.dead and (before, now) not in self.gone:
+                    self.ways[before] -= 1
+                    if not self.ways[before]:
+                        self.dead.add(before)
+                        ended.append(before)
+
+    def _go(self, node: str) -> None:
+        self.place[node] = len(self.path)
+        self.path.append(node)
+
+    def first(self) -> list[tuple[str, str]]:
+        """The edges of the first ring, from where the walk enters it; [] without one."""
+        if not self.path:
+            while self.roots and self.roots[-1] in self.dead:
+                self.roots.pop()
+            if not self.roots:
+                return []
+            self._go(self.roots[-1])
+        while True:
+            node = self.path[-1]
+            following = self.ahead[node]
+            while following[-1] in self.dead or (node, following[-1]) in self.gone:
+                following.pop()
+            if following[-1] in self.place:
+                ring = self.path[self.place[following[-1]] :]
+                return list(zip(ring, [*ring[1:], following[-1]], strict=True))
+            self._go(following[-1])
+
+    def remove(self, edge: tuple[str, str]) -> None:
+        """Take an edge of the first ring away."""
+        self.gone.add(edge)
+        self.ways[edge[0]] -= 1
+        if not self.ways[edge[0]]:
+            self._bury([edge[0]])
+        stay = self.place[edge[0]] + 1
+        while stay and self.path[stay - 1] in self.dead:
+            stay -= 1
+        for node in self.path[stay:]:
+            del self.place[node]
+        del self.path[stay:]
+
+
 def find_cycle(following: dict[str, list[str]]) -> list[tuple[str, str]]:
     """Edges of the first cycle of a depth-first walk from sorted roots along sorted neighbours; [] without one."""
-    open_, closed = {}, set()
-    for root in sorted(following):
-        if root in closed:
-            continue
-        path, walks = [root], [iter(sorted(following[root]))]
-        open_ = {root: 0}
-        while path:
-            nxt = next((n for n in walks[-1] if n in following and n not in closed), None)
-            if nxt is None:
-                done = path.pop()
-                walks.pop()
-                closed.add(done)
-                del open_[done]
-            elif nxt in open_:
-                loop = [*path[open_[nxt] :], nxt]
-                return list(zip(loop, loop[1:], strict=False))
-            else:
-                open_[nxt] = len(path)
-                path.append(nxt)
-                walks.append(iter(sorted(following[nxt])))
-    return []
+    return Rings([(p, i) for p, items in following.items() for i in items if i in following]).first()
 
 
 def acyclic(edges: dict[tuple[str, str], float]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
     """Kept and dropped edges: while there is a cycle, its edge of least (confidence, prereq, item) goes."""
     left = {e: c for e, c in edges.items() if e[0] != e[1]}
-    following: dict[str, list[str]] = {}
-    for p, i in left:
-        following.setdefault(p, []).append(i)
-        following.setdefault(i, [])
-    dropped = []
-    while cycle := find_cycle(following):
-        victim = min(cycle, key=lambda e: (left[e], *e))
-        dropped.append(victim)
-        del left[victim]
-        following[victim[0]].remove(victim[1])
-    return sorted(left), dropped
+    rings, dropped = Rings(list(left)), []
+    while ring := rings.first():
+        dropped.append(min(ring, key=lambda e: (left[e], *e)))
+        rings.remove(dropped[-1])
+    return sorted(left.keys() - set(dropped)), dropped
 
 
 def enforce_dag(edges: DataFrame) -> DataFrame:
-    """(graph, prereq, item, confidence, kept). Of a repeated pair the last confidence counts (by pos, if given)."""
+    """(graph, prereq, item, confidence, kept). Of a repeated pair the last confidence counts (by pos, if given).
+
+    A walk never finds a cycle beyond a node that reaches none, and parts that no edge joins don't meet in it. So of a
+    large graph only what leads to cycles is walked, each part by a task, with the same edges dropped.
+    """
     order = "pos" if "pos" in edges.columns else "confidence"
     pairs = edges.groupBy("graph", "prereq", "item").agg(F.max_by("confidence", order).alias("confidence"))
+    pairs = materialize(pairs.select(F.col("graph").cast("string").alias("graph"), F.col("prereq").cast("string").alias("prereq"), F.col("item").cast("string").alias("item"), F.col("confidence").cast("double").alias("confidence")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        given = {(p, i): c for p, i, c in zip(frame["prereq"], frame["item"], frame["confidence"], strict=True)}
-        kept = set(acyclic(given)[0])
-        return frame.assign(kept=[e in kept for e in zip(frame["prereq"], frame["item"], strict=True)])
-
-    return pairs.groupBy("graph").applyInPandas(run, "graph string, prereq string, item string, confidence double, kept boolean")
+        given = {(p, i): c for p, i, c in zip(frame["src"], frame["dst"], frame["confidence"], strict=True)}
+        dropped = acyclic(given)[1]
+        return pd.DataFrame([(frame["graph"].iloc[0], *e) for e in dropped], columns=["g", "p", "i"])
+
+    parts = cyclic_parts(pairs.select("graph", F.col("prereq").alias("src"), F.col("item").alias("dst"), "confidence"), both_ways=False)
+    dropped = parts.groupBy("graph", "part").applyInPandas(run, "g string, p string, i string")
+    met = F.col("graph").eqNullSafe(F.col("g")) & (F.col("prereq") == F.col("p")) & (F.col("item") == F.col("i"))
+    return pairs.join(dropped, met, "left").select("graph", "prereq", "item", "confidence", (F.col("p").isNull() & (F.col("prereq") != F.col("item"))).alias("kept"))
 
 
 def topological(ids: list[str], prereqs: dict[str, set[str]]) -> list[str]:

@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators.cores import cyclic_parts
+from loomspan.plans.storage import materialize
+
 # Work markers, the longest average line of hand-written code, symbols per file, kept source size.
 MARKERS = r"\b(TODO|FIXME|HACK|XXX)\b"
 DENSE, MAX_SYMBOLS, MAX_SOURCE, CUT_MARK = 250, 300, 512 * 1024, "\n… (truncated)"
@@ -185,17 +188,21 @@ def components_of(arcs: dict[str, list[str]]) -> list[list[str]]:
 
 def cycles(edges: DataFrame, repo: str | None = None) -> DataFrame:
     """(repo, path, component): files on import cycles; files that reach each other are one component, named by its
-    smallest path. edges: (src, dst), and the repository where there are several; each is walked on its own."""
+    smallest path. edges: (src, dst), and the repository where there are several.
+
+    Of a large repository, what no cycle can hold is trimmed first, and the parts that are left are walked by a task each.
+    """
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
         arcs: dict[str, list[str]] = {}
         for src, dst in zip(frame["src"], frame["dst"], strict=True):
             arcs.setdefault(src, []).append(dst)
-        rows = [(frame["repo"].iloc[0], path, min(c)) for c in components_of(arcs) if len(c) > 1 for path in c]
+        rows = [(frame["graph"].iloc[0], path, min(c)) for c in components_of(arcs) if len(c) > 1 for path in c]
         return pd.DataFrame(rows, columns=["repo", "path", "component"])
 
     owner = F.col(repo).cast("string") if repo else F.lit("")
-    return edges.select(owner.alias("repo"), "src", "dst").groupBy("repo").applyInPandas(walk, "repo string, path string, component string")
+    parts = cyclic_parts(materialize(edges.select(owner.alias("graph"), "src", "dst").distinct()), both_ways=True)
+    return parts.groupBy("graph", "part").applyInPandas(walk, "repo string, path string, component string")
 
 
 def scan(spark: SparkSession, folder: str, max_files: int = 30_000) -> DataFrame:

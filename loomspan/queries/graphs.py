@@ -318,3 +318,20 @@ def q60_check_items(spark, sf_dir):
         F.lit("can do").alias("assessment_criteria"), F.struct(F.when(size % 5 != 0, "c001").alias("chunk_id")).alias("provenance"),
     )
     return S.check_items(items).select("id", F.array_join("missing", ",").alias("missing"))
+
+
+# Two cycles of four parts, a-b-c and a-b-d, share the edge from a to b; where it goes, both are gone.
+_SHARED = """part4 AS (SELECT (p_partkey // 4)::VARCHAR AS graph, p_partkey % 4 AS k, p_size / 100.0::DOUBLE AS s, (p_partkey * 7 % 50 / 100.0)::DOUBLE AS t FROM part),
+arcs AS (SELECT graph, 'a' AS prereq, 'b' AS item, s AS confidence FROM part4 WHERE k = 0 UNION ALL SELECT graph, 'b', 'c', s FROM part4 WHERE k = 1 UNION ALL SELECT graph, 'b', 'd', t FROM part4 WHERE k = 1
+  UNION ALL SELECT graph, 'c', 'a', s FROM part4 WHERE k = 2 UNION ALL SELECT graph, 'd', 'a', s FROM part4 WHERE k = 3),
+one AS (SELECT graph, min((confidence, prereq, item)) AS e FROM arcs WHERE prereq <> 'd' AND item <> 'd' GROUP BY graph HAVING count(*) = 3),
+two AS (SELECT graph, min((confidence, prereq, item)) AS e FROM arcs WHERE prereq <> 'c' AND item <> 'c' AND graph NOT IN (SELECT graph FROM one WHERE e[2] = 'a') GROUP BY graph HAVING count(*) = 3)"""
+
+
+@query(f"""WITH {_SHARED} SELECT graph, prereq, item, NOT EXISTS (SELECT 1 FROM (SELECT * FROM one UNION ALL SELECT * FROM two) d WHERE d.graph = a.graph AND d.e = (a.confidence, a.prereq, a.item)) AS kept FROM arcs a""")
+def q72_shared_cycles(spark, sf_dir):
+    """Cycles that share an edge are broken one after the other, in the order of the walk."""
+    p = _read(spark, sf_dir, "part").select(F.expr("p_partkey div 4").cast("string").alias("graph"), (F.col("p_partkey") % 4).alias("k"), (F.col("p_size") / 100.0).alias("s"), (F.col("p_partkey") * 7 % 50 / 100.0).alias("t"))
+    arc = lambda prereq, item, c: F.struct(F.lit(prereq).alias("prereq"), F.lit(item).alias("item"), F.col(c).alias("confidence"))
+    out = F.when(F.col("k") == 0, F.array(arc("a", "b", "s"))).when(F.col("k") == 1, F.array(arc("b", "c", "s"), arc("b", "d", "t"))).when(F.col("k") == 2, F.array(arc("c", "a", "s"))).otherwise(F.array(arc("d", "a", "s")))
+    return G.enforce_dag(p.select("graph", F.inline(out))).select("graph", "prereq", "item", "kept")

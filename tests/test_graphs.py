@@ -4,7 +4,9 @@ import random
 import pytest
 from samples import chapters, story
 
+from loomspan.operators import cores
 from loomspan.operators import graph as G
+from loomspan.operators import snapshots as A
 from loomspan.operators import story as S
 from loomspan.operators.components import connected_components
 from loomspan.plans import pipelines as P
@@ -191,3 +193,123 @@ def test_states_of_one_graph_from_many_tasks(spark, monkeypatch, cap, opened):
     assert len(want) == min(cap, 340) and over == (cap <= 340)
     if cap == 50_000:
         assert got.filter("graph = 'h'").count() == 2
+
+
+def _first_cycle(arcs):
+    """By recursion: the first node of the path that a depth-first walk in sorted order comes back to."""
+    done = set()
+
+    def visit(node, path):
+        if node in path:
+            ring = [*path[path.index(node) :], node]
+            return list(zip(ring, ring[1:]))
+        if node in done:
+            return []
+        for nxt in sorted(i for p, i in arcs if p == node):
+            if ring := visit(nxt, [*path, node]):
+                return ring
+        done.add(node)
+        return []
+
+    return next((ring for root in sorted({v for e in arcs for v in e}) if (ring := visit(root, []))), [])
+
+
+def _random_graphs(seed, n_graphs, most_nodes, most_edges):
+    rng = random.Random(seed)
+    for _ in range(n_graphs):
+        n = rng.randrange(2, most_nodes)
+        yield {(f"v{rng.randrange(n):02d}", f"v{rng.randrange(n):02d}"): rng.randrange(6) / 5 for _ in range(rng.randrange(1, most_edges))}
+
+
+def _broken(given):
+    left, dropped = {e for e in given if e[0] != e[1]}, []
+    while ring := _first_cycle(left):
+        dropped.append(min(ring, key=lambda e: (given[e], *e)))
+        left.remove(dropped[-1])
+    return dropped
+
+
+def test_cycles_are_met_in_the_order_of_a_depth_first_walk():
+    for given in _random_graphs(5, 300, 12, 40):
+        following = {v: [i for p, i in given if p == v] for e in given for v in e}
+        assert G.find_cycle(following) == _first_cycle(set(given))
+        assert G.acyclic(given)[1] == _broken(given)
+    assert G.find_cycle({"a": ["zz"]}) == []
+
+
+@pytest.mark.parametrize("whole", [200_000, 0])
+def test_graphs_are_broken_alike_whole_and_in_parts(spark, monkeypatch, whole):
+    monkeypatch.setattr(cores, "WHOLE", whole)
+    graphs = {f"g{n}": g for n, g in enumerate(_random_graphs(9, 25, 16, 40))}
+    rows = [(g, p, i, c) for g, given in graphs.items() for (p, i), c in given.items()]
+    got = G.enforce_dag(spark.createDataFrame(rows, "graph string, prereq string, item string, confidence double")).collect()
+    assert len(got) == len(rows)
+    for g, given in graphs.items():
+        loops = {e for e in given if e[0] == e[1]}
+        assert {(r.prereq, r.item) for r in got if r.graph == g and not r.kept} == loops | set(_broken(given))
+
+
+def test_only_the_core_of_a_large_graph_is_left(spark, monkeypatch):
+    """A tree of 300 000 edges with one ring of five on top: trimming leaves the ring, whatever hangs below it."""
+    n = 300_000
+    k = spark.range(2, n + 1).selectExpr("'g' AS graph", "concat('p', (id + 6) div 8) AS src", "concat('p', id) AS dst")
+    ring = spark.createDataFrame([("g", a, b) for a, b in (("p1", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r4"), ("r4", "p1"))], k.schema)
+    parts = cores.cyclic_parts(k.unionByName(ring), both_ways=False)
+    assert {(r.src, r.dst) for r in parts.collect()} == {("p1", "r1"), ("r1", "r2"), ("r2", "r3"), ("r3", "r4"), ("r4", "p1")}
+    found = A.cycles(k.unionByName(ring).drop("graph")).collect()
+    assert {(r.path, r.component) for r in found} == {(v, "p1") for v in ("p1", "r1", "r2", "r3", "r4")}
+
+
+@pytest.mark.parametrize("whole", [200_000, 0])
+def test_import_cycles_are_found_alike_whole_and_in_parts(spark, monkeypatch, whole):
+    monkeypatch.setattr(cores, "WHOLE", whole)
+    graphs = {f"g{n}": set(g) for n, g in enumerate(_random_graphs(11, 20, 16, 26))}
+    want = set()
+    for g, arcs in graphs.items():
+        reach = dict.fromkeys({v for e in arcs for v in e})
+        for v in reach:
+            seen, todo = set(), [v]
+            while todo:
+                now = todo.pop()
+                fresh = {i for p, i in arcs if p == now} - seen
+                seen |= fresh
+                todo += fresh
+            reach[v] = seen
+        for v in reach:
+            same = {w for w in reach[v] if v in reach[w]} | {v}
+            want |= {(g, v, min(same))} if len(same) > 1 else set()
+    edges = spark.createDataFrame([(g, *e) for g, arcs in graphs.items() for e in arcs], "repo string, src string, dst string")
+    assert {tuple(r) for r in A.cycles(edges, "repo").collect()} == want
+
+
+def test_reduction_against_a_search_for_each_edge(spark):
+    graphs = {f"g{n}": set(g) for n, g in enumerate(_random_graphs(13, 30, 14, 36))}
+    for n in range(30):  # without cycles
+        rng = random.Random(n)
+        graphs[f"d{n}"] = {(f"v{a:02d}", f"v{b:02d}") for a, b in itertools.combinations(rng.sample(range(14), 14), 2) if rng.random() < 0.25}
+    want = set()
+    for g, arcs in graphs.items():
+        for p, i in arcs:
+            seen, todo, met = {p}, [p], False
+            while todo:
+                now = todo.pop()
+                for nxt in {b for a, b in arcs if a == now and (a, b) != (p, i)} - seen:
+                    met |= nxt == i
+                    seen.add(nxt)
+                    todo.append(nxt)
+            if not met:
+                want.add((g, p, i))
+    edges = spark.createDataFrame([(g, *e) for g, arcs in graphs.items() for e in arcs], "graph string, prereq string, item string")
+    assert {tuple(r) for r in G.hasse(edges).collect()} == want
+
+
+def test_reduction_of_a_long_chain_writes_rows_linear_in_its_edges(spark, monkeypatch):
+    n = 10_000
+    chain = spark.range(n - 1).selectExpr("'g' AS graph", "concat('n', id) AS prereq", "concat('n', id + 1) AS item")
+    jumps = spark.range(0, n - 600, 100).selectExpr("'g' AS graph", "concat('n', id) AS prereq", "concat('n', id + 500) AS item")
+    written, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda *parts: written.append(write(*parts)) or written[-1])
+    assert G.hasse(chain).count() == n - 1
+    got = G.hasse(chain.unionByName(jumps))
+    assert got.exceptAll(chain).isEmpty() and got.count() == n - 1
+    assert sum(t.count() for t in written) < 5 * n
