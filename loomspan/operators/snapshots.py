@@ -108,28 +108,49 @@ def kept_symbols(defs: DataFrame) -> DataFrame:
     return defs.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= MAX_SYMBOLS).drop("__n")
 
 
+def _nested(defs: Column) -> Column:
+    """(idx, parent) of one file's definitions (start, end, idx), each in turn met by those still open where it starts.
+
+    In order of their starts, longer ones first, what encloses a definition comes before it; what has ended is closed.
+    """
+    length = lambda d: d["end"] - d["start"]
+    order = lambda x, y: F.when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).when(x["end"] != y["end"], F.sign(y["end"] - x["end"])).otherwise(F.sign(x["idx"] - y["idx"])).cast("int")
+    kind = "struct<start:long,end:long,idx:long>"
+    nothing = F.struct(F.array().cast(f"array<{kind}>").alias("open"), F.array().cast("array<struct<idx:long,parent:long>>").alias("out"))
+
+    def meet(acc: Column, d: Column) -> Column:
+        left = F.filter(acc["open"], lambda o: o["end"] >= d["start"])
+        around = F.filter(left, lambda o: (o["end"] >= d["end"]) & (length(o) > length(d)))
+        parent = F.array_min(F.transform(around, lambda o: F.struct(length(o).alias("span"), o["idx"].alias("idx"))))["idx"]
+        return F.struct(F.array_append(left, d).alias("open"), F.array_append(acc["out"], F.struct(d["idx"].alias("idx"), parent.alias("parent"))).alias("out"))
+
+    return F.aggregate(F.array_sort(defs, order), nothing, meet, lambda acc: acc["out"])
+
+
+def _by_file(kept: DataFrame) -> DataFrame:
+    """(file, defs): at most MAX_SYMBOLS definitions of each file, as one array."""
+    place = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("idx").cast("long").alias("idx"))
+    return kept.groupBy("file").agg(F.collect_list(place).alias("defs"))
+
+
 def containment(defs: DataFrame) -> DataFrame:
     """(file, idx, parent): the smallest definition that strictly encloses another, the lower index among equals.
 
-    A file has at most MAX_SYMBOLS definitions here, so the range join within a file is bounded.
+    A file's definitions are gone through once, with those that are still open at hand; no pairs are joined.
     """
-    own = kept_symbols(defs).select("file", "idx", "start", "end")
-    outer = own.select("file", F.col("idx").alias("o_idx"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    span, outer_span = F.col("end") - F.col("start"), F.col("o_end") - F.col("o_start")
-    over = (F.col("o_start") <= F.col("start")) & (F.col("o_end") >= F.col("end")) & (outer_span > span)
-    best = own.join(outer, "file").filter(over).groupBy("file", "idx").agg(F.min(F.struct(outer_span.alias("span"), "o_idx")).alias("b"))
-    return own.select("file", "idx").join(best, ["file", "idx"], "left").select("file", "idx", F.col("b.o_idx").alias("parent"))
+    return _by_file(kept_symbols(defs)).select("file", F.inline(_nested(F.col("defs"))))
 
 
 def call_edges(defs: DataFrame, refs: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(src_file, src_idx, dst_file, dst_idx): a reference's innermost definition to the definition it names.
 
     The name is looked up in the own file first, then in the files that it imports, in order; distinct, no self-calls.
+    Each reference is one row throughout: it meets its file's definitions as an array.
     """
     kept = kept_symbols(defs)
-    span = (F.col("end") - F.col("start")).alias("span")
-    inside = refs.join(kept.select("file", "idx", "start", "end", span), "file").filter("line between start and end")
-    callers = inside.groupBy("file", "line", "name").agg(F.min(F.struct("span", "idx")).alias("c")).select("file", "line", "name", F.col("c.idx").alias("src_idx"))
+    around = F.filter("defs", lambda d: F.col("line").between(d["start"], d["end"]))
+    inner = F.array_min(F.transform(around, lambda d: F.struct((d["end"] - d["start"]).alias("span"), d["idx"].alias("idx"))))["idx"]
+    callers = refs.select("file", "line", "name").distinct().join(_by_file(kept), "file").select("file", "line", "name", inner.alias("src_idx")).filter("src_idx IS NOT NULL")
     named = kept.groupBy(F.col("file").alias("dst_file"), "name").agg(F.min("idx").alias("dst_idx"))
     places = callers.select("file").distinct().select("file", F.col("file").alias("dst_file"), F.lit(0).cast("long").alias("rank"))
     places = places.unionByName(neighbours.select("file", F.col("neighbour").alias("dst_file"), (F.col("rank") + 1).cast("long").alias("rank")))
@@ -206,12 +227,17 @@ def cycles(edges: DataFrame, repo: str | None = None) -> DataFrame:
 
 
 def scan(spark: SparkSession, folder: str, max_files: int = 30_000) -> DataFrame:
-    """(path, text) of a folder's files in the order of their paths, max_files at most; paths are below the folder."""
+    """(path, text) of the first max_files of a folder's files by their paths; paths are below the folder.
+
+    Paths alone are sorted, which opens no file; the last path that counts then prunes the scan that reads contents. Rows
+    come as they are read, in no order.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z]+:/*", "/")
-    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    rows = files.select(F.substr(path, F.length(root) + 2).alias("path"), F.col("content").cast("string").alias("text"))
-    return rows.orderBy("path").limit(max_files)
+    below = lambda whole: F.substr(F.regexp_replace(whole, "^[a-z]+:/*", "/"), F.length(root) + 2)
+    last = files.select(below("path").alias("path")).orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
+    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # there, names are encoded
+    return files.filter(below(at) <= F.lit(last)).select(below("path").alias("path"), F.col("content").cast("string").alias("text"))
 
 
 # How the names of a parser's captures begin.
@@ -234,6 +260,27 @@ def churn(commits: DataFrame) -> DataFrame:
     return commits.groupBy("path").agg(*counts, F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
+def lenses(commits: DataFrame, half_life: int = 90) -> DataFrame:
+    """(repo, path, activity, hotspot, age, owner, share): what heats, dates and owns each file.
+
+    commits: (repo, path, commit, author, at, added, removed). activity sums changed lines, halved for every half_life
+    days before the repository's last commit; hotspot is the file's rank by it, ties to the smaller path; age counts
+    days from the file's last commit to the repository's; the owner changed the most lines (ties: the smallest author), share of all.
+    Without commits the result is empty; files of no changed line have a share of 0.
+    """
+    lines = (F.col("added") + F.col("removed")).alias("lines")
+    daily = commits.select("repo", "path", "author", F.to_date("at").alias("day"), lines).groupBy("repo", "path", "author", "day").agg(F.sum("lines").alias("lines"))
+    daily = daily.join(commits.groupBy("repo").agg(F.max(F.to_date("at")).alias("now")), "repo")
+    heat = F.col("lines") * F.pow(F.lit(2.0), -F.datediff("now", "day") / half_life)
+    people = daily.groupBy("repo", "path", "author").agg(F.sum("lines").alias("lines"), F.sum(heat).alias("heat"), F.min(F.datediff("now", "day")).alias("age"))
+    first = F.struct((-F.col("lines")).alias("lines"), F.col("author"))
+    files = people.groupBy("repo", "path").agg(F.sum("heat").alias("heat"), F.min("age").alias("age"), F.min(first).alias("first"), F.sum("lines").alias("lines"))
+    activity = F.bround("heat", 3)  # sums of the same numbers in another order rank alike
+    share = F.when(F.col("lines") > 0, -F.col("first.lines") / F.col("lines")).otherwise(0.0)
+    rank = F.row_number().over(W.partitionBy("repo").orderBy(F.desc("activity"), "path")).cast("long")
+    return files.withColumn("activity", activity).select("repo", "path", "activity", rank.alias("hotspot"), F.col("age").cast("long").alias("age"), F.col("first.author").alias("owner"), share.alias("share"))
+
+
 def as_object(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
     """(group, object): each group's map as one JSON object, keys in order."""
     pairs = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("key"), F.col(value).alias("value")))).alias("p"))

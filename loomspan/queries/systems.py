@@ -224,12 +224,12 @@ def q56_pctl_clamp(spark, sf_dir):
     return A.radius_clamp(o, "g", "r").select("o_orderkey", F.bround("soft", 6).alias("soft"), F.bround("scale", 6).alias("scale"))
 
 
-@query(f"""WITH arcs AS (SELECT DISTINCT l_suppkey % 50 AS repo, 'f' || (l_partkey % 12) AS src, 'f' || (l_partkey * 5 % 12 + l_linenumber) % 14 AS dst FROM lineitem WHERE l_quantity > 47),
+@query(f"""WITH arcs AS (SELECT DISTINCT l_orderkey // 8 AS repo, 'f' || (l_partkey % 24) AS src, 'f' || ((l_partkey * 5 + l_linenumber) % 24) AS dst FROM lineitem),
 paths AS (WITH RECURSIVE p(repo, src, dst) AS (SELECT * FROM arcs UNION SELECT p.repo, p.src, a.dst FROM p JOIN arcs a ON a.repo = p.repo AND a.src = p.dst) SELECT * FROM p)
 SELECT a.repo::VARCHAR AS repo, a.src AS path, min(a.dst) AS component FROM paths a JOIN paths b ON b.repo = a.repo AND b.src = a.dst AND b.dst = a.src GROUP BY 1, 2 HAVING count(DISTINCT a.dst) > 1""")
 def q61_cycles(spark, sf_dir):
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 47")
-    arcs = l.select((F.col("l_suppkey") % 50).alias("repo"), F.concat(F.lit("f"), F.col("l_partkey") % 12).alias("src"), F.concat(F.lit("f"), (F.col("l_partkey") * 5 % 12 + F.col("l_linenumber")) % 14).alias("dst"))
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    arcs = l.select(F.expr("l_orderkey div 8").alias("repo"), F.concat(F.lit("f"), F.col("l_partkey") % 24).alias("src"), F.concat(F.lit("f"), (F.col("l_partkey") * 5 + F.col("l_linenumber")) % 24).alias("dst"))
     return A.cycles(arcs.distinct(), "repo")
 
 
@@ -289,6 +289,22 @@ def q65_churn(spark, sf_dir):
     return A.churn(commits).withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
 
 
+@query("""WITH rows AS (SELECT l_suppkey % 20 AS repo, l_partkey::VARCHAR AS path, o_custkey AS author, o_orderdate::DATE AS day, 7 AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+dated AS (SELECT *, max(day) OVER (PARTITION BY repo) - day AS days FROM rows), people AS (SELECT repo, path, author, sum(lines) AS lines FROM rows GROUP BY 1, 2, 3),
+owners AS (SELECT repo, path, author AS owner, lines / sum(lines) OVER (PARTITION BY repo, path) AS share, row_number() OVER (PARTITION BY repo, path ORDER BY lines DESC, author) AS n FROM people),
+files AS (SELECT repo, path, round_even(sum(lines * pow(2.0::DOUBLE, -days / 90.0::DOUBLE)), 3) AS activity, min(days) AS age FROM dated GROUP BY 1, 2)
+SELECT repo, path, activity, row_number() OVER (PARTITION BY repo ORDER BY activity DESC, path) AS hotspot, age, owner, round_even(share, 9) AS share FROM files JOIN owners USING (repo, path) WHERE n = 1""")
+def q73_lenses(spark, sf_dir):
+    """Hotspots, freshness and owners of files over all commits."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    commits = rows.select(
+        (F.col("l_suppkey") % 20).alias("repo"), F.col("l_partkey").cast("string").alias("path"), F.col("l_orderkey").alias("commit"), F.col("o_custkey").alias("author"),
+        F.col("o_orderdate").alias("at"), F.col("l_linenumber").cast("long").alias("added"), (7 - F.col("l_linenumber")).cast("long").alias("removed"),
+    )
+    return A.lenses(commits).withColumn("share", F.bround("share", 9))
+
+
 @query("""SELECT n_regionkey AS region, '{' || string_agg('"' || n_nationkey || '":"' || n_name || '"', ',' ORDER BY n_nationkey::VARCHAR) || '}' AS object FROM nation GROUP BY 1""")
 def q66_as_object(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,11 +320,48 @@ def test_folders_are_scanned(spark, tmp_path):
     for name in ("a/x.py", "a/b/y.py", "z.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(f"# {name}\n")
-    assert [tuple(r) for r in A.scan(spark, str(tmp_path)).collect()] == [(n, f"# {n}\n") for n in ("a/b/y.py", "a/x.py", "z.py")]
-    assert A.scan(spark, f"file://{tmp_path}", 2).count() == 2
+    names = ["a/b/y.py", "a/x.py", "b c+d%é.py", "z.py"]
+    (tmp_path / names[2]).write_text(f"# {names[2]}\n")
+    assert sorted(tuple(r) for r in A.scan(spark, str(tmp_path)).collect()) == [(n, f"# {n}\n") for n in names]
+    for n in range(1, 5):
+        kept = A.scan(spark, f"file://{tmp_path}", n)
+        assert sorted(r.path for r in kept.collect()) == names[:n]
+        plan = kept._jdf.queryExecution().toString()
+        assert "Sort" not in plan and "Exchange" not in plan  # contents are never sorted
+    (tmp_path / "none").mkdir()
+    assert A.scan(spark, str(tmp_path / "none")).collect() == []
     assert A.churn(spark.createDataFrame([], "path string, commit string, author string, at date, added long, removed long")).collect() == []
 
 
+def test_nesting_against_all_pairs(spark):
+    """Ranges that nest, cross, meet at an end, or are equal."""
+    rng = random.Random(4)
+    defs = [(f"f{f}", i, a, a + rng.randrange(12), rng.choice("mn")) for f in range(30) for i, a in enumerate(rng.randrange(30) for _ in range(rng.randrange(1, 25)))]
+    refs = [(f"f{f}", line, "m") for f in range(30) for line in range(0, 45, 3)]
+    d = spark.createDataFrame(defs, "file string, idx long, start long, end long, name string")
+
+    def least(file, a, b, above):
+        return min(((e - s, i) for f, i, s, e, _ in defs if f == file and s <= a and e >= b and e - s > above), default=(None, None))[1]
+
+    assert {(r.file, r.idx): r.parent for r in A.containment(d).collect()} == {(f, i): least(f, s, e, e - s) for f, i, s, e, _ in defs}
+    named = {}
+    for f, i, _, _, name in sorted(defs, key=lambda x: -x[1]):
+        if name == "m":
+            named[f] = i
+    want = {(f, c, f, named[f]) for f, line, _ in refs if (c := least(f, line, line, -1)) is not None and f in named and named[f] != c}
+    got = A.call_edges(d, spark.createDataFrame(refs, "file string, line long, name string"), spark.createDataFrame([], "file string, neighbour string, rank long"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_lenses(spark):
+    day = lambda n: __import__("datetime").date(2024, 1, 1 + n)
+    rows = [("r", "a", 1, "x", day(0), 8, 0), ("r", "a", 2, "y", day(10), 1, 3), ("r", "b", 3, "y", day(20), 5, 0), ("r", "c", 4, "z", day(20), 0, 0), ("s", "a", 5, "z", day(0), 1, 1)]
+    commits = spark.createDataFrame(rows, "repo string, path string, commit long, author string, at date, added long, removed long")
+    got = {(r.repo, r.path): (r.activity, r.hotspot, r.age, r.owner, round(r.share, 3)) for r in A.lenses(commits, 10).collect()}
+    assert got == {("r", "a"): (4.0, 2, 10, "x", 0.667), ("r", "b"): (5.0, 1, 0, "y", 1.0), ("r", "c"): (0.0, 3, 0, "z", 0.0), ("s", "a"): (2.0, 1, 0, "z", 1.0)}
+    assert A.lenses(commits.limit(0)).collect() == []
+
+
 def test_model_replies_become_tables(spark):
     from loomspan.operators import drafts as D
 
