@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators.cores import cyclic_parts
+from loomspan.operators.groups import map_groups
 from loomspan.plans.storage import materialize
 
 #: Most states that are listed for one graph.
@@ -153,7 +154,7 @@ def hasse(edges: DataFrame) -> DataFrame:
     labels = materialize(own.join(asked.select("graph").distinct(), "graph", "left_semi").groupBy("graph").applyInPandas(label, schema))
     arcs = materialize(own.select("graph", F.col("prereq").alias("mid"), F.col("item").alias("nxt")).join(labels.withColumnRenamed("id", "nxt"), ["graph", "nxt"]))
     goal = labels.select("graph", F.col("id").alias("item"), F.col("rank1").alias("goal1"), F.col("rank2").alias("goal2"))
-    front = materialize(asked.join(goal, ["graph", "item"]).select("graph", "prereq", "item", F.col("prereq").alias("mid"), "goal1", "goal2"))
+    front = asked.join(goal, ["graph", "item"]).select("graph", "prereq", "item", F.col("prereq").alias("mid"), "goal1", "goal2")
     edge = ["graph", "prereq", "item"]
     sure = (F.col("nxt") == F.col("item")) | F.col("goal1").between(F.col("enter1"), F.col("rank1")) | F.col("goal2").between(F.col("enter2"), F.col("rank2"))
     may = F.col("goal1").between(F.col("low1"), F.col("rank1")) & F.col("goal2").between(F.col("low2"), F.col("rank2"))
@@ -251,11 +252,6 @@ def list_states(items: list[str], prereqs: dict[str, set[str]], cap: int = STATE
     return states, len(states) >= cap
 
 
-def _graph_of(items: pd.DataFrame) -> tuple[list[str], dict[str, set[str]]]:
-    ids = sorted(items["id"])
-    return ids, {i: set(p) for i, p in zip(items["id"], items["prereqs"], strict=True)}
-
-
 #: Nodes of one graph's walk that are opened before its subtrees are dealt out, and the parcels they are dealt in.
 OPENED, PARCELS = 512, 64
 _NODE = "path array<int>, state array<string>, choices array<string>"
@@ -440,13 +436,11 @@ def enforce_dag(edges: DataFrame) -> DataFrame:
     pairs = edges.groupBy("graph", "prereq", "item").agg(F.max_by("confidence", order).alias("confidence"))
     pairs = materialize(pairs.select(F.col("graph").cast("string").alias("graph"), F.col("prereq").cast("string").alias("prereq"), F.col("item").cast("string").alias("item"), F.col("confidence").cast("double").alias("confidence")))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        given = {(p, i): c for p, i, c in zip(frame["src"], frame["dst"], frame["confidence"], strict=True)}
-        dropped = acyclic(given)[1]
-        return pd.DataFrame([(frame["graph"].iloc[0], *e) for e in dropped], columns=["g", "p", "i"])
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(key[0], *e) for e in acyclic({(p, i): c for p, i, c in rows})[1]]
 
     parts = cyclic_parts(pairs.select("graph", F.col("prereq").alias("src"), F.col("item").alias("dst"), "confidence"), both_ways=False)
-    dropped = parts.groupBy("graph", "part").applyInPandas(run, "g string, p string, i string")
+    dropped = map_groups(parts, ["graph", "part"], run, "g string, p string, i string")
     met = F.col("graph").eqNullSafe(F.col("g")) & (F.col("prereq") == F.col("p")) & (F.col("item") == F.col("i"))
     return pairs.join(dropped, met, "left").select("graph", "prereq", "item", "confidence", (F.col("p").isNull() & (F.col("prereq") != F.col("item"))).alias("kept"))
 
@@ -485,11 +479,11 @@ def topological(ids: list[str], prereqs: dict[str, set[str]]) -> list[str]:
 def topo_order(items: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, id, rank): each graph's smallest topological order."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        order = topological(*_graph_of(frame))
-        return pd.DataFrame({"graph": frame["graph"].iloc[0], "id": order, "rank": range(len(order))})
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        prereqs = {i: set(p) for i, p in rows}
+        return [(*key, i, rank) for rank, i in enumerate(topological(sorted(prereqs), prereqs))]
 
-    return adjacency(items, edges).groupBy("graph").applyInPandas(run, "graph string, id string, rank long")
+    return map_groups(adjacency(items, edges), ["graph"], run, "graph string, id string, rank long")
 
 
 def depth(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -498,16 +492,16 @@ def depth(items: DataFrame, edges: DataFrame) -> DataFrame:
     One pass in topological order over each graph, graphs spread over the cluster: one job whatever the depth.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, prereqs = _graph_of(frame)
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        prereqs = {i: set(p) for i, p in rows}
         levels: dict[str, int] = {}
-        for i in topological(ids, prereqs):
+        for i in topological(sorted(prereqs), prereqs):
             if not prereqs[i] <= levels.keys():
                 raise ValueError("the graph has a cycle")
             levels[i] = 1 + max((levels[p] for p in prereqs[i]), default=-1)
-        return pd.DataFrame({"graph": frame["graph"].iloc[0], "id": list(levels), "depth": list(levels.values())})
+        return [(*key, *level) for level in levels.items()]
 
-    return adjacency(items, edges).groupBy("graph").applyInPandas(run, "graph string, id string, depth int")
+    return map_groups(adjacency(items, edges), ["graph"], run, "graph string, id string, depth int")
 
 
 def merge(items: DataFrame, edges: DataFrame, name: str = "book") -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators.cores import cyclic_parts
+from loomspan.operators.groups import map_groups
 from loomspan.plans.storage import materialize
 
 # Work markers, the longest average line of hand-written code, symbols per file, kept source size.
@@ -214,16 +214,15 @@ def cycles(edges: DataFrame, repo: str | None = None) -> DataFrame:
     Of a large repository, what no cycle can hold is trimmed first, and the parts that are left are walked by a task each.
     """
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, rows: list[tuple]) -> list[tuple]:
         arcs: dict[str, list[str]] = {}
-        for src, dst in zip(frame["src"], frame["dst"], strict=True):
+        for src, dst in rows:
             arcs.setdefault(src, []).append(dst)
-        rows = [(frame["graph"].iloc[0], path, min(c)) for c in components_of(arcs) if len(c) > 1 for path in c]
-        return pd.DataFrame(rows, columns=["repo", "path", "component"])
+        return [(key[0], path, min(c)) for c in components_of(arcs) if len(c) > 1 for path in c]
 
     owner = F.col(repo).cast("string") if repo else F.lit("")
     parts = cyclic_parts(materialize(edges.select(owner.alias("graph"), "src", "dst").distinct()), both_ways=True)
-    return parts.groupBy("graph", "part").applyInPandas(walk, "repo string, path string, component string")
+    return map_groups(parts, ["graph", "part"], walk, "repo string, path string, component string")
 
 
 def scan(spark: SparkSession, folder: str, max_files: int = 30_000) -> DataFrame:

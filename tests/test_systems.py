@@ -326,6 +326,8 @@ def test_folders_are_scanned(spark, tmp_path):
     for n in range(1, 5):
         kept = A.scan(spark, f"file://{tmp_path}", n)
         assert sorted(r.path for r in kept.collect()) == names[:n]
+        leaf = kept._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert leaf.metrics().apply("numFiles").value() == n  # no other file is opened
         plan = kept._jdf.queryExecution().toString()
         assert "Sort" not in plan and "Exchange" not in plan  # contents are never sorted
     (tmp_path / "none").mkdir()
