@@ -250,13 +250,14 @@ def capture_counts(captures: DataFrame) -> DataFrame:
     return captures.groupBy("path").agg(*(F.count_if(kind).alias(k) for k, kind in kinds.items()))
 
 
-def churn(commits: DataFrame) -> DataFrame:
+def churn(commits: DataFrame, *of: str) -> DataFrame:
     """(path, commits, authors, added, removed, first, last) of commit rows (path, commit, author, at, added, removed).
 
-    Without any commits, as in a folder that is no repository, the result is empty.
+    of names further columns that tell files apart, such as their repository. Without any commits, as in a folder that
+    is no repository, the result is empty.
     """
     counts = (F.count_distinct("commit").alias("commits"), F.count_distinct("author").alias("authors"))
-    return commits.groupBy("path").agg(*counts, F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return commits.groupBy(*of, "path").agg(*counts, F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
 def lenses(commits: DataFrame, half_life: int = 90) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import snapshots as A
 from loomspan.operators import cassette as C
+from loomspan.operators import history as H
 from loomspan.operators import quest as Q
 from loomspan.plans.storage import materialize, shared_root
 from loomspan.queries import learning
@@ -305,6 +306,48 @@ def q73_lenses(spark, sf_dir):
     return A.lenses(commits).withColumn("share", F.bround("share", 9))
 
 
+#: A repository's commits are the orders with a line of its suppliers; every third commit of a part's file renames it.
+_TOUCHED = """touched AS (SELECT l_suppkey % 20 AS repo, l_partkey AS part, l_orderkey AS o, o_custkey AS author, o_orderdate::DATE AS day, sum(l_linenumber)::BIGINT AS added, sum(7 - l_linenumber)::BIGINT AS removed
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+named AS (SELECT *, row_number() OVER (PARTITION BY repo, part ORDER BY day, o) - 1 AS n FROM touched)"""
+
+
+def _log(spark, sf_dir):
+    """(repo, place, entry): the log's text of every commit, renames written with and without braces."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("repo", F.col("l_suppkey") % 20).withColumn("day", F.to_date("o_orderdate"))
+    touched = rows.groupBy("repo", F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("o"), "o_custkey", "day").agg(F.sum("l_linenumber").alias("added"), F.sum(7 - F.col("l_linenumber")).alias("removed"))
+    n = F.row_number().over(W.partitionBy("repo", "part").orderBy("day", "o")) - 1
+    name = lambda at: F.concat(F.lit("f"), "part", F.when(F.floor(at / 3) % 2 == 0, ".a").otherwise(".b"))
+    folder = F.concat(F.lit("src/d"), F.col("part") % 7, F.lit("/"))
+    now, before = name(F.col("n")), name(F.col("n") - 1)
+    braced = F.concat(folder, F.lit("{"), before, F.lit(" => "), now, F.lit("}"))
+    moved = F.when(F.col("part") % 2 == 0, braced).otherwise(F.concat(folder, before, F.lit(" => "), folder, now))
+    path = F.when((F.col("n") > 0) & (F.col("n") % 3 == 0), moved).otherwise(F.concat(folder, now))
+    lines = touched.withColumn("n", n).withColumn("line", F.concat_ws("\t", "added", "removed", path))
+    entries = lines.groupBy("repo", "o", "o_custkey", "day").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    head = F.concat_ws("\t", F.lit("commit"), "o", "o_custkey", F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss"))
+    return entries.select("repo", (F.shiftleft(F.unix_date("day").cast("long"), 44) + F.col("o")).alias("place"), F.concat(head, F.lit("\n\n"), F.array_join("lines", "\n")).alias("entry"))
+
+
+@query(f"""WITH {_TOUCHED}
+SELECT repo, 'src/d' || (part % 7) || '/f' || part || CASE WHEN max(n) // 3 % 2 = 0 THEN '.a' ELSE '.b' END AS path, count(*) AS commits, count(DISTINCT author) AS authors, sum(added)::BIGINT AS added,
+ sum(removed)::BIGINT AS removed, min(day)::VARCHAR AS first, max(day)::VARCHAR AS last FROM named GROUP BY repo, part""")
+def q74_followed_churn(spark, sf_dir):
+    """Churn of files that were renamed back and forth, from the log's text: a file keeps what it counted under all its names."""
+    followed = H.follow_renames(H.changes(_log(spark, sf_dir)))
+    counts = A.churn(followed.withColumn("at", F.to_date("at")), "repo")
+    return counts.withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
+
+
+@query(f"""WITH {_TOUCHED}, commits AS (SELECT repo, o, author, day, count(*) AS files, sum(added)::BIGINT AS added, sum(removed)::BIGINT AS removed FROM named GROUP BY ALL)
+SELECT repo, o::VARCHAR AS commit, author::VARCHAR AS author, day::VARCHAR AS day, files, added, removed FROM commits QUALIFY row_number() OVER (PARTITION BY repo ORDER BY day DESC, o DESC) <= 50""")
+def q75_timeline(spark, sf_dir):
+    """The 50 latest commits of each repository, from the log's text."""
+    rows = H.timeline(H.changes(H.recent(_log(spark, sf_dir), 50)))
+    return rows.select("repo", "commit", "author", F.to_date("at").cast("string").alias("day"), "files", "added", "removed")
+
+
 @query("""SELECT n_regionkey AS region, '{' || string_agg('"' || n_nationkey || '":"' || n_name || '"', ',' ORDER BY n_nationkey::VARCHAR) || '}' AS object FROM nation GROUP BY 1""")
 def q66_as_object(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")

@@ -6,11 +6,13 @@ import json
 import os
 from dataclasses import fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.replay import Learner
 from loomspan.functions.text import response_value
+from loomspan.operators.history import HEAD
 
 TEXT_ENDINGS, PDF_ENDINGS = (".md", ".markdown", ".txt"), (".pdf",)
 
@@ -47,6 +49,24 @@ def read_texts(spark: SparkSession, *paths: str) -> DataFrame:
     return out
 
 
+def read_history(spark: SparkSession, *paths: str) -> DataFrame:
+    """(repo, place, entry): the commits of text logs (operators/history.py), one file for each repository, newest first.
+
+    Files are split between tasks at commits, so a log of any size is read by many. place grows with time: what stands
+    further back in its file is older. The repository is the file's name without its ending. A path without any file,
+    as of a folder that is no repository, gives no rows.
+    """
+    schema = "repo string, place decimal(38,0), entry string"
+    try:
+        lines = spark.read.option("lineSep", "\n" + HEAD).text(list(paths))
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    block = F.col("_metadata.file_block_start").cast("decimal(38,0)")
+    place = -(block * F.lit(1 << 33).cast("decimal(11,0)") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    rows = lines.select(F.regexp_replace("_metadata.file_name", "[.][^.]*$", "").alias("repo"), place.cast("decimal(38,0)").alias("place"), F.col("value").alias("entry"))
+    return rows.filter(F.trim("entry") != "")
+
+
 def _pdf_pages(files: DataFrame) -> DataFrame:
     """Pages of PDF files, numbered from 1; needs pypdf on the executors."""
 
