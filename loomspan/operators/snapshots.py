@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.cores import cyclic_parts
 from loomspan.operators.groups import map_groups
-from loomspan.plans.storage import materialize
+from loomspan.operators.ranks import nth_values
+from loomspan.plans.storage import broadcast_if_small, free_name, materialize
 
 # Work markers, the longest average line of hand-written code, symbols per file, kept source size.
 MARKERS = r"\b(TODO|FIXME|HACK|XXX)\b"
@@ -161,12 +162,14 @@ def call_edges(defs: DataFrame, refs: DataFrame, neighbours: DataFrame) -> DataF
 
 
 def radius_clamp(points: DataFrame, group: str, radius: str, least: float = 25.0) -> DataFrame:
-    """Adds soft (the group's 75th percentile by floor index, least at least) and scale (1 within, soft/r beyond)."""
-    ordered = W.partitionBy(group).orderBy(radius)
-    ranked = points.withColumn("__n", F.row_number().over(ordered) - 1).withColumn("__size", F.count("*").over(W.partitionBy(group)))
-    at = F.floor((F.col("__size") - 1) * 0.75)
-    soft = F.greatest(F.lit(least), F.max(F.when(F.col("__n") == at, F.col(radius))).over(W.partitionBy(group)))
-    return ranked.withColumn("soft", soft).withColumn("scale", F.when(F.col(radius) > 0, F.least(F.lit(1.0), F.col("soft") / F.col(radius))).otherwise(1.0)).drop("__n", "__size")
+    """Adds soft (the group's 75th percentile by floor index, least at least) and scale (1 within, soft/r beyond).
+
+    The percentile is exact and found by counting, so no group is sorted; rows only meet their group's one.
+    """
+    softs = nth_values(points, group, radius, lambda size: F.floor((size - 1) * 0.75))
+    softs = broadcast_if_small(softs.select(F.col("g").alias(free_name(points, "__group")), F.greatest(F.lit(least), "nth").alias("soft")), 96)
+    met = points.join(softs, points[group].eqNullSafe(softs[softs.columns[0]]), "left").select(*points.columns, "soft")
+    return met.withColumn("scale", F.when(F.col(radius) > 0, F.least(F.lit(1.0), F.col("soft") / F.col(radius))).otherwise(1.0))
 
 
 def components_of(arcs: dict[str, list[str]]) -> list[list[str]]:
