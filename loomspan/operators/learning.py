@@ -6,12 +6,12 @@ windows are keyed by actor, so learners spread over the cluster and no state cro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import learner as L
-from loomspan.plans.storage import materialize
+from loomspan.plans.storage import broadcast_if_small, materialize
 
 
 def _by_actor():
@@ -132,13 +132,44 @@ def sessions(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
     )
 
 
+def _adjust(rate: Column, difficulty: Column) -> Column:
+    """What a beat's difficulty adds above the flow band, and takes below it."""
+    hard = F.coalesce(difficulty, F.lit(2)) * 0.25
+    return F.when(rate > L.FLOW_HIGH, hard).when(rate < L.FLOW_LOW, -hard).otherwise(0.0)
+
+
+def _open_beats(free: DataFrame, learners: DataFrame) -> DataFrame:
+    """(actor, beat): of the beats open to everyone (beat, teaches, difficulty), those that may be a learner's best.
+
+    A beat that teaches nothing of a learner's mastery or fringe scores by its difficulty and by which side of the flow
+    band the learner is on. So such beats have one order for each side, and only the first of it that is left counts:
+    its place is the least that no visited or touched beat of the learner takes. Touched beats are met by their items.
+    """
+    side = F.when(F.col("rate") > L.FLOW_HIGH, 1).when(F.col("rate") < L.FLOW_LOW, -1).otherwise(0)
+    sides = free.select("beat", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("side"), "difficulty")
+    rate = F.when(F.col("side") > 0, 1.0).when(F.col("side") < 0, 0.0).otherwise((L.FLOW_HIGH + L.FLOW_LOW) / 2)
+    best_first = W.partitionBy("side").orderBy(F.desc(F.bround(1.0 + _adjust(rate, F.col("difficulty")), 9)), "beat")  # a row for each beat of the story
+    order = materialize(sides.select("side", "beat", (F.row_number().over(best_first) - 1).cast("long").alias("place")))
+    items = learners.select("actor", F.explode(F.array_union(F.map_keys("mastery"), F.coalesce("fringe", F.array().cast("array<string>")))).alias("item"))
+    touched = items.join(free.select("beat", F.explode("teaches").alias("item")), "item").select("actor", "beat")
+    seen = learners.select("actor", F.explode("visited").alias("beat"))
+    own = learners.select("actor", side.alias("side"))
+    order = broadcast_if_small(order, 64)
+    taken = touched.unionByName(seen).distinct().join(own, "actor").join(order, ["side", "beat"])
+    taken = taken.withColumn("n", F.row_number().over(W.partitionBy("actor").orderBy("place")) - 1)
+    first = own.join(taken.groupBy("actor").agg(F.count_if(F.col("place") == F.col("n")).alias("place")), "actor", "left")
+    return first.withColumn("place", F.coalesce("place", F.lit(0))).join(order, ["side", "place"]).select("actor", "beat").unionByName(touched)
+
+
 def next_beats(beats: DataFrame, learners: DataFrame) -> DataFrame:
     """One recommendation per learner: (actor, beat, score).
 
-    learners hold (actor, visited array, mastery map, fringe array, rate double). A beat is ready if each item it
-    requires is mastered or taught by a visited beat; ties go to the smallest id. Candidates join on the items that
-    make them ready, and the best is a pre-aggregated maximum, so no list of candidates is collected.
+    learners hold (actor, visited array, mastery map, fringe array, rate double), one row each. A beat is ready if each
+    item it requires is mastered or taught by a visited beat; ties go to the smallest id. Candidates join on the items
+    that make them ready or that they teach, beats open to everyone come by a common order, and the best is a
+    pre-aggregated maximum: neither are learners paired with all beats, nor is a list of candidates collected.
     """
+    learners = materialize(learners.select("actor", "visited", "mastery", "fringe", "rate"))  # read by every part below
     taught = learners.select("actor", F.explode("visited").alias("beat")).join(beats.select(F.col("id").alias("beat"), F.explode("teaches").alias("item")), "beat")
     known = taught.select("actor", "item").unionByName(
         learners.select("actor", F.explode(F.map_keys(F.map_filter("mastery", lambda _, p: p >= L.MASTERED))).alias("item"))
@@ -146,16 +177,12 @@ def next_beats(beats: DataFrame, learners: DataFrame) -> DataFrame:
     needs = beats.select(F.col("id").alias("beat"), F.explode(F.array_distinct("requires")).alias("item"))
     met = known.join(needs, "item").groupBy("actor", "beat").agg(F.count("*").alias("met"))
     wanted = beats.withColumn("need", F.size(F.array_distinct("requires"))).withColumnRenamed("id", "beat")
-    # beats open to everyone are a property of the story graph, a bounded document: one row that each learner gets
-    always = wanted.filter("need = 0").agg(F.lit("story").alias("of"), F.array_sort(F.collect_list("beat")).alias("open"))
-    free = learners.select("actor", F.lit("story").alias("of")).join(F.broadcast(always), "of").select("actor", F.explode("open").alias("beat"))
+    free = _open_beats(wanted.filter("need = 0").select("beat", "teaches", "difficulty"), learners)
     ready = met.join(wanted.select("beat", "need"), "beat").filter("met = need").select("actor", "beat").unionByName(free)
     rows = ready.join(learners, "actor").join(wanted.select("beat", "teaches", "difficulty"), "beat").filter(~F.array_contains("visited", F.col("beat")))
     teaches = F.size("teaches")
     average = F.when(teaches > 0, F.aggregate("teaches", F.lit(0.0), lambda s, i: s + F.coalesce(F.element_at("mastery", i), F.lit(0.0))) / teaches).otherwise(0.0)
-    hard = F.coalesce(F.col("difficulty"), F.lit(2)) * 0.25
-    adjust = F.when(F.col("rate") > L.FLOW_HIGH, hard).when(F.col("rate") < L.FLOW_LOW, -hard).otherwise(0.0)
-    score = F.when(F.arrays_overlap("teaches", "fringe"), 2.0).otherwise(0.0) + (1.0 - average) + adjust
+    score = F.when(F.arrays_overlap("teaches", "fringe"), 2.0).otherwise(0.0) + (1.0 - average) + _adjust(F.col("rate"), F.col("difficulty"))
     rows = rows.withColumn("score", F.bround(score, 9))
     return rows.groupBy("actor").agg(F.min(F.struct((-F.col("score")).alias("s"), "beat")).alias("b")).select("actor", "b.beat", (-F.col("b.s")).alias("score"))
 

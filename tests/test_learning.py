@@ -155,6 +155,34 @@ def test_next_beat(spark):
     assert {r.actor: (r.beat, r.score) for r in O.next_beats(beats, learners).collect()} == {"new": ("b1", 3.25), "on": ("b2", 0.25)}
 
 
+def test_next_beats_against_all_pairs(spark):
+    """Open and closed beats, untouched by most learners, against a score of every beat for every learner."""
+    rng = random.Random(9)
+    items = [f"i{n:02d}" for n in range(30)]
+    beats = [(f"b{n:02d}", rng.sample(items, rng.randrange(3)), [] if n % 3 else rng.sample(items, rng.randrange(3)), rng.choice([None, 1, 2, 3, 4])) for n in range(40)]
+    learners = []
+    for n in range(60):
+        mastery = {i: rng.choice([0.0, 0.4, 0.97, 1.0]) for i in rng.sample(items, rng.randrange(6))}
+        visited = [b[0] for b in rng.sample(beats, rng.choice([0, 3, 20, 39, 40]))]
+        learners.append((f"a{n:02d}", visited, mastery, rng.sample(items, rng.randrange(3)), rng.choice([0.2, 0.7, 0.8, 0.85, 1.0, None])))
+
+    def best(visited, mastery, fringe, rate):
+        known = {i for i, p in mastery.items() if p >= 0.95} | {i for b in beats if b[0] in visited for i in b[1]}
+        scored = []
+        for name, teaches, requires, difficulty in beats:
+            if name not in visited and known.issuperset(requires):
+                average = sum(mastery.get(i, 0.0) for i in teaches) / len(teaches) if teaches else 0.0
+                sign = 0 if rate is None else (rate > 0.85) - (rate < 0.7)
+                scored.append((-round(2.0 * bool(set(teaches) & set(fringe)) + 1.0 - average + sign * 0.25 * (difficulty or 2), 9), name))
+        return min(scored, default=None)
+
+    b = spark.createDataFrame(beats, "id string, teaches array<string>, requires array<string>, difficulty int")
+    a = spark.createDataFrame(learners, "actor string, visited array<string>, mastery map<string,double>, fringe array<string>, rate double")
+    got = {r.actor: (-r.score, r.beat) for r in O.next_beats(b, a).collect()}
+    want = {name: best(*rest) for name, *rest in learners}
+    assert got == {name: x for name, x in want.items() if x} and any(x is None for x in want.values())
+
+
 def test_half_even():
     assert [half_even(x) for x in (0.5, 1.5, 2.5)] == [0, 2, 2] and half_even(2.675, 2) == 2.68
 
