@@ -298,8 +298,8 @@ SELECT graph, prereq, item, round_even(max(greatest(0.0::DOUBLE, least(1.0::DOUB
 def q59_resolve_edges(spark, sf_dir):
     """Edge ends named by id or, in another case and with blanks around, by label; ends that are nothing are dropped."""
     items, _ = _small(spark, sf_dir)
-    graphs = _read(spark, sf_dir, "part").agg(F.expr("max(p_partkey) div 24 + 1").alias("n"))
-    o = _read(spark, sf_dir, "orders").join(F.broadcast(graphs)).select((F.col("o_orderkey") % F.col("n")).cast("string").alias("graph"), (F.col("o_custkey") % 24).alias("a"), (F.col("o_orderkey") * 5 % 24).alias("b"), ((F.col("o_orderkey") % 1000).cast("double") / 800 - 0.125).alias("confidence"))
+    graphs = _read(spark, sf_dir, "part").agg(F.expr("max(p_partkey) div 24 + 1").alias("n")).scalar()
+    o = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") % graphs).cast("string").alias("graph"), (F.col("o_custkey") % 24).alias("a"), (F.col("o_orderkey") * 5 % 24).alias("b"), ((F.col("o_orderkey") % 1000).cast("double") / 800 - 0.125).alias("confidence"))
     ends = items.select("graph", "k", "id", "label")
     a, b = ends.select("graph", F.col("k").alias("a"), F.col("id").alias("pid"), F.col("label").alias("plabel")), ends.select("graph", F.col("k").alias("b"), F.col("id").alias("iid"), F.col("label").alias("ilabel"))
     said = o.join(a, ["graph", "a"], "left").join(b, ["graph", "b"], "left")
