@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import exact_dedup as exact
-from loomspan.llm import mixing, near_copies, sentencepiece, toxicity
+from loomspan.llm import mixing, near_copies, sentencepiece, simhash, toxicity
 from loomspan.llm.queries import PIECES
-from loomspan.plans.storage import Numbered, discard, free_name, is_written, materialize, number_rows, scratch
+from loomspan.operators.components import connected_components
+from loomspan.plans.storage import Numbered, discard, free_name, is_written, materialize, number_rows, row_digest, scratch
 
 #: Copies of a document that the mix may emit at most.
 MAX_EPOCHS = 3
@@ -45,12 +46,40 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(numbered, lambda: exact.exact_dedup(numbered), docs)
 
 
+def _linked(numbered: Numbered) -> DataFrame:
+    """(row_id, kept): components of documents that operator 6 links by their SimHashes or near_copies by their shingles.
+
+    Either operator names each document's component by a row of it; these rows are joined where a document lies in both.
+    Of a component the row with the smallest doc_id stays (null last), of those the first by a digest of all columns.
+    """
+    by_simhash = simhash.near_duplicates(numbered.df, row_col=numbered.row).select("row_id", F.col("first_row").alias("a"))
+    by_shingles = near_copies.near_copies(numbered).select("row_id", F.col("first_row").alias("b"))
+    # only documents that are not alone in both can be dropped
+    both = materialize(by_simhash.join(by_shingles, "row_id"))
+    moved = both.filter("a <> row_id or b <> row_id")
+    links = materialize(moved.select(F.explode(F.array(F.struct(F.col("a").alias("src")), F.struct(F.col("b").alias("src")))).alias("s"), F.col("row_id").alias("dst")).select("s.src", "dst").filter("src <> dst"))
+    component = connected_components(links)
+    tie = row_digest(numbered.df.drop(numbered.row))
+    rows = numbered.df.select(F.col(numbered.row).alias("node"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), tie.alias("tie"), F.col(numbered.row).alias("row_id")).alias("place"))
+    placed = materialize(component.join(rows, "node"))
+    first = materialize(placed.groupBy("component").agg(F.min("place").alias("first")))  # written, so AQE can split a large component
+    return placed.join(first, "component").select(F.col("node").alias("row_id"), (F.col("place") == F.col("first")).alias("kept"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 or more of their five-word shingles that with the smallest doc_id stays."""
+    """Of documents linked by 0.8 or more of their five-word shingles that with the smallest doc_id stays. Not the whole
+    stage, but its second kind of links alone."""
     numbered = number_rows(docs)
     return _without(numbered, lambda: near_copies.near_copies(numbered), docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by SimHashes at 3 or fewer differing bits, or by 0.8 or more of their five-word shingles, that
+    with the smallest doc_id stays."""
+    numbered = number_rows(docs)
+    return _without(numbered, lambda: _linked(numbered), docs)
+
+
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix takes them, a document's part of a repetition rounded to a whole copy or none."""
     numbered = number_rows(docs)
@@ -71,7 +100,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_exact_copies),
-    ("near dedup", drop_near_copies),
+    ("near dedup", drop_near_duplicates),
     ("mixing", mix_to_weights),
     ("sentencepiece", encode),
 ]

@@ -187,7 +187,7 @@ def _pairs(members: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def near_copies(docs: DataFrame | Numbered, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, component_id, kept, row_id.
+    """One row per document: doc_id, component_id, kept, row_id, first_row (that of the row kept).
 
     Documents are linked when the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Candidates
     share a min-hash band and have sketches that allow a link; each is decided by the two whole sets. Bands of
@@ -240,4 +240,4 @@ def near_copies(docs: DataFrame | Numbered, *, id_col: str = "doc_id", text_col:
     labelled = materialize(classes.join(component, "class", "left").withColumn("component", F.coalesce("component", "class")))
     best = materialize(labelled.groupBy("component").agg(F.min("first").alias("first")))  # written, so AQE can split a large component
     named = materialize(labelled.select("class", "component").join(best, "component").select("class", F.col("first.doc_id").alias("component_id"), F.col("first.row_id").alias("first_row")))
-    return prints.join(named, "class").select("doc_id", "component_id", (F.col("row_id") == F.col("first_row")).alias("kept"), "row_id")
+    return prints.join(named, "class").select("doc_id", "component_id", (F.col("row_id") == F.col("first_row")).alias("kept"), "row_id", "first_row")

@@ -98,7 +98,7 @@ def hamming_links(prints: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, words_per_shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, row_id.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, row_id, first_row (that of the row kept).
 
     Documents with equal fingerprints are one class, found by a pre-aggregated groupBy; links are sought between
     classes only. component_id is the smallest doc_id of all documents that links reach.
@@ -127,4 +127,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "component_id",
         (F.col("row_id") == F.col("first_row")).alias("kept"),
         "row_id",
+        "first_row",
     )
