@@ -140,6 +140,25 @@ def test_main_text_of_planted_pages(spark):
     assert {r.page_id: r.text for r in shards} == wanted
 
 
+def test_main_text_does_not_depend_on_shards(spark):
+    notice = "<div>{} readers of our partner sites save on every order placed before the end of june</div>"
+    rows = []
+    for k in range(60):
+        own = "".join("<p>" + " ".join(f"w{k}x{j}y{i}" for i in range(8)) + "</p>" for j in range(20))
+        rare = notice.format("all") if k % 9 == 0 else "<div>some readers wrote to us about the long queue at the old harbour gate</div>" if k % 20 == 1 else ""  # 7 and 3 of 60
+        rows.append((k, f"http://cut.example/{k}", f"<body>{rare}<div>{own}</div></body>"))
+    rows += [(1000 + k, "http://cut.example/copy", rows[1][2]) for k in range(40)]  # copies count once
+    small = [(2000 + k, "http://small.example/", f"<div>{notice.format('three')}</div><p>page {k} has own words</p>") for k in range(3)]
+    pages = spark.createDataFrame([*rows, *small], "page_id long, url string, html string")
+    whole = plain_rows(main_text.main_text(pages, shard_bytes=1 << 30), "page_id", "text", "n_chars")
+    for most in (8_000, 40_000):
+        assert plain_rows(main_text.main_text(pages, shard_bytes=most), "page_id", "text", "n_chars") == whole
+    texts = {i: t for i, t, _ in whole}
+    assert not any("all readers" in t for t in texts.values())
+    assert sum("some readers" in t for t in texts.values()) == 43
+    assert texts[2001] == "page 1 has own words"
+
+
 def test_main_text_of_broken_pages(spark):
     cases = [
         (1, None, "<article>open <b>bold<p>two</b> three<p>four"),
