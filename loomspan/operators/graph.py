@@ -51,12 +51,15 @@ def normalise_edges(proposals: DataFrame) -> DataFrame:
 
 
 def resolve_edges(items: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Edge ends given as id or as label (any case, the last item of a label wins), normalised."""
+    """Edge ends given as id or as label (any case, the last item of a label wins), normalised.
+
+    Items are as many as proposals may be, and their packed size says little of them: they are merged, never broadcast.
+    """
     by_label = items.groupBy("graph", F.lower(F.trim("label")).alias("key")).agg(F.max_by("id", "pos").alias("by_label"))
     out = proposals
     for end in ("prereq", "item"):
         ids = items.select("graph", F.col("id").alias(end), F.col("id").alias("by_id"))
-        out = out.join(ids, ["graph", end], "left").withColumn("key", F.lower(F.trim(end))).join(by_label, ["graph", "key"], "left")
+        out = out.join(ids.hint("merge"), ["graph", end], "left").withColumn("key", F.lower(F.trim(end))).join(by_label.hint("merge"), ["graph", "key"], "left")
         out = out.withColumn(end, F.coalesce("by_id", "by_label")).drop("by_id", "by_label", "key").filter(F.col(end).isNotNull())
     return normalise_edges(out)
 

@@ -124,6 +124,20 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+#: Rows of a narrow table that one task is dealt.
+DEALT_ROWS = 50_000
+
+
+def dealt(rows: DataFrame, *keys: str, most: int = DEALT_ROWS) -> DataFrame:
+    """Rows dealt by keys over so many tasks that one gets some most rows, whatever a scan's splits are by their bytes.
+
+    Files of narrow, well packed rows have few splits, and partitions are joined by their packed size too; what
+    a task holds of such rows in sorts and groupings would grow with the table. Tables of few rows stay as they are.
+    """
+    parts = -(-rows.count() // most)
+    return rows.repartition(parts, *keys) if parts > 1 else rows
+
+
 #: Rows that one bitmap stands for (fixed by Spark's bitmap functions), and its bytes with its key in a broadcast.
 BITMAP_ROWS, BITMAP_BYTES = 1 << 15, (1 << 12) + 64
 #: Files are numbered by a hash of so many bits, in steps of a bitmap's rows.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import graph as G
 from loomspan.operators import story as S
+from loomspan.plans.storage import dealt
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -297,12 +298,13 @@ met AS (SELECT graph, pid AS prereq, iid AS item, confidence FROM named WHERE pi
 SELECT graph, prereq, item, round_even(max(greatest(0.0::DOUBLE, least(1.0::DOUBLE, confidence::DOUBLE))), 6) AS confidence FROM met GROUP BY 1, 2, 3""")
 def q59_resolve_edges(spark, sf_dir):
     """Edge ends named by id or, in another case and with blanks around, by label; ends that are nothing are dropped."""
-    items, _ = _small(spark, sf_dir)
+    items = dealt(_small(spark, sf_dir)[0], "graph")
     graphs = _read(spark, sf_dir, "part").agg(F.expr("max(p_partkey) div 24 + 1").alias("n")).scalar()
     o = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") % graphs).cast("string").alias("graph"), (F.col("o_custkey") % 24).alias("a"), (F.col("o_orderkey") * 5 % 24).alias("b"), ((F.col("o_orderkey") % 1000).cast("double") / 800 - 0.125).alias("confidence"))
+    o = dealt(o, "graph")
     ends = items.select("graph", "k", "id", "label")
     a, b = ends.select("graph", F.col("k").alias("a"), F.col("id").alias("pid"), F.col("label").alias("plabel")), ends.select("graph", F.col("k").alias("b"), F.col("id").alias("iid"), F.col("label").alias("ilabel"))
-    said = o.join(a, ["graph", "a"], "left").join(b, ["graph", "b"], "left")
+    said = o.join(a.hint("merge"), ["graph", "a"], "left").join(b.hint("merge"), ["graph", "b"], "left")
     prereq = F.when(F.col("a") % 2 == 0, F.coalesce("pid", F.lit("zz"))).otherwise(F.coalesce(F.concat(F.lit(" "), "plabel"), F.lit("zz")))
     proposals = said.select("graph", prereq.alias("prereq"), F.upper("ilabel").alias("item"), "confidence")
     edges = G.resolve_edges(items.withColumn("pos", F.col("id")), proposals)

@@ -314,3 +314,11 @@ def test_reduction_of_a_long_chain_writes_rows_linear_in_its_edges(spark, monkey
     got = G.hasse(chain.unionByName(jumps))
     assert got.exceptAll(chain).isEmpty() and got.count() == n - 1
     assert sum(t.count() for t in written) < 5 * n
+
+
+def test_resolved_items_are_merged_whatever_their_packed_size(spark):
+    items = spark.createDataFrame([("g", "a", "Alpha", 1), ("g", "b", "Beta", 2)], "graph string, id string, label string, pos int")
+    proposals = spark.createDataFrame([("g", " alpha", "b", 0.5)], "graph string, prereq string, item string, confidence double")
+    edges = G.resolve_edges(items, proposals)
+    assert [tuple(r) for r in edges.collect()] == [("g", "a", "b", 0.5)]
+    assert "Broadcast" not in edges._jdf.queryExecution().toString()

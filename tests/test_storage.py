@@ -62,3 +62,11 @@ def test_scratch_tables_go(spark):
     with pytest.raises(Exception, match="(?i)exist|not find|not_found"):
         spark.read.parquet(gone._written_at).count()
     S.discard(stays)
+
+
+def test_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(0, 10_000, 1, 1).selectExpr("id div 5 AS graph", "id")
+    some = S.dealt(rows, "graph", most=500)
+    sizes = [n for (n,) in some.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(sizes) == 20 and max(sizes) < 1_000 and sum(sizes) == 10_000
+    assert S.dealt(rows, "graph", most=10_000) is rows
