@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators.cores import cyclic_parts
 from loomspan.operators.groups import map_groups
-from loomspan.plans.storage import materialize
+from loomspan.plans.storage import dealt, materialize
 
 #: Most states that are listed for one graph.
 STATE_CAP = 50_000
@@ -257,6 +257,8 @@ def list_states(items: list[str], prereqs: dict[str, set[str]], cap: int = STATE
 
 #: Nodes of one graph's walk that are opened before its subtrees are dealt out, and the parcels they are dealt in.
 OPENED, PARCELS = 512, 64
+#: Graphs whose walks one task opens.
+WALKED = 2_000
 _NODE = "path array<int>, state array<string>, choices array<string>"
 
 
@@ -302,9 +304,9 @@ def ideals(items: DataFrame, edges: DataFrame, cap: int = STATE_CAP) -> DataFram
     """
     each = adjacency(items, edges).groupBy("graph").agg(F.array_sort(F.collect_list(F.struct("id", "prereqs"))).alias("doc"))
     docs = materialize(each.select(F.col("graph").cast("string").alias("graph"), F.transform("doc", lambda d: F.struct(d["id"].cast("string").alias("id"), d["prereqs"].cast("array<string>").alias("prereqs"))).alias("doc")))
-    top = materialize(docs.mapInArrow(_tops, f"graph string, {_NODE}, stub boolean"))
+    top = materialize(dealt(docs, "graph", most=WALKED).mapInArrow(_tops, f"graph string, {_NODE}, stub boolean"))
 
-    def dealt(nodes: DataFrame, *more: str) -> DataFrame:
+    def parcels(nodes: DataFrame, *more: str) -> DataFrame:
         parcel = F.pmod(F.xxhash64("path"), F.lit(PARCELS))
         grouped = nodes.withColumn("parcel", parcel).groupBy("graph", "parcel").agg(F.collect_list(F.struct("path", "state", "choices", *more)).alias("stubs"))
         return grouped.join(docs, "graph").repartition("graph", "parcel").select("graph", "stubs", "doc")
@@ -312,7 +314,7 @@ def ideals(items: DataFrame, edges: DataFrame, cap: int = STATE_CAP) -> DataFram
     sizes = top.withColumn("n", F.lit(1).cast("long"))
     deep = not top.filter("stub").isEmpty()
     if deep:
-        counted = materialize(dealt(top.filter("stub")).mapInArrow(_count_below(max(0, cap)), "graph string, path array<int>, n long"))
+        counted = materialize(parcels(top.filter("stub")).mapInArrow(_count_below(max(0, cap)), "graph string, path array<int>, n long"))
         sizes = sizes.drop("n").join(counted, ["graph", "path"], "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
     walk = W.partitionBy("graph").orderBy("path")
     before = F.coalesce(F.sum("n").over(walk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
@@ -321,7 +323,7 @@ def ideals(items: DataFrame, edges: DataFrame, cap: int = STATE_CAP) -> DataFram
     if not deep:
         return own
     placed = materialize(placed)
-    inside = dealt(placed.filter("stub and n > 1"), "n", "first", "overflow").mapInArrow(_list_below(cap), "graph string, ordinal long, state array<string>, overflow boolean")
+    inside = parcels(placed.filter("stub and n > 1"), "n", "first", "overflow").mapInArrow(_list_below(cap), "graph string, ordinal long, state array<string>, overflow boolean")
     return placed.select(*own.columns[:1], F.col("first").alias("ordinal"), "state", "overflow").unionByName(inside)
 
 

@@ -287,6 +287,7 @@ SELECT graph::VARCHAR AS graph, NULL AS part, n AS states FROM whole WHERE n < {
 def q58_spaces_by_tag(spark, sf_dir):
     k = F.col("p_partkey") % 6
     items = _read(spark, sf_dir, "part").select(F.expr("p_partkey div 6").cast("string").alias("graph"), F.concat(F.lit("n"), k).alias("id"), k.alias("k"), F.array((F.col("p_partkey") % 2).cast("string")).alias("tags"))
+    items = dealt(items, "graph")
     edges = items.filter("k >= 2").select("graph", F.concat(F.lit("n"), F.expr("k div 2")).alias("prereq"), F.col("id").alias("item"))
     s = G.spaces(items, G.known_edges(items, edges), _CAP)
     return s.groupBy("graph", "part").agg(F.count("*").alias("states"))
