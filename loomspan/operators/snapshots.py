@@ -257,10 +257,14 @@ def churn(commits: DataFrame, *of: str) -> DataFrame:
     """(path, commits, authors, added, removed, first, last) of commit rows (path, commit, author, at, added, removed).
 
     of names further columns that tell files apart, such as their repository. Without any commits, as in a folder that
-    is no repository, the result is empty.
+    is no repository, the result is empty. Rows move once, to their file's task; commits and authors are ranked there in
+    sorts that spill, so distinct counts neither repeat rows nor hold sets.
     """
-    counts = (F.count_distinct("commit").alias("commits"), F.count_distinct("author").alias("authors"))
-    return commits.groupBy(*of, "path").agg(*counts, F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("at").alias("first"), F.max("at").alias("last"))
+    files = [*of, "path"]
+    nth = lambda c: F.when(F.col(c).isNotNull(), F.dense_rank().over(W.partitionBy(*files).orderBy(F.asc_nulls_last(c))))
+    rows = commits.select(*files, "commit", "author", "at", "added", "removed").repartition(*files).withColumns({"commits": nth("commit"), "authors": nth("author")})
+    counts = (F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("commits", "authors"))
+    return rows.groupBy(*files).agg(*counts, F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
 def lenses(commits: DataFrame, half_life: int = 90) -> DataFrame:

@@ -116,3 +116,28 @@ def test_long_chain_and_lives(spark):
     rows = [("r", i, f"f{i}", f"f{i - 1}" if i else None) for i in range(600)] + [("r", 700, "f0", None)]
     out = H.follow_renames(spark.createDataFrame(rows, "repo string, place long, path string, old string"))
     assert {(r.path, r.era, r.n) for r in out.groupBy("path", "era").agg(F.count("*").alias("n")).collect()} == {("f599", 599, 600), ("f0", 1, 1)}
+
+
+def test_churn_counts_exactly_and_repeats_no_row(spark):
+    """Commits of several authors, rows without a commit or an author; no row is expanded for distinct counts."""
+    rows = [("r", "f", 1, "a", 1), ("r", "f", 1, "b", 2), ("r", "f", 2, "a", 4), ("r", "f", None, None, 8), ("q", "f", 1, "a", 16), ("q", None, None, "c", 32), (None, "g", 3, None, 64)]
+    commits = spark.createDataFrame(rows, "repo string, path string, commit long, author string, added long").selectExpr("*", "date'2024-01-01' AS at", "1L AS removed")
+    counts = A.churn(commits, "repo")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.repo, r.path): (r.commits, r.authors, r.added, r.removed) for r in counts.collect()} == {("r", "f"): (2, 2, 15, 4), ("q", "f"): (1, 1, 16, 1), ("q", None): (0, 1, 32, 1), (None, "g"): (1, 0, 64, 1)}
+    assert "Expand" not in plan and plan.count("Exchange") == 1
+
+
+def test_changes_are_parsed_once(spark):
+    """Renames are found in written changes: the log is not parsed again for each use."""
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    entries = spark.createDataFrame([("r", 1, "commit\tc1\ta\t2024-01-01T00:00:00+00:00\n\n1\t0\t/x//b"), ("r", 2, "commit\tc2\ta\t2024-01-02T00:00:00+00:00\n\n1234567890123456789\t2\tx/{b => c}")], "repo string, place long, entry string")
+    found = H.follow_renames(H.changes(entries.mapInArrow(count, entries.schema)))
+    assert {(r.path, r.old, r.added, r.removed) for r in found.collect()} == {("x/c", None, 1, 0), ("x/c", "x/b", 0, 2)}
+    assert parsed.value == 2
