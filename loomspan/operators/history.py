@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.plans.storage import discard, materialize
+from loomspan.plans.storage import discard, is_written, materialize
 
 # The log's format (`log --numstat -M --date=iso-strict --format=commit%x09%H%x09%an%x09%aI`, with
 # core.quotePath=false). A commit's line, then one line for each file: added, removed ('-' where binary) and its path,
@@ -22,7 +22,8 @@ def _plain(name: Column) -> Column:
     inner = F.regexp_extract(name, '^"(.*)"$', 1)
     for mark, char in (("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
         inner = F.replace(inner, F.lit(mark), F.lit(char))
-    return F.when(name.startswith('"') & name.endswith('"'), inner).otherwise(F.regexp_replace(F.regexp_replace(name, "/{2,}", "/"), "^/", ""))
+    steps = F.when(name.contains("//") | name.startswith("/"), F.regexp_replace(F.regexp_replace(name, "/{2,}", "/"), "^/", "")).otherwise(name)
+    return F.when(name.startswith('"') & name.endswith('"'), inner).otherwise(steps)
 
 
 def recent(entries: DataFrame, most: int) -> DataFrame:
@@ -40,18 +41,23 @@ def changes(entries: DataFrame) -> DataFrame:
     """
     lines = F.split("entry", "\r?\n")
     head = F.split(F.regexp_replace(F.element_at(lines, 1), f"^{HEAD}", ""), "\t")
-    files = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: x.rlike(CHANGE))
-    rows = entries.filter(F.col("entry").isNotNull()).select("repo", "place", head.alias("head"), F.explode(files).alias("line"))
-    count = lambda n: F.coalesce(F.try_to_number(F.regexp_extract("line", CHANGE, n), F.lit("9" * 18)).cast("long"), F.lit(0)).cast("long")
-    name = F.regexp_extract("line", CHANGE, 3)
+    own = entries.filter(F.col("entry").isNotNull()).select("repo", "place", head.alias("head"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("lines"))
+    at = F.try_to_timestamp(F.get("head", F.lit(2)))
+    own = own.select("repo", "place", F.get("head", F.lit(0)).alias("commit"), F.get("head", F.lit(1)).alias("author"), at.alias("at"), "lines")
+    rows = own.select("repo", "place", "commit", "author", "at", F.explode("lines").alias("line")).filter(F.col("line").rlike(CHANGE))
+
+    def count(n: int) -> Column:
+        digits = F.substring_index(F.substring_index("line", "\t", n), "\t", -1)
+        return F.coalesce(F.when(F.length(digits) <= 18, digits.try_cast("long")), F.lit(0)).cast("long")
+
+    # each step names what the next one uses several times, so that a pattern is matched once a line
+    rows = rows.select("repo", "place", "commit", "author", "at", count(1).alias("added"), count(2).alias("removed"), F.regexp_extract("line", CHANGE, 3).alias("name"))
+    name = F.col("name")
     inside = lambda n: F.concat(F.regexp_extract(name, BRACES, 1), F.regexp_extract(name, BRACES, n), F.regexp_extract(name, BRACES, 4))
-    sides = F.when(name.rlike(BRACES), F.array(inside(2), inside(3))).when(name.contains(ARROW), F.split(name, ARROW, 2)).otherwise(F.array(F.lit(None).cast("string"), name))
+    sides = F.when(~name.contains(ARROW), F.array(F.lit(None).cast("string"), name)).when(name.rlike(BRACES), F.array(inside(2), inside(3))).otherwise(F.split(name, ARROW, 2))
     rows = rows.withColumn("sides", sides)
-    at = F.try_to_timestamp(F.get("head", F.lit(2)))
-    return rows.select(
-        "repo", "place", F.get("head", F.lit(0)).alias("commit"), F.get("head", F.lit(1)).alias("author"), at.alias("at"),
-        _plain(F.get("sides", F.lit(1))).alias("path"), _plain(F.get("sides", F.lit(0))).alias("old"), count(1).alias("added"), count(2).alias("removed"),
-    )
+    rows = rows.withColumns({"path": F.get("sides", F.lit(1)), "old": F.get("sides", F.lit(0))})
+    return rows.select("repo", "place", "commit", "author", "at", _plain(F.col("path")).alias("path"), _plain(F.col("old")).alias("old"), "added", "removed")
 
 
 def _latest(moves: DataFrame) -> DataFrame:
@@ -80,8 +86,10 @@ def follow_renames(changed: DataFrame) -> DataFrame:
     names that come back, are swapped or are taken over keep their files apart; files that bore one name in different
     eras differ in era. Where a commit moves one file to several names, the smallest is the file's, the others are new.
     A name's eras travel as one array, as long as its renames are many; changes meet it in a single join. Rows without
-    a repository keep their names.
+    a repository keep their names. changed is written first where it is no written table: it is read twice, and a
+    log would be parsed for each.
     """
+    changed = changed if is_written(changed) else materialize(changed)
     renames = materialize(changed.filter("old IS NOT NULL AND old <> path").select("repo", "place", "old", "path").distinct())
     turns = renames.select("repo", F.col("old").alias("path"), "place").unionByName(renames.select("repo", "path", "place"))
     starts = materialize(turns.groupBy("repo", "path").agg(F.collect_set("place").alias("starts")))

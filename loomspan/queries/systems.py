@@ -316,7 +316,8 @@ def _log(spark, sf_dir):
     """(repo, place, entry): the log's text of every commit, renames written with and without braces."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("repo", F.col("l_suppkey") % 20).withColumn("day", F.to_date("o_orderdate"))
-    touched = rows.groupBy("repo", F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("o"), "o_custkey", "day").agg(F.sum("l_linenumber").alias("added"), F.sum(7 - F.col("l_linenumber")).alias("removed"))
+    rows = rows.select("repo", F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("o"), "o_custkey", "day", "l_linenumber").repartition("repo", "part")  # once for sums and places
+    touched = rows.groupBy("repo", "part", "o", "o_custkey", "day").agg(F.sum("l_linenumber").alias("added"), F.sum(7 - F.col("l_linenumber")).alias("removed"))
     n = F.row_number().over(W.partitionBy("repo", "part").orderBy("day", "o")) - 1
     name = lambda at: F.concat(F.lit("f"), "part", F.when(F.floor(at / 3) % 2 == 0, ".a").otherwise(".b"))
     folder = F.concat(F.lit("src/d"), F.col("part") % 7, F.lit("/"))
