@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, islice
 
 import pandas as pd
@@ -67,18 +68,20 @@ def resolve_edges(items: DataFrame, proposals: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(graph, prereq, item) for every path: path lengths double each round until nothing is new.
 
-    Only the pairs found last are joined with all others, and each round is written to the shared folder.
+    After a round all pairs of a shortest path up to 2^n are known, with its length. The next are those of length 2^n,
+    continued by any pair: where a longer shortest path goes on after 2^n steps is such a pair's end, so no other joins
+    are made. Each round writes its new pairs only.
     """
-    pairs = materialize(edges.select("graph", "prereq", "item").distinct())
-    new = pairs
-    for _ in range(max_rounds):
-        step = new.select("graph", "prereq", F.col("item").alias("mid")).join(pairs.select("graph", F.col("prereq").alias("mid"), "item"), ["graph", "mid"])
-        back = pairs.select("graph", "prereq", F.col("item").alias("mid")).join(new.select("graph", F.col("prereq").alias("mid"), "item"), ["graph", "mid"])
-        found = step.unionByName(back).select("graph", "prereq", "item").distinct()
-        new = materialize(found.join(pairs, ["graph", "prereq", "item"], "left_anti"))
+    found = [materialize(edges.select("graph", "prereq", "item", F.lit(1).cast("long").alias("n")).distinct())]
+    for r in range(max_rounds):
+        pairs = reduce(DataFrame.unionByName, found)
+        half = found[-1].filter(F.col("n") == 1 << r).select("graph", "prereq", F.col("item").alias("mid"), "n")
+        rest = pairs.select("graph", F.col("prereq").alias("mid"), "item", F.col("n").alias("more"))
+        longer = half.join(rest, ["graph", "mid"]).groupBy("graph", "prereq", "item").agg(F.min(F.col("n") + F.col("more")).alias("n"))
+        new = materialize(longer.join(pairs, ["graph", "prereq", "item"], "left_anti"))
         if new.isEmpty():
-            return pairs
-        pairs = materialize(pairs.unionByName(new))
+            return pairs.drop("n")
+        found.append(new)
     raise RuntimeError("paths longer than 2^max_rounds")
 
 

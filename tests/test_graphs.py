@@ -322,3 +322,25 @@ def test_resolved_items_are_merged_whatever_their_packed_size(spark):
     edges = G.resolve_edges(items, proposals)
     assert [tuple(r) for r in edges.collect()] == [("g", "a", "b", 0.5)]
     assert "Broadcast" not in edges._jdf.queryExecution().toString()
+
+
+def test_closure_against_walks_and_each_pair_written_once(spark, monkeypatch):
+    """Rings, self-edges and short cuts: every pair is written in the round that finds it, and in no other."""
+    graphs = {f"g{n}": set(g) for n, g in enumerate(_random_graphs(5, 12, 12, 20))} | {"ring": {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")}}
+    graphs["chain"] = {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(37)} | {(f"c{i:02d}", f"c{i + 5:02d}") for i in range(0, 30, 7)}
+    want = set()
+    for g, arcs in graphs.items():
+        for start in {a for a, _ in arcs}:
+            met, todo = set(), [start]
+            while todo:
+                now = todo.pop()
+                fresh = {b for a, b in arcs if a == now} - met
+                met |= fresh
+                todo += fresh
+            want |= {(g, start, i) for i in met}
+    edges = spark.createDataFrame([(g, *e) for g, arcs in graphs.items() for e in arcs], "graph string, prereq string, item string")
+    written, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda *parts: written.append(write(*parts)) or written[-1])
+    got = [tuple(r) for r in G.closure(edges).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert sum(t.count() for t in written) == len(want)
