@@ -21,63 +21,65 @@ LIVE = "actor string, step long, seq int, verb string, object string, score doub
 
 COUNTS = ("xp", "streak", "streak_max", "step", "attempts", "passed", "skipped", "retries_used", "statements", "in_band", "run_length", "picks")
 LEARNER = ", ".join(f"{c} long" for c in COUNTS) + ", run_failed boolean, run_beat string, run_check string, recent array<boolean>"
-ITEM = "mastery double, stability double, last_review long"
+LEARNER += ", items array<string>, mastery array<double>, stability array<double>, last_review array<long>, visited array<string>"
 
 
 class Replay(StatefulProcessor):
-    """A learner's state: one row of counts, one entry per item, one per visited beat. A batch writes what it changed."""
+    """A learner's state is one typed row: counts, items side by side in lists, and the visited beats.
+
+    A batch reads it once and writes it once: each call to the store is a round trip between worker and executor, and
+    learners are many and their items few. What a batch says of a learner leaves as columns.
+    """
 
     def __init__(self, max_retries: int = 1):
         self.max_retries = max_retries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.learner = handle.getValueState("learner", LEARNER)
-        self.items = handle.getMapState("items", "item string", ITEM)
-        self.visited = handle.getMapState("visited", "beat string", "place long")
 
     def close(self) -> None:
         pass
 
     def _load(self) -> Learner:
         out = Learner()
-        if not self.learner.exists():
-            return out
         values = self.learner.get()
+        if values is None:
+            return out
         for name, value in zip(COUNTS, values, strict=False):
             setattr(out, name, value)
-        out.run_failed, beat, check, recent = values[len(COUNTS) :]
-        out.run_key, out.recent = ([beat, check] if beat is not None else None), list(recent)
-        for (item,), (mastery, stability, last_review) in self.items.iterator():
-            out.mastery[item], out.stability[item], out.last_review[item] = mastery, stability, last_review
-        out.visited = [beat for _, beat in sorted((place, beat) for (beat,), (place,) in self.visited.iterator())]
+        out.run_failed, beat, check, recent, items, mastery, stability, last_review, visited = values[len(COUNTS) :]
+        out.run_key, out.recent, out.visited = ([beat, check] if beat is not None else None), list(recent), list(visited)
+        out.mastery, out.stability, out.last_review = (dict(zip(items, each, strict=True)) for each in (mastery, stability, last_review))
         return out
 
-    def _save(self, now: Learner, before: Learner) -> None:
+    def _save(self, now: Learner) -> None:
         beat, check = now.run_key or (None, None)
-        self.learner.update((*(int(getattr(now, c)) for c in COUNTS), bool(now.run_failed), beat, check, [bool(x) for x in now.recent]))
-        for item, mastery in now.mastery.items():
-            entry = (float(mastery), float(now.stability.get(item, 1.0)), int(now.last_review.get(item, 0)))
-            if entry != (before.mastery.get(item), before.stability.get(item), before.last_review.get(item)):
-                self.items.updateValue((item,), entry)
-        for place in range(len(before.visited), len(now.visited)):
-            self.visited.updateValue((now.visited[place],), (place,))
+        items = list(now.mastery)
+        numbers = [float(p) for p in now.mastery.values()], [float(now.stability.get(i, 1.0)) for i in items], [int(now.last_review.get(i, 0)) for i in items]
+        self.learner.update((*(int(getattr(now, c)) for c in COUNTS), bool(now.run_failed), beat, check, [bool(x) for x in now.recent], items, *numbers, list(now.visited)))
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
-        self._save(Learner.loads(initialState["state"].iloc[0]), Learner())
+        self._save(Learner.loads(initialState["state"].iloc[0]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        learner, before = self._load(), self._load()
-        learner.told = []
-        for r in pd.concat(list(rows)).sort_values("ordinal").itertuples(index=False):  # a learner's share of a micro-batch
-            learner.attempt(r.beat, r.check, r.item, float(r.score), float(r.max_score), bool(r.ok), self.max_retries)
-        self._save(learner, before)
-        said = [
-            {"actor": key[0], "step": t["timestamp"], "seq": n, "verb": t["verb"], "object": t["object"], "score": t["result"].get("score"), "success": t["result"].get("success"), "p": t["result"].get("p")}
-            for n, t in enumerate(learner.told, before.statements)
-        ]
-        last = {"actor": key[0], "step": learner.attempts + learner.skipped, "session": json.dumps(learner.summary()), "state": learner.dumps()}
-        names = [c.split()[0] for c in LIVE.split(", ")]
-        yield pd.DataFrame([*said, last], columns=names).astype({"seq": "Int32", "success": "boolean", "step": "int64", "score": "float64", "p": "float64"})
+        learner = self._load()
+        learner.told, first = [], learner.statements
+        for r in in_order(pd.concat(list(rows))):  # a learner's share of a micro-batch
+            learner.attempt(*r, self.max_retries)
+        self._save(learner)
+        told, none = learner.told, [None]
+        of = lambda name: [t["result"].get(name) for t in told] + none
+        yield pd.DataFrame({
+            "actor": [key[0]] * (len(told) + 1), "step": [*(t["timestamp"] for t in told), learner.attempts + learner.skipped], "seq": pd.array([*range(first, first + len(told)), None], "Int32"),
+            "verb": [t["verb"] for t in told] + none, "object": [t["object"] for t in told] + none, "score": pd.array(of("score"), "float64"), "success": pd.array(of("success"), "boolean"),
+            "p": pd.array(of("p"), "float64"), "session": none * len(told) + [json.dumps(learner.summary())], "state": none * len(told) + [learner.dumps()],
+        })
+
+
+def in_order(rows: pd.DataFrame) -> Iterator[tuple]:
+    """The arguments of Learner.attempt() of each row, by ordinal."""
+    rows = rows.sort_values("ordinal")
+    return zip(rows["beat"], rows["check"], rows["item"], rows["score"].astype(float).tolist(), rows["max_score"].astype(float).tolist(), map(bool, rows["ok"]), strict=True)
 
 
 @contextmanager
@@ -109,8 +111,8 @@ def learner_states(attempts: DataFrame, max_retries: int = 1) -> DataFrame:
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         learner = Learner()
-        for r in frame.sort_values("ordinal").itertuples(index=False):
-            learner.attempt(r.beat, r.check, r.item, float(r.score), float(r.max_score), bool(r.ok), max_retries)
+        for r in in_order(frame):
+            learner.attempt(*r, max_retries)
         return pd.DataFrame([{"actor": frame["actor"].iloc[0], "state": learner.dumps()}])
 
     return attempts.groupBy("actor").applyInPandas(replay, "actor string, state string")

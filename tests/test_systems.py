@@ -1,6 +1,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from samples import chapters, graph, script, story
@@ -407,3 +408,52 @@ def test_model_items_and_edges(spark, tmp_path):
     assert (counts["entities"], counts["items"], counts["items_dropped"], counts["competences"], counts["edges"], counts["states"], model.total_tokens) == (2, 2, 1, 1, 1, 3, 9)
     low = P.break_file(spark, str(path), str(tmp_path / "low"), model=C.Cassette(tape), budget=5)
     assert low["entities"] == 2 and low["edges"] == 0 and low["items"] == 2  # items and edges were refused, rules stand in
+
+
+def test_a_learner_s_state_is_read_once_and_written_once_a_batch():
+    """Each call to the store is a round trip: their number does not follow items, beats or attempts."""
+    calls = []
+
+    class Value:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Map:
+        def __init__(self):
+            self.values = {}
+
+        def iterator(self):
+            calls.append("iterator")
+            return iter(self.values.items())
+
+        def updateValue(self, key, value):
+            calls.append("updateValue")
+            self.values[key] = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getMapState(self, *_):
+            return Map()
+
+    rows = [{"actor": "a", "ordinal": f"{n:03d}", "beat": f"b{n % 5}", "check": "c", "item": f"k{n % 7}", "score": n % 3 / 2, "max_score": 1.0, "ok": n % 3 > 0} for n in range(40)]
+    processor, learner = replay.Replay(), Learner()
+    processor.init(Handle())
+    for part in (rows[:25], rows[:24:-1]):  # the second batch comes in another order
+        last = list(processor.handleInputRows(("a",), iter([pd.DataFrame(part)]), None))[-1].iloc[-1]
+        for r in sorted(part, key=lambda r: r["ordinal"]):
+            learner.attempt(r["beat"], r["check"], r["item"], r["score"], r["max_score"], r["ok"])
+        assert last["state"] == learner.dumps() and json.loads(last["session"]) == learner.summary()
+    assert calls == ["get", "update"] * 2
