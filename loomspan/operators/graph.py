@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators import cores
 from loomspan.operators.cores import cyclic_parts
 from loomspan.operators.groups import map_groups
-from loomspan.plans.storage import dealt, materialize
+from loomspan.plans.storage import broadcast_if_small, dealt, materialize
 
 #: Most states that are listed for one graph.
 STATE_CAP = 50_000
@@ -134,12 +135,47 @@ def _reach_spans(pairs: list[tuple[str, str]]) -> dict[str, tuple[int, ...]]:
     return out
 
 
+def _span_rows(own: DataFrame) -> DataFrame:
+    """The labels of all nodes of graphs that are walked, each in one task."""
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+
+    def label(frame: pd.DataFrame) -> pd.DataFrame:
+        spans = _reach_spans(list(zip(frame["prereq"], frame["item"], strict=True)))
+        out = pd.DataFrame(list(spans.values()), columns=_SPANS)
+        out.insert(0, "id", list(spans))
+        out.insert(0, "graph", frame["graph"].iloc[0])
+        return out
+
+    schema = f"graph {kinds['graph']}, id {kinds['item']}, " + ", ".join(f"{c} long" for c in _SPANS)
+    spans = own.groupBy("graph").applyInPandas(label, schema)
+    return spans.select("*", F.col("rank1").alias("goal1"), F.col("rank2").alias("goal2"), F.lit(-1).cast("long").alias("below"))
+
+
+def reach_labels(own: DataFrame, graphs: DataFrame) -> DataFrame:
+    """(graph, id, spans, goals, below) of the nodes of graphs: what tells that a node cannot reach another, or surely does.
+
+    Small graphs are walked for spans. Large ones (cores.WHOLE edges) are taken apart by joins: what a node reaches is
+    of lesser height and has no bit that the node's own lack. Only where that leaves edges (cycles, long paths) are they walked.
+    """
+    own = own.select("graph", "prereq", "item").join(broadcast_if_small(graphs, 64), "graph", "left_semi")
+    large = materialize(own.groupBy("graph").agg(F.count("*").alias("n")).filter(F.col("n") > cores.WHOLE).select("graph"))
+    if large.isEmpty():
+        return _span_rows(own)
+    arcs = own.join(F.broadcast(large), "graph", "left_semi").filter("prereq <> item")
+    levels, rest = cores.heights(arcs.select("graph", F.col("prereq").alias("src"), F.col("item").alias("dst")))
+    n = lambda c: F.lit(c).cast("long") if isinstance(c, int) else F.col(c).cast("long")
+    values = {"enter1": n(_ANY + 1), "low1": n(-1), "rank1": n("height"), "enter2": n(_ANY + 1), "low2": n(-1), "rank2": n(_ANY), "goal1": n("height") + 1, "goal2": n(0)}
+    levelled = levels.select("graph", F.col("node").alias("id"), *(c.alias(k) for k, c in values.items()), "below")
+    apart = large.join(F.broadcast(rest), "graph", "left_anti")
+    return _span_rows(own.join(F.broadcast(apart), "graph", "left_anti")).unionByName(levelled)
+
+
 def hasse(edges: DataFrame) -> DataFrame:
     """Edges without those that another path replaces.
 
     Only an edge from a node of several successors to one of several prerequisites can be replaced. From such edges a
-    search goes on, all at once, a join a round, into nodes whose spans do not exclude the edge's item, until they are
-    sure of it; spans take one walk of each graph. No other pairs are made, so a chain or a tree costs rows linear in its edges.
+    search goes on, all at once, a join a round, into nodes whose labels do not exclude the edge's item, until they are
+    sure of it. No other pairs are made, so a chain or a tree costs rows linear in its edges.
     """
     own = materialize(edges.select("graph", "prereq", "item").distinct())
     forks = own.groupBy("graph", "prereq").count().filter("count > 1")
@@ -147,27 +183,19 @@ def hasse(edges: DataFrame) -> DataFrame:
     asked = materialize(own.filter("prereq <> item").join(forks, ["graph", "prereq"], "left_semi").join(meets, ["graph", "item"], "left_semi").select("graph", "prereq", "item"))
     if asked.isEmpty():
         return own
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-
-    def label(frame: pd.DataFrame) -> pd.DataFrame:
-        spans = _reach_spans(list(zip(frame["prereq"], frame["item"], strict=True)))
-        out = pd.DataFrame(list(spans.values()), columns=_SPANS)
-        out.insert(0, "id", list(spans))
-        out.insert(0, "graph", frame["graph"].iloc[0])
-        return out
-
-    schema = f"graph {kinds['graph']}, id {kinds['item']}, " + ", ".join(f"{c} long" for c in _SPANS)
-    labels = materialize(own.join(asked.select("graph").distinct(), "graph", "left_semi").groupBy("graph").applyInPandas(label, schema))
-    arcs = materialize(own.select("graph", F.col("prereq").alias("mid"), F.col("item").alias("nxt")).join(labels.withColumnRenamed("id", "nxt"), ["graph", "nxt"]))
-    goal = labels.select("graph", F.col("id").alias("item"), F.col("rank1").alias("goal1"), F.col("rank2").alias("goal2"))
-    front = asked.join(goal, ["graph", "item"]).select("graph", "prereq", "item", F.col("prereq").alias("mid"), "goal1", "goal2")
+    labels = materialize(reach_labels(own, materialize(asked.select("graph").distinct())))
+    arcs = materialize(own.select("graph", F.col("prereq").alias("mid"), F.col("item").alias("nxt")).join(labels.select("graph", F.col("id").alias("nxt"), *_SPANS, "below"), ["graph", "nxt"]))
+    goals = ("goal1", "goal2", "goal_below")
+    goal = labels.select("graph", F.col("id").alias("item"), "goal1", "goal2", F.col("below").alias("goal_below"))
+    front = asked.join(goal, ["graph", "item"]).select("graph", "prereq", "item", F.col("prereq").alias("mid"), *goals)
     edge = ["graph", "prereq", "item"]
     sure = (F.col("nxt") == F.col("item")) | F.col("goal1").between(F.col("enter1"), F.col("rank1")) | F.col("goal2").between(F.col("enter2"), F.col("rank2"))
     may = F.col("goal1").between(F.col("low1"), F.col("rank1")) & F.col("goal2").between(F.col("low2"), F.col("rank2"))
+    may = may & (F.col("goal_below").bitwiseAND(F.col("below")) == F.col("goal_below"))
     seen, replaced = front, []
     while True:
         step = front.join(arcs, ["graph", "mid"]).filter("nxt <> prereq and not (mid = prereq and nxt = item)").withColumn("hit", sure).filter(F.col("hit") | may)
-        step = materialize(step.select(*edge, F.col("nxt").alias("mid"), "goal1", "goal2", "hit").distinct())
+        step = materialize(step.select(*edge, F.col("nxt").alias("mid"), *goals, "hit").distinct())
         hits = step.filter("hit").select(*edge).distinct()
         replaced.append(hits)
         further = step.filter("not hit").drop("hit").join(hits, edge, "left_anti")

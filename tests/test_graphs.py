@@ -316,6 +316,22 @@ def test_reduction_of_a_long_chain_writes_rows_linear_in_its_edges(spark, monkey
     assert sum(t.count() for t in written) < 5 * n
 
 
+def test_large_graphs_without_long_paths_are_reduced_without_a_walk(spark, monkeypatch):
+    graphs = {f"g{n}": set(g) for n, g in enumerate(_random_graphs(29, 12, 14, 36))}
+    for n in range(12):  # without cycles
+        rng = random.Random(n)
+        graphs[f"d{n}"] = {(f"v{a:02d}", f"v{b:02d}") for a, b in itertools.combinations(rng.sample(range(14), 14), 2) if rng.random() < 0.3}
+    graphs["tree"] = {(f"p{k}", f"p{c}") for k in range(1, 600) for c in (2 * k, 2 * k + 1, 4 * k) if c < 600} | {("p3", "p3")}
+    edges = spark.createDataFrame([(g, *e) for g, arcs in graphs.items() for e in arcs], "graph string, prereq string, item string")
+    want = {tuple(r) for r in G.hasse(edges).collect()}  # every graph is walked
+    walked, spans = set(), G._span_rows
+    monkeypatch.setattr(cores, "WHOLE", 12)
+    monkeypatch.setattr(G, "_span_rows", lambda own: walked.update(r.graph for r in own.select("graph").distinct().collect()) or spans(own))
+    assert {tuple(r) for r in G.hasse(edges).collect()} == want
+    assert "tree" not in walked and not any(g.startswith("d") and len(graphs[g]) > 12 for g in walked) and any(g.startswith("g") for g in walked)
+    assert {(a, b) for g, a, b in want if g == "tree"} == {(a, b) for a, b in graphs["tree"] if int(b[1:]) != 4 * int(a[1:])}
+
+
 def test_resolved_items_are_merged_whatever_their_packed_size(spark):
     items = spark.createDataFrame([("g", "a", "Alpha", 1), ("g", "b", "Beta", 2)], "graph string, id string, label string, pos int")
     proposals = spark.createDataFrame([("g", " alpha", "b", 0.5)], "graph string, prereq string, item string, confidence double")
