@@ -312,11 +312,21 @@ _TOUCHED = """touched AS (SELECT l_suppkey % 20 AS repo, l_partkey AS part, l_or
 named AS (SELECT *, row_number() OVER (PARTITION BY repo, part ORDER BY day, o) - 1 AS n FROM touched)"""
 
 
+#: Lines of the log that one task makes; its sorts and groupings hold them several times, as rows and as text.
+_LOG_ROWS = 100_000
+
+
 def _log(spark, sf_dir):
-    """(repo, place, entry): the log's text of every commit, renames written with and without braces."""
+    """(repo, place, entry): the log's text of every commit, renames written with and without braces.
+
+    Each shuffle is dealt by the number of lines: by their packed bytes a task would get more and more of them.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("repo", F.col("l_suppkey") % 20).withColumn("day", F.to_date("o_orderdate"))
-    rows = rows.select("repo", F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("o"), "o_custkey", "day", "l_linenumber").repartition("repo", "part")  # once for sums and places
+    tasks = max(1, -(-read("lineitem").count() // _LOG_ROWS))
+    lines = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").repartition(tasks, "l_orderkey")
+    heads = read("orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day")).repartition(tasks, "o_orderkey")
+    rows = lines.join(heads.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("repo", F.col("l_suppkey") % 20)
+    rows = rows.select("repo", F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("o"), "o_custkey", "day", "l_linenumber").repartition(tasks, "repo", "part")  # once for sums and places
     touched = rows.groupBy("repo", "part", "o", "o_custkey", "day").agg(F.sum("l_linenumber").alias("added"), F.sum(7 - F.col("l_linenumber")).alias("removed"))
     n = F.row_number().over(W.partitionBy("repo", "part").orderBy("day", "o")) - 1
     name = lambda at: F.concat(F.lit("f"), "part", F.when(F.floor(at / 3) % 2 == 0, ".a").otherwise(".b"))
@@ -325,8 +335,8 @@ def _log(spark, sf_dir):
     braced = F.concat(folder, F.lit("{"), before, F.lit(" => "), now, F.lit("}"))
     moved = F.when(F.col("part") % 2 == 0, braced).otherwise(F.concat(folder, before, F.lit(" => "), folder, now))
     path = F.when((F.col("n") > 0) & (F.col("n") % 3 == 0), moved).otherwise(F.concat(folder, now))
-    lines = touched.withColumn("n", n).withColumn("line", F.concat_ws("\t", "added", "removed", path))
-    entries = lines.groupBy("repo", "o", "o_custkey", "day").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    lines = touched.withColumn("n", n).withColumn("line", F.concat_ws("\t", "added", "removed", path)).select("repo", "o", "o_custkey", "day", "line")
+    entries = lines.repartition(tasks, "repo", "o").groupBy("repo", "o", "o_custkey", "day").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     head = F.concat_ws("\t", F.lit("commit"), "o", "o_custkey", F.date_format("day", "yyyy-MM-dd'T'HH:mm:ss"))
     return entries.select("repo", (F.shiftleft(F.unix_date("day").cast("long"), 44) + F.col("o")).alias("place"), F.concat(head, F.lit("\n\n"), F.array_join("lines", "\n")).alias("entry"))
 

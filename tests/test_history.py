@@ -1,5 +1,6 @@
 """Histories from text logs, and files followed through renames."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import history as H
 from loomspan.operators import snapshots as A
+from loomspan.queries import systems
 from loomspan.sources import readers
 
 LOG = """commit\tc5\tAda Lin\t2024-03-05T10:00:00+01:00
@@ -141,3 +143,14 @@ def test_changes_are_parsed_once(spark):
     found = H.follow_renames(H.changes(entries.mapInArrow(count, entries.schema)))
     assert {(r.path, r.old, r.added, r.removed) for r in found.collect()} == {("x/c", None, 1, 0), ("x/c", "x/b", 0, 2)}
     assert parsed.value == 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_the_log_is_made_in_tasks_of_bounded_rows(spark, monkeypatch):
+    """The session's own number of partitions is 4; the log's tasks follow its lines."""
+    latest = lambda: sorted(map(tuple, systems.q75_timeline(spark, "/root/testdata/sf0.001").collect()))
+    whole = latest()
+    monkeypatch.setattr(systems, "_LOG_ROWS", 500)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert systems._log(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-lines // 500)
+    assert latest() == whole != []
