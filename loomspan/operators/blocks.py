@@ -44,7 +44,8 @@ def blocks(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     firsts = F.sequence(F.lit(1), F.greatest(F.size("zipped"), F.lit(1)), F.lit(RUN))
     runs = F.aggregate(firsts, F.array().cast(f"array<struct<at: long, out: array<{block_type}>>>"), run)
     kept = F.filter(F.flatten(F.transform(runs, lambda r: r["out"])), lambda b: b["text"].rlike(r"(?U)\S"))
-    rows = parts.select("doc_id", "page", F.posexplode(kept).alias("n", "b")).select("doc_id", "page", "n", "b.*")
+    # outer, since of a plain explode Spark infers a filter on the array's size, which makes the array a second time
+    rows = parts.select("doc_id", "page", F.posexplode_outer(kept).alias("n", "b")).filter("n IS NOT NULL").select("doc_id", "page", "n", "b.*")
     number = F.col("n") + 1 if page_col is None else F.row_number().over(W.partitionBy("doc_id").orderBy("page", "n"))
     return rows.select("doc_id", chunk_id(number).alias("chunk_id"), "page", "start", "end", "text")
 
@@ -57,7 +58,7 @@ def unique_ids(labels: DataFrame, graph: str, order: str, label: str = "label")
 
 def term_rows(blocks_: DataFrame) -> DataFrame:
     """(doc_id, chunk_id, pos, term, key) of every term of every block."""
-    rows = blocks_.select("doc_id", "chunk_id", F.posexplode(T.terms(F.col("text"))).alias("pos", "term"))
+    rows = blocks_.select("doc_id", "chunk_id", F.posexplode_outer(T.terms(F.col("text"))).alias("pos", "term")).filter("pos IS NOT NULL")  # outer as in blocks()
     return rows.withColumn("key", F.lower("term"))
 
 
@@ -68,12 +69,25 @@ def entities(terms: DataFrame) -> DataFrame:
     return named.select("doc_id", "key", "id", "label", F.lit("concept").alias("type"), "chunk_ids")
 
 
-def cooccurrence(terms: DataFrame, ents: DataFrame) -> DataFrame:
-    """(doc_id, src, rel, dst, chunk_ids): neighbours among a chunk's distinct terms in the order of first occurrence."""
-    firsts = terms.groupBy("doc_id", "chunk_id", "key").agg(F.min("pos").alias("pos"))
-    pairs = firsts.withColumn("next", F.lead("key").over(W.partitionBy("doc_id", "chunk_id").orderBy("pos"))).filter("next is not null")
-    ids = ents.select("doc_id", "key", "id")
-    named = pairs.join(ids.withColumnRenamed("id", "src"), ["doc_id", "key"]).join(ids.select("doc_id", F.col("key").alias("next"), F.col("id").alias("dst")), ["doc_id", "next"])
+def cooccurrence(terms: DataFrame, ents: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """(doc_id, src, rel, dst, chunk_ids): neighbours among a chunk's distinct terms in the order of first occurrence.
+
+    Without ents the terms' own entities() are meant. Their ids are numbered where the pairs are found, so terms are
+    found once and move once, to their document's task (of that many tasks, if given).
+    """
+    place = W.partitionBy("doc_id", "chunk_id").orderBy("pos")
+    if ents is None:
+        rows = terms.filter("doc_id IS NOT NULL").select("doc_id", "chunk_id", "pos", "key")
+        rows = rows.repartition(tasks, "doc_id") if tasks else rows.repartition("doc_id")
+        firsts = rows.groupBy("doc_id", "chunk_id", "key").agg(F.min("pos").alias("pos")).withColumn("slug", T.slug(F.col("key")))
+        nth = F.dense_rank().over(W.partitionBy("doc_id", "slug").orderBy("key"))
+        named = firsts.select("doc_id", "chunk_id", "pos", T.numbered(F.col("slug"), nth).alias("src"))
+        named = named.withColumn("dst", F.lead("src").over(place)).filter("dst is not null")
+    else:
+        firsts = terms.groupBy("doc_id", "chunk_id", "key").agg(F.min("pos").alias("pos"))
+        pairs = firsts.withColumn("next", F.lead("key").over(place)).filter("next is not null")
+        ids = ents.select("doc_id", "key", "id")
+        named = pairs.join(ids.withColumnRenamed("id", "src"), ["doc_id", "key"]).join(ids.select("doc_id", F.col("key").alias("next"), F.col("id").alias("dst")), ["doc_id", "next"])
     return named.groupBy("doc_id", "src", "dst").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids")).select("doc_id", "src", F.lit("related_to").alias("rel"), "dst", "chunk_ids")
 
 

@@ -102,6 +102,10 @@ slugged AS (SELECT *, coalesce(nullif(trim(regexp_replace(key, '[^a-z0-9]+', '-'
 entities AS (SELECT doc_id, key, label, chunks, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || nth END AS id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY key) AS nth FROM slugged))"""
 
 
+#: Documents whose terms one task pairs.
+_TERM_DOCS = 4_000
+
+
 def _line_terms(spark, sf_dir):
     b = B.blocks(_documents(spark, sf_dir), separator="\n")
     return b, B.term_rows(b)
@@ -118,7 +122,9 @@ SELECT p.doc_id, s.id AS src, d.id AS dst, array_to_string(list_sort(list(DISTIN
 FROM pairs p JOIN entities s ON s.doc_id = p.doc_id AND s.key = p.key JOIN entities d ON d.doc_id = p.doc_id AND d.key = p.next GROUP BY 1, 2, 3""")
 def q07_cooccur_edges(spark, sf_dir):
     _, t = _line_terms(spark, sf_dir)
-    return B.cooccurrence(t, B.entities(t)).select("doc_id", "src", "dst", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // _TERM_DOCS))
+    return B.cooccurrence(t, tasks=tasks).select("doc_id", "src", "dst", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
 @query("""WITH s AS (SELECT p_brand AS graph, p_partkey AS pos, p_name AS label, coalesce(nullif(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'item') AS slug FROM part),

@@ -102,3 +102,14 @@ def test_blocks_of_long_texts_keep_their_offsets(spark):
             want.append((at, at + len(line), line))
         at += len(line) + 1
     assert got == want
+
+
+def test_pairs_number_their_own_entities(spark):
+    """Forms that share a slug, terms in several chunks and documents: the same pairs as with the entities' table."""
+    texts = [(1, "Alpha-beta and Alpha Beta met Gamma\nGamma met alpha, Alpha Beta and ALPHA-BETA"), (2, "Delta met Delta\nDelta met Alpha Beta"), (3, "nothing"), (None, "Delta met Gamma")]
+    terms = B.term_rows(B.blocks(spark.createDataFrame(texts, "doc_id long, text string"), separator="\n"))
+    rows = lambda df: sorted((r.doc_id, r.src, r.rel, r.dst, tuple(r.chunk_ids)) for r in df.collect())
+    want = rows(B.cooccurrence(terms, B.entities(terms)))
+    assert rows(B.cooccurrence(terms)) == rows(B.cooccurrence(terms, tasks=3)) == want
+    assert {r[1] for r in want} >= {"alpha-beta", "alpha-beta-2"}
+    assert B.cooccurrence(terms)._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 2  # blocks and terms are made once
