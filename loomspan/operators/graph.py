@@ -29,8 +29,8 @@ STATE_CAP = 50_000
 
 
 def known_edges(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with both ends among the items."""
-    ids = items.select("graph", "id")
+    """Edges with both ends among the items, which are merged: packed they look small enough to broadcast, in memory they are not."""
+    ids = items.select("graph", "id").hint("merge")
     both = edges.join(ids.withColumnRenamed("id", "prereq"), ["graph", "prereq"], "left_semi")
     return both.join(ids.withColumnRenamed("id", "item"), ["graph", "item"], "left_semi")
 

@@ -37,16 +37,16 @@ def chains(items: DataFrame, edges: DataFrame, n_options: int = 3) -> DataFrame:
     """
     c = clusters(items)
     name = F.concat_ws("\u0001", "graph", "cluster")
-    owner = c.select("graph", "id", "cluster")
-    inner = edges.join(owner.withColumnRenamed("id", "prereq"), ["graph", "prereq"]).join(owner.select("graph", F.col("id").alias("item"), F.col("cluster").alias("other")), ["graph", "item"]).filter("cluster = other")
+    owner = c.select("graph", "id", "cluster").hint("merge")  # none of a row per item is broadcast, however small when packed
+    inner = edges.join(owner.withColumnRenamed("id", "prereq"), ["graph", "prereq"]).join(owner.select("graph", F.col("id").alias("item"), F.col("cluster").alias("other")).hint("merge"), ["graph", "item"]).filter("cluster = other")
     order = G.topo_order(c.withColumn("graph", name), inner.select(name.alias("graph"), "prereq", "item"))
     place = F.split("graph", "\u0001", 2)
-    ranked = order.select(place[0].alias("graph"), place[1].alias("cluster"), "id", "rank").join(items, ["graph", "id"])
+    ranked = order.select(place[0].alias("graph"), place[1].alias("cluster"), "id", "rank").join(items.hint("merge"), ["graph", "id"])
     ranked = ranked.withColumn("next", F.lead("id").over(W.partitionBy("graph", "cluster").orderBy("rank")))
     places = items.select("graph", "label").withColumn("n", F.row_number().over(W.partitionBy("graph").orderBy("label"))).filter(F.col("n") <= n_options + 1)
     first = places.groupBy("graph").agg(F.array_sort(F.collect_list("label")).alias("labels"))
     needs = edges.groupBy("graph", F.col("item").alias("id")).agg(F.array_sort(F.collect_list("prereq")).alias("requires"))
-    out = ranked.join(first, "graph").join(needs, ["graph", "id"], "left")
+    out = ranked.join(first, "graph").join(needs.hint("merge"), ["graph", "id"], "left")
     others = F.slice(F.filter("labels", lambda x: x != F.col("label")), 1, n_options)
     return out.select(
         "graph", "cluster", "rank", F.concat("id", F.lit("-beat")).alias("beat"), F.concat("id", F.lit("-check")).alias("check"), F.col("id").alias("item"),

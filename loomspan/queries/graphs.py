@@ -172,7 +172,7 @@ def _small(spark, sf_dir):
         F.array((key % 3).cast("string")).alias("tags"), F.lit(1).alias("dok"),
     )
     kids = p.filter("k > 0").select("graph", F.col("id").alias("prereq"), F.explode(F.array(F.col("k") * 2, F.col("k") * 2 + 1, F.col("k") * 3)).alias("k"))
-    return p, kids.join(p.select("graph", "k", F.col("id").alias("item")), ["graph", "k"]).select("graph", "prereq", "item").distinct()
+    return p, kids.join(p.select("graph", "k", F.col("id").alias("item")).hint("merge"), ["graph", "k"]).select("graph", "prereq", "item").distinct()
 
 
 def _order_sql(nodes: str, arcs: str) -> str:

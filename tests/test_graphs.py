@@ -340,6 +340,17 @@ def test_resolved_items_are_merged_whatever_their_packed_size(spark):
     assert "Broadcast" not in edges._jdf.queryExecution().toString()
 
 
+def test_rows_per_item_are_merged_in_orders_and_chains(spark):
+    """Tables of known small size, which Spark would broadcast; only a graph's few first labels may be."""
+    items = spark.range(12).selectExpr("CAST(id div 6 AS string) AS graph", "concat('n', id) AS id", "concat('N', id) AS label", "array(CAST(id % 2 AS string)) AS tags", "1 AS dok")
+    edges = spark.range(10).selectExpr("CAST(id div 6 AS string) AS graph", "concat('n', id) AS prereq", "concat('n', id + 2) AS item")
+    joins = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+    assert joins(G.known_edges(items, edges)) == 0
+    got = S.chains(items, edges)
+    assert joins(got) <= 1
+    assert [(r.beat, r.next, r.requires) for r in got.filter("graph = '0' AND cluster = '0'").orderBy("rank").collect()] == [("n0-beat", "n2-beat", []), ("n2-beat", "n4-beat", ["n0"]), ("n4-beat", None, ["n2"])]
+
+
 def test_closure_against_walks_and_each_pair_written_once(spark, monkeypatch):
     """Rings, self-edges and short cuts: every pair is written in the round that finds it, and in no other."""
     graphs = {f"g{n}": set(g) for n, g in enumerate(_random_graphs(5, 12, 12, 20))} | {"ring": {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "e")}}
